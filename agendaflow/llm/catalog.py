@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import language, lines, mixing, packing, sharding, token_files
+from . import fingerprints, language, lines, mixing, neardup, packing, sharding, token_files
 from .shared import new_path
 
 
@@ -23,6 +23,10 @@ def op2_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language.identify(_read(spark, sf_dir, "documents"))
 
 
+def op3_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return neardup.near_duplicates(_read(spark, sf_dir, "documents"))
+
+
 def op5_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = new_path(spark, "token-files")
     token_files.write_token_files(_read(spark, sf_dir, "documents"), path)
@@ -42,8 +46,12 @@ def op8_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.place(docs, F.col("doc_id"), sharding.shard_names())
 
 
+def op9_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fingerprints.fingerprints(_read(spark, sf_dir, "documents"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    named = [op1_line_dedup, op2_language_id, op5_token_files, op6_mixing, op7_packing, op8_sharding]
+    named = [op1_line_dedup, op2_language_id, op3_near_duplicates, op5_token_files, op6_mixing, op7_packing, op8_sharding, op9_fingerprints]
     return {f.__name__: f for f in named}
 
 
