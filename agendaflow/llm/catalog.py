@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import fingerprints, language, lines, mixing, neardup, packing, sharding, token_files
+from . import fingerprints, language, lines, mixing, neardup, neighbours, packing, sharding, token_files
 from .shared import new_path
 
 
@@ -50,8 +50,12 @@ def op9_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fingerprints.fingerprints(_read(spark, sf_dir, "documents"))
 
 
+def op10_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return neighbours.search(_read(spark, sf_dir, "embeddings"), F.col("vec_id") % 20 == 0)
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    named = [op1_line_dedup, op2_language_id, op3_near_duplicates, op5_token_files, op6_mixing, op7_packing, op8_sharding, op9_fingerprints]
+    named = [op1_line_dedup, op2_language_id, op3_near_duplicates, op5_token_files, op6_mixing, op7_packing, op8_sharding, op9_fingerprints, op10_neighbours]
     return {f.__name__: f for f in named}
 
 
