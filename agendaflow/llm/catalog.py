@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import fingerprints, language, lines, mixing, neardup, neighbours, packing, sharding, token_files
+from . import fingerprints, language, licences, lines, mixing, neardup, neighbours, packing, sharding, token_files
 from .shared import new_path
 
 
@@ -27,6 +27,10 @@ def op3_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return neardup.near_duplicates(_read(spark, sf_dir, "documents"))
 
 
+def op4_licence_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licences.licence_scan(_read(spark, sf_dir, "documents"))
+
+
 def op5_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = new_path(spark, "token-files")
     token_files.write_token_files(_read(spark, sf_dir, "documents"), path)
@@ -55,7 +59,7 @@ def op10_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    named = [op1_line_dedup, op2_language_id, op3_near_duplicates, op5_token_files, op6_mixing, op7_packing, op8_sharding, op9_fingerprints, op10_neighbours]
+    named = [op1_line_dedup, op2_language_id, op3_near_duplicates, op4_licence_scan, op5_token_files, op6_mixing, op7_packing, op8_sharding, op9_fingerprints, op10_neighbours]
     return {f.__name__: f for f in named}
 
 
