@@ -1,48 +1,14 @@
-"""The registered queries over the driver's tables, each with the SQL that it equals."""
+"""All registered queries and their SQL."""
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from . import date_queries, event_queries, join_queries, page_queries, text_queries  # noqa: F401
+from .registry import QUERIES, SQL
 
-from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
-_QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-_SQL: dict[str, str] = {}
+def queries():
+    return dict(QUERIES)
 
 
-def query(sql: str | None = None):
-    """Registers a function of (spark, sf_dir) under its name."""
-
-    def register(f):
-        _QUERIES[f.__name__] = f
-        if sql:
-            _SQL[f.__name__] = sql
-        return f
-
-    return register
-
-
-def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
-
-
-def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return dict(_QUERIES)
-
-
-def oracle_sql() -> dict[str, str]:
-    return dict(_SQL)
-
-
-@query(
-    """
-SELECT c.c_custkey AS place, count(e.event_id) AS n
-FROM customer c LEFT JOIN events e ON e.user_id = c.c_custkey AND e.ts > TIMESTAMP '2024-01-10'
-GROUP BY c.c_custkey
-"""
-)
-def upcoming_per_place_zero_filled(spark, sf_dir):
-    events = table(spark, sf_dir, "events").where("ts > timestamp_ntz'2024-01-10'").groupBy("user_id").agg(F.count("*").alias("n"))
-    places = table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("place"))
-    return places.join(events, F.col("place") == F.col("user_id"), "left").select("place", F.coalesce("n", F.lit(0)).alias("n"))
+def oracle_sql():
+    return dict(SQL)
