@@ -6,8 +6,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-#: Cells in each of a fingerprint's three tables.
-CELLS = 24
+#: Cells in each of a fingerprint's three tables; only those in use are kept.
+CELLS = 64
 ROUNDS = 40
 #: A paragraph is a line, or, in longer ones, a run of sentences of at least so many characters.
 LEAST_PART = 150
@@ -24,8 +24,8 @@ def paragraphs(text: str) -> str:
 
 
 def keys(text: str) -> str:
-    """The distinct paragraph digests: 40 bits of hash above 24 bits that check them."""
-    digest = f"transform({paragraphs(text)}, p -> shiftrightunsigned(xxhash64(p), 24))"
+    """The distinct paragraph digests: 39 bits of hash above 24 bits that check them."""
+    digest = f"transform({paragraphs(text)}, p -> shiftrightunsigned(xxhash64(p), 25))"
     return f"array_distinct(transform({digest}, h -> shiftleft(h, 24) | (xxhash64(h) & {_CHECK})))"
 
 
@@ -33,62 +33,67 @@ def _let(value: str, name: str, body: str) -> str:
     return f"transform(array({value}), {name} -> {body})[0]"
 
 
-def build(signed: str, cells: str) -> str:
-    """The sketch of an array of (k, n), n being 1 or -1: in each of three tables each key is in one
-    cell, which sums n and xors k. A sort by cell and running sums make it without a pass per cell."""
-    tables = []
-    for t in range(3):
-        sort = f"array_sort(transform({signed}, e -> struct(cast(pmod(xxhash64(e.k, {t}), {cells}) AS int) AS j, e.k AS k, e.n AS n)))"
-        sums = "aggregate(o, array(struct(0L AS k, 0 AS n)), (a, e) -> array_append(a, struct(element_at(a, -1).k ^ e.k AS k, element_at(a, -1).n + e.n AS n)))"
-        cell = "IF(f = 0, struct(0 AS n, 0L AS k), struct(s.p[z].n - s.p[f - 1].n AS n, s.p[z].k ^ s.p[f - 1].k AS k))"
-        found = "transform(array(cast(array_position(s.j, c) AS int)), f -> transform(array(size(s.j) + 1 - cast(array_position(s.r, c) AS int)), z -> " + cell + ")[0])[0]"
-        table = f"transform(sequence(0, {cells} - 1), c -> {found})"
-        tables.append(_let(sort, "o", _let(f"struct(o.j AS j, reverse(o.j) AS r, {sums} AS p)", "s", table)))
-    return f"concat({', '.join(tables)})"
+def _entries(signed: str, cells: str, sign: int) -> str:
+    """Each key in one cell of each of three tables; a negative key counts -1."""
+    cell = lambda t: f"struct(cast({t} * {cells} + pmod(xxhash64(abs(v), {t}), {cells}) AS int) AS j, {sign} * cast(signum(v) AS int) AS n, abs(v) AS k)"
+    return f"flatten(transform({signed}, v -> array({', '.join(map(cell, range(3)))})))"
+
+
+def _merge(entries: str) -> str:
+    """The sum of n and xor of k of each cell j, without the cells that come to nothing."""
+    last = "IF(a.n = 0 AND a.k = 0, a.c, array_append(a.c, struct(a.j AS j, a.n AS n, a.k AS k)))"
+    step = f"IF(e.j = a.j, struct(a.c AS c, a.j AS j, a.n + e.n AS n, a.k ^ e.k AS k), struct({last} AS c, e.j AS j, e.n AS n, e.k AS k))"
+    start = "struct(array_repeat(struct(0 AS j, 0 AS n, 0L AS k), 0) AS c, -1 AS j, 0 AS n, 0L AS k)"
+    return f"aggregate(sort_array({entries}), {start}, (a, e) -> {step}, a -> {last})"
 
 
 def sketch(key_array: str, cells: str) -> str:
-    return build(f"transform({key_array}, k -> struct(k AS k, 1 AS n))", cells)
+    return _merge(_entries(key_array, cells, 1))
 
 
 def subtract(a: str, b: str) -> str:
-    return f"zip_with({a}, {b}, (x, y) -> struct(x.n - y.n AS n, x.k ^ y.k AS k))"
+    return _merge(f"concat({a}, transform({b}, x -> struct(x.j AS j, -x.n AS n, x.k AS k)))")
 
 
 def _pure(cells: str) -> str:
+    """The keys, with the sign of their count, of cells that hold one key alone."""
     ok = f"filter({cells}, x -> abs(x.n) = 1 AND (x.k & {_CHECK}) = (xxhash64(shiftrightunsigned(x.k, 24)) & {_CHECK}))"
-    return f"array_distinct(transform({ok}, x -> struct(x.k AS k, x.n AS n)))"
+    return f"array_distinct(transform({ok}, x -> x.n * x.k))"
 
 
 def peel(difference: str, cells: str) -> str:
     """(whether all keys came out, the keys with their sign): cells of one key give it up, which is
     then taken from its other cells, until no such cell is left."""
-    first = _let(difference, "d", f"struct(d AS d, {_pure('d')} AS p, array_repeat(struct(0L AS k, 0 AS n), 0) AS f)")
-    taken = subtract("s.d", build("s.p", cells))
+    first = _let(difference, "d", f"struct(d AS d, {_pure('d')} AS p, array_repeat(0L, 0) AS f)")
+    taken = _merge(f"concat(s.d, {_entries('s.p', cells, -1)})")
     step = _let(taken, "d", f"struct(d AS d, {_pure('d')} AS p, concat(s.f, s.p) AS f)")
     loop = f"aggregate(sequence(1, {ROUNDS}), {first}, (s, i) -> IF(size(s.p) = 0, s, {step}))"
-    return _let(loop, "e", "struct(forall(e.d, x -> x.n = 0 AND x.k = 0) AS whole, e.f AS keys)")
+    return _let(loop, "e", "struct(size(e.d) = 0 AS whole, e.f AS keys)")
 
 
 def difference(a: str, b: str, cells: str) -> str:
-    """The digests that one of two key arrays has and the other lacks, as recovered from the difference
-    of their sketches of that many cells; null where it can't be peeled."""
+    """The digests that one of two key arrays has (positive) and the other lacks (negative), as
+    recovered from the difference of their sketches of that many cells; null where it can't be peeled."""
     return _let(peel(subtract(sketch(a, cells), sketch(b, cells)), cells), "w", "IF(w.whole, w.keys, NULL)")
 
 
 def likeness(a: str, b: str, own_a: str, own_b: str) -> str:
     """Shared over all distinct paragraphs, from the recovered difference. ``own_a`` and ``own_b`` are
     the fingerprints; where their difference can't be peeled, larger sketches are tried."""
-    base = _let(peel(subtract(own_a, own_b), str(CELLS)), "w", "IF(w.whole, size(w.keys), NULL)")
     both = f"(size({a}) + size({b}))"
-    larger = [f"size({difference(a, b, c)})" for c in (str(4 * CELLS), f"greatest({16 * CELLS}, {both})", f"(2 * {both} + 1)")]
-    # size(NULL) is NULL in ANSI mode and -1 elsewhere
-    tries = ", ".join([base, *(f"nullif({x}, -1)" for x in larger), both])
-    return f"IF({both} = 0, 1D, {_let(f'coalesce({tries})', 'v', f'cast({both} - v AS double) / ({both} + v)')})"
+
+    def count(cells_of_difference: str, cells: str) -> str:
+        return _let(peel(cells_of_difference, cells), "w", "IF(w.whole, size(w.keys), NULL)")
+
+    tries = [count(subtract(own_a, own_b), str(CELLS))]
+    for cells in (str(4 * CELLS), f"greatest({16 * CELLS}, {both})", f"(2 * {both} + {32 * CELLS})"):
+        tries.append(count(subtract(sketch(a, cells), sketch(b, cells)), cells))
+    found = _let(f"coalesce({', '.join([*tries, both])})", "v", f"cast({both} - v AS double) / ({both} + v)")
+    return f"IF({both} = 0, 1D, {found})"
 
 
 def as_text(cells: str) -> str:
-    return f"array_join(transform({cells}, x -> IF(x.n = 0 AND x.k = 0, '', concat(x.n, ':', lower(hex(x.k))))), ',')"
+    return f"array_join(transform({cells}, x -> concat(x.j, ':', x.n, ':', lower(hex(x.k)))), ',')"
 
 
 def with_next(docs: DataFrame) -> DataFrame:
