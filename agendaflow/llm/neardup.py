@@ -24,6 +24,8 @@ LINK = 85
 LEAST_ESTIMATE = 0.65
 #: Rows of a bucket or cluster that one task compares at once.
 BLOCK = 128
+#: Ids of dropped documents that are broadcast at most (16 MB).
+MOST_BROADCAST = 1_000_000
 
 _rng = np.random.default_rng(7)
 _FACTORS = (_rng.integers(0, 1 << 63, REGISTERS, dtype=np.uint64) << B.U(1)) | B.U(1)
@@ -307,8 +309,12 @@ def drop_near_duplicates(docs: DataFrame) -> DataFrame:
     """The documents that stay: the smallest doc_id of each component, and those without a doc_id;
     columns as they were. Of rows that repeat a doc_id one stays."""
     found = cut(near_duplicates(docs), "near-duplicates").where("doc_id IS NOT NULL")
-    stays = docs.join(found.where("NOT kept").select("doc_id"), "doc_id", "left_anti")
+    gone = found.where("NOT kept").select("doc_id")
+    if gone.count() <= MOST_BROADCAST:
+        gone = F.broadcast(gone)  # else Spark joins by a shuffle
+    out = docs.join(gone, "doc_id", "left_anti")
     repeated = found.groupBy("doc_id").agg(F.count("*").alias("n")).where("n > 1").select("doc_id")
-    once = stays.join(repeated, "doc_id", "left_anti")
-    out = once.unionByName(stays.join(repeated, "doc_id", "left_semi").dropDuplicates(["doc_id"]))
+    if repeated.limit(1).count():
+        repeated = cut(repeated, "repeated")
+        out = out.join(repeated, "doc_id", "left_anti").unionByName(out.join(repeated, "doc_id", "left_semi").dropDuplicates(["doc_id"]))
     return out.select(*[F.col(f"`{c}`") for c in docs.columns])
