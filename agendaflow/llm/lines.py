@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .shared import cut
+
 RATIO = 0.3
 LEAST_PAGES = 5
 
@@ -36,6 +38,7 @@ def drop_boilerplate_lines(df: DataFrame, host: Column, text: Column, out: str =
         .groupBy("__host")
         .agg(F.collect_set("__key").alias("__common"))
     )
+    common = cut(common, "site-lines")  # so that its size is known where the join is planned
     kept = F.filter(F.split("__text", "\n"), lambda x: (F.trim(x) == "") | ~F.array_contains("__common", F.xxhash64(F.trim(x))))
     joined = pages.join(common, "__host", "left")
     cleaned = F.when(F.col("__common").isNull(), F.col("__text")).otherwise(F.array_join(kept, "\n"))
