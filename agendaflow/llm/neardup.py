@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from . import bytesops as B
 from .components import components
-from .shared import cut
+from .shared import bounded_batches, cut
 
 #: Registers hold truncated, exponentially spaced minima: floor(1 - log_BASE(minimum)), minima at RATE.
 REGISTERS, BASE, RATE, TOP = 120, 1.001, 20.0, (1 << 16) - 1
@@ -81,6 +81,7 @@ def estimate_reaches(own: np.ndarray, others: np.ndarray, n: int, sizes: np.ndar
 
 def sketch(docs: DataFrame) -> DataFrame:
     """doc_id, n_shingles, an order-free 128-bit digest of the set (d1, d2) and the registers."""
+    bounded_batches(docs.sparkSession)
     kind = docs.schema["doc_id"].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

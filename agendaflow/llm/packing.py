@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from . import bytesops as B
-from .shared import cut
+from .shared import bounded_batches, cut
 from .tokens import default_tokenizer_path, encoder
 
 CAPACITY = 1024
@@ -25,6 +25,7 @@ SCHEMES = ((60, 1 / 6), (120, 1 / 3), (160, 0.45))
 def encode_pieces(docs: DataFrame, capacity: int = CAPACITY, end_id: int = END_ID, tokenizer: str | None = None) -> DataFrame:
     """doc_id, piece, start, length, ids_crc32 of every piece, with the partition that made it and the
     piece's rank in it among pieces of its length. Null text is empty: the end id alone."""
+    bounded_batches(docs.sparkSession)
     tokenizer = tokenizer or default_tokenizer_path()
     kind = docs.schema["doc_id"].dataType.simpleString()
 

@@ -11,6 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import bytesops as B
+from .shared import bounded_batches
 from .tokens import default_tokenizer_path, encoder
 
 END_ID = 0
@@ -37,6 +38,7 @@ def write_token_files(docs: DataFrame, path: str, tokenizer: str | None = None,
     text encodes as empty; a null doc_id sorts first; rows that repeat a doc_id stay together in any
     order of their own. An empty table makes an empty file.
     """
+    bounded_batches(docs.sparkSession)
     tokenizer = tokenizer or default_tokenizer_path()
     docs = docs.select("doc_id", "text")
     size = docs.agg(F.sum(F.octet_length("text")).alias("n")).first()["n"] or 0
