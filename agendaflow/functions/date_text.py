@@ -30,6 +30,7 @@ FRENCH = {
     "midnight": ["minuit"],
 }
 DICTIONARIES = {"french": FRENCH}
+FRENCH_MONTH_NAMES = [names[0] for names in FRENCH["months"]]
 MOST_READINGS = 4096
 
 _SCAN = re.compile(

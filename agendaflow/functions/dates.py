@@ -86,3 +86,9 @@ def pattern_url(pattern: Column, d: Column) -> Column:
 
 def day_offset(ms: Column, today_ms: Column) -> Column:
     return F.floor((ms - today_ms) / DAY_MS)
+
+
+def before_midnight(day: Column, time: Column) -> Column:
+    """(day, time) with 00:00 as 23:59 of the day before."""
+    zero = F.coalesce(time == "00:00", F.lit(False))
+    return F.struct(F.when(zero, F.date_sub(day, 1)).otherwise(day).alias("day"), F.when(zero, F.lit("23:59")).otherwise(time).alias("time"))

@@ -76,3 +76,37 @@ def local_days(spark, sf_dir):
 def end_next_day(spark, sf_dir):
     end = F.col("o_orderkey") + F.when(F.col("o_orderkey") % 7 < 3, -10).otherwise(10)
     return table(spark, sf_dir, "orders").select("o_orderkey", dates.end_after_start(F.col("o_orderkey"), end).alias("end_ms"))
+
+
+@query()
+def extracted_dates(spark, sf_dir):
+    import datetime as dt
+
+    from ..functions.date_text import FRENCH_MONTH_NAMES, parse_dates
+
+    day = F.to_date("o_orderdate")
+    month = F.element_at(F.array(*[F.lit(m) for m in FRENCH_MONTH_NAMES]), F.month(day))
+    shown = F.concat(F.lit("du "), F.dayofmonth(day).cast("string"), F.lit(" au "), F.least(F.dayofmonth(day) + 2, F.lit(28)).cast("string"), F.lit(" "), month, F.lit(" "), F.year(day).cast("string"), F.lit(" à 20h"))
+    rows = table(spark, sf_dir, "orders").where("day(o_orderdate) < 27").select("o_orderkey", shown.alias("shown"))
+    return rows.select("o_orderkey", F.explode(parse_dates(F.col("shown"), ["day", "month", "year"], "long", "long", dt.date(2025, 12, 1))).alias("d")).select("o_orderkey", "d.possibility", "d.start_date", "d.start_time")
+
+
+@query("SELECT o_orderpriority, CASE o_orderpriority WHEN '1-URGENT' THEN 'long' WHEN '2-HIGH' THEN 'short' ELSE 'numeric' END AS month, CASE WHEN o_orderpriority IN ('1-URGENT', '2-HIGH') THEN 'long' ELSE 'short' END AS year FROM orders GROUP BY 1")
+def infer_date_format(spark, sf_dir):
+    from ..functions.date_text import FRENCH
+    from ..operators.extract import infer_date_format as infer
+
+    day = F.to_date("o_orderdate")
+    name = F.when(F.col("o_orderpriority") == "1-URGENT", F.lit(" décembre ")).otherwise(F.lit(" déc "))
+    long = F.concat(F.dayofmonth(day).cast("string"), name, F.year(day).cast("string"))
+    rows = table(spark, sf_dir, "orders").select("o_orderpriority", F.when(F.col("o_orderpriority").isin("1-URGENT", "2-HIGH"), long).otherwise(F.date_format(day, "dd.MM.yy")).alias("shown"))
+    return infer(rows, "o_orderpriority", "shown", FRENCH)
+
+
+@query("SELECT event_id, CASE WHEN hour(ts) = 0 THEN CAST(ts AS DATE) - 1 ELSE CAST(ts AS DATE) END AS day, CASE WHEN hour(ts) = 0 THEN '23:59' ELSE strftime(ts, '%H:%M') END AS time FROM events")
+def midnight_rule(spark, sf_dir):
+    from ..functions.dates import before_midnight
+
+    rows = table(spark, sf_dir, "events").select("event_id", F.to_date("ts").alias("d"), F.when(F.hour("ts") == 0, F.lit("00:00")).otherwise(F.date_format("ts", "HH:mm")).alias("t"))
+    moved = before_midnight(F.col("d"), F.col("t"))
+    return rows.select("event_id", moved["day"].alias("day"), moved["time"].alias("time"))

@@ -159,3 +159,23 @@ def first_three_and_count(spark, sf_dir):
     texts = F.transform("l", lambda x: x.cast("string"))
     marker = F.concat(F.array_join(F.slice(texts, 1, 3), ", "), F.lit("...("), F.size("l"), F.lit(" elements)"))
     return rows.select("c_custkey", F.when(F.size("l") > 3, marker).otherwise(F.array_join(texts, ", ")).alias("shown"))
+
+
+@query()
+def html_nodes(spark, sf_dir):
+    from ..functions import html
+
+    html.register(spark)
+    table(spark, sf_dir, "pages").createOrReplaceTempView("agendaflow_pages")
+    return spark.sql("SELECT p.page_id, n.node_id, n.parent_id, n.depth, n.tag, array_join(n.classes, ' ') AS classes, n.sib_index FROM agendaflow_pages p, LATERAL html_nodes(p.html) n")
+
+
+@query()
+def extracted_events(spark, sf_dir):
+    from ..operators import extract
+
+    recipe = F.create_map(F.lit("eventName"), F.array(F.lit("h1")), F.lit("eventDate"), F.array(F.lit("p:eq(0)")), F.lit("eventURL"), F.array(F.lit("")))
+    venues = table(spark, sf_dir, "pages").select(F.col("page_id").cast("string").alias("id"), "url", F.lit("article").alias("delimiter"), recipe.alias("mainPage"), F.lit(None).cast("map<string,array<string>>").alias("linkedPage"))
+    stored = table(spark, sf_dir, "pages").select(F.col("page_id").cast("string").alias("venue_id"), F.lit(0).alias("page_no"), "html")
+    linked = spark.createDataFrame([], "url string, html string")
+    return extract.events_of(extract.blocks_of(stored, venues), linked, ["annulé"])
