@@ -132,7 +132,7 @@ def fit(sample: np.ndarray, parts: int) -> Router:
 def vectors(table: DataFrame) -> DataFrame:
     """vec_id and embedding (doubles) of the rows that take part: no null, zero or non-finite vectors,
     and of vectors of several lengths those of the length that most rows have (the smaller on a tie)."""
-    v = table.select("vec_id", F.col("embedding").cast("array<double>").alias("embedding"))
+    v = table.select(F.col("vec_id").cast("long").alias("vec_id"), F.col("embedding").cast("array<double>").alias("embedding"))
     bad = F.exists("embedding", lambda x: x.isNull() | F.isnan(x) | (F.abs(x) == float("inf")))
     v = v.where(F.col("vec_id").isNotNull() & F.col("embedding").isNotNull() & ~bad & F.exists("embedding", lambda x: x != 0))
     lengths = v.groupBy(F.size("embedding").alias("d")).agg(F.count("*").alias("n")).orderBy(F.desc("n"), "d").first()

@@ -441,7 +441,7 @@ def test_peeling_retries_larger(spark):
     row = spark.createDataFrame([(a, b)], "a string, b string").selectExpr(f"{fingerprints.keys('a')} AS x", f"{fingerprints.keys('b')} AS y")
     small = row.selectExpr(f"{fingerprints.difference('x', 'y', '24')} AS d").first().d
     large = row.selectExpr(f"{fingerprints.difference('x', 'y', '800')} AS d").first().d
-    assert small is None and len(large) == 400 and sum(e.n for e in large) == 0
+    assert small is None and len(large) == 400 and sum(k > 0 for k in large) == 200
     cells = str(fingerprints.CELLS)
     near = row.selectExpr(f"{fingerprints.likeness('x', 'y', fingerprints.sketch('x', cells), fingerprints.sketch('y', cells))} AS n").first().n
     assert near == pytest.approx(200 / 600)
