@@ -15,8 +15,9 @@ from .shared import bounded_batches
 from .tokens import default_tokenizer_path, encoder
 
 END_ID = 0
-#: Bytes of text that one range of ids, so one file, is to hold.
+#: Bytes of text that one range of ids, so one file, is to hold, and the most files, beyond which they grow.
 FILE_BYTES = 24 << 20
+MOST_FILES = 100_000
 ORC_OPTIONS = {
     "orc.bloom.filter.columns": "doc_id",
     "orc.bloom.filter.fpp": "0.01",
@@ -42,7 +43,7 @@ def write_token_files(docs: DataFrame, path: str, tokenizer: str | None = None,
     tokenizer = tokenizer or default_tokenizer_path()
     docs = docs.select("doc_id", "text")
     size = docs.agg(F.sum(F.octet_length("text")).alias("n")).first()["n"] or 0
-    parts = max(1, int(np.ceil(size / file_bytes)))
+    parts = max(1, min(MOST_FILES, int(np.ceil(size / file_bytes))))
     ordered = docs.repartitionByRange(parts, "doc_id", F.xxhash64("text")).sortWithinPartitions("doc_id", F.xxhash64("text"))
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
