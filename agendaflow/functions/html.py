@@ -8,7 +8,7 @@ be any number of levels apart, else each is a child of the one before.
 from __future__ import annotations
 
 import re
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass, field
 from html.parser import HTMLParser
 
@@ -17,6 +17,8 @@ from pyspark.sql import Column, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.functions import udtf
 
+from . import text
+
 VOID = {"area", "base", "br", "col", "embed", "hr", "img", "input", "link", "meta", "source", "track", "wbr"}
 _SEGMENT = re.compile(r"^([\w*-]*)((?:\.[^.:>\s]+)*)((?::(?:eq\(\d+\)|not\(\[class\]\)))*)$")
 
@@ -139,8 +141,8 @@ def smallest_holding(root: Node, strings: list[str]) -> Node | None:
     """The last deepest element whose text holds all strings."""
     best = None
     for n in root.walk():
-        text = n.text().lower()
-        if all(s.lower() in text for s in strings) and (best is None or n.depth() >= best.depth()):
+        inside = n.text().lower()
+        if all(s.lower() in inside for s in strings) and (best is None or n.depth() >= best.depth()):
             best = n
     return best
 
@@ -250,3 +252,85 @@ def clean_attribute_classes(html: Column) -> Column:
         return s.map(lambda x: x if x is None else re.sub(r'(<[^>]*?class=")([^"]*)"', fix, x))
 
     return run(html)
+
+
+def _text_column(change) -> Callable[[Column], Column]:
+    """A column function from a function of one string; null stays null."""
+
+    def column(html: Column) -> Column:
+        @F.pandas_udf("string")
+        def run(s: pd.Series) -> pd.Series:
+            return s.map(lambda x: x if x is None else change(x))
+
+        return run(html)
+
+    return column
+
+
+def _with_depth(source: str) -> str:
+    root = parse(source)
+    used = {c for n in root.walk() for c in n.classes}
+    prefix = "depth"
+    while any(c.startswith(prefix) for c in used):
+        prefix += "-"
+    for n in root.walk():
+        n.attrs["class"] = " ".join([*n.classes, f"{prefix}{n.depth()}"])
+    return outer(root)
+
+
+def _close_links(source: str) -> str:
+    """Ends a link where the next one begins."""
+    out, inside = [], False
+    for part in re.split(r"(<a\b[^>]*>|</a>)", source):
+        if part.startswith("<a"):
+            out.append("</a>" + part if inside else part)
+            inside = True
+        elif part != "</a>":
+            out.append(part)
+        elif inside:
+            out.append(part)
+            inside = False
+    return "".join(out)
+
+
+def _shape(node: Node) -> str:
+    inner = [t.strip() if isinstance(t, str) else _shape(t) for t in node.texts]
+    body = " ".join(x for x in inner if x)
+    return f"{node.tag}({body})" if node.tag else body
+
+
+def _compact(source: str, keep: bool) -> str:
+    root, names = parse(source), {}
+    for n in root.walk():
+        classes = n.classes
+        n.attrs = {}
+        if keep and classes:
+            n.attrs["class"] = " ".join(names.setdefault(c, f"c{len(names)}") for c in classes)
+    return outer(root)
+
+
+lower_text = _text_column(lambda x: re.sub(r"(<[^>]*>)|([^<]+)", lambda m: m[1] or m[2].lower(), x))
+add_depth = _text_column(_with_depth)
+close_links = _text_column(_close_links)
+#: Shorter forms of a page: classes renumbered, no classes, text lines, nested ``tag(...)``.
+compact = _text_column(lambda x: _compact(x, True))
+minimal = _text_column(lambda x: _compact(x, False))
+plain_text = _text_column(lambda x: "\n".join(t for n in [parse(x)] for e in [n, *n.walk()] if (t := " ".join(p.strip() for p in e.texts if isinstance(p, str) and p.strip()))))
+parenthesis = _text_column(lambda x: _shape(parse(x)))
+
+
+def clean_page(html: Column) -> Column:
+    """The cleaning that stored pages get: native steps first, then those that need the tree."""
+    html = text.remove_forms(text.remove_useless_tags(text.wrap_broken_lines(text.clean_scripts(html))))
+    return add_depth(text.fix_images(close_links(clean_attribute_classes(html))))
+
+
+def path_hits(block: Column, recipe: Column) -> Column:
+    """How many elements each key's paths reach in a block."""
+
+    @F.pandas_udf("map<string,int>")
+    def run(blocks: pd.Series, recipes: pd.Series) -> pd.Series:
+        one = lambda b, r: {k: sum(len(select(b, p)) for p in v) for k, v in (r or {}).items()}
+        return pd.Series([one(parse(b), dict(r) if r is not None else None) for b, r in zip(blocks, recipes)])
+
+    return run(block, recipe)

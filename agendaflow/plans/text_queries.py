@@ -102,3 +102,41 @@ def similar_names_in_block(spark, sf_dir):
     similar = filters.similar_name(F.left(F.col("a.n_name"), F.lit(1)), F.left(F.col("b.n_name"), F.lit(1)))
     pairs = a.join(b, (F.col("a.n_regionkey") == F.col("b.n_regionkey")) & (F.col("a.n_nationkey") < F.col("b.n_nationkey")) & similar)
     return pairs.select(F.col("a.n_nationkey").alias("a"), F.col("b.n_nationkey").alias("b"))
+
+
+@query(
+    """
+SELECT p_partkey, CASE p_partkey % 3 WHEN 0 THEN p_name WHEN 1 THEN regexp_extract(p_name, '[0-9]+', 0) ELSE regexp_replace(p_name, 'a[a-z]', '#') END AS field FROM part
+"""
+)
+def field_rules(spark, sf_dir):
+    from ..operators.recipes import apply_rule
+
+    k = F.col("p_partkey") % 3
+    rule = F.when(k == 1, F.array(F.lit("[0-9]+"))).when(k == 2, F.array(F.lit("a[a-z]"), F.lit("#")))
+    return table(spark, sf_dir, "part").select("p_partkey", apply_rule(F.col("p_name"), rule).alias("field"))
+
+
+@query("SELECT user_id, len(list_intersect(list(DISTINCT event_type) FILTER (event_id % 2 = 0), list(DISTINCT event_type) FILTER (event_id % 2 = 1)))::BIGINT AS common, len(list_filter(list(DISTINCT event_type) FILTER (event_id % 2 = 0), lambda x: NOT list_contains(coalesce(list(DISTINCT event_type) FILTER (event_id % 2 = 1), []), x)))::BIGINT AS new FROM events GROUP BY 1 HAVING count(*) FILTER (event_id % 2 = 0) > 0 AND count(*) FILTER (event_id % 2 = 1) > 0")
+def common_and_new_values(spark, sf_dir):
+    even = F.collect_set(F.when(F.col("event_id") % 2 == 0, F.col("event_type")))
+    odd = F.collect_set(F.when(F.col("event_id") % 2 == 1, F.col("event_type")))
+    rows = table(spark, sf_dir, "events").groupBy("user_id").agg(even.alias("a"), odd.alias("b")).where("size(a) > 0 AND size(b) > 0")
+    return rows.select("user_id", F.size(F.array_intersect("a", "b")).cast("long").alias("common"), F.size(F.array_except("a", "b")).cast("long").alias("new"))
+
+
+@query("SELECT c_custkey, c_acctbal BETWEEN 2024 AND 2028 AS plausible FROM customer")
+def plausible_years(spark, sf_dir):
+    from ..operators.recipes import plausible_year
+
+    return table(spark, sf_dir, "customer").select("c_custkey", plausible_year(F.col("c_acctbal"), 2025).alias("plausible"))
+
+
+@query("SELECT s_suppkey, sqrt(s_acctbal * s_acctbal + s_nationkey * s_nationkey) <= 3000 AS hit, (s_acctbal + 360 * round((10 - s_acctbal) / 360)) AS lon FROM supplier")
+def circle_and_longitude(spark, sf_dir):
+    from ..functions.maps import in_circle, wrap_longitude
+
+    zero = F.lit(0.0)
+    return table(spark, sf_dir, "supplier").select(
+        "s_suppkey", in_circle(F.col("s_acctbal"), F.col("s_nationkey").cast("double"), zero, zero, F.lit(3000.0)).alias("hit"), wrap_longitude(F.col("s_acctbal"), F.lit(10.0)).alias("lon")
+    )
