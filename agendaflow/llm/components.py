@@ -13,13 +13,19 @@ def _state(edges: DataFrame) -> tuple[int, int]:
     return r["n"], r["h"] or 0
 
 
+#: Rows of a join's smaller side that are broadcast at most (16 bytes each); the edges are counted first.
+MOST_BROADCAST = 1_000_000
+#: Files of a round's edges while they are that few.
+FILES = 8
+
+
 def components(edges: DataFrame, most_rounds: int = 60) -> DataFrame:
     """(node, component) of every node in ``edges`` (u, v): component is the smallest node reachable.
 
     Each round first links every node's larger neighbours to its smallest one, then the node and its
-    smaller neighbours to the smallest of them; minima are combined before they are shuffled. Each
-    round's edges are a written table, and the end is when a round changes nothing. Loops and repeated
-    edges have no effect; no edges, no rows.
+    smaller neighbours to the smallest of them; minima are combined before they are shuffled,
+    and joined by broadcast while the counted edges are few. Each round's edges are a written table, and
+    the end is when a round changes nothing. Loops and repeated edges have no effect; no edges, no rows.
     """
     e = edges.where("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct()
     e = cut(e, "edges")
@@ -27,13 +33,16 @@ def components(edges: DataFrame, most_rounds: int = 60) -> DataFrame:
     for _ in range(most_rounds):
         if not last[0]:
             break
+        few = last[0] <= MOST_BROADCAST
+        small_side = F.broadcast if few else (lambda df: df)
+        in_files = (lambda df: df.coalesce(FILES)) if few else (lambda df: df)
         both = e.unionByName(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = both.groupBy("u").agg(F.min("v").alias("m")).select(F.col("u").alias("w"), F.least("u", "m").alias("m"))
-        large = both.join(least, F.col("u") == F.col("w")).where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v"))
-        large = cut(large.distinct(), "edges")
+        large = both.join(small_side(least), F.col("u") == F.col("w")).where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v"))
+        large = cut(in_files(large), "edges")
         down = large.groupBy("u").agg(F.min("v").alias("m")).select(F.col("u").alias("w"), "m")
-        small = large.join(down, F.col("u") == F.col("w")).select(F.explode(F.array(F.struct("u", F.col("m").alias("v")), F.struct(F.col("v").alias("u"), F.col("m").alias("v")))).alias("x")).select("x.u", "x.v")
-        e = cut(small.where("u <> v").distinct(), "edges")
+        small = large.join(small_side(down), F.col("u") == F.col("w")).select(F.explode(F.array(F.struct("u", F.col("m").alias("v")), F.struct(F.col("v").alias("u"), F.col("m").alias("v")))).alias("x")).select("x.u", "x.v")
+        e = cut(in_files(small.where("u <> v").distinct()), "edges")
         now = _state(e)
         if now == last:
             break
