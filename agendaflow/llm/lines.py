@@ -9,6 +9,8 @@ from .shared import cut
 
 RATIO = 0.3
 LEAST_PAGES = 5
+#: Distinct texts that must have a line before it counts as the site's, where copies are still present.
+LEAST_TEXTS = 5
 
 
 def _keys(lines: Column) -> Column:
@@ -17,22 +19,27 @@ def _keys(lines: Column) -> Column:
     return F.array_distinct(F.transform(F.filter(lines, lambda x: F.trim(x) != ""), lambda x: F.xxhash64(F.trim(x))))
 
 
-def drop_boilerplate_lines(df: DataFrame, host: Column, text: Column, out: str = "text", ratio: float = RATIO, least_pages: int = LEAST_PAGES) -> DataFrame:
+def drop_boilerplate_lines(df: DataFrame, host: Column, text: Column, out: str = "text", ratio: float = RATIO, least_pages: int = LEAST_PAGES, least_texts: int = 0) -> DataFrame:
     """``df`` with column ``out``: ``text`` without the lines that over ``ratio`` of the host's pages have.
 
     A line is compared without blanks at its ends; blank lines stay. A page counts once for a line it
     repeats. Hosts of fewer than ``least_pages`` pages keep all lines, and so do rows of null host;
     null text stays null; all rows, repeats and columns stay.
 
+    With ``least_texts``, pages of the same distinct lines count as one page, so that copies don't make
+    a line common, and a line of fewer than ``least_texts`` such pages stays.
+
     Counts are combined before they are shuffled. A host can have at most (mean lines a page / ratio)
     common lines, so they come back to the pages as one short array a host.
     """
     pages = df.withColumn("__host", host).withColumn("__text", text)
-    known = pages.where("__host IS NOT NULL").select("__host", F.split("__text", "\n").alias("__lines"))
+    known = pages.where("__host IS NOT NULL").select("__host", _keys(F.split("__text", "\n")).alias("__keys"))
+    if least_texts:
+        known = known.distinct()
     totals = known.groupBy("__host").agg(F.count("*").alias("__pages")).where(F.col("__pages") >= least_pages)
-    counts = known.select("__host", F.explode(_keys(F.col("__lines"))).alias("__key")).groupBy("__host", "__key").agg(F.count("*").alias("__n"))
+    counts = known.select("__host", F.explode("__keys").alias("__key")).groupBy("__host", "__key").agg(F.count("*").alias("__n"))
     common = (
-        counts.where(F.col("__n") > ratio * least_pages)
+        counts.where((F.col("__n") > ratio * least_pages) & (F.col("__n") >= least_texts))
         .join(totals, "__host")
         .where(F.col("__n") > ratio * F.col("__pages"))
         .groupBy("__host")
@@ -65,9 +72,9 @@ def clean_pages(pages: DataFrame, ratio: float = RATIO, least_pages: int = LEAST
     )
 
 
-def clean_documents(docs: DataFrame, ratio: float = RATIO, least_pages: int = LEAST_PAGES) -> DataFrame:
+def clean_documents(docs: DataFrame, ratio: float = RATIO, least_pages: int = LEAST_PAGES, least_texts: int = 0) -> DataFrame:
     """Documents, taking ``source`` as the site; n_chars follows the text where that column exists."""
-    out = drop_boilerplate_lines(docs, F.col("source"), F.col("text"), "text", ratio, least_pages)
+    out = drop_boilerplate_lines(docs, F.col("source"), F.col("text"), "text", ratio, least_pages, least_texts)
     if "n_chars" in docs.columns:
         out = out.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))
     return out.select(*[F.col(f"`{c}`") for c in docs.columns])

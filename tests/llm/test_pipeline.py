@@ -75,6 +75,15 @@ def test_stages(spark, library):  # noqa: F811
     assert corpus_pipeline.run(spark, "/root/testdata/sf0.001").where(F.col("length") < 1).count() == 0
 
 
+def test_line_dedup_keeps_copies(spark):
+    rows = [(k, f"first of a copy\nsecond of a copy{' ' * (k % 2)}", "en", "copied", 0) for k in range(20)]
+    rows += [(k, f"menu\nown text {k}", "en", "copied", 0) for k in range(20, 50)]
+    rows += [(60 + k, "all of a pair" if k < 2 else f"text {k}", "en", "small", 0) for k in range(5)]
+    rows += [(70 + k, f"of two\ntext {k}" if k < 2 else f"text {k}", "en", "near", 0) for k in range(6)]
+    got = {r.doc_id: r.text for r in corpus_pipeline.drop_lines(spark, spark.createDataFrame(rows, SCHEMA), "").collect()}
+    assert got == {k: t.removeprefix("menu\n") for k, t, *_ in rows}
+
+
 def test_empty(spark):
     docs = spark.createDataFrame([], SCHEMA)
     for _, stage in corpus_pipeline.STAGES:
