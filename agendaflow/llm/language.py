@@ -21,6 +21,15 @@ OVERLAP = 3.0
 #: Penalty of one more language, in nats times log of the independent count.
 PENALTY = 1.0
 SMOOTHING = 0.02
+#: About so many held-out documents of each language tell how its texts fit.
+HELD_DOCS = 500
+#: Held-out documents of a language that are enough to tell how well its texts fit; with fewer, those of all languages do,
+#: and with fewer of all no text is taken for foreign.
+LEAST_HELD = 20
+#: Standard deviations of the fit below which a text is of no learned language, and the least deviation
+#: between documents in nats a trigram.
+MARGIN = 10.0
+LEAST_SPREAD = 0.1
 _SCALE = 1 << 20
 
 
@@ -54,22 +63,29 @@ def _trigrams(data: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray
     return ((code * np.uint32(2654435761)) >> np.uint32(17)).astype(np.int64), np.concatenate([[0], np.cumsum(size)])
 
 
+def _draw(docs: DataFrame, each: int) -> tuple[list[str], DataFrame]:
+    """The languages of rows with text and non-null ``lang``, and about ``each`` documents of each one,
+    drawn by a hash of doc_id."""
+    docs = docs.where("lang IS NOT NULL AND text IS NOT NULL").select("doc_id", "text", "lang")
+    totals = {r["lang"]: r["n"] for r in docs.groupBy("lang").agg(F.count("*").alias("n")).limit(MOST_LANGUAGES + 1).collect()}
+    if len(totals) > MOST_LANGUAGES:
+        raise ValueError(f"more than {MOST_LANGUAGES} languages")
+    if not totals:
+        return [], docs
+    share = {k: min(_SCALE, int(np.ceil(_SCALE * each / n))) for k, n in totals.items()}
+    limit = F.create_map(*[F.lit(x) for kv in share.items() for x in kv])[F.col("lang")]
+    return sorted(totals), docs.where(F.pmod(F.xxhash64("doc_id", F.lit("train")), F.lit(_SCALE)) < limit)
+
+
 def train(docs: DataFrame, train_docs: int = TRAIN_DOCS) -> tuple[list[str], np.ndarray]:
     """The languages and their log probabilities of each bucket, from text and non-null ``lang``.
 
     About ``train_docs`` documents of each language are drawn by a hash of doc_id; counting is
     distributed and the driver gets at most MOST_LANGUAGES * BUCKETS sums.
     """
-    docs = docs.where("lang IS NOT NULL AND text IS NOT NULL").select("doc_id", "text", "lang")
-    totals = {r["lang"]: r["n"] for r in docs.groupBy("lang").agg(F.count("*").alias("n")).limit(MOST_LANGUAGES + 1).collect()}
-    if len(totals) > MOST_LANGUAGES:
-        raise ValueError(f"more than {MOST_LANGUAGES} languages")
-    langs = sorted(totals)
+    langs, drawn = _draw(docs, train_docs)
     if not langs:
         return [], np.zeros((BUCKETS, 0), np.float32)
-    share = {k: min(_SCALE, int(np.ceil(_SCALE * train_docs / n))) for k, n in totals.items()}
-    limit = F.create_map(*[F.lit(x) for kv in share.items() for x in kv])[F.col("lang")]
-    drawn = docs.where(F.pmod(F.xxhash64("doc_id", F.lit("train")), F.lit(_SCALE)) < limit)
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sums = np.zeros((len(langs), BUCKETS), np.int64)
@@ -133,12 +149,14 @@ def infer(log_prob: np.ndarray) -> tuple[np.ndarray, float]:
     return chosen, posterior if chosen is weights else 1.0
 
 
-def predict(docs: DataFrame, langs: list[str], log_prob: np.ndarray, keep: list[str] | None = None) -> DataFrame:
+def predict(docs: DataFrame, langs: list[str], log_prob: np.ndarray, keep: list[str] | None = None, fit: bool = False) -> DataFrame:
     """``keep`` columns with __lang_pred, __score and __lang_set of every whole text.
 
     __lang_pred is the language of the largest proportion, ``und`` where the text is null or has no
     letter or nothing was learned; __score is that proportion times the posterior among single
-    languages, 0 for ``und``; __lang_set lists the chosen languages.
+    languages, 0 for ``und``; __lang_set lists the chosen languages. With ``fit``, __fit and __sd are the
+    mean and deviation of the trigrams' log likelihoods, each in the likeliest chosen language, and
+    __trigrams is their number; all are 0 for ``und``.
     """
     spark = docs.sparkSession
     bounded_batches(spark)
@@ -146,14 +164,14 @@ def predict(docs: DataFrame, langs: list[str], log_prob: np.ndarray, keep: list[
     keep = keep if keep is not None else ["doc_id"]
     fields = [f for f in docs.schema.fields if f.name in keep]
     names = [f.name for f in fields]
-    schema = ", ".join([f"`{f.name}` {f.dataType.simpleString()}" for f in fields] + ["__lang_pred string", "__score double", "__lang_set array<string>"])
+    schema = ", ".join([f"`{f.name}` {f.dataType.simpleString()}" for f in fields] + ["__lang_pred string", "__score double", "__lang_set array<string>"] + ["__fit double", "__sd double", "__trigrams long"] * fit)
     text = "text" if "text" in names else "__text"
 
     def label(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         table = model.value
         for batch in batches:
             data, off = B.column_bytes(batch[text])
-            pred, score, sets = [], [], []
+            pred, score, sets, fits = [], [], [], []
             for a, b in B.blocks(off):
                 own, at = data[off[a] : off[b]], off[a : b + 1] - off[a]
                 grams, g = _trigrams(own, at)
@@ -164,15 +182,20 @@ def predict(docs: DataFrame, langs: list[str], log_prob: np.ndarray, keep: list[
                     rows = logs[g[r] : g[r + 1]]
                     has = ascii_letters[r + 1] > ascii_letters[r] or any(c.isalpha() for c in own[at[r] : at[r + 1]].tobytes().decode())
                     if not has or not len(rows) or not langs:
-                        pred.append("und"), score.append(0.0), sets.append([])
+                        pred.append("und"), score.append(0.0), sets.append([]), fits.append((0.0, 0.0, 0))
                         continue
                     weights, posterior = infer(rows)
                     top = int(weights.argmax())
                     pred.append(langs[top])
                     score.append(float(min(1.0, weights[top] * posterior)))
                     sets.append([langs[j] for j in np.flatnonzero(weights)])
+                    if fit:
+                        best = rows[:, weights > 0].max(axis=1)
+                        fits.append((float(best.mean(dtype=np.float64)), float(best.std(dtype=np.float64)), len(best)))
             arrays = [batch[n] for n in names] + [pa.array(pred, pa.string()), pa.array(score, pa.float64()), pa.array(sets, pa.list_(pa.string()))]
-            yield pa.RecordBatch.from_arrays(arrays, [*names, "__lang_pred", "__score", "__lang_set"])
+            if fit:
+                arrays += [pa.array([x[j] for x in fits], kind) for j, kind in enumerate((pa.float64(), pa.float64(), pa.int64()))]
+            yield pa.RecordBatch.from_arrays(arrays, [*names, "__lang_pred", "__score", "__lang_set", *["__fit", "__sd", "__trigrams"] * fit])
 
     columns = [F.col(f"`{n}`") for n in names]
     return docs.select(*columns, *([] if text == "text" else [F.col("text").alias("__text")])).mapInArrow(label, schema)
@@ -194,9 +217,40 @@ def identify(docs: DataFrame) -> DataFrame:
     return out.select("doc_id", is_held_out().alias("held_out"), F.col("__lang_pred").alias("lang_pred"), F.col("__score").alias("score"), F.col("__lang_set").alias("lang_set"))
 
 
-def keep_identified(docs: DataFrame, least_score: float = 0.2) -> DataFrame:
-    """Documents with an identified language; those without letters or without any dominant language go."""
+def usual_fit(docs: DataFrame, langs: list[str], log_prob: np.ndarray, each: int = HELD_DOCS) -> dict[str, tuple[float, float, float]]:
+    """For each language how documents fit that the model was not trained on: the median, its deviation
+    between documents and that between trigrams. About ``each`` documents of a language are drawn, so
+    the driver gets at most some MOST_LANGUAGES * ``each`` rows of two numbers."""
+    held, drawn = _draw(docs, each)
+    if not held:
+        return {}
+    seen = predict(drawn, langs, log_prob, ["lang"], fit=True).where(F.col("__lang_pred") == F.col("lang"))
+    rows = seen.select("lang", "__fit", "__sd").collect()
+
+    def spread(own: list) -> tuple[float, float, float] | None:
+        if len(own) < LEAST_HELD:
+            return None
+        fits = np.array([r["__fit"] for r in own])
+        middle = float(np.median(fits))
+        return middle, max(LEAST_SPREAD, 1.4826 * float(np.median(np.abs(fits - middle)))), float(np.median([r["__sd"] for r in own]))
+
+    every = spread(rows)
+    found = {x: spread([r for r in rows if r["lang"] == x]) or every for x in langs}
+    return {x: f for x, f in found.items() if f}
+
+
+def keep_identified(docs: DataFrame, margin: float = MARGIN) -> DataFrame:
+    """Documents with an identified language; those without letters go, and so do those whose trigrams are
+    less likely in their language, by ``margin`` deviations, than those of its held-out documents.
+
+    The deviation grows as the text gets shorter, and the rule does not depend on how many languages
+    there are. Texts of a few words are therefore kept unless they are far off.
+    """
     langs, table = train(docs.where(~is_held_out()))
-    out = predict(docs, langs, table, docs.columns)
-    out = out.where((F.col("__lang_pred") != "und") & (F.col("__score") >= least_score))
+    usual = usual_fit(docs.where(is_held_out()), langs, table)
+    out = predict(docs, langs, table, docs.columns, fit=True).where(F.col("__lang_pred") != "und")
+    if usual:
+        known = F.create_map(*[x for k, f in usual.items() for x in (F.lit(k), F.array(*map(F.lit, f)))])[F.col("__lang_pred")]
+        deviation = F.sqrt(known[1] ** 2 + known[2] ** 2 * OVERLAP / F.col("__trigrams"))
+        out = out.where(F.coalesce(F.col("__fit") >= known[0] - margin * deviation, F.lit(True)))
     return out.select(*[F.col(f"`{c}`") for c in docs.columns])

@@ -84,6 +84,21 @@ def test_line_dedup_keeps_copies(spark):
     assert got == {k: t.removeprefix("menu\n") for k, t, *_ in rows}
 
 
+def test_unlearned_language_goes(spark):
+    rng = random.Random(6)
+    docs = documents(spark, "sf0.01")
+    gibberish = " ".join("".join(rng.choice("bcdfghjklmnpqrstvwxz") for _ in range(rng.randint(2, 9))) for _ in range(60))
+    finnish = "Kaikki ihmiset syntyvät vapaina ja tasavertaisina arvoltaan ja oikeuksiltaan. Heille on annettu järki ja omatunto, ja heidän on toimittava toisiaan kohtaan veljeyden hengessä."
+    clean = docs.where("lang = 'en' AND doc_id > 500 AND n_chars > 2000").orderBy("doc_id").first().text
+    texts = [gibberish, finnish, "Все люди рождаются свободными и равными в своем достоинстве и правах.", "That it.", clean[:40], clean[:150]]
+    # ids whose crc32 keeps them from training, no label
+    added = spark.createDataFrame([(i, t, None, "s", len(t)) for i, t in zip((70008, 70015, 70016, 70026, 70027, 70031), texts)], SCHEMA)
+    for given in (docs, docs.withColumn("lang", F.concat("lang", (F.col("doc_id") % 8).cast("string")))):
+        kept = corpus_pipeline.identify_language(spark, given.unionByName(added), "").select("doc_id", "text").collect()
+        assert {r.text for r in kept if r.doc_id >= 70000} == set(texts[3:])
+        assert len(kept) >= 0.99 * docs.count()
+
+
 def test_empty(spark):
     docs = spark.createDataFrame([], SCHEMA)
     for _, stage in corpus_pipeline.STAGES:
