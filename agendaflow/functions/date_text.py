@@ -8,9 +8,9 @@ next token of its level, which is how ``14, 15 & 16 novembre`` shares its month.
 from __future__ import annotations
 
 import datetime as dt
-import itertools
 import re
 import unicodedata
+from collections.abc import Iterator
 from dataclasses import dataclass, field
 
 import pandas as pd
@@ -31,7 +31,6 @@ FRENCH = {
 }
 DICTIONARIES = {"french": FRENCH}
 FRENCH_MONTH_NAMES = [names[0] for names in FRENCH["months"]]
-MOST_READINGS = 4096
 
 _SCAN = re.compile(
     r"(?P<time>\d{1,2}:\d{2}(?:\s?[ap]m)?\b|\d{1,2}\s?[ap]m\b|\d{1,2}\s?h(?:\d{2})?(?![a-z0-9]))"
@@ -283,6 +282,49 @@ def dates_of(found: list[dict[str, Token]], exceptions: list[tuple[set, list]],
     return list(dict.fromkeys(sorted(out, key=lambda e: (e[0], e[1] or ""))))
 
 
+def combinations(choices: list[list[list[Token]]], order: list[str]) -> Iterator[list[Token]]:
+    """The combinations of one choice at each place that may be dates, in the order of a product. One is
+    left at the first token after which ``paths`` can't succeed: days, months and years that first
+    appear against ``order``, two months or years together, a jump over a level, or a kind that no
+    later place can bring."""
+    place = {k: i for i, k in enumerate(order)}
+    later: list[set] = [set()]  # the kinds that places from k on may bring
+    for runs in reversed(choices):
+        later.append(later[-1] | {t.kind for run in runs for t in run})
+    later.reverse()
+
+    def step(seen: tuple[str, ...], last: str | None, t: Token) -> tuple[tuple[str, ...], str | None] | None:
+        """The kinds of dates so far and the one just before, None after a weekday or time."""
+        if t.kind in ("weekday", "time", "except"):
+            return seen, None
+        if t.kind not in place:
+            return seen, last
+        if t.kind not in seen:
+            if seen and place[t.kind] < place[seen[-1]]:
+                return None
+            seen = (*seen, t.kind)
+        if last and (last == t.kind != "day" or seen.index(t.kind) > seen.index(last) + 1):
+            return None
+        return seen, t.kind
+
+    stack = [(0, (), None, [])]
+    while stack:
+        k, seen, last, held = stack.pop()
+        if not {"day", "month"} <= later[k] | set(seen):
+            continue
+        if k == len(choices):
+            yield held
+            continue
+        for run in reversed(choices[k]):
+            state = (seen, last)
+            for t in run:
+                if state := step(*state, t):
+                    continue
+                break
+            if state:
+                stack.append((k + 1, *state, held + run))
+
+
 def extract_dates(text: str | None, order: list[str], months: str, years: str | None, today: dt.date, words: dict = FRENCH, window: range | None = None) -> list[list[tuple]]:
     """The possible readings of a text, each a list of (start date, time, end date, time); none where it
     has no date."""
@@ -291,8 +333,8 @@ def extract_dates(text: str | None, order: list[str], months: str, years: str |
     window = window or range(today.year, today.year + 3)
     choices = tokenize(text, words, order, months, years, today, window)
     out: list[list[tuple]] = []
-    for combination in itertools.islice(itertools.product(*choices), MOST_READINGS):
-        marked = mark([t for run in combination for t in run])
+    for combination in combinations(choices, order):
+        marked = mark(combination)
         if marked is None:
             continue
         found = paths(marked[0], order)
@@ -315,6 +357,7 @@ def parse_dates(text: Column, order: list[str], months: str, years: str | None,
     def run(s: pd.Series) -> pd.Series:
         iso = lambda d: d.isoformat() if d else None
         one = lambda x: [(k, iso(a), b, iso(c), d) for k, p in enumerate(extract_dates(x, order, months, years, as_of, words)) for a, b, c, d in p]
-        return s.map(lambda x: None if words is None or x is None else one(x))
+        known = {x: one(x) for x in s.dropna().unique()} if words is not None else {}
+        return s.map(lambda x: known.get(x) if isinstance(x, str) else None)
 
     return run(text)

@@ -1,9 +1,11 @@
 """Free-text dates: texts, formats, number of dates and the first (fixed values), on 1 December 2025."""
 
 import datetime as dt
+import itertools
 
 import pytest
 
+from agendaflow.functions import date_text
 from agendaflow.functions.date_text import FRENCH, extract_dates
 
 TODAY = dt.date(2025, 12, 1)
@@ -70,6 +72,21 @@ def test_ambiguous_or_none():
         assert extract_dates(text, ["day", "month"], "long", None, TODAY) == []
 
 
+def test_every_reading_is_tried():
+    """Eight numbers that may be day, month or short year; with the year first no early combination reads."""
+    order = ["year", "month", "day"]
+    window, today = range(2010, 2013), dt.date(2010, 1, 1)
+    got = extract_dates("10 10 10 11 11 12 12 12", order, "numeric", "short", today, FRENCH, window)
+    want = []
+    choices = date_text.tokenize("10 10 10 11 11 12 12 12", FRENCH, order, "numeric", "short", today, window)
+    for c in itertools.product(*choices):
+        tokens, exceptions = date_text.mark([t for run in c for t in run])
+        found = date_text.paths(tokens, order)
+        if found and "year" in found[0] and (dates := date_text.dates_of(found, exceptions, today)) and dates not in want:
+            want.append(dates)
+    assert len(list(itertools.product(*choices))) == 6561 and got == want and len(got) > 0
+
+
 def test_later_days_have_no_time():
     (got,) = extract_dates("du 07 juin à 19h au 21 juin", ["day", "month"], "long", None, TODAY)
     assert [e[1] for e in got] == ["19:00"] + [None] * 14
