@@ -49,15 +49,25 @@ def cluster(keys: list[str]) -> list[list[int]]:
     """Groups of rows with similar names, in order: a row joins the first group whose first name is
     similar, and every other such group is then folded into that one."""
     groups: list[list[int]] = []
+    known: dict[str, tuple[int, list[int]]] = {}  # a repeated name finds the same group while no group is new or folded
+    changes = 0
     for k, key in enumerate(keys):
+        if key in known and known[key][0] == changes:
+            known[key][1].append(k)
+            continue
         near = [g for g in groups if alike(keys[g[0]], key)]
         if not near:
             groups.append([k])
-            continue
-        near[0].append(k)
-        for g in near[1:]:
-            near[0].extend(g)
-        groups = [g for g in groups if not any(g is x for x in near[1:])]
+            near = groups[-1:]
+            changes += 1
+        else:
+            near[0].append(k)
+        if near[1:]:
+            for g in near[1:]:
+                near[0].extend(g)
+            groups = [g for g in groups if not any(g is x for x in near[1:])]
+            changes += 1
+        known[key] = changes, near[0]
     return groups
 
 

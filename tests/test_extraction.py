@@ -123,6 +123,29 @@ def test_merge(spark):
     assert got[(5, 6)].unixDate == day + 1000 and got[(5, 6)].warning == "no date confirmed"
 
 
+@settings(max_examples=300, deadline=None)
+@given(st.lists(st.text("ab", min_size=1, max_size=4), max_size=14))
+def test_repeated_names_cluster_alike(keys):
+    groups = []
+    for k, key in enumerate(keys):
+        near = [g for g in groups if merge.alike(keys[g[0]], key)] or [[]]
+        if not near[0]:
+            groups.append(near[0])
+        near[0].append(k)
+        for g in near[1:]:
+            near[0].extend(g)
+        groups = [g for g in groups if not any(g is x for x in near[1:])]
+    assert merge.cluster(keys) == groups
+
+
+def test_merge_query_reads_all_events(spark):
+    from agendaflow.plans import event_queries
+
+    sf = "/root/testdata/sf0.001"
+    merged = event_queries.merge_duplicate_events(spark, sf).selectExpr("explode(members) AS seq").distinct()
+    assert merged.count() == spark.read.parquet(f"{sf}/events.parquet").count()
+
+
 @settings(max_examples=200, deadline=None)
 @given(st.text(max_size=20))
 def test_simple_is_idempotent_in_python(t):
