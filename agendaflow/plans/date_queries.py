@@ -85,9 +85,10 @@ def extracted_dates(spark, sf_dir):
     from ..functions.date_text import FRENCH_MONTH_NAMES, parse_dates
 
     day = F.to_date("o_orderdate")
-    month = F.element_at(F.array(*[F.lit(m) for m in FRENCH_MONTH_NAMES]), F.month(day))
-    shown = F.concat(F.lit("du "), F.dayofmonth(day).cast("string"), F.lit(" au "), F.least(F.dayofmonth(day) + 2, F.lit(28)).cast("string"), F.lit(" "), month, F.lit(" "), F.year(day).cast("string"), F.lit(" à 20h"))
-    rows = table(spark, sf_dir, "orders").where("day(o_orderdate) < 27").select("o_orderkey", shown.alias("shown"))
+    month = lambda d: F.element_at(F.array(*[F.lit(m) for m in FRENCH_MONTH_NAMES]), F.month(d))
+    written = lambda d: F.concat_ws(" ", F.dayofmonth(d).cast("string"), month(d), F.year(d).cast("string"))
+    shown = F.concat(F.lit("du "), written(day), F.lit(" au "), written(F.date_add(day, 2)), F.lit(" à 20h"))
+    rows = table(spark, sf_dir, "orders").select("o_orderkey", shown.alias("shown"))
     return rows.select("o_orderkey", F.explode(parse_dates(F.col("shown"), ["day", "month", "year"], "long", "long", dt.date(2025, 12, 1))).alias("d")).select("o_orderkey", "d.possibility", "d.start_date", "d.start_time")
 
 

@@ -101,3 +101,13 @@ def test_column(spark):
     got = {r.id: r.d for r in rows.select("id", parse_dates(F.col("t"), ["day", "month"], "long", None, TODAY).alias("d")).collect()}
     assert [(x.start_date, x.start_time) for x in got[1]] == [("2026-01-05", "08:00")] and got[2] is None and got[3] == []
     assert rows.select(parse_dates(F.col("t"), ["day", "month"], "long", None, TODAY, "english").alias("d")).where("d IS NOT NULL").count() == 0
+
+
+def test_query_reads_every_order(spark):
+    """Each range of three days, over the ends of months and years too."""
+    from agendaflow.plans import date_queries
+
+    sf = "/root/testdata/sf0.001"
+    orders = {r[0]: r[1] for r in spark.read.parquet(f"{sf}/orders.parquet").selectExpr("o_orderkey", "to_date(o_orderdate)").collect()}
+    got = {(r.o_orderkey, r.start_date) for r in date_queries.extracted_dates(spark, sf).where("possibility = 0").collect()}
+    assert got == {(k, (d + dt.timedelta(days=n)).isoformat()) for k, d in orders.items() for n in range(3)}
