@@ -10,7 +10,6 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import bytesops as B
-from .shared import bounded_batches
 
 BUCKETS = 1 << 15
 #: About so many documents of each language train the model; a documented bound, not a cap on what is predicted.
@@ -159,7 +158,6 @@ def predict(docs: DataFrame, langs: list[str], log_prob: np.ndarray, keep: list[
     __trigrams is their number; all are 0 for ``und``.
     """
     spark = docs.sparkSession
-    bounded_batches(spark)
     model = spark.sparkContext.broadcast(log_prob)
     keep = keep if keep is not None else ["doc_id"]
     fields = [f for f in docs.schema.fields if f.name in keep]

@@ -11,7 +11,6 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import bytesops as B
-from .shared import bounded_batches
 
 #: Wording of public licences and of the notices that name them.
 TEMPLATES: dict[str, list[str]] = {
@@ -274,7 +273,6 @@ def scan(docs: DataFrame, model: Model) -> DataFrame:
     A line of over 40 words is read in windows of 40 words, 20 apart. Null and empty texts have no
     paragraph; repeated rows each get a result; an empty table gives none.
     """
-    bounded_batches(docs.sparkSession)
     shared = docs.sparkSession.sparkContext.broadcast(model)
     kind = docs.schema["doc_id"].dataType.simpleString()
 

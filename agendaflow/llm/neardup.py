@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from . import bytesops as B
 from .components import components
-from .shared import bounded_batches, cut
+from .shared import Scratch, bounded_batches, cut, free_names, join_by_key
 
 #: Registers hold truncated, exponentially spaced minima: floor(1 - log_BASE(minimum)), minima at RATE.
 REGISTERS, BASE, RATE, TOP = 120, 1.001, 20.0, (1 << 16) - 1
@@ -22,10 +22,12 @@ LINK = 85
 #: Pairs whose joint estimate is lower than this are not checked exactly; a pair at 0.85 falls there
 #: with a probability of about 1e-7.
 LEAST_ESTIMATE = 0.65
-#: Rows of a bucket or cluster that one task compares at once.
-BLOCK = 128
-#: Ids of dropped documents that are broadcast at most (16 MB).
-MOST_BROADCAST = 1_000_000
+#: Rows of a bucket or cluster that one task compares at once, and their shingles; more are dealt into blocks.
+BLOCK, BLOCK_SHINGLES = 128, 1 << 21
+#: Rows, or bytes, that a worker gathers before it handles the groups it has whole.
+FLUSH_ROWS, FLUSH_BYTES = 2000, 32 << 20
+#: Ids of dropped documents that are broadcast at most (16 MB), and classes (40 bytes each).
+MOST_BROADCAST, MOST_CLASSES = 1_000_000, 250_000
 
 _rng = np.random.default_rng(7)
 _FACTORS = (_rng.integers(0, 1 << 63, REGISTERS, dtype=np.uint64) << B.U(1)) | B.U(1)
@@ -81,7 +83,6 @@ def estimate_reaches(own: np.ndarray, others: np.ndarray, n: int, sizes: np.ndar
 
 def sketch(docs: DataFrame) -> DataFrame:
     """doc_id, n_shingles, an order-free 128-bit digest of the set (d1, d2) and the registers."""
-    bounded_batches(docs.sparkSession)
     kind = docs.schema["doc_id"].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -113,7 +114,8 @@ def _band_keys(reps: DataFrame) -> DataFrame:
 
 
 def _grouped(df: DataFrame, key: str, handle, schema: str) -> DataFrame:
-    """``handle`` of each run of rows of one ``key``, its columns given as numpy arrays or lists."""
+    """``handle`` of each run of rows of one ``key``, its columns given as numpy arrays or lists. A worker
+    holds one group and up to FLUSH_ROWS rows or FLUSH_BYTES more."""
     names = df.columns
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -128,16 +130,16 @@ def _grouped(df: DataFrame, key: str, handle, schema: str) -> DataFrame:
             return pa.RecordBatch.from_arrays([pa.array(out[:, 0]), pa.array(out[:, 1])], ["u", "v"]), table.slice(edges[n])
 
         held: list[pa.RecordBatch] = []
-        rows = 0
+        rows = size = 0
         for batch in batches:
             if not len(batch):
                 continue
             held.append(batch)
-            rows += len(batch)
-            if rows >= 2000:
+            rows, size = rows + len(batch), size + batch.nbytes
+            if rows >= FLUSH_ROWS or size >= FLUSH_BYTES:
                 out, rest = flush(pa.Table.from_batches(held), False)
                 yield out
-                held, rows = rest.to_batches(), 0
+                held, rows, size = rest.to_batches(), 0, 0
         if held:
             yield flush(pa.Table.from_batches(held), True)[0]
 
@@ -145,11 +147,27 @@ def _grouped(df: DataFrame, key: str, handle, schema: str) -> DataFrame:
     return spread.mapInArrow(run, schema)
 
 
+def _registers_of(group: dict) -> np.ndarray:
+    return np.frombuffer(b"".join(group["registers"].to_pylist()), np.uint16).reshape(-1, REGISTERS)
+
+
+def _join_parts(ids: np.ndarray, rows: np.ndarray, linked) -> list[tuple[int, int]]:
+    """A forest over the links that ``linked(k)`` gives for the ``rows``: an edge only where it joins two
+    parts that no earlier edge has joined. Rows of one id are one part."""
+    part, out = np.unique(ids, return_inverse=True)[1], []
+    for k in rows.tolist():
+        hits = np.flatnonzero(linked(k))
+        parts, first = np.unique(part[hits], return_index=True)
+        new = parts != part[k]
+        if new.any():
+            out += [(int(ids[k]), int(ids[j])) for j in hits[first[new]]]
+            part[np.isin(part, parts[new])] = part[k]
+    return out
+
+
 def _forest_by_estimate(group: dict) -> list[tuple[int, int]]:
     """Edges that join what the estimates join, each newly reached row by one edge."""
-    ids = np.asarray(group["rep"])
-    sizes = np.asarray(group["n_shingles"])
-    table = np.frombuffer(b"".join(group["registers"].to_pylist()), np.uint16).reshape(-1, REGISTERS)
+    ids, sizes, table = np.asarray(group["rep"]), np.asarray(group["n_shingles"]), _registers_of(group)
     left, out = np.arange(len(ids)), []
     while len(left):
         queue, left = [int(left[0])], left[1:]
@@ -163,28 +181,36 @@ def _forest_by_estimate(group: dict) -> list[tuple[int, int]]:
     return out
 
 
-def exact_forest(ids: np.ndarray, sets: list[np.ndarray], parts: np.ndarray | None = None) -> list[tuple[int, int]]:
-    """Edges between sets that share enough, each newly reached row by one edge. With ``parts``, only
-    rows that differ in it are compared."""
-    sizes = np.array([len(s) for s in sets])
-    flat = np.concatenate(sets)
-    names, local = np.unique(flat, return_inverse=True)
-    at = np.concatenate([[0], np.cumsum(sizes)])
-    flag = np.zeros(len(names), np.int32)
-    starts = at[:-1]
-    left, out = np.ones(len(ids), bool), []
+def _rest_by_estimate(group: dict) -> list[tuple[int, int]]:
+    """The same between the rows of the rest (core = 0) and all others."""
+    ids, sizes, table = np.asarray(group["rep"]), np.asarray(group["n_shingles"]), _registers_of(group)
+    return _join_parts(ids, np.flatnonzero(np.asarray(group["core"]) == 0), lambda k: estimate_reaches(table[k], table, int(sizes[k]), sizes))
 
-    def linked(k: int) -> np.ndarray:
-        own = local[at[k] : at[k + 1]]
-        flag[own] = 1
-        both = np.add.reduceat(flag[local], starts)
-        flag[own] = 0
-        return 100 * both >= LINK * (sizes + sizes[k] - both)
 
-    if parts is not None:
-        for k in np.flatnonzero(parts == 0):
-            out += [(int(ids[k]), int(ids[j])) for j in np.flatnonzero(linked(k)) if j != k]
-        return out
+class _Overlap:
+    """Which sets share enough with one of them."""
+
+    def __init__(self, sets: list[np.ndarray]):
+        self.sizes = np.array([len(s) for s in sets])
+        names, self.local = np.unique(np.concatenate(sets), return_inverse=True)
+        self.at = np.concatenate([[0], np.cumsum(self.sizes)])
+        self.flag = np.zeros(len(names), np.int32)
+
+    def __call__(self, k: int) -> np.ndarray:
+        own = self.local[self.at[k] : self.at[k + 1]]
+        self.flag[own] = 1
+        both = np.add.reduceat(self.flag[self.local], self.at[:-1])
+        self.flag[own] = 0
+        return 100 * both >= LINK * (self.sizes + self.sizes[k] - both)
+
+
+def exact_forest(ids: np.ndarray, sets: list[np.ndarray], core: np.ndarray | None = None) -> list[tuple[int, int]]:
+    """Edges between sets that share enough, each newly reached row by one edge. With ``core``, only links
+    of rows of the rest (core = 0) count."""
+    linked = _Overlap(sets)
+    if core is not None:
+        return _join_parts(ids, np.flatnonzero(core == 0), linked)
+    left, out = np.ones(len(ids), bool), []
     for first in range(len(ids)):
         if not left[first]:
             continue
@@ -199,14 +225,16 @@ def exact_forest(ids: np.ndarray, sets: list[np.ndarray], parts: np.ndarray | No
     return out
 
 
+def _sets_of(group: dict) -> list[np.ndarray]:
+    return [np.frombuffer(x, np.uint64) for x in group["shingles"].to_pylist()]
+
+
 def _forest_exact(group: dict) -> list[tuple[int, int]]:
-    sets = [np.frombuffer(x, np.uint64) for x in group["shingles"].to_pylist()]
-    return exact_forest(np.asarray(group["rep"]), sets)
+    return exact_forest(np.asarray(group["rep"]), _sets_of(group))
 
 
 def _rest_exact(group: dict) -> list[tuple[int, int]]:
-    sets = [np.frombuffer(x, np.uint64) for x in group["shingles"].to_pylist()]
-    return exact_forest(np.asarray(group["rep"]), sets, np.asarray(group["core"]))
+    return exact_forest(np.asarray(group["rep"]), _sets_of(group), np.asarray(group["core"]))
 
 
 def _shingles(docs: DataFrame, members: DataFrame) -> DataFrame:
@@ -232,57 +260,65 @@ def _block(column: str, blocks: str, salt: int):
     return F.pmod(F.xxhash64(column, F.lit(salt)), F.col(blocks))
 
 
-def candidate_edges(reps: DataFrame) -> DataFrame:
-    """Edges that join all pairs of representatives which share a band and pass the estimate.
+def _blocks(rows, shingles):
+    """Into how many blocks so many rows, of so many shingles in all, are dealt: one if they fit."""
+    fit = (rows <= BLOCK) & (shingles <= BLOCK_SHINGLES)
+    return F.when(fit, F.lit(1)).otherwise(F.greatest(F.ceil(rows / (BLOCK // 2)), F.ceil(shingles / (BLOCK_SHINGLES // 2)))).cast("long")
 
-    Buckets of one row go first; a bucket of more than BLOCK rows is dealt into blocks, and a task
-    compares two blocks, so every pair of the bucket meets. A task emits a forest, not pairs.
-    """
-    keys = cut(_band_keys(reps), "bands")
-    shared = keys.groupBy("key").agg(F.count("*").alias("n")).where("n > 1")
-    members = keys.join(shared, "key").withColumn("blocks", F.ceil(F.col("n") / BLOCK))
-    own = _block("rep", "blocks", 1)
-    pairs = F.transform(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1), lambda x: F.xxhash64("key", F.least(x, own), F.greatest(x, own)))
-    dealt = members.select("rep", F.explode(pairs).alias("task"))
-    rows = dealt.join(reps.select("rep", "n_shingles", "registers"), "rep")
-    return _grouped(rows.select("task", "rep", "n_shingles", "registers"), "task", _forest_by_estimate, _EDGES)
-
-
-def exact_edges(docs: DataFrame, clusters: DataFrame) -> DataFrame:
-    """Edges that join what exact comparison links, inside the clusters (node, component).
-
-    A cluster of up to BLOCK rows is compared whole. A larger one is dealt into blocks twice, which
-    joins nearly all; then every row outside its largest part meets every row of the cluster, block by
-    block, so no link between different parts stays unseen.
+
+def _linked_in_groups(rows: DataFrame, members: DataFrame, payload: list[str], forest, against, scratch: Scratch) -> DataFrame:
+    """Edges that join what ``forest`` links inside groups. ``members`` has group, rep, n_shingles and the
+    blocks of the group; ``rows`` has group, rep, blocks and the payload that is compared.
+
+    A group of one block is compared whole. A larger one is dealt into blocks twice, which joins nearly
+    all of what belongs together; then every row outside its largest part meets every row of the group,
+    block by block, so no link between different parts stays unseen. Tasks emit forests, never pairs.
     """
-    sizes = clusters.groupBy("component").agg(F.count("*").alias("n")).where("n > 1")
-    members = cut(clusters.join(sizes, "component").select(F.col("node").alias("rep"), F.col("component").alias("cluster"), "n"), "clusters")
-    sets = cut(_shingles(docs, members), "shingles").withColumn("blocks", F.ceil(F.col("n") / (BLOCK // 2)))
-    tasks = F.when(F.col("n") <= BLOCK, F.array(F.xxhash64("cluster"))).otherwise(
-        F.array(*[F.xxhash64("cluster", F.lit(s), _block("rep", "blocks", s)) for s in (2, 3)])
-    )
-    edges = cut(_grouped(sets.select(F.explode(tasks).alias("task"), "rep", "shingles"), "task", _forest_exact, _EDGES), "exact-edges")
-    large = members.where(F.col("n") > BLOCK)
+    tasks = F.when(F.col("blocks") == 1, F.array(F.xxhash64("group"))).otherwise(F.array(*[F.xxhash64("group", F.lit(s), _block("rep", "blocks", s)) for s in (2, 3)]))
+    edges = scratch.cut(_grouped(rows.select(F.explode(tasks).alias("task"), "rep", *payload), "task", forest, _EDGES), "edges")
+    large = members.where("blocks > 1")
     if not large.limit(1).count():
         return edges
-    found = components(edges)
-    parts = large.join(found, large["rep"] == found["node"], "left").select("cluster", "rep", "n", F.coalesce("component", "rep").alias("part"))
-    parts = cut(parts, "parts")
-    counts = parts.groupBy("cluster", "part").agg(F.count("*").alias("c"))
-    core = counts.groupBy("cluster").agg(F.max_by("part", F.struct("c", "part")).alias("core"), F.sum("c").alias("all"), F.max("c").alias("most"))
-    core = core.where("most < all").select("cluster", "core", F.ceil((F.col("all") - F.col("most")) / (BLOCK // 2)).alias("rest_blocks"))
-    todo = parts.join(core, "cluster").select("rep", "cluster", (F.col("part") == F.col("core")).cast("int").alias("core"), "rest_blocks", F.ceil(F.col("n") / (BLOCK // 2)).alias("blocks"))
-    todo = cut(todo, "rest")
+    found = scratch.cut(components(edges), "found").withColumnRenamed("node", "rep")
+    parts = large.join(found, "rep", "left").select("group", "rep", "blocks", "n_shingles", F.coalesce("component", "rep").alias("part"))
+    parts = scratch.cut(parts, "parts")
+    counts = parts.groupBy("group", "part").agg(F.count("*").alias("c"), F.sum("n_shingles").alias("w"))
+    core = counts.groupBy("group").agg(F.max_by("part", F.struct("c", "part")).alias("core"), F.max(F.struct("c", "part", "w")).alias("most"), F.sum("c").alias("c"), F.sum("w").alias("w"))
+    core = core.where("most.c < c").select("group", "core", _blocks(F.col("c") - F.col("most.c"), F.col("w") - F.col("most.w")).alias("rest_blocks"))
+    todo = scratch.cut(parts.join(core, "group").select("rep", "group", (F.col("part") == F.col("core")).cast("int").alias("core"), "rest_blocks"), "rest")
     if not todo.limit(1).count():
         return edges
-    rows = sets.select("rep", "shingles").join(todo, "rep")
+    both = rows.join(todo, ["group", "rep"])
     own, rest = _block("rep", "blocks", 4), _block("rep", "rest_blocks", 5)
     # every row is once among all rows (core = 1) before each block of the rest; the rest comes before each block
-    as_all = F.transform(F.sequence(F.lit(0).cast("long"), F.col("rest_blocks") - 1), lambda x: F.struct(F.xxhash64("cluster", own, x).alias("task"), F.lit(1).alias("core")))
-    as_rest = F.transform(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1), lambda x: F.struct(F.xxhash64("cluster", x, rest).alias("task"), F.lit(0).alias("core")))
-    both = F.when(F.col("core") == 1, as_all).otherwise(F.concat(as_all, as_rest))
-    rows = rows.select(F.explode(both).alias("x"), "rep", "shingles").select("x.task", "rep", "shingles", "x.core")
-    return edges.unionByName(_grouped(rows, "task", _rest_exact, _EDGES))
+    as_all = F.transform(F.sequence(F.lit(0).cast("long"), F.col("rest_blocks") - 1), lambda x: F.struct(F.xxhash64("group", own, x).alias("task"), F.lit(1).alias("core")))
+    as_rest = F.transform(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1), lambda x: F.struct(F.xxhash64("group", x, rest).alias("task"), F.lit(0).alias("core")))
+    dealt = both.select(F.explode(F.when(F.col("core") == 1, as_all).otherwise(F.concat(as_all, as_rest))).alias("x"), "rep", *payload).select("x.task", "rep", *payload, "x.core")
+    return edges.unionByName(_grouped(dealt, "task", against, _EDGES))
+
+
+def candidate_edges(reps: DataFrame, scratch: Scratch) -> DataFrame:
+    """Edges that join all pairs of representatives which share a band and pass the estimate. Buckets of
+    one row go first."""
+    keys = scratch.cut(_band_keys(reps).withColumnRenamed("key", "group"), "bands")
+    shared = scratch.cut(keys.groupBy("group").agg(F.count("*").alias("n")).where("n > 1").withColumn("blocks", _blocks(F.col("n"), F.lit(0))), "shared")
+    members = join_by_key(keys, shared.select("group", "blocks"), ["group"], shared.select("group", "n"), False, "inner").withColumn("n_shingles", F.lit(0).cast("long"))
+    members = scratch.cut(members, "members")
+    rows = members.drop("n_shingles").join(reps.select("rep", "n_shingles", "registers"), "rep")
+    return _linked_in_groups(rows, members, ["n_shingles", "registers"], _forest_by_estimate, _rest_by_estimate, scratch)
+
+
+def exact_edges(docs: DataFrame, reps: DataFrame, clusters: DataFrame, scratch: Scratch) -> DataFrame:
+    """Edges that join what exact comparison links, inside the clusters (node, component)."""
+    named = scratch.cut(clusters.select(F.col("node").alias("rep"), F.col("component").alias("group")).join(reps.groupBy("rep").agg(F.sum("n_shingles").alias("n_shingles")), "rep"), "clustered")
+    sizes = named.groupBy("group").agg(_blocks(F.count("*"), F.sum("n_shingles")).alias("blocks"))
+    members = scratch.cut(named.join(sizes, "group"), "clusters")
+    with bounded_batches(docs.sparkSession):
+        sets = scratch.cut(_shingles(docs, members), "shingles")
+    return _linked_in_groups(sets, members, ["shingles"], _forest_exact, _rest_exact, scratch)
+
+
+_CLASS = ["d1", "d2", "n_shingles"]
 
 
 def near_duplicates(docs: DataFrame) -> DataFrame:
@@ -293,29 +329,43 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     nothing. Rows of one doc_id are one document for links. A null doc_id takes the component of its
     class, or null where the class has no other id, and is always kept. Empty in, empty out.
     """
-    table = cut(sketch(docs), "sketches")
+    spark = docs.sparkSession
+    scratch = Scratch(spark)
+    with bounded_batches(spark):
+        table = cut(sketch(docs), "sketches")
     named = table.where("n_shingles > 0 AND doc_id IS NOT NULL")
-    classes = named.groupBy("d1", "d2", "n_shingles").agg(F.min("doc_id").cast("long").alias("rep"), F.first("registers").alias("registers"))
-    classes = cut(classes, "classes")
-    clusters = components(candidate_edges(classes))
-    found = components(exact_edges(docs, clusters))
-    found = found.select(F.col("node").alias("rep"), F.col("component"))
-    known = cut(classes.select("d1", "d2", "n_shingles", "rep").join(found, "rep", "left").select("d1", "d2", "n_shingles", F.coalesce("component", "rep").alias("component")), "known")
-    out = table.select("doc_id", "n_shingles", "d1", "d2").join(known, ["d1", "d2", "n_shingles"], "left")
+    classes = named.groupBy(*_CLASS).agg(F.min("doc_id").cast("long").alias("rep"), F.first("registers").alias("registers"), F.count("*").alias("n"))
+    classes = scratch.cut(classes, "classes")
+    clusters = scratch.cut(components(candidate_edges(classes, scratch)), "candidates")
+    found = components(exact_edges(docs, classes, clusters, scratch)).select(F.col("node").alias("rep"), F.col("component"))
+    known = cut(classes.join(found, "rep", "left").select(*_CLASS, F.coalesce("component", "rep").alias("component"), "n"), "known")
+    full = table.where("n_shingles > 0").select("doc_id", *_CLASS)
+    out = join_by_key(full, known.drop("n"), _CLASS, known.select(*_CLASS, "n"), known.count() <= MOST_CLASSES).select("doc_id", "n_shingles", "component")
+    # empty sets are linked with nothing, so they don't meet in the join
+    out = out.unionByName(table.where("n_shingles = 0").select("doc_id", "n_shingles", F.lit(None).cast("long").alias("component")))
+    scratch.clear()
     component = F.coalesce("component", F.col("doc_id"))
     return out.select("doc_id", "n_shingles", component.alias("component_id"), F.coalesce(F.col("doc_id") == component, F.lit(True)).alias("kept"))
 
 
 def drop_near_duplicates(docs: DataFrame) -> DataFrame:
     """The documents that stay: the smallest doc_id of each component, and those without a doc_id;
-    columns as they were. Of rows that repeat a doc_id one stays."""
+    columns as they were. Rows of one doc_id stay or go together, but of those that repeat their words
+    one stays, the same in every run."""
     found = cut(near_duplicates(docs), "near-duplicates").where("doc_id IS NOT NULL")
-    gone = found.where("NOT kept").select("doc_id")
+    gone = found.where("NOT kept").select("doc_id").distinct()
     if gone.count() <= MOST_BROADCAST:
         gone = F.broadcast(gone)  # else Spark joins by a shuffle
-    out = docs.join(gone, "doc_id", "left_anti")
-    repeated = found.groupBy("doc_id").agg(F.count("*").alias("n")).where("n > 1").select("doc_id")
-    if repeated.limit(1).count():
-        repeated = cut(repeated, "repeated")
-        out = out.join(repeated, "doc_id", "left_anti").unionByName(out.join(repeated, "doc_id", "left_semi").dropDuplicates(["doc_id"]))
-    return out.select(*[F.col(f"`{c}`") for c in docs.columns])
+    out = docs.join(gone, "doc_id", "left_anti").select(*[F.col(f"`{c}`") for c in docs.columns])
+    repeated = found.where("n_shingles > 0").groupBy("doc_id").agg(F.count("*").alias("n")).where("n > 1").select("doc_id")
+    if not repeated.limit(1).count():
+        return out
+    repeated = cut(repeated, "repeated")
+    words, row = free_names(docs.columns, "words", "row")
+    blank = "[\\x20\\x09-\\x0D]+"
+    lower = F.translate("text", "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
+    mine = out.join(repeated, "doc_id", "left_semi").withColumn(words, F.trim(F.regexp_replace(lower, blank, " ")))
+    whole = F.struct(*[F.col(f"`{c}`") for c in docs.columns])
+    full = F.coalesce(F.col(words), F.lit("")) != ""
+    one = mine.where(full).groupBy("doc_id", words).agg(F.min_by(whole, F.xxhash64(F.to_json(whole))).alias(row)).select(*[F.col(row)[c].alias(c) for c in docs.columns])
+    return out.join(repeated, "doc_id", "left_anti").unionByName(one).unionByName(mine.where(~full).drop(words)).select(*[F.col(f"`{c}`") for c in docs.columns])
