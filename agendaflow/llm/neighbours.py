@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import math
+import pickle
 from collections.abc import Iterator
 
 import numpy as np
@@ -10,22 +11,24 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .shared import cut
+from .shared import Scratch, cut
 
 K = 20
-#: About so many vectors, drawn by a hash of vec_id, make the graph and train the classifier.
+#: About so many vectors, drawn by a hash of vec_id, make a graph and train its classifier.
 SAMPLE = 8000
 GRAPH_NEIGHBOURS = 16
-#: Rows that a partition is to hold, and bounds of the number of partitions.
-PART_ROWS = 2500
-MOST_PARTS = 256
-#: A query visits the most probable partitions up to this total probability, at least LEAST_PROBES. The
-#: classifier learns the spread of neighbours over partitions, so the total foretells the recall.
-PROBABILITY = 0.95
+#: Rows that a partition is to hold; from LEAST_ROWS rows on there are LEAST_PARTS or more.
+PART_ROWS, LEAST_ROWS, LEAST_PARTS = 2500, 200, 4
+#: Partitions that one classifier tells apart at most. With more, each of its partitions is partitioned
+#: again by a graph and a classifier of its own, so there are at most FAN * FAN; beyond that they grow.
+FAN = 256
+#: The part of the sampled neighbours that is to lie in the visited partitions; on held-out vectors the
+#: classifier's total probability over them is set so that it does.
+COVERAGE = 0.97
 LEAST_PROBES = 2
 HIDDEN = 128
 #: Rows of a partition, and queries, that one task compares at once.
-BLOCK_ROWS, BLOCK_QUERIES = 8000, 2000
+BLOCK_ROWS, BLOCK_QUERIES = 8000, 4000
 
 
 def neighbour_graph(x: np.ndarray, k: int = GRAPH_NEIGHBOURS) -> np.ndarray:
@@ -78,10 +81,11 @@ def balanced_partition(graph: np.ndarray, parts: int, seed: int = 11) -> np.ndar
 
 
 class Router:
-    """A one-hidden-layer classifier from vectors to probabilities of partitions."""
+    """A one-hidden-layer classifier from vectors to probabilities of partitions, and the total
+    probability up to which the most probable ones are visited."""
 
-    def __init__(self, mean, scale, w1, b1, w2, b2):
-        self.values = mean, scale, w1, b1, w2, b2
+    def __init__(self, *values, level: float = 1.0):
+        self.values, self.level = [np.asarray(v, np.float32) for v in values], level
 
     def __call__(self, x: np.ndarray) -> np.ndarray:
         mean, scale, w1, b1, w2, b2 = self.values
@@ -89,6 +93,14 @@ class Router:
         z = np.exp(z - z.max(axis=1, keepdims=True))
         return z / z.sum(axis=1, keepdims=True)
 
+    def visits(self, p: np.ndarray, level: float | None = None) -> np.ndarray:
+        """Which partitions are visited, given their probabilities: the most probable up to the level."""
+        order = np.argsort(-p, axis=1, kind="stable")
+        before = np.take_along_axis(p, order, axis=1).cumsum(axis=1) - np.take_along_axis(p, order, axis=1)
+        out = np.zeros(p.shape, bool)
+        np.put_along_axis(out, order, (before < (self.level if level is None else level)) | (np.arange(p.shape[1]) < LEAST_PROBES), axis=1)
+        return out
+
 
 def train_router(x: np.ndarray, target: np.ndarray, epochs: int = 30, seed: int = 5) -> Router:
     """Fits the classifier to soft labels by stochastic gradients (Adam)."""
@@ -116,27 +128,69 @@ def train_router(x: np.ndarray, target: np.ndarray, epochs: int = 30, seed: int
 
 
 def number_of_parts(rows: int) -> int:
-    return 1 << max(0, min(int(math.log2(MOST_PARTS)), round(math.log2(max(1, rows / PART_ROWS)))))
+    """A power of two."""
+    return max(LEAST_PARTS, 1 << round(math.log2(rows / PART_ROWS))) if rows >= LEAST_ROWS else 1
 
 
 def fit(sample: np.ndarray, parts: int) -> Router:
+    """The router of a balanced partition of the sample's neighbour graph. A fifth of the sample is held
+    out of training, tells the level that reaches COVERAGE, and is trained on afterwards."""
     graph = neighbour_graph(sample)
     label = balanced_partition(graph, parts)
     soft = np.zeros((len(sample), parts))
     np.add.at(soft, (np.arange(len(sample)), label), 1.0)
     for k in range(graph.shape[1]):
         np.add.at(soft, (np.arange(len(sample)), label[graph[:, k]]), 1.0)
-    return train_router(sample, soft / soft.sum(axis=1, keepdims=True))
+    soft /= soft.sum(axis=1, keepdims=True)
+    held = np.random.default_rng(17).random(len(sample)) < 0.2
+    trial = train_router(sample[~held], soft[~held])
+    p = trial(sample[held])
+    reached = lambda level: float((soft[held] * trial.visits(p, level)).sum(axis=1).mean())
+    level = next((x for x in (0.5, 0.6, 0.7, 0.75, 0.8, 0.85, 0.9, 0.925, 0.95, 0.96, 0.97, 0.98, 0.985, 0.99, 0.995, 0.998) if reached(x) >= COVERAGE), 1.0) if held.any() else 1.0
+    out = train_router(sample, soft)
+    out.level = level
+    return out
+
+
+class Index:
+    """The router of the first partition and, by its partitions, those of the second."""
+
+    def __init__(self, dimension: int, first: Router | None, second: dict[int, Router], width: int):
+        self.dimension, self.first, self.second, self.width = dimension, first, second, width
+
+    def place(self, x: np.ndarray) -> np.ndarray:
+        if self.first is None:
+            return np.zeros(len(x), np.int64)
+        out = self.first(x).argmax(axis=1).astype(np.int64)
+        return self._within(x, out)
+
+    def _within(self, x: np.ndarray, top: np.ndarray) -> np.ndarray:
+        out = top * self.width
+        for part in np.unique(top).tolist():
+            if part in self.second:
+                rows = np.flatnonzero(top == part)
+                out[rows] += self.second[part](x[rows]).argmax(axis=1)
+        return out
+
+    def probe(self, x: np.ndarray) -> list[list[int]]:
+        if self.first is None:
+            return [[0]] * len(x)
+        lists: list[list[int]] = [[] for _ in range(len(x))]
+        visits = self.first.visits(self.first(x))
+        for part in np.flatnonzero(visits.any(axis=0)).tolist():
+            rows = np.flatnonzero(visits[:, part])
+            router = self.second.get(part)
+            inner = router.visits(router(x[rows])) if router else np.ones((len(rows), 1), bool)
+            for r, own in zip(rows.tolist(), inner):
+                lists[r] += [part * self.width + int(j) for j in np.flatnonzero(own)]
+        return lists
 
 
 def vectors(table: DataFrame) -> DataFrame:
-    """vec_id and embedding (doubles) of the rows that take part: no null, zero or non-finite vectors,
-    and of vectors of several lengths those of the length that most rows have (the smaller on a tie)."""
+    """vec_id and embedding (doubles) of the rows that take part: no null, zero or non-finite vectors."""
     v = table.select(F.col("vec_id").cast("long").alias("vec_id"), F.col("embedding").cast("array<double>").alias("embedding"))
     bad = F.exists("embedding", lambda x: x.isNull() | F.isnan(x) | (F.abs(x) == float("inf")))
-    v = v.where(F.col("vec_id").isNotNull() & F.col("embedding").isNotNull() & ~bad & F.exists("embedding", lambda x: x != 0))
-    lengths = v.groupBy(F.size("embedding").alias("d")).agg(F.count("*").alias("n")).orderBy(F.desc("n"), "d").first()
-    return v.where(F.size("embedding") == (lengths["d"] if lengths else 0))
+    return v.where(F.col("vec_id").isNotNull() & F.col("embedding").isNotNull() & ~bad & F.exists("embedding", lambda x: x != 0))
 
 
 def _matrix(col: pa.Array) -> np.ndarray:
@@ -146,26 +200,82 @@ def _matrix(col: pa.Array) -> np.ndarray:
     return flat.reshape(len(col), -1)
 
 
-def build_index(rows: DataFrame, sample: int = SAMPLE) -> tuple[DataFrame, Router | None]:
-    """Every row with its partition, and the router; fitted to a bounded sample."""
-    n = rows.count()
-    share = min(1 << 20, math.ceil((1 << 20) * sample / max(n, 1)))
-    drawn = rows.where(F.pmod(F.xxhash64("vec_id", F.lit("fit")), F.lit(1 << 20)) < share).select("vec_id", "embedding").orderBy("vec_id").limit(2 * sample)
+def _by_length(own: Index, col: pa.Array, of_main, of_other) -> list:
+    """``of_main`` of the vectors of the index's length, as a matrix, and ``of_other`` of the other lengths."""
+    lengths = np.asarray(col.value_lengths())
+    main = np.flatnonzero(lengths == own.dimension)
+    out = [None if n == own.dimension else of_other(int(n)) for n in lengths.tolist()]
+    if len(main):
+        for k, x in zip(main.tolist(), of_main(_matrix(col.take(pa.array(main))))):
+            out[k] = x
+    return out
+
+
+def _drawn(rows: DataFrame, share, salt: str) -> DataFrame:
+    """The rows of which a hash of vec_id lies below ``share`` of 2**20."""
+    return rows.where(F.pmod(F.xxhash64("vec_id", F.lit(salt)), F.lit(1 << 20)) < share)
+
+
+def _share(sample: int, n: int) -> int:
+    return min(1 << 20, math.ceil((1 << 20) * sample / max(n, 1)))
+
+
+def build_index(rows: DataFrame, sample: int = SAMPLE) -> tuple[DataFrame, Index]:
+    """Every row with its partition, and the routers; fitted to bounded samples.
+
+    Vectors of most rows' length (the smaller on a tie) are partitioned by the routers. Those of another
+    length have no inner product with them; each length is a partition of its own, -length.
+    """
+    spark = rows.sparkSession
+    most = rows.groupBy(F.size("embedding").alias("d")).agg(F.count("*").alias("n")).orderBy(F.desc("n"), "d").first()
+    n, dimension = (most["n"], most["d"]) if most else (0, 0)
+    main = rows.where(F.size("embedding") == dimension)
     parts = number_of_parts(n)
-    router = None
+    top = parts if parts <= FAN else min(FAN, 1 << math.ceil(math.log2(parts) / 2))
+    width = min(FAN, parts // top)
+    index = Index(dimension, None, {}, width)
     if parts > 1:
-        x = _matrix(drawn.select("embedding").toArrow()["embedding"])
-        router = fit(x, parts)
-    shared = rows.sparkSession.sparkContext.broadcast(router)
+        x = _matrix(_drawn(main, _share(sample, n), "fit").select("vec_id", "embedding").orderBy("vec_id").limit(2 * sample).select("embedding").toArrow()["embedding"])
+        if len(x) >= 2 * top:
+            index.first = fit(x, top)
+    if width > 1 and index.first:
+        index.second = _fit_second(spark, main, index, sample)
+    shared = spark.sparkContext.broadcast(index)
+
+    def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if len(batch):
+                part = _by_length(shared.value, batch["embedding"], shared.value.place, lambda d: -d)
+                yield pa.RecordBatch.from_arrays([batch["vec_id"], batch["embedding"], pa.array(part, pa.int32())], ["vec_id", "embedding", "part"])
+
+    return cut(rows.mapInArrow(place, "vec_id long, embedding array<double>, part int"), "ann-index"), index
+
+
+def _fit_second(spark, main: DataFrame, index: Index, sample: int) -> dict[int, Router]:
+    """The routers inside the first partitions, each fitted by one task to a bounded sample of its rows;
+    the driver gets at most FAN of them."""
+    first = spark.sparkContext.broadcast(Index(index.dimension, index.first, {}, 1))
 
     def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             if len(batch):
-                own = shared.value
-                part = np.zeros(len(batch), np.int64) if own is None else own(_matrix(batch["embedding"])).argmax(axis=1)
-                yield pa.RecordBatch.from_arrays([batch["vec_id"], batch["embedding"], pa.array(part.astype(np.int32))], ["vec_id", "embedding", "part"])
+                yield pa.RecordBatch.from_arrays([batch["vec_id"], batch["embedding"], pa.array(first.value.place(_matrix(batch["embedding"])), pa.int32())], ["vec_id", "embedding", "part"])
+
+    scratch = Scratch(spark)
+    placed = scratch.cut(main.mapInArrow(place, "vec_id long, embedding array<double>, part int"), "ann-first")
+    counts = {r["part"]: r["n"] for r in placed.groupBy("part").agg(F.count("*").alias("n")).collect()}
+    share = F.create_map(*[F.lit(x) for part, n in counts.items() for x in (part, _share(sample, n))])[F.col("part")]
+    width = index.width
 
-    return cut(rows.mapInArrow(place, "vec_id long, embedding array<double>, part int"), "ann-index"), router
+    def one(table: pa.Table) -> pa.Table:
+        order = np.argsort(np.asarray(table["vec_id"]), kind="stable")[: 2 * sample]
+        x = _matrix(table["embedding"])[order]
+        model = [pickle.dumps(fit(x, width))] if len(x) >= 2 * width else []
+        return pa.table({"part": pa.array(np.asarray(table["part"])[: len(model)]), "model": pa.array(model, pa.binary())})
+
+    models = _drawn(placed, share, "second").groupBy("part").applyInArrow(one, "part int, model binary").collect()
+    scratch.clear()
+    return {r["part"]: pickle.loads(r["model"]) for r in models}
 
 
 def _nearest(k: int):
@@ -200,32 +310,25 @@ def search(table: DataFrame, is_query, k: int = K) -> DataFrame:
     ``is_query`` selects, its own row excluded, ties to the smaller vec_id.
 
     A partition is dealt into blocks of rows and of queries, and a task compares one with another, so
-    no partition has to fit one task. Rows that repeat a vec_id are candidates each. Fewer candidates
-    give fewer rows; no query or no candidate gives none.
+    no partition has to fit one task. Rows that repeat a vec_id are candidates each, and one query, the
+    least vector where they differ; none of them is its own neighbour. Vectors of different lengths have
+    no inner product. Fewer candidates give fewer rows; no query or no candidate gives none.
     """
-    rows, router = build_index(vectors(table))
-    shared = rows.sparkSession.sparkContext.broadcast(router)
+    rows, index = build_index(vectors(table))
+    shared = rows.sparkSession.sparkContext.broadcast(index)
 
     def probe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            if not len(batch):
-                continue
-            own = shared.value
-            if own is None:
-                lists = [[0]] * len(batch)
-            else:
-                p = own(_matrix(batch["embedding"]))
-                order = np.argsort(-p, axis=1, kind="stable")
-                total = np.take_along_axis(p, order, axis=1).cumsum(axis=1)
-                n = np.clip((total < PROBABILITY).sum(axis=1) + 1, LEAST_PROBES, p.shape[1])
-                lists = [o[:m].tolist() for o, m in zip(order, n.tolist())]
-            yield pa.RecordBatch.from_arrays([batch["vec_id"], batch["embedding"], pa.array(lists, pa.list_(pa.int32()))], ["vec_id", "embedding", "parts"])
-
-    queries = rows.where(is_query).select("vec_id", "embedding").mapInArrow(probe, "vec_id long, embedding array<double>, parts array<int>")
+            if len(batch):
+                lists = _by_length(shared.value, batch["embedding"], shared.value.probe, lambda d: [-d])
+                yield pa.RecordBatch.from_arrays([batch["vec_id"], batch["embedding"], pa.array(lists, pa.list_(pa.int32()))], ["vec_id", "embedding", "parts"])
+
+    asks = rows.where(is_query).groupBy("vec_id").agg(F.min("embedding").alias("embedding"))
+    queries = asks.mapInArrow(probe, "vec_id long, embedding array<double>, parts array<int>")
     queries = cut(queries, "ann-queries").select("vec_id", "embedding", F.explode("parts").alias("part"))
     sizes = rows.groupBy("part").agg(F.ceil(F.count("*") / BLOCK_ROWS).alias("row_blocks"))
     asked = queries.groupBy("part").agg(F.ceil(F.count("*") / BLOCK_QUERIES).alias("query_blocks"))
-    blocks = F.broadcast(sizes.join(asked, "part"))  # a row for each of at most MOST_PARTS partitions
+    blocks = F.broadcast(sizes.join(asked, "part"))  # a row for each of at most FAN * FAN partitions and other lengths
 
     def deal(df: DataFrame, own: str, other: str, asks: bool) -> DataFrame:
         mine = F.pmod(F.xxhash64("vec_id", F.lit("block")), F.col(own))
@@ -249,6 +352,8 @@ def recall(found: DataFrame, table: DataFrame, is_query, k: int = K, sample: int
     """The part of the true k nearest rows that ``found`` has, for a documented number of its queries,
     compared with every row by brute force, partition by partition."""
     rows = vectors(table)
+    most = rows.groupBy(F.size("embedding").alias("d")).agg(F.count("*").alias("n")).orderBy(F.desc("n"), "d").first()
+    rows = rows.where(F.size("embedding") == (most["d"] if most else 0))
     drawn = rows.where(is_query).orderBy(F.xxhash64("vec_id")).limit(sample).toArrow()
     asked = rows.sparkSession.sparkContext.broadcast((np.asarray(drawn["vec_id"]), _matrix(drawn["embedding"])))
 
