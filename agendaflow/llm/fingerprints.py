@@ -2,18 +2,25 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from .shared import cut
+
 #: Cells in each of a fingerprint's three tables; only those in use are kept.
 CELLS = 64
 ROUNDS = 40
 #: A paragraph is a line, or, in longer ones, a run of sentences of at least so many characters.
 LEAST_PART = 150
-#: Text bytes that a bucket of neighbouring ids is to hold, and the most buckets.
-BUCKET_BYTES = 8 << 20
-MOST_BUCKETS = 2000
+#: Text bytes that a bucket of neighbouring ids is to hold. Buckets are runs of cells of equal width in the
+#: range of ids; cells are a little finer than buckets, up to MOST_CELLS (a row of 40 bytes each, broadcast),
+#: beyond which they grow with the text.
+BUCKET_BYTES = 2 << 20
+CELL_BYTES = 1 << 20
+MOST_CELLS = 1 << 19
+#: A cell of one id alone that holds more than a bucket is split by its texts' hashes into so many.
+SPLITS = 256
 _CHECK = 16777215  # 24 bits
 
 
@@ -88,43 +95,66 @@ def likeness(a: str, b: str, own_a: str, own_b: str) -> str:
     tries = [count(subtract(own_a, own_b), str(CELLS))]
     for cells in (str(4 * CELLS), f"greatest({16 * CELLS}, {both})", f"(2 * {both} + {32 * CELLS})"):
         tries.append(count(subtract(sketch(a, cells), sketch(b, cells)), cells))
-    found = _let(f"coalesce({', '.join([*tries, both])})", "v", f"cast({both} - v AS double) / ({both} + v)")
-    return f"IF({both} = 0, 1D, {found})"
+    exact = f"size(array_except({a}, {b})) + size(array_except({b}, {a}))"  # where even the largest can't be peeled
+    found = _let(f"coalesce({', '.join([*tries, exact])})", "v", f"cast({both} - v AS double) / ({both} + v)")
+    return f"IF({a} = {b}, 1D, {found})"
 
 
 def as_text(cells: str) -> str:
     return f"array_join(transform({cells}, x -> concat(x.j, ':', x.n, ':', lower(hex(x.k)))), ',')"
 
 
+def _cells(docs: DataFrame) -> tuple[DataFrame, DataFrame, Column, Column]:
+    """The cells that ``docs`` (doc_id, text) falls in: cell, bucket, before (the bucket before, the last
+    one before the first) and the bucket's first row as (first_id, first_hash); the cells of the grid that
+    are split; and a row's cell of the grid and, given its hash and split, its cell.
+
+    Rows are ordered by id, null first, then by the hash of the text and the text. The driver gets the
+    range of the ids and the size of all texts.
+    """
+    id_ = F.col("doc_id").cast("long")
+    r = docs.agg(F.min(id_).alias("a"), F.max(id_).alias("b"), F.sum(F.octet_length("text")).alias("n")).first()
+    low, width = r["a"] or 0, (r["b"] or 0) - (r["a"] or 0) + 1
+    step = max(1, -(-width // max(16, min(MOST_CELLS // 2, (r["n"] or 0) // CELL_BYTES))))
+    # null ids are cell -1; the parts of a split cell follow one another
+    exact = (lambda c: c) if width < 1 << 53 else (lambda c: c.cast("decimal(38,0)"))
+    grid = F.coalesce(F.floor((exact(id_) - exact(F.lit(low))) / exact(F.lit(step))), F.lit(-1)).cast("long")
+    part = F.shiftright(F.col("hash"), 56) + F.lit(SPLITS // 2)
+    light = docs.select(grid.alias("grid"), id_.alias("id"), F.xxhash64("text").alias("hash"), F.octet_length("text").alias("n"))
+    whole = light.groupBy("grid").agg(F.sum("n").alias("n"), F.min("id").alias("a"), F.max("id").alias("b"), F.count("id").alias("ids"))
+    alone = whole.where((F.col("n") > BUCKET_BYTES) & ((F.col("a") == F.col("b")) | (F.col("ids") == 0))).select("grid").orderBy(F.desc("n")).limit(MOST_CELLS // SPLITS // 2)
+    split = cut(alone.withColumn("split", F.lit(True)), "split-cells")
+    cell = F.col("grid") * SPLITS + F.when(F.col("split"), part).otherwise(0)
+    fine = light.join(F.broadcast(split), "grid", "left").withColumn("cell", cell)
+    cells = fine.groupBy("cell").agg(F.sum("n").alias("n"), F.min(F.struct("id", "hash")).alias("first"))
+    # running sums over cells, whose number is bounded
+    order = Window.orderBy("cell")
+    sums = cells.withColumn("bucket", F.floor((F.sum("n").over(order) - F.col("n")) / BUCKET_BYTES))
+    turn = Window.orderBy("bucket")
+    before = F.coalesce(F.lag("bucket").over(turn), F.last("bucket").over(turn.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)))
+    buckets = sums.groupBy("bucket").agg(F.min_by("first", "cell").alias("first")).withColumn("before", before)
+    buckets = buckets.select("bucket", "before", F.col("first.id").alias("first_id"), F.col("first.hash").alias("first_hash"))
+    return cut(sums.select("cell", "bucket").join(buckets, "bucket"), "id-cells"), split, grid, cell
+
+
 def with_next(docs: DataFrame) -> DataFrame:
     """doc_id, text and own keys with the text and keys of the next document (__next, __next_keys) by
     ascending doc_id, after the last the first.
 
     Rows go to buckets of neighbouring ids, so texts are shuffled once; the first row of each bucket
-    is also sent to the one before. The driver gets the bounds and one id a bucket, at most
-    MOST_BUCKETS. Null ids come first; equal ids go by text.
+    is also sent to the one before. Null ids come first; equal ids go by the texts' hashes, then by text.
     """
-    spark = docs.sparkSession
     docs = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
-    total = docs.agg(F.sum(F.octet_length("text")).alias("n")).first()["n"] or 0
-    n = max(1, min(MOST_BUCKETS, max(total // BUCKET_BYTES, int(spark.conf.get("spark.sql.shuffle.partitions")))))
-    cuts = docs.agg(F.percentile_approx("doc_id", [k / n for k in range(1, n)] or [0.5], 20 * n).alias("c")).first()["c"] or []
-    bounds = F.array(*[F.lit(x).cast("long") for x in sorted(set(cuts))] or [F.lit(0).cast("long")])
-    own = F.coalesce(F.array_position(F.array_sort(F.array_append(bounds, F.col("doc_id").cast("long"))), F.col("doc_id").cast("long")).cast("int"), F.lit(0))
-    placed = docs.withColumn("__own", own)
-    rows = placed.groupBy("__own").agg(F.min("doc_id").alias("first"), F.bool_or(F.col("doc_id").isNull()).alias("null")).collect()
-    order = sorted(rows, key=lambda r: r["__own"])
-    before = {r["first"]: order[k - 1]["__own"] for k, r in enumerate(order) if r["first"] is not None and (k or not r["null"])}
-    if order and order[0]["null"] and order[0]["first"] is None:
-        before.pop(None, None)
-    also = F.create_map(*[F.lit(x) for kv in before.items() for x in kv])[F.col("doc_id")] if before else F.lit(None).cast("int")
-    if order and order[0]["null"]:
-        also = F.when(F.col("doc_id").isNull(), F.lit(order[-1]["__own"])).otherwise(also)
-    keyed = placed.withColumn("__keys", F.expr(keys("text"))).withColumn("__also", also)
-    dealt = keyed.select("doc_id", "text", "__keys", F.posexplode(F.array_compact(F.array("__own", "__also"))).alias("__extra", "__bucket"))
-    window = Window.partitionBy("__bucket").orderBy("__extra", F.col("doc_id").asc_nulls_first(), "text")
-    led = dealt.withColumn("__next", F.lead("text").over(window)).withColumn("__next_keys", F.lead("__keys").over(window))
-    return led.where("__extra = 0").drop("__extra", "__bucket")
+    cells, split, grid, cell = _cells(docs)
+    placed = docs.withColumns({"grid": grid, "hash": F.xxhash64("text")}).join(F.broadcast(split), "grid", "left").withColumn("cell", cell)
+    placed = placed.join(F.broadcast(cells), "cell")
+    is_first = F.col("doc_id").cast("long").eqNullSafe(F.col("first_id")) & (F.col("hash") == F.col("first_hash"))
+    dealt = placed.select("doc_id", "text", "hash", F.posexplode(F.array_compact(F.array("bucket", F.when(is_first, F.col("before"))))).alias("extra", "bucket"))
+    # the parts of a fingerprint are computed once a row, after the shuffle
+    spread = dealt.repartition("bucket").withColumn("keys", F.expr(keys("text"))).withColumn("cells", F.expr(sketch("keys", str(CELLS))))
+    window = Window.partitionBy("bucket").orderBy("extra", F.col("doc_id").asc_nulls_first(), "hash", "text")
+    following = F.lead(F.struct("text", "keys", "cells")).over(window)
+    return spread.withColumn("next", following).where("extra = 0").select("doc_id", "text", "keys", "cells", F.col("next.text").alias("next_text"), F.col("next.keys").alias("next_keys"), F.col("next.cells").alias("next_cells"))
 
 
 def fingerprints(docs: DataFrame) -> DataFrame:
@@ -136,17 +166,14 @@ def fingerprints(docs: DataFrame) -> DataFrame:
     """
     rows = with_next(docs)
     rows = rows.withColumn("n_chars", F.length("text").cast("long"))
-    rows = rows.withColumn("__edited", F.expr("concat(left(text, cast(n_chars - n_chars div 2 AS int)), left(__next, cast(n_chars div 2 AS int)))"))
-    rows = rows.withColumn("__edited_keys", F.expr(keys("__edited")))
-    rows = rows.select("doc_id", "n_chars", F.sha2("__edited", 256).alias("edited_sha256"), "__keys", "__edited_keys", "__next_keys")
-    for name in ("keys", "edited_keys", "next_keys"):
-        rows = rows.withColumn(f"__cells_{name}", F.expr(sketch(f"__{name}", str(CELLS))))
+    rows = rows.withColumn("edited", F.expr("concat(left(text, cast(n_chars - n_chars div 2 AS int)), left(next_text, cast(n_chars div 2 AS int)))"))
+    rows = rows.withColumn("edited_keys", F.expr(keys("edited"))).withColumn("edited_cells", F.expr(sketch("edited_keys", str(CELLS))))
     return rows.select(
         "doc_id",
         "n_chars",
-        "edited_sha256",
-        F.expr(as_text("__cells_keys")).alias("fingerprint"),
-        F.expr(as_text("__cells_edited_keys")).alias("edited_fingerprint"),
-        F.expr(likeness("__keys", "__edited_keys", "__cells_keys", "__cells_edited_keys")).alias("near_edited"),
-        F.expr(likeness("__keys", "__next_keys", "__cells_keys", "__cells_next_keys")).alias("near_next"),
+        F.sha2("edited", 256).alias("edited_sha256"),
+        F.expr(as_text("cells")).alias("fingerprint"),
+        F.expr(as_text("edited_cells")).alias("edited_fingerprint"),
+        F.expr(likeness("keys", "edited_keys", "cells", "edited_cells")).alias("near_edited"),
+        F.expr(likeness("keys", "next_keys", "cells", "next_cells")).alias("near_next"),
     )
