@@ -9,11 +9,15 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .shared import Scratch, cut, free_names
+
 WEIGHTS = (5.0, 2.0, 1.0)
 MOST_REPEATS = 3
 #: Blocks of each source: a parameter, so a source has as many however large it is.
 BLOCKS = 1024
 SHARDS = 64
+#: Bytes of mixed text that one task sorts and writes; a shard is dealt to as many tasks as that takes.
+TASK_BYTES = 128 << 20
 #: Sources are a dimension: their sizes are planned on the driver, and more than this is an error.
 MOST_SOURCES = 100_000
 SEED = 20240229
@@ -91,16 +95,17 @@ def draw_blocks(sizes: np.ndarray, need: float, order: np.ndarray) -> np.ndarray
     return taken
 
 
-def plan(docs: DataFrame, weights: tuple[float, ...] = WEIGHTS, most: int = MOST_REPEATS, shards: int = SHARDS, seed: int = SEED, blocks: int = BLOCKS) -> tuple[DataFrame, DataFrame]:
-    """The sources (source, source_size, target) and their blocks (source, block, shards: one entry for
-    each time that the block is drawn). ``docs`` has source, size and block.
+def plan(docs: DataFrame, weights: tuple[float, ...] = WEIGHTS, most: int = MOST_REPEATS, shards: int = SHARDS, seed: int = SEED) -> DataFrame:
+    """The blocks of every source: source, block, source_size, target and shards, the shard of each
+    time that the block is drawn. ``docs`` has source, size and block.
 
-    Block sums are combined before the shuffle, and a source has at most ``blocks`` of them.
+    A source's quota is the number of its blocks that bring it near its target. The splitting tree
+    gives each shard its part of every quota, and the shards draw it, disjoint, from the source's permuted
+    blocks. Block sums are combined before the shuffle, and a source has at most BLOCKS of them.
     """
-    spark = docs.sparkSession
-    sums = docs.groupBy("source", "block").agg(F.sum("size").alias("size"))
-    per_source = sums.groupBy("source").agg(F.sum("size").alias("size"), F.count("*").alias("blocks"))
-    rows = per_source.limit(MOST_SOURCES + 1).collect()
+    spark, scratch = docs.sparkSession, Scratch(docs.sparkSession)
+    sums = scratch.cut(docs.groupBy("source", "block").agg(F.sum("size").alias("size")), "mix-sums")
+    rows = sums.groupBy("source").agg(F.sum("size").alias("size")).limit(MOST_SOURCES + 1).collect()
     if len(rows) > MOST_SOURCES:
         raise ValueError(f"more than {MOST_SOURCES} sources")
     rows.sort(key=lambda r: (r["source"] is None, (r["source"] or "").encode()))
@@ -115,13 +120,10 @@ def plan(docs: DataFrame, weights: tuple[float, ...] = WEIGHTS, most: int = MOST
         order = np.random.default_rng(_seed(seed, "draw", pdf["source"][0])).permutation(len(pdf))
         need = float(pdf["target"][0] - pdf["whole"][0] * pdf["source_size"][0])
         extra = draw_blocks(pdf["size"].to_numpy(), need, order) if pdf["whole"][0] < most else np.zeros(len(pdf), bool)
-        return pd.DataFrame({"source": pdf["source"], "block": pdf["block"], "copies": pdf["whole"].to_numpy() + extra})
-
-    joined = sums.join(F.broadcast(sources), sums["source"].eqNullSafe(sources["source"])).drop(sources["source"])
-    copies = joined.groupBy("source").applyInPandas(drawn, "source string, block int, copies int")
-    from .shared import cut
+        return pd.DataFrame({"source": pdf["source"], "block": pdf["block"], "source_size": pdf["source_size"], "target": pdf["target"], "copies": pdf["whole"].to_numpy() + extra})
 
-    copies = cut(copies, "mix-copies")
+    joined = sums.join(sources, sums["source"].eqNullSafe(sources["source"])).drop(sources["source"])
+    copies = scratch.cut(joined.groupBy("source").applyInPandas(drawn, "source string, block int, source_size long, target double, copies int"), "mix-copies")
     quota = {r["source"]: r["n"] for r in copies.groupBy("source").agg(F.sum("copies").alias("n")).collect()}
     split = split_quotas(np.array([quota.get(r["source"], 0) for r in rows], np.int64), shards, np.random.default_rng(seed))
     parts = spark.createDataFrame([(r["source"], split[:, k].tolist()) for k, r in enumerate(rows)], "source string, quotas array<long>")
@@ -134,42 +136,56 @@ def plan(docs: DataFrame, weights: tuple[float, ...] = WEIGHTS, most: int = MOST
         got: list[list[int]] = [[] for _ in range(len(pdf))]
         for k, s in zip(copies.tolist(), shard.tolist()):
             got[k].append(s)
-        return pd.DataFrame({"source": pdf["source"], "block": pdf["block"], "shards": got})
+        return pd.DataFrame({"source": pdf["source"], "block": pdf["block"], "source_size": pdf["source_size"], "target": pdf["target"], "shards": got})
 
-    dealt = copies.join(F.broadcast(parts), copies["source"].eqNullSafe(parts["source"])).drop(parts["source"])
-    return sources.drop("whole"), dealt.groupBy("source").applyInPandas(deal, "source string, block int, shards array<int>")
+    dealt = copies.join(parts, copies["source"].eqNullSafe(parts["source"])).drop(parts["source"])
+    out = cut(dealt.groupBy("source").applyInPandas(deal, "source string, block int, source_size long, target double, shards array<int>"), "mix-blocks")
+    scratch.clear()
+    return out
 
 
 def block_of(doc_id: Column, seed: int = SEED, blocks: int = BLOCKS) -> Column:
     return F.pmod(F.xxhash64(doc_id, F.lit(seed)), F.lit(blocks)).cast("int")
 
 
+def _sized(docs: DataFrame, *columns: Column | str) -> DataFrame:
+    size = word_count(F.col("text")).alias("size")
+    return docs.select(*columns, F.col("source").cast("string").alias("source"), size, block_of(F.col("doc_id")).alias("block"))
+
+
 def takings(docs: DataFrame, **options) -> DataFrame:
-    """doc_id, size, source_size, target, taken and shards of every document.
+    """doc_id, size, source_size, target, taken and shards (one entry for each time the document is
+    taken) of every document.
 
     Null text has size 0; the null source is a source of its own, last; repeated rows are documents of
-    their own that go together; an empty table gives an empty result. Seeds are fixed, so reruns agree.
+    their own that go together; an empty table gives an empty result. Blocks of equal size are taken in
+    the order of their permutation. Seeds are fixed, so reruns agree.
     """
-    from .shared import cut
-
-    light = cut(docs.select("doc_id", F.col("source").cast("string").alias("source"), word_count(F.col("text")).alias("size"), block_of(F.col("doc_id")).alias("block")), "mix-sizes")
-    sources, blocks = plan(light, **options)
-    out = light.join(blocks, light["source"].eqNullSafe(blocks["source"]) & (light["block"] == blocks["block"])).drop(blocks["source"], blocks["block"])
-    out = out.join(F.broadcast(sources), out["source"].eqNullSafe(sources["source"])).drop(sources["source"])
+    light = cut(_sized(docs, "doc_id"), "mix-sizes")
+    blocks = plan(light, **options)
+    # a source's documents meet in as many keys as it has blocks
+    out = light.join(blocks, light["block"].eqNullSafe(blocks["block"]) & light["source"].eqNullSafe(blocks["source"])).drop(blocks["source"], blocks["block"])
     return out.select("doc_id", "size", "source_size", "target", (F.col("size") * F.size("shards")).alias("taken"), "shards")
 
 
 def mix(docs: DataFrame, with_place: bool = False, **options) -> DataFrame:
     """The mixed rows: each document as many times as it is taken, dealt to its output shards and
-    shuffled inside each; with mix_shard and mix_order if ``with_place``. Columns as in ``docs``."""
-    from .shared import cut
-
-    sized = docs.select(F.col("source").cast("string").alias("source"), word_count(F.col("text")).alias("size"), block_of(F.col("doc_id")).alias("block"))
-    _, blocks = plan(cut(sized, "mix-sizes"), **options)
-    blocks = cut(blocks.select(F.col("source").alias("__s"), F.col("block").alias("__b"), F.posexplode("shards").alias("__copy", "__shard")), "mix-blocks")
-    out = docs.withColumn("__block", block_of(F.col("doc_id")))
-    out = out.join(blocks, F.col("source").cast("string").eqNullSafe(F.col("__s")) & (F.col("__block") == F.col("__b")))
-    out = out.withColumn("__order", F.xxhash64("doc_id", "__copy", "__shard", F.lit(options.get("seed", SEED))))
-    out = out.repartition("__shard").sortWithinPartitions("__shard", "__order")
+    shuffled inside each; with mix_shard and mix_order if ``with_place``. Columns as in ``docs``.
+
+    Rows are dealt by ranges of (shard, order), to at least one task a shard and to more as the text
+    grows, so a shard is written by several tasks one after another. The edge cases are those of
+    ``takings``."""
+    scratch = Scratch(docs.sparkSession)
+    light = scratch.cut(_sized(docs, F.coalesce(F.octet_length("text"), F.lit(0)).alias("bytes")), "mix-sizes")
+    total = light.agg(F.sum("bytes").alias("n")).first()["n"] or 0
+    blocks = plan(light, **options)
+    scratch.clear()
+    source, own, block, copy, shard, order = free_names(docs.columns, "source_key", "block_key", "block", "copy", "mix_shard" if with_place else "shard", "mix_order" if with_place else "order")
+    drawn = blocks.select(F.col("source").alias(source), F.col("block").alias(block), F.posexplode("shards").alias(copy, shard))
+    out = docs.withColumn(own, block_of(F.col("doc_id")))
+    out = out.join(drawn, F.col("source").cast("string").eqNullSafe(F.col(source)) & (F.col(own) == F.col(block)))
+    out = out.withColumn(order, F.xxhash64("doc_id", copy, shard, F.lit(options.get("seed", SEED))))
+    tasks = max(options.get("shards", SHARDS), -(-total // TASK_BYTES))
+    out = out.repartitionByRange(tasks, shard, order).sortWithinPartitions(shard, order)
     columns = [F.col(f"`{c}`") for c in docs.columns]
-    return out.select(*columns, *([F.col("__shard").alias("mix_shard"), F.col("__order").alias("mix_order")] if with_place else []))
+    return out.select(*columns, *([F.col(shard), F.col(order)] if with_place else []))
