@@ -7,6 +7,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -33,13 +34,13 @@ def _list_array(ids: np.ndarray, at: np.ndarray) -> pa.Array:
 
 
 def write_token_files(docs: DataFrame, path: str, tokenizer: str | None = None, end_id: int | None = END_ID, file_bytes: int = FILE_BYTES) -> None:
-    """ORC files of (doc_id, start_in_file, n_tokens, ids), one for each range of ascending doc_id.
+    """ORC files of (doc_id, part, start_in_part, n_tokens, ids) by ranges of ascending doc_id; a part is a
+    range, in one file or, under a limit of records a file, in several.
 
     Whole texts are dealt by ranges of doc_id before they are encoded, so ids are never shuffled. Null
     text encodes as empty; a null doc_id sorts first; rows that repeat a doc_id stay together in any
     order of their own. An empty table makes an empty file.
     """
-    bounded_batches(docs.sparkSession)
     tokenizer = tokenizer or default_tokenizer_path()
     docs = docs.select("doc_id", "text")
     size = docs.agg(F.sum(F.octet_length("text")).alias("n")).first()["n"] or 0
@@ -47,7 +48,7 @@ def write_token_files(docs: DataFrame, path: str, tokenizer: str | None = None,
     ordered = docs.repartitionByRange(parts, "doc_id", F.xxhash64("text")).sortWithinPartitions("doc_id", F.xxhash64("text"))
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        coder, before = encoder(tokenizer), 0
+        coder, before, part = encoder(tokenizer), 0, TaskContext.get().partitionId()
         for batch in batches:
             data, off = B.column_bytes(batch["text"])
             for a, b in B.blocks(off):
@@ -56,31 +57,28 @@ def write_token_files(docs: DataFrame, path: str, tokenizer: str | None = None,
                     ids = np.insert(ids, at[1:], end_id)
                     at = at + np.arange(len(at))
                 yield pa.RecordBatch.from_arrays(
-                    [batch["doc_id"].slice(a, b - a), pa.array(before + at[:-1]), pa.array(np.diff(at)), _list_array(ids, at)],
-                    ["doc_id", "start_in_file", "n_tokens", "ids"],
+                    [batch["doc_id"].slice(a, b - a), pa.array(np.full(b - a, part, np.int32)), pa.array(before + at[:-1]), pa.array(np.diff(at)), _list_array(ids, at)],
+                    ["doc_id", "part", "start_in_part", "n_tokens", "ids"],
                 )
                 before += int(at[-1])
 
     kind = docs.schema["doc_id"].dataType.simpleString()
-    files = ordered.mapInArrow(encode, f"doc_id {kind}, start_in_file long, n_tokens long, ids array<int>")
-    files.write.options(**ORC_OPTIONS).orc(path)
+    files = ordered.mapInArrow(encode, f"doc_id {kind}, part int, start_in_part long, n_tokens long, ids array<int>")
+    with bounded_batches(docs.sparkSession):
+        files.write.options(**ORC_OPTIONS).orc(path)
 
 
 def read_token_files(spark: SparkSession, path: str) -> DataFrame:
     """doc_id, start (ids of all documents before it), n_tokens and ids of every document in the files.
 
-    Stripes are read in parallel. The offset of each file is a running sum over one row a file, so
-    over a number of rows that the range count bounds; only the counts are read for it.
+    Stripes are read in parallel. The offset of each part is a running sum over one row a part, of which
+    there are at most MOST_FILES; only the counts are read for it.
     """
-    schema = spark.read.orc(path).schema
-    table = spark.read.schema(schema).orc(path).withColumn("__file", F.col("_metadata.file_name"))
-    files = table.groupBy("__file").agg(F.sum("n_tokens").alias("__n"))
-    # part files are numbered in the order of the ranges
-    before = files.select(
-        "__file",
-        F.expr("coalesce(sum(__n) OVER (ORDER BY __file ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0L)").alias("__before"),
-    )
-    return table.join(F.broadcast(before), "__file").select("doc_id", (F.col("__before") + F.col("start_in_file")).alias("start"), "n_tokens", "ids")
+    table = spark.read.schema(spark.read.orc(path).schema).orc(path)
+    parts = table.groupBy("part").agg(F.sum("n_tokens").alias("n"))
+    # parts are numbered in the order of the ranges
+    before = parts.select("part", F.expr("coalesce(sum(n) OVER (ORDER BY part ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0L)").alias("before"))
+    return table.join(F.broadcast(before), "part").select("doc_id", (F.col("before") + F.col("start_in_part")).alias("start"), "n_tokens", "ids")
 
 
 def find_documents(spark: SparkSession, path: str, doc_ids: list[int]) -> DataFrame:

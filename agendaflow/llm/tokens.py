@@ -3,8 +3,8 @@
 The tokenizer applies its merges inside pieces that a fixed pattern cuts from the text. Here numpy
 finds the same cuts for whole blocks of rows, and the ``tokenizers`` library encodes only pieces a
 worker has not met. Rows with code points whose class is not plain (multi-byte white space,
-unassigned or astral ones) go to the library whole, so every row gets exactly the library's ids.
-Special-token strings inside a text count as ordinary text.
+unassigned or astral ones), and rows that hold the string of a special token, go to the library whole,
+so every row gets exactly the library's ids.
 """
 
 from __future__ import annotations
@@ -111,7 +111,8 @@ class Encoder:
         from tokenizers import Tokenizer
 
         self.library = Tokenizer.from_file(path)
-        self.library.encode_special_tokens = True
+        #: The strings that the library takes for tokens of their own wherever they are.
+        self.special = [t.content.encode() for t in self.library.get_added_tokens_decoder().values()]
         self._forget()
 
     def _forget(self) -> None:
@@ -195,6 +196,13 @@ class Encoder:
         if self.used > _MOST_PIECES:
             self._forget()
         starts, odd = piece_starts(data, off)
+        raw = data.tobytes()
+        for token in self.special:
+            at = raw.find(token)
+            while at >= 0:
+                row = int(np.searchsorted(off, at, "right")) - 1
+                odd[row] |= at + len(token) <= off[row + 1]
+                at = raw.find(token, at + 1)
         if odd.any():
             return self._with_library(data, off, odd)
         ends = np.append(starts[1:], len(data))

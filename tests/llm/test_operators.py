@@ -67,9 +67,7 @@ def shingles(text):
 def library():
     from tokenizers import Tokenizer
 
-    t = Tokenizer.from_file(tokens.default_tokenizer_path())
-    t.encode_special_tokens = True
-    return t
+    return Tokenizer.from_file(tokens.default_tokenizer_path())
 
 
 def encoded(library, text):
