@@ -25,7 +25,6 @@ SCHEMES = ((60, 1 / 6), (120, 1 / 3), (160, 0.45))
 def encode_pieces(docs: DataFrame, capacity: int = CAPACITY, end_id: int = END_ID, tokenizer: str | None = None) -> DataFrame:
     """doc_id, piece, start, length, ids_crc32 of every piece, with the partition that made it and the
     piece's rank in it among pieces of its length. Null text is empty: the end id alone."""
-    bounded_batches(docs.sparkSession)
     tokenizer = tokenizer or default_tokenizer_path()
     kind = docs.schema["doc_id"].dataType.simpleString()
 
@@ -108,7 +107,8 @@ def plan_scheme(counts: np.ndarray, capacity: int, groups: int, large: float) ->
     """Kinds of bins for ``counts[length]`` pieces: how many bins of the kind, and what each holds as
     (length, how many). The plan's size follows the number of lengths, not of pieces.
 
-    Large lengths in falling order form groups of equal cardinality, each rounded up to its largest;
+    Large lengths in falling order form groups of equal cardinality (single pieces, where there are fewer
+    pieces than groups), each rounded up to its largest;
     the best configurations of the few sizes are filled with the real lengths; what is left and the
     small lengths go, longest first, where they leave the least room.
     """
@@ -125,7 +125,8 @@ def plan_scheme(counts: np.ndarray, capacity: int, groups: int, large: float) ->
         if count:
             open_bins.setdefault(room, []).append((count, items))
 
-    if total >= 4 * groups:
+    if total:
+        groups = min(groups, total)
         ends = np.cumsum(left[lengths])
         cuts = np.unique((np.arange(1, groups + 1) * total) // groups)
         begin = np.concatenate([[0], cuts[:-1]])
@@ -198,7 +199,8 @@ def pack(docs: DataFrame, capacity: int = CAPACITY, end_id: int = END_ID, tokeni
     its length, which is a running sum over the partitions' counts and the rank inside a partition, so
     no length is gathered in one task. Repeated rows are packed each; an empty table gives no rows.
     """
-    pieces = cut(encode_pieces(docs, capacity, end_id, tokenizer), "pieces")
+    with bounded_batches(docs.sparkSession):
+        pieces = cut(encode_pieces(docs, capacity, end_id, tokenizer), "pieces")
     counts = pieces.groupBy("part", "length").agg(F.count("*").alias("n"))
     totals = np.zeros(capacity + 1, np.int64)
     for r in counts.groupBy("length").agg(F.sum("n").alias("n")).collect():
