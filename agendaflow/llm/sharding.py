@@ -9,6 +9,8 @@ from functools import cache
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .shared import free_names
+
 #: Slots; a prime of at least a hundred times the shards keeps their loads within about 1 %.
 SLOTS = 65537
 SHARDS = 256
@@ -54,16 +56,19 @@ def slot_of(key: Column, slots: int = SLOTS) -> Column:
 
 
 def place(df: DataFrame, key: Column, shards: Sequence[str], slots: int = SLOTS) -> DataFrame:
-    """``df`` with shard_slot and shard (an index in ``shards``); rows of one key share a shard.
+    """``df`` with shard_slot and shard (an index in ``shards``); rows of one key share a shard. Columns of
+    ``df`` that have these names, letter case aside, give way to them.
 
     The table has ``slots`` rows, a parameter that no data enlarges, and is broadcast: placing is one
     hash and one lookup a row, without a shuffle. Null keys share one shard; empty input stays empty.
     """
     spark = df.sparkSession
     text = ",".join(map(str, lookup_table(tuple(shards), slots)))
-    table = spark.range(1).select(F.posexplode(F.split(F.lit(text), ",").cast("array<int>")).alias("__slot", "__shard"))
-    out = df.withColumn("__slot", slot_of(key, slots)).join(F.broadcast(table), "__slot")
-    return out.withColumns({"shard_slot": F.col("__slot"), "shard": F.col("__shard")}).drop("__slot", "__shard")
+    slot, shard = free_names(df.columns, "slot", "owner")
+    table = spark.range(1).select(F.posexplode(F.split(F.lit(text), ",").cast("array<int>")).alias(slot, shard))
+    out = df.withColumn(slot, slot_of(key, slots)).join(F.broadcast(table), slot)
+    rest = [F.col(f"`{c}`") for c in df.columns if c.lower() not in ("shard_slot", "shard")]
+    return out.select(*rest, F.col(slot).alias("shard_slot"), F.col(shard).alias("shard"))
 
 
 def write_sharded(df: DataFrame, key: Column, shards: Sequence[str], path: str, per_shard: int = 1) -> None:
