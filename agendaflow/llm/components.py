@@ -16,9 +16,9 @@ FILES = 8
 def _state(edges: DataFrame) -> tuple[int, int]:
     """The number of edges, and of nodes that keep them from being stars: those with two smaller
     neighbours, or with a smaller and a larger one. Ends are combined before the shuffle."""
-    end = lambda c, up: F.struct(F.col(c).alias("node"), F.lit(up).alias("up"))
-    ends = edges.select(F.explode(F.array(end("u", 1), end("v", 0))).alias("e")).select("e.*")
-    nodes = ends.groupBy("node").agg(F.sum("up").alias("ups"), F.count("*").alias("n"))
+    larger = edges.groupBy(F.col("u").alias("node")).agg(F.count("*").alias("ups"))
+    smaller = edges.groupBy(F.col("v").alias("node")).agg(F.lit(0).cast("long").alias("ups"), F.count("*").alias("n"))
+    nodes = larger.withColumn("n", F.col("ups")).unionByName(smaller).groupBy("node").agg(F.sum("ups").alias("ups"), F.sum("n").alias("n"))
     r = nodes.agg(F.sum("ups").alias("n"), F.count_if(F.expr("ups > 1 OR (ups = 1 AND n > 1)")).alias("open")).first()
     return r["n"] or 0, r["open"]
 
@@ -46,7 +46,7 @@ def components(edges: DataFrame, few_edges: int = MOST_BROADCAST) -> DataFrame:
             least = scratch.cut(least, "least")
         # an edge's larger end is linked to the least neighbour of its smaller end
         up = e.select(F.col("v").alias("u"), F.col("u").alias("w"))
-        large = join_by_key(up, least.select("u", "m"), ["u"], least.select("u", "n"), few, "inner").select(F.col("w").alias("u"), F.col("m").alias("v"))
+        large = join_by_key(up, least.select("u", "m"), ["u"], least.select("u", "n"), few, "inner").select(F.col("w").alias("u"), F.col("m").alias("v")).distinct()
         large = scratch.cut(in_files(large), "edges")
         down = large.groupBy("u").agg(F.min("v").alias("m"), F.count("*").alias("n"))
         if not few:

@@ -26,8 +26,8 @@ LEAST_ESTIMATE = 0.65
 BLOCK, BLOCK_SHINGLES = 128, 1 << 21
 #: Rows, or bytes, that a worker gathers before it handles the groups it has whole.
 FLUSH_ROWS, FLUSH_BYTES = 2000, 32 << 20
-#: Ids of dropped documents that are broadcast at most (16 MB), and classes (40 bytes each).
-MOST_BROADCAST, MOST_CLASSES = 1_000_000, 250_000
+#: Ids of dropped documents that are broadcast at most (16 MB), and classes (2 MB).
+MOST_BROADCAST, MOST_CLASSES = 1_000_000, 50_000
 
 _rng = np.random.default_rng(7)
 _FACTORS = (_rng.integers(0, 1 << 63, REGISTERS, dtype=np.uint64) << B.U(1)) | B.U(1)
