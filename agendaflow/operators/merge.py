@@ -4,34 +4,17 @@ from __future__ import annotations
 
 import re
 import unicodedata
-from collections import Counter
+from collections.abc import Iterator
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import ArrayType, LongType, StringType, StructField, StructType
 
 from ..functions.text import PUNCTUATION, simplify
-from .stats import ACCENTED
+from .stats import best_name_order
 
 #: Columns that merging reads; others are not kept.
 FIELDS = ["seq", "eventName", "place", "city", "country", "source", "style", "detailedStyle", "eventURL", "unixDate"]
-RESULT = StructType(
-    [
-        StructField("seq", LongType()),
-        StructField("eventName", StringType()),
-        StructField("place", StringType()),
-        StructField("city", StringType()),
-        StructField("country", StringType()),
-        StructField("style", StringType()),
-        StructField("detailedStyle", StringType()),
-        StructField("eventURL", StringType()),
-        StructField("altURLs", ArrayType(StringType())),
-        StructField("unixDate", LongType()),
-        StructField("members", ArrayType(LongType())),
-        StructField("warning", StringType()),
-    ]
-)
 _PUNCTUATION = re.compile("[" + re.escape(PUNCTUATION) + "]")
 
 
@@ -45,89 +28,148 @@ def alike(a: str, b: str) -> bool:
     return a in b or b in a
 
 
-def cluster(keys: list[str]) -> list[list[int]]:
+class Groups:
     """Groups of rows with similar names, in order: a row joins the first group whose first name is
-    similar, and every other such group is then folded into that one."""
-    groups: list[list[int]] = []
-    known: dict[str, tuple[int, list[int]]] = {}  # a repeated name finds the same group while no group is new or folded
-    changes = 0
-    for k, key in enumerate(keys):
-        if key in known and known[key][0] == changes:
-            known[key][1].append(k)
-            continue
-        near = [g for g in groups if alike(keys[g[0]], key)]
+    similar, and every other such group is then folded into that one. Rows are not kept, only the names
+    of groups and, until a group is new or folded, where each name goes."""
+
+    def __init__(self) -> None:
+        self.first: dict[int, str] = {}  # groups by their first row, in the order of their making
+        self.into: dict[int, tuple[int, list[int]]] = {}  # folded: the group that took it, at which row and in which place
+        self.known: dict[str, int] = {}
+
+    def add(self, row: int, name: str) -> int:
+        if name in self.known:
+            return self.known[name]
+        near = [g for g, own in self.first.items() if alike(own, name)]
         if not near:
-            groups.append([k])
-            near = groups[-1:]
-            changes += 1
-        else:
-            near[0].append(k)
-        if near[1:]:
-            for g in near[1:]:
-                near[0].extend(g)
-            groups = [g for g in groups if not any(g is x for x in near[1:])]
-            changes += 1
-        known[key] = changes, near[0]
-    return groups
-
-
-def name_rank(name: str, place: int) -> tuple:
-    upper, lower = sum(c.isupper() for c in name), sum(c.islower() for c in name)
-    return -len(name), -sum(c in ACCENTED for c in name.lower()), abs(1 + upper - lower), place
-
-
-def resolve(rows: list[dict], styles: tuple[str, ...] = ()) -> list[dict]:
-    """The events that the rows of one group stand for, one for each date they agree on."""
-    members = sorted(r["seq"] for r in rows)
-    if len(rows) == 1:
-        r = rows[0]
-        return [r | {"altURLs": None, "members": members, "warning": None}]
-    names = list(dict.fromkeys(r["eventName"] or "" for r in rows))
-    name = min(enumerate(names), key=lambda x: name_rank(x[1], x[0]))[1]
-    kinds = list(dict.fromkeys(r["style"] or "" for r in rows))
-    style = next((s for s in kinds if s in styles), max(kinds, key=len))
-    detail = max((r["detailedStyle"] or "" for r in rows), key=len) or None
-    local = [r for r in rows if r["place"] == r["source"]]
-    used = local or rows
-    dates = list(dict.fromkeys(r["unixDate"] for r in used))
-    if not local and len(dates) > 1:
-        listed = {}
-        for r in rows:
-            listed.setdefault(r["source"], set()).add(r["unixDate"])
-        dates = [d for d in dates if any(d in s and len(s) > 1 for s in listed.values())]
-    warning = None
-    if not dates:
-        counts = Counter(r["unixDate"] for r in rows)
-        best = [d for d, n in counts.items() if n == max(counts.values())]
-        timed = [d for d in best if d % 86_400_000]
-        dates, warning = [min(timed or best)], "no date confirmed"
-    base = {"eventName": name, "style": style or None, "detailedStyle": detail, "members": members, "warning": warning}
-    out = []
-    for d in dates:
-        own = [r for r in used if r["unixDate"] == d] or used
-        lead = own[0]
-        urls = list(dict.fromkeys(r["eventURL"] for r in (rows if len(dates) == 1 else own) if r["eventURL"]))
-        out.append({k: lead[k] for k in ("seq", "place", "city", "country", "eventURL")} | base | {"altURLs": urls, "unixDate": d})
-    return out
+            self.first[row] = name
+            near = [row]
+            self.known = {x: g for x, g in self.known.items() if not alike(x, name)}
+        if gone := set(near[1:]):
+            for k, g in enumerate(near[1:]):
+                self.into[g] = near[0], [row, k]
+                del self.first[g]
+            self.known = {x: g for x, g in self.known.items() if g not in gone}
+        self.known[name] = near[0]
+        return near[0]
+
+    def folded(self) -> Iterator[tuple[int, int, list[int]]]:
+        """Each folded group, the group where it ended and the place of its rows in it."""
+        for g in self.into:
+            end, at = g, []
+            while end in self.into:
+                end, place = self.into[end]
+                at = place + at
+            yield g, end, at
 
 
-def merge_events(events: DataFrame, zone: Column | str = "UTC", styles: tuple[str, ...] = ()) -> DataFrame:
-    """One row for each real event and date. Rows of one place, city, country and local day form a
-    block, outside which nothing merges; inside it names decide, in the order of ``seq``. Rows without
-    a parsed date (0 or -1) pass through. A block is one place's listings of one day."""
-    columns = [F.col(c) for c in FIELDS]
-    real = F.col("unixDate") > 0
+def cluster(keys: list[str]) -> list[list[int]]:
+    """The groups of a list of names as lists of positions."""
+    groups, rows = Groups(), {}
+    at = [groups.add(k, key) for k, key in enumerate(keys)]
+    places = {g: (end, place) for g, end, place in groups.folded()}
+    for k, g in enumerate(at):
+        end, place = places.get(g, (g, []))
+        rows.setdefault(end, []).append(([*place, k], k))
+    return [[k for _, k in sorted(v)] for v in rows.values()]
+
+
+def grouped(events: DataFrame, zone: Column | str = "UTC") -> DataFrame:
+    """Events with a parsed date, with ``group`` (the seq of the group's first event) and ``ord``, an array
+    that sorts the events of a group. Those of one place, city, country and local day form a block, and
+    one task reads a block in the order of ``seq``, holding no more than its distinct names."""
     day = F.to_date(F.from_utc_timestamp(F.timestamp_millis("unixDate"), zone))
-    blocked = events.where(real).select(*columns, simplify(F.col("place")).alias("key"), day.alias("day"))
+    block = ["key", "city", "country", "day"]
+    rows = events.where("unixDate > 0").select(*FIELDS, simplify(F.col("place")).alias("key"), day.alias("day"), simplify(F.coalesce("eventName", F.lit(""))).alias("name"))
+    spread = rows.repartition(*block).sortWithinPartitions(*block, "seq")
+    schema = rows.select(*FIELDS).schema
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        here, groups, given = None, Groups(), None
+
+        def ends(own: Groups) -> pa.RecordBatch:
+            found = list(own.folded())
+            blank = [pa.nulls(len(found), f.type) for f in given.schema]
+            return pa.RecordBatch.from_arrays([*blank, pa.array([x[0] for x in found], pa.int64()), pa.array([x[1] for x in found], pa.int64()), pa.array([x[2] for x in found], pa.list_(pa.int64()))], [*given.schema.names, "group", "end", "path"])
+
+        for batch in batches:
+            given = batch.select(FIELDS)
+            keys = list(zip(*(batch[c].to_pylist() for c in block)))
+            at = []
+            for k, seq, name in zip(keys, batch["seq"].to_pylist(), batch["name"].to_pylist()):
+                if k != here:
+                    if groups.into:
+                        yield ends(groups)
+                    here, groups = k, Groups()
+                at.append(groups.add(seq, name))
+            yield pa.RecordBatch.from_arrays([*given.columns, pa.array(at, pa.int64()), pa.nulls(len(at), pa.int64()), pa.nulls(len(at), pa.list_(pa.int64()))], [*FIELDS, "group", "end", "path"])
+        if groups.into:
+            yield ends(groups)
+
+    kinds = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in schema.fields)
+    both = spread.mapInArrow(run, f"{kinds}, group long, end long, path array<long>")
+    folds = both.where("end IS NOT NULL").select("group", F.col("end").alias("__end"), F.col("path").alias("__path"))
+    out = both.where("end IS NULL").drop("end", "path").join(folds, "group", "left")
+    order = F.concat(F.coalesce("__path", F.array().cast("array<bigint>")), F.array("seq"))
+    return out.select(*FIELDS, F.coalesce("__end", "group").alias("group"), order.alias("ord"))
 
-    def merge(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("seq").astype(object).where(pdf.notna(), None)
-        rows = pdf[FIELDS].to_dict("records")
-        got = [e for g in cluster([simple(r["eventName"]) for r in rows]) for e in resolve([rows[k] for k in g], styles)]
-        return pd.DataFrame(got, columns=RESULT.names)
 
-    merged = blocked.groupBy("key", "city", "country", "day").applyInPandas(merge, RESULT)
-    rest = events.where(~F.coalesce(real, F.lit(False))).select(
-        *[F.array("seq").alias(c) if c == "members" else (F.col(c) if c in FIELDS else F.lit(None).cast(RESULT[c].dataType).alias(c)) for c in RESULT.names]
+def merge_events(events: DataFrame, zone: Column | str = "UTC", styles: tuple[str, ...] = ()) -> DataFrame:
+    """One row for each real event and date: seq, eventName, place, city, country, style, detailedStyle,
+    eventURL, altURLs, unixDate, n_members and warning.
+
+    ``grouped`` says which events are one; the rest are aggregations. The best name, the first style of
+    the reference list or else the longest, and the longest detail are taken. If a site lists events at
+    its own place, its dates count alone; else a date counts if it is the only one, or if a source that
+    lists it lists another too. With no such date the most frequent one is taken, not local midnight if
+    others are as frequent, and the earliest of them, with a warning. Addresses of a single date are
+    all kept; of several dates each has its own and the others of that date. Rows without a parsed date
+    (0 or -1) pass through.
+    """
+    rows = grouped(events, zone).withColumn("local", F.coalesce(F.col("place") == F.col("source"), F.lit(False)))
+    text = lambda c: F.coalesce(c, F.lit(""))
+    known = F.col("style").isin(list(styles))
+    best = rows.groupBy("group").agg(
+        F.count("*").alias("n_members"),
+        F.min_by(F.struct("seq", "eventName", "place", "city", "country", "style", "detailedStyle", "eventURL"), "ord").alias("first"),
+        F.min_by(text("eventName"), best_name_order(text("eventName"), F.col("ord"))).alias("eventName"),
+        F.min_by(text("style"), F.struct(~F.coalesce(known, F.lit(False)), F.when(known, 0).otherwise(-F.length(text("style"))), "ord")).alias("style"),
+        F.min_by(text("detailedStyle"), F.struct(-F.length(text("detailedStyle")), "ord")).alias("detailedStyle"),
+        F.bool_or("local").alias("has_local"),
+        F.min_by("eventURL", F.when(F.col("local") & F.col("eventURL").isNotNull(), F.col("ord"))).alias("local_url"),
+    )
+    # the groups are small next to their rows: counts, addresses and sources of each date come first
+    listed = rows.groupBy("group", "unixDate", "local").agg(
+        F.count("*").alias("n"), F.min_by(F.struct("eventURL"), "ord").alias("lead"), F.min("ord").alias("at"),
+        F.array_sort(F.collect_list(F.when(F.col("eventURL").isNotNull(), F.struct("ord", "eventURL")))).alias("urls"), F.collect_set("source").alias("sources"),
+    )
+    used = listed.join(best.where("has_local").select("group", F.lit(True).alias("has_local")), "group", "left").where("local OR has_local IS NULL")
+    zero = F.to_utc_timestamp(F.date_trunc("day", F.from_utc_timestamp(F.timestamp_millis("unixDate"), zone)), zone) == F.timestamp_millis("unixDate")
+    dates = used.groupBy("group", "unixDate").agg(
+        F.sum("n").alias("n"), F.min_by("lead", "at").alias("lead"), F.array_sort(F.flatten(F.collect_list("urls"))).alias("urls"), F.array_distinct(F.flatten(F.collect_list("sources"))).alias("sources")
+    )
+    urls = F.array_distinct(F.transform("urls", lambda x: x["eventURL"]))
+    dates = dates.select("group", F.struct("unixDate", "n", F.col("lead.eventURL").alias("url"), urls.alias("urls"), "sources", zero.alias("zero")).alias("d"))
+    events_of = dates.groupBy("group").agg(F.array_sort(F.collect_list("d")).alias("dates")).join(best, "group")
+
+    sure = F.filter("dates", lambda d: F.exists("dates", lambda o: (o["unixDate"] != d["unixDate"]) & F.arrays_overlap(o["sources"], d["sources"])))
+    sure = F.when(F.col("has_local") | (F.size("dates") == 1), F.col("dates")).otherwise(sure)
+    most = F.filter("dates", lambda d: d["n"] == F.array_max(F.transform("dates", lambda x: x["n"])))
+    timed = F.filter("most", lambda d: ~d["zero"])
+    out = events_of.withColumns({"sure": sure, "most": most})
+    guess = F.when((F.size("most") > 1) & (F.size(timed) > 0), timed).otherwise(F.col("most"))
+    out = out.withColumn("d", F.explode(F.when(F.size("sure") > 0, F.col("sure")).otherwise(F.slice(guess, 1, 1))))
+    alone, none, one = F.col("n_members") == 1, F.size("sure") == 0, F.size("sure") == 1
+    own = F.when(none | alone, F.col("first.eventURL")).when(one, F.when(F.col("has_local"), F.coalesce("local_url", "first.eventURL")).otherwise(F.col("first.eventURL"))).otherwise(F.col("d.url"))
+    others = F.array_except("d.urls", F.array("d.url"))
+    pick = lambda c: F.when(alone, F.col(f"first.{c}")).otherwise(F.nullif(F.col(c), F.lit(""))).alias(c)
+    merged = out.select(
+        "first.seq", F.when(alone, F.col("first.eventName")).otherwise(F.col("eventName")).alias("eventName"), "first.place", "first.city", "first.country", pick("style"), pick("detailedStyle"),
+        own.alias("eventURL"), F.when(alone | none, F.lit(None).cast("array<string>")).when(one, F.col("d.urls")).when(F.size(others) > 0, others).alias("altURLs"),
+        F.col("d.unixDate").alias("unixDate"), "n_members", F.when(none, F.lit("no date confirmed")).alias("warning"),
+    )
+    rest = events.where(~F.coalesce(F.col("unixDate") > 0, F.lit(False))).select(
+        *[F.lit(1).cast("long").alias(c) if c == "n_members" else (F.col(c) if c in FIELDS else F.lit(None).cast(merged.schema[c].dataType).alias(c)) for c in merged.columns]
     )
     return merged.unionByName(rest)

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 #: Accented letters that a good name keeps (fixed values).
-ACCENTED = "àâäáãåçéèêëíìîïñóòôöõúùûüýÿ"
+ACCENTED = "éèêëàâäïîöôûüøæå"
 
 
 def upcoming_per_place(events: DataFrame, places: DataFrame, after, place: str, time: str) -> DataFrame:
@@ -32,15 +32,15 @@ def per_day(events: DataFrame, day: Column, first: str, last: str) -> DataFrame:
 def most_frequent(df: DataFrame, group: str, value: str) -> DataFrame:
     """The values that a group has most often, all of them on a tie."""
     counts = df.groupBy(group, value).agg(F.count("*").alias("n"))
-    most = counts.groupBy(group).agg(F.max("n").alias("n"))
-    return counts.join(most, [group, "n"]).select(group, value, "n")
+    most = F.max("n").over(Window.partitionBy(group))
+    return counts.withColumn("__most", most).where("n = __most").drop("__most")
 
 
 def best_name_order(name: Column, seq: Column) -> Column:
-    """Sorts the best name first: longest, most accents, most even letter case, first."""
-    accents = F.length(F.regexp_replace(name, f"(?iu)[^{ACCENTED}]", ""))
-    upper = F.length(F.regexp_replace(name, "[^\\p{Lu}]", ""))
-    lower = F.length(F.regexp_replace(name, "[^\\p{Ll}]", ""))
+    """Sorts the best name first: longest, most accents, most even case of the letters A to Z, first."""
+    accents = F.length(F.regexp_replace(F.lower(name), f"[^{ACCENTED}]", ""))
+    upper = F.length(F.regexp_replace(name, "[^A-Z]", ""))
+    lower = F.length(F.regexp_replace(name, "[^a-z]", ""))
     return F.struct(-F.length(name), -accents, F.abs(1 + upper - lower), seq)
 
 
@@ -56,12 +56,11 @@ def best_style(df: DataFrame, group: str, style: str, seq: str, reference: Seque
 
 def confirmed_dates(df: DataFrame, group: str, date: str, source: str) -> DataFrame:
     """A group's only date; of several those that a source lists which lists another as well."""
-    pairs = df.select(group, date, source).distinct()
-    dates = pairs.groupBy(group).agg(F.count_distinct(date).alias("dates"))
-    several = pairs.groupBy(group, source).agg(F.count("*").alias("k")).where("k > 1").select(group, source)
-    sure = pairs.join(several, [group, source], "left_semi").join(dates.where("dates > 1"), group, "left_semi").select(group, date)
-    only = pairs.join(dates.where("dates = 1"), group, "left_semi").select(group, date)
-    return sure.unionByName(only).distinct()
+    pairs = df.groupBy(group, date, source).agg(F.lit(1).alias("__one"))
+    own, whole = Window.partitionBy(group, source), Window.partitionBy(group)
+    told = pairs.withColumn("__k", F.count("*").over(own))
+    told = told.withColumns({"__low": F.min(date).over(whole), "__high": F.max(date).over(whole)})
+    return told.where("__k > 1 OR __low = __high").select(group, date).distinct()
 
 
 def keep_first(df: DataFrame, keys: Sequence[str], seq: Sequence[str]) -> DataFrame:
@@ -87,3 +86,13 @@ def in_order(df: DataFrame, group: str, order: Sequence[str], value: str) -> Dat
     """Whether each value is at least the one before it in its group."""
     before = F.lag(value).over(Window.partitionBy(group).orderBy(*order))
     return df.select(group, *order, F.coalesce(F.col(value) >= before, F.lit(True)).alias("ordered"))
+
+
+def sorted_counts(counts: DataFrame, n: str, seq: str) -> DataFrame:
+    """Counts by falling number, equal ones in the order of ``seq``."""
+    return counts.orderBy(F.desc(n), seq)
+
+
+def sorted_names(df: DataFrame, name: str, seq: str) -> DataFrame:
+    """Names as a reader would sort them: letter case and accents aside, equal ones in the order of ``seq``."""
+    return df.orderBy(F.collate(name, "UNICODE_CI_AI"), seq)
