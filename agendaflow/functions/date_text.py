@@ -361,3 +361,40 @@ def parse_dates(text: Column, order: list[str], months: str, years: str | None,
         return s.map(lambda x: known.get(x) if isinstance(x, str) else None)
 
     return run(text)
+
+
+def first_reading(text: str, formats: list[tuple], today: dt.date, words: dict) -> tuple[int, list[tuple]]:
+    """How many readings the last format that reads the text gives, and the first of them. Formats (order,
+    months, years) are tried up to one that reads it in one way."""
+    n, dates = 0, []
+    for order, months, years in formats:
+        if got := extract_dates(text, list(order), months, years, today, words):
+            n, dates = len(got), got[0]
+            if n == 1:
+                break
+    return n, dates
+
+
+_READ = StructType([StructField("n", IntegerType()), StructField("dates", ArrayType(StructType([f for f in _DATE.fields if f.name != "possibility"])))])
+
+
+def read_dates(text: Column, formats: Column, as_of: Column, language: Column) -> Column:
+    """``first_reading`` of a column, its formats, day and language being columns too; each distinct
+    combination of a batch is read once. A language without a dictionary gives no reading."""
+
+    @F.pandas_udf(_READ)
+    def run(texts: pd.Series, formats: pd.Series, days: pd.Series, languages: pd.Series) -> pd.DataFrame:
+        iso = lambda d: d.isoformat() if d else None
+        known: dict[tuple, tuple] = {}
+        rows = []
+        for x, f, day, language in zip(texts, formats, days, languages):
+            own = () if f is None else tuple((tuple(o["order"]), o["month"], o["year"]) for o in f)
+            key = x, own, day, language
+            if key not in known:
+                words = DICTIONARIES.get(language)
+                n, dates = first_reading(x, list(own), day, words) if x and words is not None and day is not None else (0, [])
+                known[key] = n, [{"start_date": iso(a), "start_time": b, "end_date": iso(c), "end_time": e} for a, b, c, e in dates]
+            rows.append(known[key])
+        return pd.DataFrame(rows, columns=["n", "dates"])
+
+    return run(text, formats, as_of, language)
