@@ -67,8 +67,10 @@ def show_date(d: Column, time: Column) -> Column:
     return F.concat(F.date_format(d, "dd/MM/yyyy"), F.coalesce(F.concat(F.lit(" (time: "), time, F.lit(")")), F.lit("")))
 
 
-def french_date(ts: Column, zone: Column | str) -> Column:
-    """``Le lundi 1 décembre 2025 à 20:00``."""
+def french_date(ts: Column, zone: Column | str, end: Column | None = None) -> Column:
+    """``Le lundi 1 décembre 2025 à 20:00``, and the end, where there is one, after an arrow."""
+    if end is not None:
+        return F.concat(french_date(ts, zone), F.coalesce(F.concat(F.lit(" → "), french_date(end, zone)), F.lit("")))
     local = F.from_utc_timestamp(ts, zone)
     names = lambda values: F.array(*[F.lit(v) for v in values])
     return F.concat(
@@ -77,11 +79,18 @@ def french_date(ts: Column, zone: Column | str) -> Column:
     )
 
 
-def pattern_url(pattern: Column, d: Column) -> Column:
-    """The address pattern with its date tokens filled: MM, M, yyyy, yy, dd and d, in this order."""
-    for token, form in (("MM", "MM"), ("M", "M"), ("yyyy", "yyyy"), ("yy", "yy"), ("dd", "dd"), ("d", "d")):
-        pattern = F.replace(pattern, F.lit("{" + token + "}"), F.date_format(d, form))
-    return pattern
+def pattern_url(url: Column, pattern: Column, as_of: Column, months: Column) -> Column:
+    """The address of the page some months on: the pattern with its first MM or mm, M or m, yyyy, yy, DD or
+    dd, D or d filled, in this order, takes the place of ``{index}`` or else follows the address. The day is
+    that of ``as_of`` in every month."""
+    month = F.month(as_of) - 1 + months
+    year = F.year(as_of) + F.floor(month / 12).cast("int")
+    number = F.pmod(month, F.lit(12)) + 1
+    two = lambda c: F.lpad(c.cast("string"), 2, "0")
+    day = F.dayofmonth(as_of)
+    for token, value in (("MM|mm", two(number)), ("M|m", number), ("yyyy", year), ("yy", year % 100), ("(?i:dd)", two(day)), ("(?i:d)", day)):
+        pattern = F.call_function("regexp_replace", pattern, F.lit(f"^([\\s\\S]*?)(?:{token})"), F.concat(F.lit("$1"), value.cast("string")))
+    return F.when(url.contains("{index}"), F.replace(url, F.lit("{index}"), pattern)).otherwise(F.concat(url, pattern))
 
 
 def day_offset(ms: Column, today_ms: Column) -> Column:

@@ -113,8 +113,19 @@ def clean_scripts(html: Column) -> Column:
     return drop_elements(html, "script", "noscript")
 
 
+#: Elements without information for extraction (fixed values).
+USELESS = ["header", "svg", "video", "option", "footer", "nav", "select"]
+#: What shorter copies of a page leave out (fixed values): elements, then attributes.
+SHORTER_ELEMENTS = ["path", "header", "svg", "video", "option", "button", "footer", "nav", "select"]
+SHORTER_ATTRIBUTES = [
+    "style", "alt", "decoding", "srcSet", "src", "sizes", "rel", "target", "aria-label", "aria-haspopup", "aria-expanded", "aria-current", "aria-hidden", "aria-disabled", "aria-controls", "data-state",
+]
+
+
 def remove_useless_tags(html: Column) -> Column:
-    return drop_elements(unwrap(html, "path"), "header", "svg", "video", "option", "footer", "nav", "select")
+    """Paths of drawings lose their tags, other useless elements go with all they hold."""
+    html = F.regexp_replace(html, "(?i)<\\s*path[^>]*>(.*?)<\\s*/path\\s*>", "$1")
+    return drop_elements(html, *USELESS)
 
 
 def remove_forms(html: Column) -> Column:
@@ -126,21 +137,49 @@ def remove_images(html: Column) -> Column:
 
 
 def wrap_broken_lines(html: Column) -> Column:
-    """Text before and after line-break tags becomes paragraphs of their own."""
-    html = F.regexp_replace(html, ">([^<>]*[^<>\\s][^<>]*)<br\\s*/?>", "><p class=\"addedTag\">$1</p><br>")
-    return F.regexp_replace(html, "<br\\s*/?>([^<>]*[^<>\\s][^<>]*)<", "<p class=\"addedTag\">$1</p><")
+    """Text before a line break, from the tag before it on, and text after one, up to the next tag, become
+    paragraphs of their own, empty ones too."""
+    html = F.regexp_replace(html, "(?i)(?<!br)>([^>]*?)<br>", "><p class=\"addedTag\">$1</p><br>")
+    return F.regexp_replace(html, "(?i)<br>([\\s\\S]*?)(?=<)", "<p class=\"addedTag\">$1</p>")
 
 
 def fix_images(html: Column) -> Column:
-    return F.regexp_replace(html, "position\\s*:\\s*absolute", "position:relative")
+    """Images don't leave the flow of a page: ``position: absolute`` of their style has no effect."""
+    return F.regexp_replace(html, "(<img[^>]*style\\s*=\\s*\"[^\"]*position\\s*:\\s*)absolute", "$1XXXXXXXX")
 
 
 def minimalize_basic(html: Column) -> Column:
-    """Body markup without head, scripts, styles, media, comments and attributes other than class."""
-    html = drop_elements(html, "head", "script", "style", "noscript", "svg", "iframe")
-    html = F.regexp_replace(html, "<!--[\\s\\S]*?-->", "")
-    html = remove_images(html)
-    return F.regexp_replace(html, "(?i)\\s(id|style|href|src|alt|title|lang|rel|target|type|width|height)=\"[^\"]*\"", "")
+    """A page without its head, some elements, images and some attributes; classes, ids, links, titles,
+    scripts and comments stay."""
+    html = remove_images(drop_elements(html, "head", *SHORTER_ELEMENTS))
+    for name in SHORTER_ATTRIBUTES:
+        html = F.regexp_replace(html, f"{name}[ ]*=[ ]*\"[\\s\\S]*?\"", "")
+    return html
+
+
+def fix_string(c: Column, candidates: Column) -> Column:
+    """The first candidate that the text matches with any character for those outside ASCII; else itself."""
+    return F.coalesce(F.try_element_at(F.filter(candidates, lambda x: F.call_function("rlike", x, F.regexp_replace(c, "[^\\x00-\\x7F]", "."))), F.lit(1)), c)
+
+
+def remove_ending(c: Column, ending: Column) -> Column:
+    """Without an ending, then trimmed, where the text has it."""
+    return F.when(F.endswith(c, ending), F.trim(F.left(c, F.length(c) - F.length(ending)))).otherwise(c)
+
+
+def image_placeholder(html: Column) -> Column:
+    return F.regexp_replace(html, "<img.*?>", "[***IMAGE***]")
+
+
+def escape_parentheses(c: Column) -> Column:
+    """The first opening and the first closing one with a backslash, as a selector wants them."""
+    return F.regexp_replace(F.regexp_replace(c, "^([^(]*)\\(", "$1\\\\("), "^([^)]*)\\)", "$1\\\\)")
+
+
+def shown_element(html: Column, tag: Column, most: int = 50) -> Column:
+    """``tag: text`` of an element for a list, its text cut at ``most`` characters with a mark."""
+    plain = F.trim(F.regexp_replace(F.regexp_replace(html, "<[^>]+>", " "), "\\s+", " "))
+    return F.concat(tag, F.lit(": "), F.when(F.length(plain) > most, F.concat(F.left(plain, F.lit(most)), F.lit("…"))).otherwise(plain))
 
 
 def short_label(c: Column, most: int = 30) -> Column:
@@ -161,6 +200,15 @@ def parse_number(c: Column) -> Column:
     return F.nullif(F.regexp_extract(c, "^\\s*([-+]?(?:\\d+(?:\\.\\d*)?|\\.\\d+))", 1), F.lit("")).cast("double")
 
 
+def fill_message(message: Column, *values: Column) -> Column:
+    """The message with each ``%s`` in turn filled; colour codes are dropped."""
+    for v in values:
+        # a value may hold what a replacement would read as a group
+        value = F.regexp_replace(F.coalesce(v.cast("string"), F.lit("null")), "([\\\\$])", "\\\\$1")
+        message = F.call_function("regexp_replace", message, F.lit("^([\\s\\S]*?)%s"), F.concat(F.lit("$1"), value))
+    return F.regexp_replace(message, "\\x1b\\[\\d+m", "")
+
+
 def append_log(log: Column, message: Column) -> Column:
     """The log with one more message after `` | ``; colour codes are dropped."""
     plain = F.regexp_replace(message, "\\x1b\\[[0-9;]*m", "")

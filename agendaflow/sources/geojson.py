@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.maps import event_id, place_feature
@@ -26,11 +26,11 @@ def write_place_files(places: DataFrame, path: str) -> None:
     collections(place_features(places), "country", "city").select("country", "city", "value").write.partitionBy("country", "city").text(path)
 
 
-def event_features(events: DataFrame) -> DataFrame:
+def event_features(events: DataFrame, *by: str) -> DataFrame:
     """Features of events (place, title, time, size, style, detailedStyle, url, longitude, latitude)."""
     properties = F.struct("title", "size", F.lit("dot-11").alias("icon"), "place", "style", "detailedStyle", "time", F.col("url").alias("description"))
     geometry = F.struct(F.lit("Point").alias("type"), F.array("longitude", "latitude").alias("coordinates"))
-    return events.select(F.struct(F.lit("Feature").alias("type"), event_id(F.col("place"), F.col("title"), F.col("time")).alias("id"), geometry.alias("geometry"), properties.alias("properties")).alias("feature"))
+    return events.select(*by, F.struct(F.lit("Feature").alias("type"), event_id(F.col("place"), F.col("title"), F.col("time")).alias("id"), geometry.alias("geometry"), properties.alias("properties")).alias("feature"))
 
 
 def read_features(spark: SparkSession, path: str, properties: str) -> DataFrame:
@@ -40,8 +40,22 @@ def read_features(spark: SparkSession, path: str, properties: str) -> DataFrame:
     return found.select("f.id", F.col("f.geometry.coordinates")[0].alias("longitude"), F.col("f.geometry.coordinates")[1].alias("latitude"), "f.properties.*")
 
 
+def rendered_log(fields: list[str], log: str) -> Column:
+    """An event as text, field by field, its log last."""
+    return F.concat_ws("\n", *[F.concat(F.lit(f"{c}: "), F.col(c).cast("string")) for c in [*fields, log]], F.lit(""))
+
+
 def write_logs(events: DataFrame, log: str, path: str) -> None:
-    """Rows that have the log as text, field by field."""
-    fields = [c for c in events.columns if c != log]
-    shown = F.concat_ws("\n", *[F.concat(F.lit(f"{c}: "), F.col(c).cast("string")) for c in [*fields, log]], F.lit(""))
-    events.where(F.col(log).isNotNull()).select(shown.alias("value")).write.text(path)
+    """Rows that have the log, as text."""
+    events.where(F.col(log).isNotNull()).select(rendered_log([c for c in events.columns if c != log], log).alias("value")).write.text(path)
+
+
+def write_world_file(places: DataFrame, path: str) -> None:
+    """All places, one feature a line, in as many files as they take."""
+    place_features(places).select(F.to_json("feature").alias("value")).write.text(path)
+
+
+def write_event_files(events: DataFrame, path: str) -> None:
+    """``<path>/city=...`` with one collection of the events of each city."""
+    features = event_features(events.where("city IS NOT NULL"), "city")
+    collections(features, "city").select("city", "value").write.partitionBy("city").text(path)
