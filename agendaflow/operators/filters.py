@@ -95,3 +95,15 @@ def drop_style(events: DataFrame, style: Column, name: str = "Theatre") -> DataF
     return events.where(~style.eqNullSafe(F.lit(name)))
 
 
+
+
+def is_local(place: Column, source: Column) -> Column:
+    """The site lists an event at its own place."""
+    return F.coalesce(place == source, F.lit(False))
+
+
+def by_id_prefix(venues: DataFrame, prefix: str) -> DataFrame:
+    """Venues whose id begins so: id, n (how many there are), unique. A prefix that several share names
+    none of them."""
+    found = venues.where(F.col("id").startswith(prefix))
+    return found.agg(F.min("id").alias("id"), F.count("*").alias("n")).where("n > 0").withColumn("unique", F.col("n") == 1)

@@ -78,3 +78,25 @@ def country_styles(countries: DataFrame, dictionary: DataFrame) -> DataFrame:
     joined = spoken.join(dictionary, "language", "left")
     listed = F.array_sort(F.collect_list(F.when(F.col("style").isNotNull(), F.struct("pos", "ord", "style"))))
     return joined.groupBy("country").agg(F.array_distinct(F.transform(listed, lambda x: x["style"])).alias("styles"))
+
+
+def with_addresses(events: DataFrame, places: DataFrame) -> DataFrame:
+    """Events with the address of the last place of their title, null where none is."""
+    last = one_per_key(places.select(F.col("title").alias("place"), "url", "seq"), "place", "seq", True)
+    return events.join(last.drop("seq"), "place", "left").select(*events.columns, "url")
+
+
+def with_default_style(events: DataFrame, venues: DataFrame, default: str = "Live") -> DataFrame:
+    """Events whose blank style becomes that of the first venue of their place (simplified name, city and
+    country), of their site (``siteStyle``), or the default."""
+    first = venues.withColumn("__key", simplify(F.col("name"))).groupBy("__key", "city", "country").agg(F.min_by("defaultStyle", "seq").alias("__style"))
+    out = events.withColumn("__key", simplify(F.col("place"))).join(first, ["__key", "city", "country"], "left")
+    style = style_chain(F.col("style"), F.col("__style"), F.col("siteStyle"), default)
+    return out.select(*[style.alias(c) if c == "style" else F.col(c) for c in events.columns])
+
+
+def unique_names(venues: DataFrame, id_: str, city: str, names: str) -> DataFrame:
+    """The venues that have names, in ``names``, which no other entry of their city has, and how many."""
+    keys = venues.select(id_, city, F.explode(names).alias("__name")).withColumn("__key", simplify(F.col("__name")))
+    once = keys.groupBy(city, "__key").agg(F.count("*").alias("__n"), F.min(id_).alias(id_)).where("__n = 1")
+    return once.groupBy(id_).agg(F.count("*").alias("n"))

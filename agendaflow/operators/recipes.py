@@ -81,3 +81,25 @@ def classify(pages: DataFrame, text: str, answer: Callable[[str], str], name: st
             yield pdf.assign(**{name: [None if t is None else answer(t) for t in pdf[text]]})
 
     return pages.mapInPandas(run, schema)
+
+
+def same_record(a: Column, b: Column) -> Column:
+    """Whether two structs, arrays or scalars are equal in all their parts, null being equal to null."""
+    return a.eqNullSafe(b)
+
+
+def combinations_without(classes: Column, k: int) -> Column:
+    """The lists that remain of an array when ``k`` of its entries go, in every way, the last first."""
+    out = F.array(classes)
+    for _ in range(k):
+        out = F.flatten(F.transform(out, lambda own: F.transform(F.reverse(F.filter(F.sequence(F.lit(0), F.size(own)), lambda j: j > 0)), lambda j: F.concat(F.slice(own, F.lit(1), j - 1), F.slice(own, j + 1, F.size(own))))))
+    return F.array_distinct(out)
+
+
+def recipe_of_answer(answer: Column) -> Column:
+    """The sample strings of one event in a model's JSON answer (key to string or list), as key to strings;
+    null where it isn't an object. ``analyse_pages`` makes a recipe of them."""
+    inside = F.regexp_extract(answer, "(\\{[\\s\\S]*\\})", 1)
+    lists = F.from_json(inside, "map<string,array<string>>")
+    values = F.from_json(inside, "map<string,string>")
+    return F.transform_values(values, lambda k, v: F.coalesce(F.when(v.startswith("["), lists[k]), F.array(v)))

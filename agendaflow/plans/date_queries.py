@@ -28,13 +28,12 @@ def missing_year_completion(spark, sf_dir):
     return table(spark, sf_dir, "orders").select("o_orderkey", dates.complete_year(F.month(day), F.dayofmonth(day), F.lit("2025-06-15").cast("date")).alias("year"))
 
 
-_RANGE = f"SELECT o_orderkey, unnest(generate_series({_D}, {_D} + CAST(o_orderkey % 9 AS INTEGER), INTERVAL 1 DAY))::DATE AS day FROM orders WHERE o_orderkey % 10 = 1"
+_RANGE = f"SELECT o_orderkey, unnest(generate_series({_D}, {_D} + CAST(o_orderkey % 9 AS INTEGER), INTERVAL 1 DAY))::DATE AS day FROM orders"
 
 
 def _expanded(spark, sf_dir):
     day = F.to_date("o_orderdate")
-    rows = table(spark, sf_dir, "orders").where("o_orderkey % 10 = 1")
-    return rows.select("o_orderkey", F.explode(dates.date_range(day, F.date_add(day, (F.col("o_orderkey") % 9).cast("int")))).alias("day"))
+    return table(spark, sf_dir, "orders").select("o_orderkey", F.explode(dates.date_range(day, F.date_add(day, (F.col("o_orderkey") % 9).cast("int")))).alias("day"))
 
 
 @query(_RANGE)
@@ -54,11 +53,21 @@ def weekday_exception(spark, sf_dir):
     return _expanded(spark, sf_dir).where(name != "sunday").select("o_orderkey", "day", F.when(name == "saturday", "18:00").otherwise("20:00").alias("time"))
 
 
-@query("SELECT s_suppkey, strftime(DATE '2025-11-01' + to_months(CAST(i AS INTEGER)), 'http://site/%Y/%m') AS url FROM (SELECT s_suppkey, unnest(generate_series(0, s_suppkey % 5)) AS i FROM supplier)")
+@query(
+    """
+WITH m AS (SELECT s_suppkey, unnest(generate_series(0, s_suppkey % 15)) AS i FROM supplier), d AS (SELECT s_suppkey, 2025 + (10 + i) // 12 AS y, (10 + i) % 12 + 1 AS m FROM m)
+SELECT s_suppkey, CASE s_suppkey % 3
+  WHEN 0 THEN 'http://site/' || y || '/' || lpad(CAST(m AS VARCHAR), 2, '0') || '/list'
+  WHEN 1 THEN 'http://site/?from=' || '30-' || m || '-' || (y % 100)
+  ELSE 'http://site/30.' || lpad(CAST(m AS VARCHAR), 2, '0') || '.' || y || '?M=1' END AS url FROM d
+"""
+)
 def pattern_url_list(spark, sf_dir):
-    months = F.sequence(F.lit(0), (F.col("s_suppkey") % 5).cast("int"))
-    rows = table(spark, sf_dir, "supplier").select("s_suppkey", F.explode(months).alias("i"))
-    return rows.select("s_suppkey", dates.pattern_url(F.lit("http://site/{yyyy}/{MM}"), F.add_months(F.lit("2025-11-01").cast("date"), F.col("i"))).alias("url"))
+    k = F.col("s_suppkey") % 3
+    url = F.when(k == 0, "http://site/{index}/list").when(k == 1, "http://site/?from=").otherwise("http://site/{index}?M=1")
+    pattern = F.when(k == 0, "yyyy/MM").when(k == 1, "d-M-yy").otherwise("DD.mm.yyyy")
+    rows = table(spark, sf_dir, "supplier").select("s_suppkey", url.alias("u"), pattern.alias("p"), F.explode(F.sequence(F.lit(0), (F.col("s_suppkey") % 15).cast("int"))).alias("i"))
+    return rows.select("s_suppkey", dates.pattern_url(F.col("u"), F.col("p"), F.lit("2025-11-30").cast("date"), F.col("i")).alias("url"))
 
 
 @query(f"SELECT o_orderkey, strftime({_D}, '%d/%m/%Y') || CASE WHEN o_orderkey % 2 = 0 THEN ' (time: 20:00)' ELSE '' END AS shown, CAST(week({_D}) AS INTEGER) AS week FROM orders")
@@ -78,20 +87,80 @@ def end_next_day(spark, sf_dir):
     return table(spark, sf_dir, "orders").select("o_orderkey", dates.end_after_start(F.col("o_orderkey"), end).alias("end_ms"))
 
 
-@query()
+_MONTHS = "['janvier', 'fevrier', 'mars', 'avril', 'mai', 'juin', 'juillet', 'aout', 'septembre', 'octobre', 'novembre', 'decembre']"
+
+
+def _written(day):
+    from ..functions.date_text import FRENCH_MONTH_NAMES
+
+    month = F.element_at(F.array(*[F.lit(m) for m in FRENCH_MONTH_NAMES]), F.month(day))
+    return F.concat_ws(" ", F.dayofmonth(day).cast("string"), month, F.year(day).cast("string"))
+
+
+@query(f"SELECT o_orderkey, CAST(0 AS INTEGER) AS possibility, strftime(d, '%Y-%m-%d') AS start_date, '20:00' AS start_time FROM (SELECT o_orderkey, unnest(generate_series({_D}, {_D} + 2, INTERVAL 1 DAY)) AS d FROM orders)")
 def extracted_dates(spark, sf_dir):
     import datetime as dt
 
-    from ..functions.date_text import FRENCH_MONTH_NAMES, parse_dates
+    from ..functions.date_text import parse_dates
 
     day = F.to_date("o_orderdate")
-    month = lambda d: F.element_at(F.array(*[F.lit(m) for m in FRENCH_MONTH_NAMES]), F.month(d))
-    written = lambda d: F.concat_ws(" ", F.dayofmonth(d).cast("string"), month(d), F.year(d).cast("string"))
-    shown = F.concat(F.lit("du "), written(day), F.lit(" au "), written(F.date_add(day, 2)), F.lit(" à 20h"))
+    shown = F.concat(F.lit("du "), _written(day), F.lit(" au "), _written(F.date_add(day, 2)), F.lit(" à 20h"))
     rows = table(spark, sf_dir, "orders").select("o_orderkey", shown.alias("shown"))
     return rows.select("o_orderkey", F.explode(parse_dates(F.col("shown"), ["day", "month", "year"], "long", "long", dt.date(2025, 12, 1))).alias("d")).select("o_orderkey", "d.possibility", "d.start_date", "d.start_time")
 
 
+@query(
+    f"""
+WITH o AS (SELECT o_orderkey, {_D} AS d, o_orderkey % 5 AS k FROM orders)
+SELECT o_orderkey, CASE WHEN k = 4 THEN 0 WHEN k = 3 THEN -1 ELSE
+  epoch_ms(timezone('UTC', timezone(CASE k WHEN 0 THEN 'Europe/Paris' ELSE 'Asia/Ho_Chi_Minh' END, CAST(d AS TIMESTAMP) + INTERVAL 20 HOUR))) END AS "unixDate",
+  CAST(CASE WHEN k < 3 THEN 1 ELSE 0 END AS INTEGER) AS n_possibilities, k < 3 AS "hasStartTime", CASE WHEN k = 4 THEN 'unreadable date' ELSE '' END AS error FROM o
+"""
+)
+def dates_by_venue_format(spark, sf_dir):
+    """Each order's date in the format of its venue, of its linked page or else of its main page."""
+    from ..operators.extract import FORMAT, dated_by
+
+    k, day = F.col("o_orderkey") % 5, F.to_date("o_orderdate")
+    number = F.concat(F.date_format(day, "dd.MM.yyyy"), F.lit(" 20:00"))
+    text = F.when(k == 0, F.concat(_written(day), F.lit(" à 20h"))).when(k < 3, number).when(k == 3, "  ").otherwise("to be announced")
+    form = lambda month: F.struct(F.array(*map(F.lit, ("day", "month", "year"))).alias("order"), F.lit(month).alias("month"), F.lit("long").alias("year"))
+    formats = F.when(k == 1, F.array(form("numeric"))).otherwise(F.array(form("long"), form("numeric"))).cast(f"array<{FORMAT}>")
+    events = table(spark, sf_dir, "orders").select("o_orderkey", "o_orderdate", text.alias("eventDate"), F.lit("").alias("errorLog"), F.when(k == 0, "Europe/Paris").otherwise("Asia/Ho_Chi_Minh").alias("zone"))
+    out = dated_by(events, formats, F.lit("2025-12-01").cast("date"), F.col("zone"), F.lit("french"))
+    return out.select("o_orderkey", "unixDate", "n_possibilities", "hasStartTime", F.regexp_replace("errorLog", "^ \\| ", "").alias("error"))
+
+
+@query(f"SELECT o_orderkey, {_D} = CAST(o_orderdate + to_minutes(CAST(o_orderkey % 2000 AS BIGINT)) AS DATE) AS same FROM orders")
+def same_local_day(spark, sf_dir):
+    from ..operators.filters import same_day
+
+    start = F.unix_millis(F.to_utc_timestamp(F.col("o_orderdate").cast("timestamp"), "Asia/Ho_Chi_Minh"))
+    return table(spark, sf_dir, "orders").select("o_orderkey", same_day(start, start + (F.col("o_orderkey") % 2000) * 60_000, "Asia/Ho_Chi_Minh").alias("same"))
+
+
+@query("SELECT event_id, epoch_ms(timezone('UTC', timezone('Asia/Ho_Chi_Minh', date_trunc('day', timezone('Asia/Ho_Chi_Minh', timezone('UTC', ts)))))) AS midnight FROM events")
+def local_midnights(spark, sf_dir):
+    return table(spark, sf_dir, "events").select("event_id", F.unix_millis(dates.local_midnight(F.col("ts").cast("timestamp"), "Asia/Ho_Chi_Minh")).alias("midnight"))
+
+
+@query(f"SELECT o_orderkey, strftime({_D}, '%d/%m/') || lpad(CAST(o_orderkey % 40 AS VARCHAR), 2, '0') AS padded FROM orders")
+def two_digit_numbers(spark, sf_dir):
+    day = F.to_date("o_orderdate")
+    shown = F.concat_ws("/", F.dayofmonth(day).cast("string"), F.month(day).cast("string"), (F.col("o_orderkey") % 40).cast("string"))
+    return table(spark, sf_dir, "orders").select("o_orderkey", dates.two_digits(shown).alias("padded"))
+
+
+@query(
+    f"""
+SELECT event_id, 'Le ' || ['lundi', 'mardi', 'mercredi', 'jeudi', 'vendredi', 'samedi', 'dimanche'][isodow(t)] || ' ' || day(t) || ' ' || {_MONTHS.replace("fevrier", "février").replace("aout", "août").replace("decembre", "décembre")}[month(t)]
+  || ' ' || year(t) || ' à ' || strftime(t, '%H:%M') AS shown FROM (SELECT event_id, timezone('Europe/Paris', timezone('UTC', ts)) AS t FROM events)
+"""
+)
+def french_dates(spark, sf_dir):
+    return table(spark, sf_dir, "events").select("event_id", dates.french_date(F.col("ts").cast("timestamp"), "Europe/Paris").alias("shown"))
+
+
 @query("SELECT o_orderpriority, CASE o_orderpriority WHEN '1-URGENT' THEN 'long' WHEN '2-HIGH' THEN 'short' ELSE 'numeric' END AS month, CASE WHEN o_orderpriority IN ('1-URGENT', '2-HIGH') THEN 'long' ELSE 'short' END AS year FROM orders GROUP BY 1")
 def infer_date_format(spark, sf_dir):
     from ..functions.date_text import FRENCH

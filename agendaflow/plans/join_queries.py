@@ -12,7 +12,7 @@ _P = "SELECT n_name AS title, arg_max(CAST(n_regionkey AS DOUBLE), n_nationkey)
 
 def _events(spark, sf_dir):
     customer, nation = table(spark, sf_dir, "customer"), table(spark, sf_dir, "nation")
-    return customer.join(F.broadcast(nation.select("n_nationkey", "n_name")), F.col("c_nationkey") == F.col("n_nationkey")).select("c_custkey", F.col("n_name").alias("place"))
+    return customer.join(nation.select("n_nationkey", "n_name"), F.col("c_nationkey") == F.col("n_nationkey")).select("c_custkey", F.col("n_name").alias("place"))
 
 
 def _places(spark, sf_dir):
@@ -117,11 +117,11 @@ def timezone_two_level(spark, sf_dir):
 _KEY = "l_orderkey, l_partkey, l_suppkey"
 
 
-@query(f"SELECT l_orderkey, l_linenumber, ({_KEY}) IN (SELECT {_KEY} FROM lineitem WHERE l_returnflag = 'R') AS detected FROM lineitem WHERE l_quantity < 5")
+@query(f"SELECT l_orderkey, l_linenumber, ({_KEY}) IN (SELECT {_KEY} FROM lineitem WHERE l_returnflag = 'R') AS detected FROM lineitem")
 def iframe_composite_semi_anti(spark, sf_dir):
     keys = ["l_orderkey", "l_partkey", "l_suppkey"]
     items = table(spark, sf_dir, "lineitem")
-    chosen = items.where("l_quantity < 5").select(*keys, "l_linenumber")
+    chosen = items.select(*keys, "l_linenumber")
     found = items.where("l_returnflag = 'R'").select(*keys)
     columns = lambda df, flag: df.select("l_orderkey", "l_linenumber", F.lit(flag).alias("detected"))
     return columns(chosen.join(found, keys, "left_semi"), True).unionByName(columns(chosen.join(found, keys, "left_anti"), False))
@@ -139,12 +139,14 @@ def repair_by_source(spark, sf_dir):
     return table(spark, sf_dir, "customer").join(errors, "c_custkey", "left_semi").groupBy("c_nationkey").agg(F.count("*").alias("n"))
 
 
-@query("SELECT n_nationkey FROM nation WHERE n_nationkey NOT IN (SELECT c_nationkey FROM customer) AND n_nationkey NOT IN (SELECT s_nationkey FROM supplier)")
+@query("SELECT o_orderkey FROM orders WHERE o_orderkey NOT IN (SELECT l_orderkey FROM lineitem WHERE l_returnflag = 'R') AND o_custkey NOT IN (SELECT c_custkey FROM customer WHERE c_acctbal < 0)")
 def deletable_cities(spark, sf_dir):
+    """Orders on which no returned item depends, of customers without debts."""
     from ..operators.registry import deletable
 
-    nation = table(spark, sf_dir, "nation").select("n_nationkey")
-    return deletable(nation, "n_nationkey", table(spark, sf_dir, "customer").select(F.col("c_nationkey").alias("n_nationkey")), table(spark, sf_dir, "supplier").select(F.col("s_nationkey").alias("n_nationkey")))
+    orders = table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey")
+    free = deletable(orders, "o_orderkey", table(spark, sf_dir, "lineitem").where("l_returnflag = 'R'").select(F.col("l_orderkey").alias("o_orderkey")))
+    return deletable(free, "o_custkey", table(spark, sf_dir, "customer").where("c_acctbal < 0").select(F.col("c_custkey").alias("o_custkey"))).select("o_orderkey")
 
 
 @query("SELECT n_regionkey, n_name FROM nation UNION SELECT 0, 'Atlantis'")
@@ -156,10 +158,75 @@ def add_city_once(spark, sf_dir):
     return add_name(once, "n_name", {"n_regionkey": 1, "n_name": "aTLANTIS"})
 
 
-@query(f"SELECT c_custkey FROM customer QUALIFY count(*) OVER (PARTITION BY c_nationkey, {sql_simplify('left(c_mktsegment, 3)')}) = 1")
+_ALIASED = """SELECT s_suppkey, s_nationkey AS city, unnest([s_name, left(s_name, 8) || ' ' || (s_suppkey % 7)]) AS alias FROM supplier"""
+
+
+@query(f"SELECT s_suppkey, count(*) AS n FROM (SELECT * FROM ({_ALIASED}) QUALIFY count(*) OVER (PARTITION BY city, {sql_simplify('alias')}) = 1) GROUP BY 1")
 def unique_aliases(spark, sf_dir):
+    """How many names of each venue no other venue of its city has."""
+    names = F.array("s_name", F.concat_ws(" ", F.left("s_name", F.lit(8)), F.col("s_suppkey") % 7))
+    rows = table(spark, sf_dir, "supplier").select("s_suppkey", F.col("s_nationkey").alias("city"), names.alias("names"))
+    return places.unique_names(rows, "s_suppkey", "city", "names")
+
+
+@query(
+    f"""
+WITH p AS (SELECT n_name AS title, arg_max('http://' || n_nationkey, n_nationkey) AS url FROM nation WHERE n_nationkey % 3 <> 0 GROUP BY 1)
+SELECT c_custkey, n_name AS place, p.url FROM customer JOIN nation ON c_nationkey = n_nationkey LEFT JOIN p ON p.title = n_name
+"""
+)
+def place_addresses(spark, sf_dir):
+    known = table(spark, sf_dir, "nation").where("n_nationkey % 3 <> 0").select(F.col("n_name").alias("title"), F.concat(F.lit("http://"), "n_nationkey").alias("url"), F.col("n_nationkey").alias("seq"))
+    return places.with_addresses(_events(spark, sf_dir), known)
+
+
+@query(
+    f"""
+WITH d AS (SELECT {sql_simplify('n_name')} AS key, n_regionkey, arg_min('style ' || n_nationkey, n_nationkey) AS style FROM nation WHERE n_nationkey % 4 <> 1 GROUP BY ALL)
+SELECT c_custkey, coalesce(nullif(CASE WHEN c_custkey % 3 = 0 THEN c_mktsegment ELSE '' END, ''), d.style, CASE WHEN nation.n_regionkey % 2 = 0 THEN 'site' END, 'Live') AS style
+FROM customer JOIN nation ON c_nationkey = n_nationkey LEFT JOIN d ON d.key = {sql_simplify('n_name')} AND d.n_regionkey = nation.n_regionkey
+"""
+)
+def default_style_of_place(spark, sf_dir):
+    nation = table(spark, sf_dir, "nation")
+    rows = table(spark, sf_dir, "customer").join(nation, F.col("c_nationkey") == F.col("n_nationkey")).select(
+        "c_custkey", F.upper("n_name").alias("place"), F.col("n_regionkey").alias("city"), F.lit("x").alias("country"), F.when(F.col("c_custkey") % 3 == 0, F.col("c_mktsegment")).otherwise("").alias("style"), F.when(F.col("n_regionkey") % 2 == 0, "site").alias("siteStyle")
+    )
+    venues = nation.where("n_nationkey % 4 <> 1").select(F.col("n_nationkey").alias("seq"), F.col("n_name").alias("name"), F.col("n_regionkey").alias("city"), F.lit("x").alias("country"), F.concat(F.lit("style "), "n_nationkey").alias("defaultStyle"))
+    return places.with_default_style(rows, venues).select("c_custkey", "style")
+
+
+@query(f"SELECT a.s_suppkey AS a, b.s_suppkey AS b FROM supplier a JOIN supplier b ON a.s_nationkey = b.s_nationkey AND a.s_suppkey < b.s_suppkey AND {sql_simplify('a.s_name')} <> {sql_simplify('b.s_name')}")
+def same_city_venues(spark, sf_dir):
     from ..functions.text import simplify
 
-    rows = table(spark, sf_dir, "customer").withColumn("key", simplify(F.left("c_mktsegment", F.lit(3))))
-    once = rows.groupBy("c_nationkey", "key").agg(F.count("*").alias("n"), F.min("c_custkey").alias("c_custkey")).where("n = 1")
-    return once.select("c_custkey")
+    s = table(spark, sf_dir, "supplier").select("s_suppkey", "s_nationkey", simplify(F.col("s_name")).alias("key"))
+    a, b = s.alias("a"), s.alias("b")
+    near = (F.col("a.s_nationkey") == F.col("b.s_nationkey")) & (F.col("a.s_suppkey") < F.col("b.s_suppkey")) & (F.col("a.key") != F.col("b.key"))
+    return a.join(b, near).select(F.col("a.s_suppkey").alias("a"), F.col("b.s_suppkey").alias("b"))
+
+
+@query(
+    """
+WITH v AS (SELECT c_custkey, CASE WHEN c_custkey % 5 <> 0 THEN 'http://x' END AS url, c_custkey % 4 <> 0 AS page, c_custkey % 6 <> 0 AS files, c_custkey % 7 <> 0 AS delimiter, c_custkey % 3 AS k FROM customer)
+SELECT c_custkey, url IS NOT NULL AND page AS active, CASE WHEN url IS NULL THEN 'no url' WHEN NOT files THEN 'no files' WHEN NOT delimiter THEN 'no delimiter' WHEN NOT page THEN 'no main page' WHEN k = 0 THEN 'no name key' WHEN k = 1 THEN 'no date key' END AS reason FROM v
+"""
+)
+def venue_checks(spark, sf_dir):
+    from ..operators import filters
+
+    k = F.col("c_custkey")
+    paths = F.array(F.lit("p"))
+    page = F.when(k % 3 == 0, F.create_map(F.lit("eventDate"), paths)).when(k % 3 == 1, F.create_map(F.lit("eventName"), paths)).otherwise(F.create_map(F.lit("eventMultiName"), paths))
+    linked = F.when(k % 3 == 2, F.create_map(F.lit("eventDate"), paths))
+    rows = table(spark, sf_dir, "customer").select("c_custkey", F.when(k % 5 != 0, "http://x").alias("url"), F.when(k % 7 != 0, "div").alias("eventsDelimiterTag"), F.when(k % 4 != 0, page).alias("mainPage"), linked.alias("linkedPage"))
+    out = filters.reject_reason(rows, F.col("c_custkey") % 6 != 0)
+    return out.select("c_custkey", filters.is_active(F.col("url"), F.col("mainPage")).alias("active"), F.col("reject_reason").alias("reason"))
+
+
+@query(f"SELECT c_custkey FROM customer WHERE {sql_simplify('c_name')} IN (SELECT {sql_simplify('s_name')} FROM supplier) OR {sql_simplify('c_name')} = 'customer 000000007'")
+def venue_lookup(spark, sf_dir):
+    from ..operators import filters
+
+    venues = table(spark, sf_dir, "customer").select("c_custkey", F.col("c_name").alias("id"))
+    return filters.find_venue(venues, "CUSTOMER 000000007").select("c_custkey")

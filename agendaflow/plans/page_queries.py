@@ -8,8 +8,6 @@ from ..functions import text
 from ..operators import pages, stats
 from .registry import query, table
 
-_SCRIPTS = "regexp_replace(regexp_replace(html, '<script[\\s\\S]*?</script', '', 'g'), '<noscript[\\s\\S]*?</noscript', '', 'g')"
-
 
 def _drop(x: str, *tags: str) -> str:
     for tag in tags:
@@ -22,7 +20,7 @@ def clean_scripts_pages(spark, sf_dir):
     return table(spark, sf_dir, "pages").select("page_id", text.clean_scripts(F.col("html")).alias("html"))
 
 
-@query("SELECT page_id, " + _drop("regexp_replace(html, '</?path[^>]*>', '', 'g')", "header", "svg", "video", "option", "footer", "nav", "select") + " AS html FROM pages")
+@query("SELECT page_id, " + _drop("regexp_replace(html, '(?i)<\\s*path[^>]*>(.*?)<\\s*/path\\s*>', '\\1', 'g')", *text.USELESS) + " AS html FROM pages")
 def remove_useless_tags_pages(spark, sf_dir):
     return table(spark, sf_dir, "pages").select("page_id", text.remove_useless_tags(F.col("html")).alias("html"))
 
@@ -37,15 +35,38 @@ def extract_body_pages(spark, sf_dir):
     return table(spark, sf_dir, "pages").select("page_id", text.extract_body(F.col("html")).alias("body"))
 
 
+def _without(x: str, *attributes: str) -> str:
+    for name in attributes:
+        x = f"regexp_replace({x}, '{name}[ ]*=[ ]*\"[\\s\\S]*?\"', '', 'g')"
+    return x
+
+
 @query(
-    "SELECT page_id, regexp_replace(regexp_replace(regexp_replace("
-    + _drop("html", "head", "script", "style", "noscript", "svg", "iframe")
-    + ", '<!--[\\s\\S]*?-->', '', 'g'), '<img[^>]*>', '', 'g'), '(?i)\\s(id|style|href|src|alt|title|lang|rel|target|type|width|height)=\"[^\"]*\"', '', 'g') AS html FROM pages"
-)
+    "SELECT page_id, "
+    + _without(
+        "regexp_replace(" + _drop("html", "head", "path", "header", "svg", "video", "option", "button", "footer", "nav", "select") + ", '<img[\\s\\S]*?>', '', 'g')",
+        "style", "alt", "decoding", "srcSet", "src", "sizes", "rel", "target", "aria-label", "aria-haspopup", "aria-expanded", "aria-current", "aria-hidden", "aria-disabled", "aria-controls", "data-state",
+    )
+    + " AS html FROM pages"
+)
 def minimalize_basic_pages(spark, sf_dir):
     return table(spark, sf_dir, "pages").select("page_id", text.minimalize_basic(F.col("html")).alias("html"))
 
 
+_STYLED = "regexp_replace(html, '<p>', '<p><img src=\"a\" style=\"top:0; position : absolute\"><b style=\"position:absolute\">', 'g')"
+
+
+@query(f"SELECT page_id, regexp_replace({_STYLED}, '(<img[^>]*style\\s*=\\s*\"[^\"]*position\\s*:\\s*)absolute', '\\1XXXXXXXX', 'g') AS html FROM pages")
+def fix_images_pages(spark, sf_dir):
+    styled = F.regexp_replace("html", "<p>", "<p><img src=\"a\" style=\"top:0; position : absolute\"><b style=\"position:absolute\">")
+    return table(spark, sf_dir, "pages").select("page_id", text.fix_images(styled).alias("html"))
+
+
+@query("SELECT page_id, regexp_replace(html, '<p.*?>', '[***IMAGE***]', 'g') AS html FROM pages")
+def image_placeholder_pages(spark, sf_dir):
+    return table(spark, sf_dir, "pages").select("page_id", text.image_placeholder(F.regexp_replace("html", "<p", "<img")).alias("html"))
+
+
 _LINKS = "SELECT page_id, url, unnest(generate_series(0, len(h) - 1)) AS pos, unnest(h) AS href FROM (SELECT page_id, url, regexp_extract_all(html, 'href=\"([^\"]*)\"', 1) AS h FROM pages)"
 
 
@@ -134,12 +155,12 @@ def page_list_urls(spark, sf_dir):
 @query(
     """
 WITH t AS (SELECT conv_id, min(turn) AS first FROM conversations GROUP BY 1)
-SELECT c.conv_id, coalesce(nullif(s.role, ''), c.role) AS role, trim(concat_ws(' ', left(c.text, 20), left(s.text, 20))) AS text
+SELECT c.conv_id, coalesce(nullif(s.role, ''), c.role) AS role, trim(concat_ws(' ', c.text, s.text)) AS text
 FROM conversations c JOIN t ON c.conv_id = t.conv_id AND c.turn = t.first LEFT JOIN conversations s ON s.conv_id = c.conv_id AND s.turn > t.first
 """
 )
 def sub_events_exploded(spark, sf_dir):
-    turns = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", F.left("text", F.lit(20)).alias("text"))
+    turns = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
     first = turns.groupBy("conv_id").agg(F.min("turn").alias("first"))
     ranked = turns.join(first, "conv_id")
     heads = ranked.where("turn = first").select("conv_id", "role", "text")
@@ -147,10 +168,17 @@ def sub_events_exploded(spark, sf_dir):
     return pages.sub_events(heads.join(subs, "conv_id", "left"), F.col("subs"), ("role",), ("text",)).select("conv_id", "role", "text")
 
 
-@query("SELECT * FROM (VALUES (1, 'div.a>ul'), (2, ''), (3, 'p>span')) t(id, prefix)")
+@query("SELECT p_partkey, CASE p_partkey % 4 WHEN 0 THEN 'div.' || replace(p_name, ' ', '-') || '>ul' WHEN 1 THEN '' WHEN 2 THEN p_type || '>' || p_name ELSE 'body' END AS prefix FROM part")
 def subevent_common_prefix(spark, sf_dir):
-    rows = spark.sql("SELECT * FROM VALUES (1, array('div.a>ul>li:eq(0)', 'div.a>ul>li:eq(1)>b')), (2, array('a', 'b>c')), (3, array('p>span')) AS t(id, paths)")
-    return rows.select("id", pages.common_prefix(F.col("paths")).alias("prefix"))
+    k = F.col("p_partkey") % 4
+    top = F.concat(F.lit("div."), F.replace("p_name", F.lit(" "), F.lit("-")), F.lit(">ul"))
+    paths = (
+        F.when(k == 0, F.array(F.concat(top, F.lit(">li:eq(0)")), F.concat(top, F.lit(">li:eq(1)>b")), F.concat(top, F.lit(">li:eq(1)"))))
+        .when(k == 1, F.array(F.lit("a"), F.lit("b>c")))
+        .when(k == 2, F.array(F.concat_ws(">", "p_type", "p_name")))
+        .otherwise(F.array(F.lit("body>p"), F.lit("body")))
+    )
+    return table(spark, sf_dir, "part").select("p_partkey", pages.common_prefix(paths).alias("prefix"))
 
 
 @query("SELECT c_custkey, CASE WHEN len(l) > 3 THEN array_to_string(l[1:3], ', ') || '...(' || len(l) || ' elements)' ELSE array_to_string(l, ', ') END AS shown FROM (SELECT o_custkey AS c_custkey, list(CAST(o_orderkey AS VARCHAR) ORDER BY o_orderkey) AS l FROM orders GROUP BY 1)")
@@ -170,12 +198,66 @@ def html_nodes(spark, sf_dir):
     return spark.sql("SELECT p.page_id, n.node_id, n.parent_id, n.depth, n.tag, array_join(n.classes, ' ') AS classes, n.sib_index FROM agendaflow_pages p, LATERAL html_nodes(p.html) n")
 
 
+@query(
+    """
+WITH p AS (SELECT page_id, coalesce(regexp_extract(html, '<nav><ul>([\\s\\S]*?)</ul></nav>', 1), '') AS nav FROM pages),
+a AS (SELECT page_id, regexp_extract_all(nav, '<a href="([^"]*)"', 1) AS h, regexp_extract_all(nav, '<li><a href="[^"]*">([^<]*)</a></li>', 1) AS t FROM p)
+SELECT page_id, i - 1 AS pos, h[i] AS href, t[i] AS text FROM (SELECT page_id, h, t, unnest(generate_series(1, len(h))) AS i FROM a)
+"""
+)
+def html_nodes_links(spark, sf_dir):
+    """The links of each page's menu, whose list items have lost their end tags, from the node table."""
+    from ..functions import html
+
+    html.register(spark)
+    table(spark, sf_dir, "pages").select("page_id", F.regexp_replace("html", "</li>|</nav>", "").alias("html")).createOrReplaceTempView("agendaflow_open_pages")
+    nodes = spark.sql("SELECT p.page_id, n.* FROM agendaflow_open_pages p, LATERAL html_nodes(p.html) n")
+    item = nodes.where("tag = 'li'").select("page_id", F.col("node_id").alias("parent_id"), F.col("sib_index").cast("long").alias("pos"))
+    links = nodes.where("tag = 'a'").join(item, ["page_id", "parent_id"])
+    return links.select("page_id", "pos", "href", "text")
+
+
 @query()
 def extracted_events(spark, sf_dir):
+    """Each page's articles; the linked page of an article is the page of its first link's number, if there
+    is one, and every page's dates are read."""
+    from ..operators import extract
+
+    paths = lambda *p: F.array(*map(F.lit, p))
+    recipe = F.create_map(F.lit("eventName"), paths("h1"), F.lit("eventDate"), paths("p:eq(0)"), F.lit("eventURL"), paths(""))
+    linked = F.create_map(F.lit("eventStyle"), paths("html>body>div.ad"), F.lit("eventPlace"), paths("html>head>title"))
+    pages_ = table(spark, sf_dir, "pages")
+    venues = pages_.select(F.col("page_id").cast("string").alias("id"), "url", F.lit("article").alias("delimiter"), recipe.alias("mainPage"), linked.alias("linkedPage"))
+    stored = pages_.select(F.col("page_id").cast("string").alias("venue_id"), F.lit(0).alias("page_no"), F.concat(F.lit("<a href=\"/page/"), F.col("page_id") * 2, F.lit("\">"), "html", F.lit("</a>")).alias("html"))
+    own = text.make_url(F.concat(F.lit("/page/"), F.col("page_id") * 2), text.base_url(F.col("url")))
+    others = pages_.where("page_id % 3 > 0").select(own.alias("url"), "html").dropDuplicates(["url"])
+    events = extract.events_of(extract.blocks_of(stored, venues), others, ["annulé"])
+    form = F.array(F.struct(paths("day", "month", "year").alias("order"), F.lit("long").alias("month"), F.lit("long").alias("year")))
+    return extract.dated_by(events, form, F.lit("2025-12-01").cast("date"), F.lit("Europe/Paris"), F.lit("french"))
+
+
+@query("SELECT page_id, 'http://site/event/' || (page_id * 3 + i) AS link FROM pages, (SELECT unnest([0, 1, 2]) AS i)")
+def recipe_links_of_pages(spark, sf_dir):
+    """The addresses that the blocks of a page lead to by its recipe."""
     from ..operators import extract
 
-    recipe = F.create_map(F.lit("eventName"), F.array(F.lit("h1")), F.lit("eventDate"), F.array(F.lit("p:eq(0)")), F.lit("eventURL"), F.array(F.lit("")))
-    venues = table(spark, sf_dir, "pages").select(F.col("page_id").cast("string").alias("id"), "url", F.lit("article").alias("delimiter"), recipe.alias("mainPage"), F.lit(None).cast("map<string,array<string>>").alias("linkedPage"))
-    stored = table(spark, sf_dir, "pages").select(F.col("page_id").cast("string").alias("venue_id"), F.lit(0).alias("page_no"), "html")
-    linked = spark.createDataFrame([], "url string, html string")
-    return extract.events_of(extract.blocks_of(stored, venues), linked, ["annulé"])
+    k = F.col("page_id") * 3
+    block = lambda i: F.concat(F.lit('<li class="e"><h3><a href="/event/'), k + i, F.lit('">x</a></h3><a href="/no">y</a>'))
+    stored = table(spark, sf_dir, "pages").select(F.col("page_id").cast("string").alias("venue_id"), F.lit(0).alias("page_no"), F.concat(F.lit("<ul>"), block(0), block(1), block(2), F.lit("</ul>")).alias("html"))
+    recipe = F.create_map(F.lit("eventURL"), F.array(F.lit("h3>a")))
+    venues = table(spark, sf_dir, "pages").select(F.col("page_id").cast("string").alias("id"), F.lit("http://site/list").alias("url"), F.lit("ul>li.e").alias("delimiter"), recipe.alias("mainPage"))
+    return extract.links_to_download(stored, venues).select(F.col("venue_id").cast("long").alias("page_id"), "link")
+
+
+@query("SELECT page_id, 'li.item' AS delimiter, CAST(3 AS INTEGER) AS events, 'h3.t' AS name, 'p.d' AS date FROM pages")
+def induced_recipes(spark, sf_dir):
+    """Recipes from the sample strings of one event of each site; the first event has a class of its own."""
+    from ..functions.html import analyse_pages
+
+    k = F.col("page_id").cast("string")
+    item = lambda i, more: F.concat(F.lit(f'<li class="item{more}"><a href="/e{i}"><h3 class="t">Name {i} '), k, F.lit(f'</h3></a><p class="d">{i + 1} mai 2025</p>'))
+    html = F.concat(F.lit("<ul>"), item(0, " first"), item(1, ""), item(2, ""), F.lit("</ul><p>end</p>"))
+    samples = F.create_map(F.lit("eventName"), F.array(F.concat(F.lit("Name 0 "), k)), F.lit("eventDate"), F.array(F.lit("1 mai 2025")))
+    found = table(spark, sf_dir, "pages").select("page_id", analyse_pages(html, samples, F.lit(True)).alias("r"))
+    last = lambda key: F.element_at(F.split(F.col("r.mainPage")[key][0], ">"), -1)
+    return found.select("page_id", "r.delimiter", "r.events", last("eventName").alias("name"), last("eventDate").alias("date"))

@@ -22,18 +22,20 @@ def strip_accents_documents(spark, sf_dir):
 @query(
     f"""
 SELECT c_custkey FROM customer JOIN nation ON c_nationkey = n_nationkey
-WHERE {sql_simplify('n_name')} = {sql_simplify("'FRANCE '")} AND {sql_simplify('c_mktsegment')} = {sql_simplify("'Building'")}
+WHERE {sql_simplify('n_name')} = {sql_simplify("'Nation_7 '")} AND {sql_simplify('c_mktsegment')} = {sql_simplify("'Building'")}
 """
 )
 def venue_selection_wildcards(spark, sf_dir):
     venues = table(spark, sf_dir, "customer").join(table(spark, sf_dir, "nation"), F.col("c_nationkey") == F.col("n_nationkey"))
     venues = venues.select("c_custkey", F.col("c_name").alias("name"), F.col("c_mktsegment").alias("city"), F.col("n_name").alias("country"))
-    return filters.select_venues(venues, "*", "Building", "FRANCE ").select("c_custkey")
+    return filters.select_venues(venues, "*", "Building", "Nation_7 ").select("c_custkey")
 
 
-@query("SELECT c_custkey FROM customer WHERE c_name LIKE 'Customer#00000001%'")
+@query("WITH p AS (SELECT unnest(['Customer#0000000012', 'Customer#000000001', 'Nobody']) AS prefix) SELECT prefix, min(c_name) AS id, count(*) AS n, count(*) = 1 AS \"unique\" FROM customer JOIN p ON starts_with(c_name, prefix) GROUP BY 1")
 def venue_id_prefix(spark, sf_dir):
-    return table(spark, sf_dir, "customer").where(F.col("c_name").startswith("Customer#00000001")).select("c_custkey")
+    venues = table(spark, sf_dir, "customer").select(F.col("c_name").alias("id"))
+    found = [filters.by_id_prefix(venues, p).select(F.lit(p).alias("prefix"), "id", "n", "unique") for p in ("Customer#0000000012", "Customer#000000001", "Nobody")]
+    return found[0].unionByName(found[1]).unionByName(found[2])
 
 
 @query(f"SELECT doc_id FROM documents WHERE contains({sql_simplify('text')}, 'queeau') OR contains({sql_simplify('text')}, 'elle est')")
@@ -68,9 +70,9 @@ def make_and_split_id(spark, sf_dir):
     return table(spark, sf_dir, "customer").select("c_custkey", made.alias("id"), text.name_of_id(made).alias("name"))
 
 
-@query("SELECT doc_id, regexp_replace(text, 'en[a-z]', '#', '') AS text FROM documents WHERE text IS NOT NULL")
+@query("SELECT doc_id, regexp_replace(text, 'en[a-z]', '#', '') AS text FROM documents")
 def first_only_replace(spark, sf_dir):
-    return table(spark, sf_dir, "documents").where("text IS NOT NULL").select("doc_id", text.first_only(F.col("text"), "en[a-z]", "#").alias("text"))
+    return table(spark, sf_dir, "documents").select("doc_id", text.first_only(F.col("text"), "en[a-z]", "#").alias("text"))
 
 
 @query(
@@ -92,14 +94,14 @@ def valid_events(spark, sf_dir):
 
 @query(
     f"""
-SELECT a.n_nationkey AS a, b.n_nationkey AS b FROM nation a JOIN nation b ON a.n_regionkey = b.n_regionkey AND a.n_nationkey < b.n_nationkey
-WHERE contains({sql_simplify('left(a.n_name, 1)')}, {sql_simplify('left(b.n_name, 1)')})
+WITH n AS (SELECT n_nationkey, n_regionkey, {sql_simplify('n_name')} AS s FROM nation)
+SELECT a.n_nationkey AS a, b.n_nationkey AS b FROM n a JOIN n b ON a.n_regionkey = b.n_regionkey AND a.n_nationkey < b.n_nationkey WHERE contains(a.s, b.s) OR contains(b.s, a.s)
 """
 )
 def similar_names_in_block(spark, sf_dir):
     n = table(spark, sf_dir, "nation")
     a, b = n.alias("a"), n.alias("b")
-    similar = filters.similar_name(F.left(F.col("a.n_name"), F.lit(1)), F.left(F.col("b.n_name"), F.lit(1)))
+    similar = filters.similar_name(F.col("a.n_name"), F.col("b.n_name"))
     pairs = a.join(b, (F.col("a.n_regionkey") == F.col("b.n_regionkey")) & (F.col("a.n_nationkey") < F.col("b.n_nationkey")) & similar)
     return pairs.select(F.col("a.n_nationkey").alias("a"), F.col("b.n_nationkey").alias("b"))
 
@@ -140,3 +142,68 @@ def circle_and_longitude(spark, sf_dir):
     return table(spark, sf_dir, "supplier").select(
         "s_suppkey", in_circle(F.col("s_acctbal"), F.col("s_nationkey").cast("double"), zero, zero, F.lit(3000.0)).alias("hit"), wrap_longitude(F.col("s_acctbal"), F.lit(10.0)).alias("lon")
     )
+
+
+@query("SELECT p_partkey, CASE WHEN p_partkey % 2 = 0 THEN 'Théâtre' ELSE coalesce(CASE WHEN regexp_matches('xthéâtre', p_name) THEN p_name END, p_name) END AS fixed FROM part")
+def fixed_strings(spark, sf_dir):
+    candidates = F.array(F.lit("Rock"), F.lit("Théâtre"), F.lit("Théatre"))
+    given = F.when(F.col("p_partkey") % 2 == 0, F.lit("Th��tre")).otherwise(F.col("p_name"))
+    return table(spark, sf_dir, "part").select("p_partkey", text.fix_string(given, candidates).alias("fixed"))
+
+
+@query("SELECT p_partkey, CASE WHEN p_name LIKE '%ring' THEN trim(left(p_name, length(p_name) - 4)) ELSE p_name END AS cut FROM part")
+def endings_removed(spark, sf_dir):
+    return table(spark, sf_dir, "part").select("p_partkey", text.remove_ending(F.col("p_name"), F.lit("ring")).alias("cut"))
+
+
+@query("SELECT p_partkey, p_type || ' \\(' || p_name || '\\) (' || p_size || ')' AS escaped FROM part")
+def escaped_parentheses(spark, sf_dir):
+    given = F.concat("p_type", F.lit(" ("), "p_name", F.lit(") ("), F.col("p_size").cast("string"), F.lit(")"))
+    return table(spark, sf_dir, "part").select("p_partkey", text.escape_parentheses(given).alias("escaped"))
+
+
+@query("SELECT s_suppkey, s_suppkey % 5 AS k, CASE s_suppkey % 5 WHEN 0 THEN '' WHEN 1 THEN '' WHEN 2 THEN 'a|b' WHEN 3 THEN 'a b|a c|b c' ELSE 'a b c|a b d|a c d|b c d' END AS left_over FROM supplier")
+def class_combinations(spark, sf_dir):
+    """What remains when one of k classes goes, in every way."""
+    from ..operators.recipes import combinations_without
+
+    classes = F.slice(F.array(*map(F.lit, "abcd")), F.lit(1), (F.col("s_suppkey") % 5).cast("int"))
+    rest = combinations_without(classes, 1)
+    shown = F.transform(F.filter(rest, lambda x: F.size(x) > 0), lambda x: F.array_join(x, " "))
+    return table(spark, sf_dir, "supplier").select("s_suppkey", (F.col("s_suppkey") % 5).alias("k"), F.array_join(F.array_sort(shown), "|").alias("left_over"))
+
+
+@query("SELECT s_suppkey, CASE WHEN s_suppkey % 3 = 0 THEN 'a=1,2;b=3' ELSE 'a=1;c=' END AS merged, CASE WHEN s_suppkey % 3 = 0 THEN 'a,b' ELSE 'a' END AS pruned FROM supplier")
+def merged_recipes(spark, sf_dir):
+    """Two maps of lists joined key by key, and without the keys of empty lists."""
+    from ..operators.recipes import merge_maps, prune
+
+    lists = lambda *x: F.array(*map(F.lit, x)).cast("array<string>")
+    a = F.create_map(F.lit("a"), lists("1"))
+    b = F.when(F.col("s_suppkey") % 3 == 0, F.create_map(F.lit("a"), lists("2"), F.lit("b"), lists("3"))).otherwise(F.create_map(F.lit("c"), lists()))
+    both = merge_maps(a, b)
+    shown = F.array_join(F.array_sort(F.transform(F.map_entries(both), lambda e: F.concat(e["key"], F.lit("="), F.array_join(e["value"], ",")))), ";")
+    return table(spark, sf_dir, "supplier").select("s_suppkey", shown.alias("merged"), F.array_join(F.array_sort(F.map_keys(prune(both))), ",").alias("pruned"))
+
+
+@query("SELECT n_nationkey, row_number() OVER (ORDER BY lower(n_name), n_nationkey) AS place FROM nation")
+def sorted_names(spark, sf_dir):
+    from pyspark.sql.window import Window
+
+    nation = table(spark, sf_dir, "nation")
+    return nation.select("n_nationkey", F.row_number().over(Window.orderBy(F.collate("n_name", "UNICODE_CI_AI"), "n_nationkey")).cast("long").alias("place"))
+
+
+@query("SELECT s_suppkey, -s_suppkey % 7 AS plain, ((-s_suppkey % 7) + 7) % 7 AS modulo FROM supplier")
+def positive_modulo(spark, sf_dir):
+    k = -F.col("s_suppkey")
+    return table(spark, sf_dir, "supplier").select("s_suppkey", (k % 7).alias("plain"), F.pmod(k, F.lit(7)).alias("modulo"))
+
+
+@query("SELECT c_custkey, c_name AS name, CAST(round(c_acctbal, 0) AS DOUBLE) AS latitude, c_mktsegment AS genre, 'Lyon' AS city, c_name AS alias FROM customer")
+def legacy_place_lines(spark, sf_dir):
+    from ..sources.csv import parse_legacy_line
+
+    line = F.concat_ws(",", "c_name", F.round("c_acctbal", 0).cast("decimal(20,0)").cast("string"), F.lit(" 4.8 x"), F.lit("http://x"), "c_mktsegment")
+    rows = table(spark, sf_dir, "customer").select("c_custkey", parse_legacy_line(line, "Lyon").alias("p"))
+    return rows.select("c_custkey", "p.name", "p.latitude", "p.genre", "p.city", F.col("p.aliases")[0].alias("alias"))
