@@ -129,7 +129,7 @@ def train_router(x: np.ndarray, target: np.ndarray, epochs: int = 30, seed: int
 
 def number_of_parts(rows: int) -> int:
     """A power of two."""
-    return max(LEAST_PARTS, 1 << round(math.log2(rows / PART_ROWS))) if rows >= LEAST_ROWS else 1
+    return max(LEAST_PARTS, 1 << max(0, round(math.log2(rows / PART_ROWS)))) if rows >= LEAST_ROWS else 1
 
 
 def fit(sample: np.ndarray, parts: int) -> Router:

@@ -230,3 +230,14 @@ def test_session_and_folder(spark):
     assert os.path.exists(path)
     scratch.clear()
     assert scratch.paths == [] and not os.path.exists(path)
+
+
+def test_number_of_partitions_at_every_size():
+    got = [neighbours.number_of_parts(n) for n in (0, 1, 199, 200, 500, 2000, 20_000, 10**6, 10**9)]
+    assert got == [1, 1, 1, 4, 4, 4, 8, 512, 1 << 19]
+
+
+def test_neighbours_of_a_few_hundred(spark):
+    table = spark.read.parquet("/root/testdata/sf0.001/embeddings.parquet")
+    found = neighbours.search(table, F.col("vec_id") % 20 == 0)
+    assert neighbours.recall(found, table, F.col("vec_id") % 20 == 0) >= 0.9
