@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import functools
 import re
 from collections.abc import Iterator
 
@@ -27,6 +28,7 @@ TEMPLATES: dict[str, list[str]] = {
         "Released under the Apache 2.0 license.",
         "SPDX-License-Identifier: Apache-2.0",
         "You may obtain a copy of the License at http://www.apache.org/licenses/LICENSE-2.0",
+        "Subject to the terms and conditions of this License, each Contributor hereby grants to You a perpetual, worldwide, non-exclusive, no-charge, royalty-free, irrevocable copyright license to reproduce, prepare Derivative Works of, publicly display, publicly perform, sublicense, and distribute the Work and such Derivative Works in Source or Object form.",
     ],
     "BSD": [
         "Licensed under the BSD 3-Clause License.",
@@ -35,6 +37,8 @@ TEMPLATES: dict[str, list[str]] = {
         "Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer.",
         "THIS SOFTWARE IS PROVIDED BY THE COPYRIGHT HOLDERS AND CONTRIBUTORS \"AS IS\" AND ANY EXPRESS OR IMPLIED WARRANTIES ARE DISCLAIMED.",
         "SPDX-License-Identifier: BSD-2-Clause",
+        "Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the documentation and/or other materials provided with the distribution.",
+        "Neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission.",
     ],
     "CC-BY": [
         "Licensed under CC BY 4.0.",
@@ -84,6 +88,8 @@ TEMPLATES: dict[str, list[str]] = {
         "The above copyright notice and this permission notice shall be included in all copies or substantial portions of the Software.",
         "THE SOFTWARE IS PROVIDED \"AS IS\", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY",
         "SPDX-License-Identifier: MIT",
+        "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the \"Software\"), to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software, and to permit persons to whom the Software is furnished to do so, subject to the following conditions:",
+        "IN NO EVENT SHALL THE AUTHORS OR COPYRIGHT HOLDERS BE LIABLE FOR ANY CLAIM, DAMAGES OR OTHER LIABILITY, WHETHER IN AN ACTION OF CONTRACT, TORT OR OTHERWISE, ARISING FROM, OUT OF OR IN CONNECTION WITH THE SOFTWARE OR THE USE OR OTHER DEALINGS IN THE SOFTWARE.",
     ],
     "MPL": [
         "Licensed under the Mozilla Public License, version 2.0.",
@@ -100,6 +106,48 @@ TEMPLATES: dict[str, list[str]] = {
         "All rights reserved. No part of this publication may be reproduced or transmitted in any form without the prior written permission of the publisher.",
     ],
 }
+#: Short names by which notices call a family; the words of one stand together.
+NAMES: dict[str, list[str]] = {
+    "AGPL": ["AGPL", "AGPLv3", "AGPL-3.0", "GNU Affero"],
+    "Apache": ["Apache 2.0", "Apache License", "Apache Licence", "under Apache", "Apache-style"],
+    "BSD": ["BSD License", "BSD Licence", "BSD 2-Clause", "BSD 3-Clause", "under BSD", "BSD-style"],
+    "CC-BY": ["CC BY 4.0", "CC BY 3.0", "CC BY 2.0", "Creative Commons Attribution 4.0", "Creative Commons Attribution 3.0", "Creative Commons Attribution License"],
+    "CC-BY-NC": ["CC BY-NC", "Attribution-NonCommercial"],
+    "CC-BY-SA": ["CC BY-SA", "Attribution-ShareAlike"],
+    "CC0": ["CC0", "CC0 1.0"],
+    "GPL": ["GPL", "GPLv2", "GPLv3", "GPL-2.0", "GPL-3.0", "GNU General Public License", "GNU GPL"],
+    "ISC": ["ISC License", "ISC Licence", "under ISC"],
+    "LGPL": ["LGPL", "LGPLv2", "LGPLv3", "GNU Lesser General"],
+    "MIT": ["MIT License", "MIT Licence", "under MIT", "under the MIT", "MIT-style"],
+    "MPL": ["MPL 2.0", "MPL 1.1", "Mozilla Public License"],
+    "Public-Domain": ["Unlicense", "into the public domain"],
+    "Reserved": ["all rights reserved"],
+}
+#: Licences of no family above; with licences whose own words are left out they teach what is unknown.
+OTHER_LICENCES = [
+    "Licensed under the Eclipse Public License, version 2.0.",
+    "This program and the accompanying materials are made available under the terms of the Eclipse Public License which accompanies this distribution.",
+    "Licensed under the European Union Public Licence, version 1.2 or later.",
+    "The contents of this file are subject to the terms of the Common Development and Distribution License. You may not use this file except in compliance with the License.",
+    "This library is free software; you can redistribute it under the terms of the Artistic License 2.0.",
+    "This software is provided as-is, without any express or implied warranty. Permission is granted to anyone to use this software for any purpose, including commercial applications, and to alter it and redistribute it freely, subject to the following restrictions:",
+    "Distributed under the Boost Software License, Version 1.0.",
+    "Permission to use, copy, modify, and distribute this software and its documentation for any purpose, without fee, and without a written agreement is hereby granted.",
+    "Released under the PostgreSQL License.",
+    "Licensed under the Python Software Foundation License.",
+    "Everyone is permitted to copy and distribute verbatim or modified copies of this license document.",
+    "This Font Software is licensed under the SIL Open Font License, Version 1.1.",
+    "Licensed under the Microsoft Public License.",
+    "This software is governed by the CeCILL license under French law and abiding by the rules of distribution of free software.",
+    "This database is made available under the Open Database License.",
+    "This work may be distributed and/or modified under the conditions of the LaTeX Project Public License.",
+    "Licensed under the Academic Free License version 3.0.",
+    "Permission is granted to make and distribute verbatim copies of this manual provided the copyright notice and this permission notice are preserved on all copies.",
+    "Permission is granted to copy, distribute and/or modify this document under the terms of the Free Documentation License.",
+    "Licensed under the zlib license.",
+    "Use of this source code is governed by a license that can be found in the accompanying file.",
+    "Released under a custom license; commercial use requires a written agreement with the licensor.",
+]
 #: Ordinary sentences that share words with licences.
 ORDINARY = [
     "He got his driving license in March and drove to the sea.",
@@ -119,14 +167,19 @@ ORDINARY = [
     "The creative team released the film under a new title.",
 ]
 OTHER, UNKNOWN = "other", "unknown"
-FAMILIES = [OTHER, *sorted(TEMPLATES)]
+FAMILIES = [OTHER, UNKNOWN, *sorted(TEMPLATES)]
 WINDOW, STRIDE = 40, 20
 #: Corpus paragraphs that train the ordinary class, at most; the only sampled thing here.
 TRAIN_PARAGRAPHS = 3000
-#: A family is named from this calibrated probability on, a licence of no known family from this total.
-NAMED, LICENCE = 0.6, 0.5
-#: Part of a template's word pairs (or of the paragraph's, if it is the shorter) that confirms a family.
+#: A paragraph is a licence from this calibrated probability on; a family may be named from its own.
+LICENCE, NAMED = 0.5, 0.1
+#: Part of a template's word pairs (or of the paragraph's, if it is the shorter) that confirms a family,
+#: together with a word or pair that no other family's templates have.
 CONFIRM = 0.6
+#: One template in so many of each family is kept from the first fit, which is calibrated on it.
+HELD = 3
+#: Words of licensing; corpus lines that hold one are not taken for ordinary ones.
+_LICENSING = re.compile(r"licen[cs]|copyright|\bgpl|redistribut|warrant|public domain|rights reserved", re.I)
 
 _TOKEN = np.zeros(256, bool)
 _TOKEN[48:58] = _TOKEN[65:91] = _TOKEN[97:123] = _TOKEN[128:] = True
@@ -153,15 +206,41 @@ def _of(text: str) -> tuple[np.ndarray, np.ndarray]:
     return np.unique(w), np.unique(pair[pair != 0])
 
 
+class Templates:
+    """The word pairs of each family's templates, its short names, and the words and pairs of its own."""
+
+    def __init__(self) -> None:
+        self.pairs = {k: [_of(t)[1] for t in v] for k, v in TEMPLATES.items()}
+        self.names = {k: [_of(n) for n in v] for k, v in NAMES.items()}
+        seen: dict[int, set[str]] = {}
+        for k, texts in [*((k, [*TEMPLATES[k], *NAMES[k]]) for k in TEMPLATES), *((t, [t]) for t in OTHER_LICENCES)]:
+            for t in texts:
+                for x in np.concatenate(_of(t)).tolist():
+                    seen.setdefault(x, set()).add(k)
+        self.families_of = seen
+        self.own = {k: np.array(sorted(x for x, f in seen.items() if f == {k}), np.uint64) for k in TEMPLATES}
+
+    def confirms(self, family: str, words: np.ndarray, pairs: np.ndarray) -> bool:
+        for own_words, own_pairs in self.names[family]:
+            if np.isin(own_pairs, pairs).all() if len(own_pairs) else np.isin(own_words, words).all():
+                return True
+        if not (np.isin(self.own[family], pairs).any() or np.isin(self.own[family], words).any()):
+            return False
+        return any(len(t) and len(pairs) and len(np.intersect1d(t, pairs)) >= CONFIRM * min(len(t), len(pairs)) for t in self.pairs[family])
+
+
+@functools.cache
+def templates() -> Templates:
+    return Templates()
+
+
 class Model:
-    """A sparse vocabulary of word and word-pair hashes with a weight for each class, and the word
-    pairs of the templates."""
+    """A sparse vocabulary of word and word-pair hashes with a weight for each class."""
 
     def __init__(self, vocabulary: np.ndarray, weight: np.ndarray, bias: np.ndarray, temperature: float):
         self.vocabulary, self.weight, self.bias, self.temperature = vocabulary, weight, bias, temperature
         self.may = np.zeros(1 << 16, bool)
         self.may[(vocabulary >> B.U(48)).astype(np.int64)] = True
-        self.templates = {k: [_of(t)[1] for t in v] for k, v in TEMPLATES.items()}
 
     def find(self, hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Positions of the hashes that are in the vocabulary, and which features they are."""
@@ -171,89 +250,144 @@ class Model:
         return at[same], k[same]
 
     def probabilities(self, logits: np.ndarray) -> np.ndarray:
-        z = np.exp((logits - logits.max(axis=1, keepdims=True)) / self.temperature)
+        z = (logits - logits.max(axis=1, keepdims=True)) / self.temperature
+        z = np.exp(z)
         return z / z.sum(axis=1, keepdims=True)
 
-    def confirms(self, family: str, pairs: np.ndarray) -> bool:
-        for t in self.templates[family]:
-            if len(t) and len(pairs) and len(np.intersect1d(t, pairs)) >= CONFIRM * min(len(t), len(pairs)):
-                return True
-        return False
-
-    def decide(self, probability: np.ndarray, pairs: np.ndarray) -> str:
-        """The family of one paragraph, ``unknown`` for a licence of no confirmed family, or ``other``.
-
-        ``pairs`` are the distinct hashes of its adjacent words."""
-        if 1 - probability[0] < LICENCE:
-            return OTHER
-        best = 1 + int(probability[1:].argmax())
-        if probability[best] >= NAMED and self.confirms(FAMILIES[best], pairs):
-            return FAMILIES[best]
-        return UNKNOWN if len(pairs) else OTHER
-
-
-def _examples(ordinary: list[str], seed: int = 3) -> tuple[list[str], np.ndarray]:
-    """Templates with words left out, repeated or set among ordinary ones, and ordinary paragraphs."""
-    rng = np.random.default_rng(seed)
+    def decide(self, features: np.ndarray, words: np.ndarray, pairs: np.ndarray) -> set[str]:
+        """The families of one paragraph, each predicted and confirmed; ``unknown`` alone for a licence of
+        no confirmed family; none for another text. ``features`` are those of the vocabulary that it
+        has, ``words`` and ``pairs`` its distinct hashes.
+
+        What is a named family's own is then left out and the rest classified again, so a line may name
+        several; families of equal probability are all named."""
+        found: set[str] = set()
+        if not len(pairs):
+            return found
+        while True:
+            chance = self.probabilities((self.weight[features].sum(axis=0) + self.bias)[None])[0]
+            licence = 1 - chance[0] >= LICENCE
+            named = {FAMILIES[k] for k in np.flatnonzero(chance >= NAMED).tolist() if k > 1 and templates().confirms(FAMILIES[k], words, pairs)} - found
+            if not licence or not named:
+                return found or ({UNKNOWN} if licence else found)
+            found |= named
+            own = np.concatenate([templates().own[f] for f in named])
+            features = features[~np.isin(self.vocabulary[features], own)]
+
+
+def _examples(ordinary: list[str], held: bool | None, seed: int = 3) -> tuple[list[str], list[int]]:
+    """Templates with words left out or set among ordinary ones, licences of no family, and ordinary
+    paragraphs. ``held`` takes the templates kept for calibration, its opposite the rest, None all."""
+    rng = np.random.default_rng(seed + bool(held))
+    take = lambda k: held is None or (k % HELD == HELD - 1) == held
     pool = [w for t in [*ORDINARY, *ordinary[:300]] for w in t.split()]
-    texts, labels = [], []
-    for k, family in enumerate(FAMILIES[1:], 1):
-        for template in TEMPLATES[family]:
-            words = template.split()
-            for copy in range(24):
-                keep = [w for w in words if rng.random() > (0.08 if copy else 0) or len(words) < 6]
-                around = [pool[i] for i in rng.integers(0, len(pool), int(rng.integers(0, 16)) if copy > 4 else 0)]
-                cut = int(rng.integers(0, len(around) + 1))
-                texts.append(" ".join([*around[:cut], *keep, *around[cut:]]))
-                labels.append(k)
-    for t in ORDINARY:
-        words = t.split()
-        for _ in range(12):
-            texts.append(" ".join(w for w in words if rng.random() > 0.1))
-            labels.append(0)
-    return texts + ordinary, np.array(labels + [0] * len(ordinary))
-
-
-def train(ordinary: list[str]) -> Model:
-    """Fits the classifier (softmax regression over distinct words and word pairs of the licences, an
-    L2 penalty, full-batch Adam) on four fifths and the temperature on the rest."""
-    ordinary = [t for t in ordinary if t.strip()]
-    seen = np.unique(np.concatenate([x for v in TEMPLATES.values() for t in v for x in _of(t)]))
-    blank = Model(seen, np.zeros((len(seen), len(FAMILIES))), np.zeros(len(FAMILIES)), 1.0)
-    clean = [t for t in ordinary if not any(blank.confirms(f, _of(t)[1]) for f in TEMPLATES)]
-    texts, labels = _examples(clean)
-    rows, cols = [], []
-    for r, t in enumerate(texts):
-        k = blank.find(np.concatenate(_of(t)))[1]
-        rows.append(np.full(len(k), r))
-        cols.append(k)
-    row, col = np.concatenate(rows), np.concatenate(cols)
-    n, c = len(texts), len(FAMILIES)
-    held = np.random.default_rng(1).random(n) < 0.2
-    x = np.zeros((n, len(seen)), np.float32)
-    x[row, col] = 1
-    fit, goal = x[~held], np.eye(c, dtype=np.float32)[labels[~held]]
-    weight, bias = np.zeros((len(seen), c), np.float32), np.zeros(c, np.float32)
+    texts: list[str] = []
+    labels: list[int] = []
+
+    def add(words: list[str], label: int, copies: int) -> None:
+        for copy in range(copies):
+            keep = [w for w in words if rng.random() > (0.08 if copy else 0) or len(words) < 6]
+            around = [pool[i] for i in rng.integers(0, len(pool), int(rng.integers(0, 16)) if copy > 4 else 0)]
+            cut = int(rng.integers(0, len(around) + 1))
+            texts.append(" ".join([*around[:cut], *keep, *around[cut:]]))
+            labels.append(label)
+
+    invented = lambda: "".join(rng.choice(list("bdfgklmnprstvz")) + rng.choice(list("aeiou")) for _ in range(int(rng.integers(2, 4)))).capitalize()
+    for k, family in enumerate(FAMILIES[2:], 2):
+        for j, template in enumerate(TEMPLATES[family]):
+            if not take(j):
+                continue
+            add(template.split(), k, 12)
+            # the same licence without what is its own is of no known family
+            known = templates().families_of
+            for _ in range(3):
+                bare = [invented() if any(len(known.get(x, ())) <= 3 for x in _of(w)[0].tolist()) else w for w in template.split()]
+                add(bare, 1, 1)
+        for j, name in enumerate(NAMES[family]):
+            if take(j):
+                for carrier in ("Licensed under {}.", "{} or any later version.", "Released under the terms of {}.", "{} applies to this work.", "Dual licensed under {} and others.", "This is {} licensed code."):
+                    add(carrier.format(name).split(), k, 2)
+    for j, t in enumerate(OTHER_LICENCES):
+        if take(j):
+            add(t.split(), 1, 12)
+    for j in range(160):
+        if take(j):
+            form = ("Licensed under the {} License, version {}.", "Released under the {} Public License.", "This font is licensed under the {} Licence, version {}.", "Permission is hereby granted to copy this {} provided the notice is kept.", "This work is under the {} {} License; see the terms of the license.")[j % 5]
+            add(form.format(invented(), int(rng.integers(1, 9))).split(), 1, 3)
+    for j, t in enumerate(ORDINARY):
+        if take(j):
+            add(t.split(), 0, 12)
+    plain = [t for j, t in enumerate(ordinary) if take(j)]
+    return texts + plain, labels + [0] * len(plain)
+
+
+def _rows(blank: Model, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    """The (row, feature) pairs of texts, by row; every row has one at least, a feature that is always 0."""
+    features = [np.append(blank.find(np.concatenate(_of(t)))[1], len(blank.vocabulary)) for t in texts]
+    return np.repeat(np.arange(len(texts)), [len(f) for f in features]), np.concatenate(features)
+
+
+def _fit(rows: np.ndarray, features: np.ndarray, labels: np.ndarray, size: int, steps: int = 120) -> tuple[np.ndarray, np.ndarray]:
+    """Softmax regression on sparse rows: full-batch Adam with an L2 penalty; weights and bias."""
+    n, c = len(labels), len(FAMILIES)
+    goal = np.eye(c, dtype=np.float32)[labels]
+    first = np.flatnonzero(np.r_[True, np.diff(rows) > 0])
+    by_feature = np.argsort(features, kind="stable")
+    sorted_features = features[by_feature]
+    starts = np.flatnonzero(np.r_[True, np.diff(sorted_features) > 0])
+    used = sorted_features[starts]
+    weight, bias = np.zeros((size + 1, c), np.float32), np.zeros(c, np.float32)
     moments = [np.zeros_like(weight), np.zeros_like(weight), np.zeros_like(bias), np.zeros_like(bias)]
-    for step in range(1, 121):
-        z = fit @ weight + bias
+    for step in range(1, steps + 1):
+        z = np.add.reduceat(weight[features], first, axis=0) + bias
         z = np.exp(z - z.max(axis=1, keepdims=True))
-        d = (z / z.sum(axis=1, keepdims=True) - goal) / len(fit)
-        for k, (p, g) in enumerate(((weight, fit.T @ d + 1e-5 * weight), (bias, d.sum(axis=0)))):
-            m, s = moments[2 * k], moments[2 * k + 1]
+        d = (z / z.sum(axis=1, keepdims=True) - goal) / n
+        grad = 1e-5 * weight
+        grad[used] += np.add.reduceat(d[rows[by_feature]], starts, axis=0)
+        grad[size] = 0
+        for k, (p, g) in enumerate(((weight, grad), (bias, d.sum(axis=0)))):
+            m, v = moments[2 * k], moments[2 * k + 1]
             m *= 0.9
             m += 0.1 * g
-            s *= 0.99
-            s += 0.01 * g * g
-            p -= 0.05 * (m / (1 - 0.9**step)) / (np.sqrt(s / (1 - 0.99**step)) + 1e-8)
-    z, y = x[held] @ weight + bias, labels[held]
+            v *= 0.99
+            v += 0.01 * g * g
+            p -= 0.05 * (m / (1 - 0.9**step)) / (np.sqrt(v / (1 - 0.99**step)) + 1e-8)
+    return weight[:size], bias
+
+
+@functools.lru_cache(maxsize=4)
+def _trained(ordinary: tuple[str, ...]) -> Model:
+    own = templates()
+    seen = np.unique(np.fromiter(own.families_of, np.uint64, len(own.families_of)))
+    plain = [t for t in ordinary if t.strip() and not _LICENSING.search(t)]
+    more = np.unique(np.concatenate([np.zeros(0, np.uint64), *(np.concatenate(_of(t)) for t in ORDINARY)]))
+    blank = Model(np.union1d(seen, more), np.zeros((1, 1)), np.zeros(1), 1.0)
+    size = len(blank.vocabulary)
+
+    def fitted(held: bool | None) -> tuple[np.ndarray, np.ndarray]:
+        texts, labels = _examples(plain, held)
+        return _fit(*_rows(blank, texts), np.array(labels), size)
+
+    # the temperature is that which suits templates that the first fit has not seen
+    weight, bias = fitted(False)
+    texts, labels = _examples(plain, True)
+    rows, features = _rows(blank, texts)
+    z = np.add.reduceat(np.vstack([weight, np.zeros((1, weight.shape[1]), np.float32)])[features], np.flatnonzero(np.r_[True, np.diff(rows) > 0]), axis=0) + bias
 
     def loss(t: float) -> float:
         q = z / t
         q = q - q.max(axis=1, keepdims=True)
-        return float((np.log(np.exp(q).sum(axis=1)) - q[np.arange(len(y)), y]).mean())
+        return float((np.log(np.exp(q).sum(axis=1)) - q[np.arange(len(labels)), labels]).mean())
+
+    temperature = min((0.5, 0.75, 1.0, 1.25, 1.5, 2.0, 2.5, 3.0, 4.0), key=loss)
+    return Model(blank.vocabulary, *fitted(None), temperature)
 
-    return Model(seen, weight, bias, min((0.5, 0.75, 1.0, 1.25, 1.5, 2.0, 3.0), key=loss))
+
+def train(ordinary: list[str]) -> Model:
+    """The classifier: softmax regression over distinct words and word pairs of licences. It is calibrated
+    on templates that a first fit has not seen and then fitted to all; the same paragraphs give
+    the same model, which is kept."""
+    return _trained(tuple(ordinary))
 
 
 def ordinary_paragraphs(docs: DataFrame, most: int = TRAIN_PARAGRAPHS) -> list[str]:
@@ -308,15 +442,20 @@ def scan(docs: DataFrame, model: Model) -> DataFrame:
         change = np.flatnonzero(np.r_[True, (np.diff(code[:, :2], axis=0) != 0).any(axis=1)])
         logits = np.add.reduceat(own.weight[code[:, 2]], change, axis=0) + own.bias
         chances = own.probabilities(logits)
+        change = np.append(change, len(code))
+        of_line: dict[int, set[str]] = {}
         for k in np.flatnonzero(1 - chances[:, 0] >= LICENCE).tolist():
             u, v = code[change[k], :2].tolist()
             a = begins[u] + v * STRIDE
             b = min(a + WINDOW, ends[u])
             pairs = np.unique(pair[a : b - 1])
-            family = own.decide(chances[k], pairs[pairs != 0])
-            if family != OTHER:
-                families[text_of_word[a]].add(family)
-                licensed[text_of_word[a]].add(u)
+            if found := own.decide(code[change[k] : change[k + 1], 2], np.unique(w[a:b]), pairs[pairs != 0]):
+                of_line.setdefault(u, set()).update(found)
+        for u, found in of_line.items():
+            # what one part of a line names, its other parts belong to
+            row = text_of_word[begins[u]]
+            families[row] |= found - {UNKNOWN} or found
+            licensed[row].add(u)
         return families, licensed, paragraphs
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -507,7 +507,7 @@ def test_licences(spark):
     rows = [(1, "Some words.\nLicensed under the BSD 3-Clause License.\nMore words."), (2, hidden), (3, odd), (4, "He got his driving license in March."), (5, None), (6, "")]
     out = {r.doc_id: r for r in licences.scan(spark.createDataFrame(rows, "doc_id long, text string"), model).collect()}
     assert out[1].families == ["BSD"] and out[2].families == ["MIT"] and out[4].families == [] and out[5].families == out[6].families == []
-    assert out[3].families in (["unknown"], ["GPL"]) and out[3].n_licence == 1
+    assert out[3].families == ["unknown"] and out[3].n_licence == 1
     assert licences.licence_scan(edge(spark, True)).count() == len(edge_rows()) and licences.licence_scan(empty(spark)).count() == 0
 
 
