@@ -116,36 +116,48 @@ def _mixture(prob: np.ndarray, weights: np.ndarray, rounds: int = 60) -> tuple[n
     return weights, float(np.log(prob @ weights).sum())
 
 
-def infer(log_prob: np.ndarray) -> tuple[np.ndarray, float]:
-    """Proportions of the languages in one document (rows: its trigrams) and a posterior.
-
-    A set of languages is worth its likelihood less a penalty for each language. One language is
-    taken at once where concavity proves that no mixture gains more than the penalty; else sets grow
-    in order of the full mixture's proportions.
+def single_languages(logs: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """For each document of a block (``at``: offsets in the trigrams' rows): its log likelihood in each
+    language alone, the best one, its posterior among them, and whether concavity proves that no mixture
+    gains more than the penalty of one more language."""
+    size = np.diff(at)
+    some = np.flatnonzero(size)
+    single = np.zeros((len(size), logs.shape[1]))
+    ratio = np.zeros(len(size))
+    if len(some):
+        first = at[:-1][some]
+        single[some] = np.add.reduceat(logs, first, axis=0, dtype=np.float64) / OVERLAP
+        best = single.argmax(axis=1)
+        own = np.take_along_axis(logs, np.repeat(best, size)[:, None], axis=1)
+        gain = np.exp(np.minimum(logs - own, 20.0))
+        ratio[some] = (np.add.reduceat(gain, first, axis=0, dtype=np.float64) / size[some, None]).max(axis=1)
+    best = single.argmax(axis=1)
+    lead = np.take_along_axis(single, best[:, None], axis=1)
+    posterior = 1 / np.exp(np.clip(single - lead, -60, 0)).sum(axis=1)
+    cost = PENALTY * np.log(np.maximum(size / OVERLAP, 2.0))
+    return single, best, posterior, (logs.shape[1] == 1) | ((size / OVERLAP) * (ratio - 1) <= cost)
+
+
+def mixed_languages(log_prob: np.ndarray, single: np.ndarray, best: int) -> np.ndarray | None:
+    """Proportions of the languages in one document (rows: its trigrams), None where one is best.
+
+    A set of languages is worth its likelihood less a penalty for each language; sets grow in order
+    of the full mixture's proportions, and of equal ones in the order of the languages.
     """
     n, k = log_prob.shape
-    single = log_prob.sum(axis=0) / OVERLAP
-    best = int(single.argmax())
-    weights = np.zeros(k)
-    weights[best] = 1.0
-    rest = np.delete(single, best)
-    posterior = 1.0 if not len(rest) else float(1 / (1 + np.exp(np.clip(rest - single[best], -60, 0)).sum()))
     cost = PENALTY * np.log(max(n / OVERLAP, 2.0))
-    ratio = np.exp(np.minimum(log_prob - log_prob[:, best : best + 1], 20.0)).mean(axis=0).max()
-    if k == 1 or (n / OVERLAP) * (ratio - 1) <= cost:
-        return weights, posterior
     prob = np.exp(log_prob - log_prob.max(axis=1, keepdims=True)).astype(np.float64)
     shift = log_prob.max(axis=1).sum() / OVERLAP
     full, _ = _mixture(prob, np.full(k, 1.0 / k))
-    worth, chosen = single[best] - cost, weights
-    order = [best, *[j for j in np.argsort(-full) if j != best]]
+    worth, chosen = single[best] - cost, None
+    order = [best, *[j for j in np.argsort(-full, kind="stable") if j != best]]
     for size in range(2, k + 1):
         got, ll = _mixture(prob[:, order[:size]], np.full(size, 1.0 / size))
         if (now := ll / OVERLAP + shift - size * cost) <= worth:
             break
         worth, chosen = now, np.zeros(k)
         chosen[order[:size]] = got
-    return chosen, posterior if chosen is weights else 1.0
+    return chosen
 
 
 def predict(docs: DataFrame, langs: list[str], log_prob: np.ndarray, keep: list[str] | None = None, fit: bool = False) -> DataFrame:
@@ -164,32 +176,35 @@ def predict(docs: DataFrame, langs: list[str], log_prob: np.ndarray, keep: list[
     names = [f.name for f in fields]
     schema = ", ".join([f"`{f.name}` {f.dataType.simpleString()}" for f in fields] + ["__lang_pred string", "__score double", "__lang_set array<string>"] + ["__fit double", "__sd double", "__trigrams long"] * fit)
     text = "text" if "text" in names else "__text"
+    block = max(1 << 16, (1 << 22) // max(len(langs), 1))  # bytes whose likelihoods in all languages are held at once
 
     def label(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         table = model.value
         for batch in batches:
             data, off = B.column_bytes(batch[text])
             pred, score, sets, fits = [], [], [], []
-            for a, b in B.blocks(off):
+            for a, b in B.blocks(off, block):
                 own, at = data[off[a] : off[b]], off[a : b + 1] - off[a]
                 grams, g = _trigrams(own, at)
                 logs = table[grams]
                 low = B.LOWER[own]
                 ascii_letters = np.concatenate([[0], np.cumsum((low >= 97) & (low <= 122))])[at]
+                single, best, posterior, alone = single_languages(logs, g) if langs else (None, None, None, None)
                 for r in range(b - a):
-                    rows = logs[g[r] : g[r + 1]]
                     has = ascii_letters[r + 1] > ascii_letters[r] or any(c.isalpha() for c in own[at[r] : at[r + 1]].tobytes().decode())
-                    if not has or not len(rows) or not langs:
+                    if not has or g[r] == g[r + 1] or not langs:
                         pred.append("und"), score.append(0.0), sets.append([]), fits.append((0.0, 0.0, 0))
                         continue
-                    weights, posterior = infer(rows)
-                    top = int(weights.argmax())
+                    rows, top, chance, chosen = logs[g[r] : g[r + 1]], int(best[r]), float(posterior[r]), [int(best[r])]
+                    if not alone[r] and (weights := mixed_languages(rows, single[r], top)) is not None:
+                        top = int(weights.argmax())
+                        chance, chosen = float(weights[top]), np.flatnonzero(weights).tolist()
                     pred.append(langs[top])
-                    score.append(float(min(1.0, weights[top] * posterior)))
-                    sets.append([langs[j] for j in np.flatnonzero(weights)])
+                    score.append(min(1.0, chance))
+                    sets.append([langs[j] for j in chosen])
                     if fit:
-                        best = rows[:, weights > 0].max(axis=1)
-                        fits.append((float(best.mean(dtype=np.float64)), float(best.std(dtype=np.float64)), len(best)))
+                        most = rows[:, chosen].max(axis=1)
+                        fits.append((float(most.mean(dtype=np.float64)), float(most.std(dtype=np.float64)), len(most)))
             arrays = [batch[n] for n in names] + [pa.array(pred, pa.string()), pa.array(score, pa.float64()), pa.array(sets, pa.list_(pa.string()))]
             if fit:
                 arrays += [pa.array([x[j] for x in fits], kind) for j, kind in enumerate((pa.float64(), pa.float64(), pa.int64()))]
