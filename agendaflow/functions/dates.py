@@ -97,6 +97,21 @@ def day_offset(ms: Column, today_ms: Column) -> Column:
     return F.floor((ms - today_ms) / DAY_MS)
 
 
+def chart_label(d: Column) -> Column:
+    return F.date_format(d, "d/M")
+
+
+def address_offset(address: Column, today_ms: Column) -> Column:
+    """The day that an address of the map asks for, in days from today: its date (yyyymmdd), else its time
+    (milliseconds), else its day; today where it has none that can be read."""
+    given = lambda key: F.call_function("parse_url", address, F.lit("QUERY"), F.lit(key))
+    date = F.call_function("try_to_date", F.left(given("date"), F.lit(8)), F.lit("yyyyMMdd"))
+    time = F.call_function("try_to_number", given("time"), F.lit("9999999999999999")).cast("long")
+    day = F.nullif(F.regexp_extract(given("day"), "^\\s*([-+]?\\d{1,9})", 1), F.lit("")).cast("long")
+    midnight = F.unix_millis(date.cast("timestamp"))
+    return F.coalesce(day_offset(midnight, today_ms), day_offset(time, today_ms), day, F.lit(0).cast("long"))
+
+
 def before_midnight(day: Column, time: Column) -> Column:
     """(day, time) with 00:00 as 23:59 of the day before."""
     zero = F.coalesce(time == "00:00", F.lit(False))

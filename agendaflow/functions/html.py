@@ -476,9 +476,11 @@ def register(spark: SparkSession) -> None:
 
 
 def _descend(root: Node, path: str) -> list[Node]:
-    """As ``select``, the first segment at any depth."""
+    """As ``select``, the first segment at any depth and its number among all such elements."""
     first, _, rest = path.partition(">")
     tops = [n for n in root.walk() if _matches(n, first)]
+    if at := re.search(r":eq\((\d+)\)", first):
+        tops = tops[int(at[1]) : int(at[1]) + 1]
     return list(dict.fromkeys(x for n in tops for x in select(n, rest))) if rest else tops
 
 

@@ -6,6 +6,19 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 
+#: Colours of styles on the map of a city, and of all other cities (fixed values: red, green, blue).
+PALETTES = {
+    "hanoi": {"Art": "23, 128, 251", "Photo": "40, 124, 18", "Conference": "255, 255, 0", "Musique": "255, 0, 0", "Expo": "224, 147, 40", "Theatre": "165,42,42"},
+    "": {"Rock": "230, 0, 30", "Electro": "0, 255, 150", "Jazz": "255, 140, 0", "Rap": "111, 0, 170", "Chanson": "255, 60, 120", "Live": "125, 125, 125", "Classique": "20, 40, 160"},
+}
+
+
+def style_colour(style: Column, city: Column, alpha: float = 0.5) -> Column:
+    """The colour of a style on the map of a city as ``rgba(...)``, black where it has none."""
+    table = lambda c: F.create_map(*[F.lit(x) for kv in PALETTES[c].items() for x in kv])[style]
+    return F.concat(F.lit("rgba("), F.coalesce(F.when(city == "hanoi", table("hanoi")).otherwise(table("")), F.lit("0, 0, 0")), F.lit(f", {alpha})"))
+
+
 def choose(key: Column, values: dict[str, str], default: str) -> Column:
     table = F.create_map(*[F.lit(x) for kv in values.items() for x in kv])
     return F.coalesce(table[key], F.lit(default))

@@ -100,6 +100,5 @@ def recipe_of_answer(answer: Column) -> Column:
     """The sample strings of one event in a model's JSON answer (key to string or list), as key to strings;
     null where it isn't an object. ``analyse_pages`` makes a recipe of them."""
     inside = F.regexp_extract(answer, "(\\{[\\s\\S]*\\})", 1)
-    lists = F.from_json(inside, "map<string,array<string>>")
     values = F.from_json(inside, "map<string,string>")
-    return F.transform_values(values, lambda k, v: F.coalesce(F.when(v.startswith("["), lists[k]), F.array(v)))
+    return F.transform_values(values, lambda k, v: F.coalesce(F.when(v.startswith("["), F.from_json(v, "array<string>")), F.array(v)))
