@@ -66,6 +66,62 @@ def test_golden(case):
     assert len(got[0]) == n and shown(got[0][0]) == first, list(map(shown, got[0]))
 
 
+def days(first, last, *times):
+    """Every day of a range, at each of the times."""
+    a, b = (dt.date.fromisoformat(x) for x in (first, last))
+    return [" ".join([(a + dt.timedelta(days=k)).isoformat(), t]).strip() for k in range((b - a).days + 1) for t in times or [""]]
+
+
+#: The whole result of the cases with several dates, and of case 7, which has two readings (fixed values).
+WHOLE = {
+    0: days("2025-12-01", "2025-12-09", "18:00 20:00"),
+    4: days("2025-11-14", "2025-11-16", "21:15"),
+    5: ["2025-12-05 20:00", "2025-12-06 20:00", "2025-12-07 15:00"],
+    7: days("2026-11-23", "2026-11-23", "19:00", "21:00") + days("2026-12-26", "2026-12-27", "19:00", "21:00"),
+    8: days("2025-11-23", "2025-11-23", "17:00 18:00", "19:00 20:00") + days("2025-12-02", "2025-12-02", "17:00 18:00", "19:00 20:00"),
+    10: ["2025-09-23", "2025-12-02"],
+    11: days("2026-06-03", "2026-06-14", "17:00", "20:00"),
+    12: ["2025-11-27", "2025-11-28", "2025-12-03"],
+    13: ["2025-11-27 17:00 22:00", "2025-11-28 17:00 22:00", "2025-12-03 17:00 22:00"],
+    14: ["2025-11-13 20:00", "2025-11-15 18:00"],
+    16: [x for a, b in (("2025-09-15", "2025-09-16"), ("2025-09-22", "2025-09-23")) for x in days(a, b, "18:00 19:00", "20:00 21:00")],
+    17: days("2025-09-15", "2025-09-17", "18:00") + days("2025-09-22", "2025-09-24", "18:00") + days("2025-10-04", "2025-10-05", "18:00"),
+    18: ["2026-09-03 18:00", "2026-09-04 22:00"],
+    19: ["2026-06-07 19:00", *days("2026-06-08", "2026-06-21")],
+    20: ["2026-11-11 19:30", *days("2026-11-12", "2026-11-14")],
+    21: ["2026-09-03 18:00", "2026-09-04 22:00", "2026-10-06 18:00"],
+    22: ["2026-09-03", "2026-09-04", "2026-10-02"],
+    23: days("2025-09-02", "2025-09-03", "18:00") + ["2025-09-04 20:00"] + days("2025-10-04", "2025-10-05", "19:00"),
+    24: ["2025-09-03 14:00", "2025-09-04 14:00", "2025-09-05 16:00"],
+    25: days("2025-09-02", "2025-09-03", "18:00") + days("2025-10-04", "2025-10-05", "19:00"),
+    26: days("2025-09-02", "2025-09-03", "18:00") + days("2025-10-04", "2025-10-05", "19:00"),
+    27: ["2026-10-13 15:00 16:00", "2026-10-14 16:00 17:00", "2026-10-15 16:00 17:00", "2026-10-20 15:00 16:00"],
+    28: ["2025-09-16 18:00", "2025-09-17 18:00", "2025-09-18 21:00"],
+    29: ["2025-09-16 18:00", "2025-09-17 18:00", "2025-10-04 21:00"],
+    30: ["2025-10-20", "2025-10-21", "2025-10-27", "2025-10-28"],
+    31: days("2025-10-18", "2025-10-31"),
+    32: ["2025-12-04 20:00", "2025-12-05 20:00", "2025-12-06 18:00"],
+    33: ["2025-12-04 20:00", "2025-12-05 20:00", *days("2025-12-06", "2025-12-07", "18:00", "21:00"), "2025-12-08 20:00"],
+    34: ["2025-12-04 20:00", "2025-12-05 20:00", *days("2025-12-06", "2025-12-07", "18:00", "21:00"), "2025-12-08 20:00"],
+    35: ["2025-12-08", "2025-12-10"],
+    37: ["2025-12-01 20:00", "2025-12-02 20:00"],
+}
+#: Ends on another day than the start.
+OVERNIGHT = {2: ("2026-02-18", "04:00"), 15: ("2025-11-16", "04:00")}
+
+
+@pytest.mark.parametrize("case", [*GOLDEN, (7, "23 nov 26, 27 dec 26, 19h, 21h", "day,month,year", "short", "short", 6, "2026-11-23 19:00")], ids=lambda c: str(c[0]))
+def test_whole_golden(case):
+    k, text, order, month, year, n, first = case
+    got = extract_dates(text, order.split(","), month, year if "year" in order else None, TODAY, FRENCH, range(2025, 2028))
+    assert sorted(map(shown, got[0])) == sorted(WHOLE.get(k, [first])) and len(got[0]) == n and len(got) == (2 if k == 7 else 1)
+    for d, start, end_date, end in got[0]:
+        if k in OVERNIGHT:
+            assert (end_date.isoformat(), end) == OVERNIGHT[k]
+        else:
+            assert (end_date, bool(end)) == (d if end else None, end is not None)
+
+
 def test_ambiguous_or_none():
     assert extract_dates("23 nov 26, 27 dec 26, 19h, 21h", ["day", "month", "year"], "short", "short", TODAY, FRENCH, range(2025, 2028))
     for text in ("", None, "bientôt", "99 brumaire"):
