@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from ..functions.text import is_valid_url
 
@@ -37,6 +38,32 @@ def blocks(pages: DataFrame, tag: str, html: str = "html") -> DataFrame:
     return pages.select(*rest, F.posexplode(F.regexp_extract_all(html, F.lit(f"<{tag}>([\\s\\S]*?)</{tag}>"), 1)).alias("block_no", "block"))
 
 
+def with_block_links(blocks: DataFrame, links: DataFrame, *page: str) -> DataFrame:
+    """Blocks with the address found for them, by page and block_no."""
+    found = links.groupBy(*page, "block_no").agg(F.min("link").alias("link"))
+    return blocks.join(found, [*page, "block_no"], "left")
+
+
+def events_map(events: DataFrame, venue: str, url: str, empty: Column) -> DataFrame:
+    """The numbers of a venue's events: event_no counts blocks that are not empty, sub_no the sub-events of
+    one, ``key`` is ``event_no`` or ``event_no.sub_no``, and linked_no counts rows with an address, all
+    from 0 in the order of page_no, block_no and sub_no. ``events`` has a row for each sub-event."""
+    order = ["page_no", "block_no", "sub_no"]
+    rows = events.where(~empty).withColumn("__subs", F.count("*").over(Window.partitionBy(venue, "page_no", "block_no")))
+    first = F.row_number().over(Window.partitionBy(venue, "page_no", "block_no").orderBy("sub_no"))
+    rows = rows.withColumn("__sub", first - 1)
+    own = Window.partitionBy(venue).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
+    rows = rows.withColumns({"event_no": F.sum((F.col("__sub") == 0).cast("long")).over(own) - 1, "linked_no": F.when(F.col(url).isNotNull(), F.count(url).over(own) - 1)})
+    key = F.when(F.col("__subs") > 1, F.concat_ws(".", "event_no", "__sub")).otherwise(F.col("event_no").cast("string"))
+    return rows.select(venue, *order, "event_no", F.when(F.col("__subs") > 1, F.col("__sub")).alias("sub_index"), key.alias("key"), url, "linked_no")
+
+
+def changed_events(before: DataFrame, after: DataFrame) -> DataFrame:
+    """Rows of two events maps that only one of them has, with ``change``: gone or new."""
+    gone = before.exceptAll(after).withColumn("change", F.lit("gone"))
+    return gone.unionByName(after.exceptAll(before).withColumn("change", F.lit("new")))
+
+
 def page_list(url: Column, start: Column, increment: Column, pages: Column) -> Column:
     """Addresses of a site's pages: ``{index}`` filled, or the index appended."""
     numbers = F.transform(F.sequence(F.lit(0), pages - 1), lambda i: start + i * increment)

@@ -100,3 +100,8 @@ def unique_names(venues: DataFrame, id_: str, city: str, names: str) -> DataFram
     keys = venues.select(id_, city, F.explode(names).alias("__name")).withColumn("__key", simplify(F.col("__name")))
     once = keys.groupBy(city, "__key").agg(F.count("*").alias("__n"), F.min(id_).alias(id_)).where("__n = 1")
     return once.groupBy(id_).agg(F.count("*").alias("n"))
+
+
+def event_place(place: Column, source: Column) -> Column:
+    """The place of an event as a struct: its name, and the city and country of its source."""
+    return F.struct(place.alias("name"), source["city"].alias("city"), source["country"].alias("country"))

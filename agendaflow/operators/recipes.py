@@ -46,6 +46,11 @@ def scores(blocks: DataFrame, block: str, recipe: Column) -> DataFrame:
     return out.withColumns({"hits": F.size(reached), "is_event": named("Name") & named("Date")}).drop("__h")
 
 
+def sub_event_score(hits: Column, extra: Column) -> Column:
+    """The paths that hit, further hits of the same paths only breaking ties."""
+    return hits + F.lit(0.01) * extra
+
+
 def best_block(scored: DataFrame, group: str, seq: str) -> DataFrame:
     """The block of most hits in each group, the first on a tie."""
     return scored.groupBy(group).agg(F.max_by(seq, F.struct("hits", -F.col(seq))).alias(seq), F.max("hits").alias("hits"), F.count_if(F.col("hits") > 0).alias("blocks_hit"))

@@ -261,3 +261,37 @@ def induced_recipes(spark, sf_dir):
     found = table(spark, sf_dir, "pages").select("page_id", analyse_pages(html, samples, F.lit(True)).alias("r"))
     last = lambda key: F.element_at(F.split(F.col("r.mainPage")[key][0], ">"), -1)
     return found.select("page_id", "r.delimiter", "r.events", last("eventName").alias("name"), last("eventDate").alias("date"))
+
+
+_NUMBERED = """
+WITH e AS (SELECT c_nationkey AS venue, o_custkey AS block_no, o_orderkey AS sub_no, CASE WHEN o_orderstatus <> 'F' THEN 'http://x/' || o_orderkey END AS url FROM orders JOIN customer ON o_custkey = c_custkey WHERE o_orderstatus <> 'P'),
+n AS (SELECT venue, block_no, sub_no, url, count(*) OVER (PARTITION BY venue, block_no) AS subs, row_number() OVER (PARTITION BY venue, block_no ORDER BY sub_no) - 1 AS sub,
+  dense_rank() OVER (PARTITION BY venue ORDER BY block_no) - 1 AS event_no, CASE WHEN url IS NOT NULL THEN count(url) OVER (PARTITION BY venue ORDER BY block_no, sub_no ROWS UNBOUNDED PRECEDING) - 1 END AS linked_no FROM e)
+SELECT venue, block_no, sub_no, event_no, CASE WHEN subs > 1 THEN event_no || '.' || sub ELSE CAST(event_no AS VARCHAR) END AS key, linked_no FROM n
+"""
+
+
+@query(_NUMBERED)
+def numbered_events(spark, sf_dir):
+    """A customer is a block, an order a sub-event; orders in progress are empty, finished ones have no page."""
+    rows = table(spark, sf_dir, "orders").join(table(spark, sf_dir, "customer"), F.col("o_custkey") == F.col("c_custkey"))
+    rows = rows.select(
+        F.col("c_nationkey").alias("venue"), F.lit(0).alias("page_no"), F.col("o_custkey").alias("block_no"), F.col("o_orderkey").alias("sub_no"), "o_orderstatus",
+        F.when(F.col("o_orderstatus") != "F", F.concat(F.lit("http://x/"), "o_orderkey")).alias("url"),
+    )
+    return pages.events_map(rows, "venue", "url", F.col("o_orderstatus") == "P").select("venue", "block_no", "sub_no", "event_no", "key", "linked_no")
+
+
+@query("SELECT l_orderkey, l_linenumber, l_partkey, CASE l_returnflag WHEN 'R' THEN 'gone' ELSE 'new' END AS change FROM lineitem WHERE l_returnflag IN ('R', 'A')")
+def changed_events(spark, sf_dir):
+    items = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey", "l_returnflag")
+    before = items.where("l_returnflag IN ('R', 'N')")
+    after = items.where("l_returnflag IN ('A', 'N')")
+    return pages.changed_events(before, after).drop("l_returnflag")
+
+
+@query("SELECT conv_id, turn, CASE WHEN turn % 2 = 1 THEN 'http://x/' || conv_id || '/' || turn END AS link FROM conversations")
+def links_of_blocks(spark, sf_dir):
+    turns = table(spark, sf_dir, "conversations").select("conv_id", F.col("turn").alias("block_no"))
+    links = turns.where("block_no % 2 = 1").withColumn("link", F.concat(F.lit("http://x/"), "conv_id", F.lit("/"), "block_no"))
+    return pages.with_block_links(turns, links.unionByName(links), "conv_id").select("conv_id", F.col("block_no").alias("turn"), "link")

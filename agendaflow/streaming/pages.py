@@ -23,11 +23,11 @@ def pages_per_window(stream: DataFrame, window: str = "1 hour", late: str = "1 d
 
 
 def replace_pages(stream: DataFrame, path: str, checkpoint: str, key: str = "day") -> StreamingQuery:
-    """Writes each batch so that it replaces the stored pages of the days it holds; a batch that runs
-    again writes the same."""
+    """Writes each batch so that it replaces the stored pages of the keys it holds: those of a venue, if
+    ``key`` is a column, or of a day. A batch that runs again writes the same."""
 
     def write(batch: DataFrame, _: int) -> None:
-        days = batch.withColumn(key, F.to_date("fetched"))
-        days.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(key).parquet(path)
+        rows = batch if key in batch.columns else batch.withColumn(key, F.to_date("fetched"))
+        rows.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(key).parquet(path)
 
     return stream.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
