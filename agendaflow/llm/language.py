@@ -99,8 +99,8 @@ def train(docs: DataFrame, train_docs: int = TRAIN_DOCS) -> tuple[list[str], np.
         yield pa.RecordBatch.from_arrays([pa.array(lang.astype(np.int32)), pa.array(bucket.astype(np.int32)), pa.array(sums[lang, bucket])], ["lang", "bucket", "n"])
 
     sums = np.zeros((BUCKETS, len(langs)))
-    for r in drawn.mapInArrow(count, "lang int, bucket int, n long").groupBy("lang", "bucket").agg(F.sum("n").alias("n")).toLocalIterator():
-        sums[r["bucket"], r["lang"]] = r["n"]
+    found = drawn.mapInArrow(count, "lang int, bucket int, n long").groupBy("lang", "bucket").agg(F.sum("n").alias("n")).toArrow()
+    sums[np.asarray(found["bucket"]), np.asarray(found["lang"])] = np.asarray(found["n"])
     prob = (sums + SMOOTHING) / (sums + SMOOTHING).sum(axis=0)
     return langs, np.log(prob).astype(np.float32)
 

@@ -165,19 +165,27 @@ def _join_parts(ids: np.ndarray, rows: np.ndarray, linked) -> list[tuple[int, in
     return out
 
 
+def _star(ids: np.ndarray, rows: list[int]) -> list[tuple[int, int]]:
+    """Edges from the smallest id of a part to its others. Tasks that see the same part then give the
+    same edges, which are dropped as repeats, and parts are one step deep."""
+    own = np.unique(ids[rows]).tolist()
+    return [(own[0], x) for x in own[1:]]
+
+
 def _forest_by_estimate(group: dict) -> list[tuple[int, int]]:
-    """Edges that join what the estimates join, each newly reached row by one edge."""
+    """Edges that join what the estimates join, a star for each part."""
     ids, sizes, table = np.asarray(group["rep"]), np.asarray(group["n_shingles"]), _registers_of(group)
     left, out = np.arange(len(ids)), []
     while len(left):
-        queue, left = [int(left[0])], left[1:]
+        part, left = [int(left[0])], left[1:]
+        queue = list(part)
         while queue and len(left):
             k = queue.pop()
             hit = estimate_reaches(table[k], table[left], int(sizes[k]), sizes[left])
-            for j in left[hit].tolist():
-                queue.append(j)
-                out.append((int(ids[k]), int(ids[j])))
+            queue += left[hit].tolist()
+            part += left[hit].tolist()
             left = left[~hit]
+        out += _star(ids, part)
     return out
 
 
@@ -205,8 +213,8 @@ class _Overlap:
 
 
 def exact_forest(ids: np.ndarray, sets: list[np.ndarray], core: np.ndarray | None = None) -> list[tuple[int, int]]:
-    """Edges between sets that share enough, each newly reached row by one edge. With ``core``, only links
-    of rows of the rest (core = 0) count."""
+    """Edges between sets that share enough, a star for each part. With ``core``, only links of rows of the
+    rest (core = 0) count."""
     linked = _Overlap(sets)
     if core is not None:
         return _join_parts(ids, np.flatnonzero(core == 0), linked)
@@ -215,13 +223,14 @@ def exact_forest(ids: np.ndarray, sets: list[np.ndarray], core: np.ndarray | Non
         if not left[first]:
             continue
         left[first] = False
+        part = [first]
         queue = [first]
         while queue and left.any():
-            k = queue.pop()
-            for j in np.flatnonzero(linked(k) & left).tolist():
-                left[j] = False
-                queue.append(j)
-                out.append((int(ids[k]), int(ids[j])))
+            hits = np.flatnonzero(linked(queue.pop()) & left)
+            left[hits] = False
+            queue += hits.tolist()
+            part += hits.tolist()
+        out += _star(ids, part)
     return out
 
 
