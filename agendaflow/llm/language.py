@@ -223,7 +223,8 @@ def identify(docs: DataFrame) -> DataFrame:
     """Held-out evaluation form: train on the other four fifths, predict all.
 
     doc_id, held_out, lang_pred, score, lang_set. A null doc_id has no remainder and is not held out;
-    an empty table gives an empty result.
+    repeated rows each have their prediction; of equal proportions the first language counts, languages being
+    sorted by name; an empty table gives an empty result.
     """
     langs, table = train(docs.where(~is_held_out()))
     out = predict(docs, langs, table)
@@ -257,7 +258,9 @@ def keep_identified(docs: DataFrame, margin: float = MARGIN) -> DataFrame:
     less likely in their language, by ``margin`` deviations, than those of its held-out documents.
 
     The deviation grows as the text gets shorter, and the rule does not depend on how many languages
-    there are. Texts of a few words are therefore kept unless they are far off.
+    there are. Texts of a few words are therefore kept unless they are far off. Null and empty texts go,
+    repeated rows stay or go together, other columns don't matter, an empty table stays empty; where nothing
+    can be learned no language is known and all documents go.
     """
     langs, table = train(docs.where(~is_held_out()))
     usual = usual_fit(docs.where(is_held_out()), langs, table)
