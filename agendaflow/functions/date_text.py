@@ -378,9 +378,11 @@ def first_reading(text: str, formats: list[tuple], today: dt.date, words: dict)
 _READ = StructType([StructField("n", IntegerType()), StructField("dates", ArrayType(StructType([f for f in _DATE.fields if f.name != "possibility"])))])
 
 
-def read_dates(text: Column, formats: Column, as_of: Column, language: Column) -> Column:
+def read_dates(text: Column, formats: Column, as_of: Column, language: Column, dictionaries: dict[str, dict] | None = None) -> Column:
     """``first_reading`` of a column, its formats, day and language being columns too; each distinct
-    combination of a batch is read once. A language without a dictionary gives no reading."""
+    combination of a batch is read once. A language without a dictionary gives no reading.
+    ``dictionaries`` (``registries.date_words``) take the place of the built-in ones."""
+    known_words = DICTIONARIES if dictionaries is None else dictionaries
 
     @F.pandas_udf(_READ)
     def run(texts: pd.Series, formats: pd.Series, days: pd.Series, languages: pd.Series) -> pd.DataFrame:
@@ -391,7 +393,7 @@ def read_dates(text: Column, formats: Column, as_of: Column, language: Column) -
             own = () if f is None else tuple((tuple(o["order"]), o["month"], o["year"]) for o in f)
             key = x, own, day, language
             if key not in known:
-                words = DICTIONARIES.get(language)
+                words = known_words.get(language)
                 n, dates = first_reading(x, list(own), day, words) if x and words is not None and day is not None else (0, [])
                 known[key] = n, [{"start_date": iso(a), "start_time": b, "end_date": iso(c), "end_time": e} for a, b, c, e in dates]
             rows.append(known[key])

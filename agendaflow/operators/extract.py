@@ -65,7 +65,7 @@ def links_to_download(pages: DataFrame, venues: DataFrame) -> DataFrame:
     return found.select("venue_id", make_url(F.col("href"), base_url(F.col("url"))).alias("link")).where("link IS NOT NULL").distinct()
 
 
-def dated_by(events: DataFrame, formats: Column, as_of: Column, zone: Column, language: Column, alternates: Column | None = None) -> DataFrame:
+def dated_by(events: DataFrame, formats: Column, as_of: Column, zone: Column, language: Column, alternates: Column | None = None, dictionaries: dict[str, dict] | None = None) -> DataFrame:
     """A row for each date of each event, with unixDate and unixEndDate in milliseconds, hasStartTime and
     n_possibilities. Formats, day, zone and language are those of the row, so venues of all kinds are
     one job.
@@ -76,9 +76,9 @@ def dated_by(events: DataFrame, formats: Column, as_of: Column, zone: Column, la
     error, a blank one with -1; a language without a dictionary reads nothing, a null zone is an error.
     """
     names = events.columns
-    found = events.withColumn("__a", read_dates(F.col("eventDate"), formats, as_of, language))
+    found = events.withColumn("__a", read_dates(F.col("eventDate"), formats, as_of, language, dictionaries))
     if alternates is not None and "altEventDate" in names:
-        other = read_dates(F.when(F.col("__a.n") == 0, F.col("altEventDate")), alternates, as_of, language)
+        other = read_dates(F.when(F.col("__a.n") == 0, F.col("altEventDate")), alternates, as_of, language, dictionaries)
         found = found.withColumn("__b", other).withColumn("__a", F.when(F.col("__b.n") > 0, F.col("__b")).otherwise(F.col("__a"))).drop("__b")
     found = found.withColumn("__zone", zone).withColumn("n_possibilities", F.coalesce(F.col("__a.n"), F.lit(0)))
     rows = found.select(*names, "n_possibilities", "__zone", F.posexplode_outer(F.filter("__a.dates", lambda d: d["start_date"].isNotNull())).alias("date_no", "d"))

@@ -85,6 +85,11 @@ def similar_name(a: Column, b: Column) -> Column:
     return x.contains(y) | y.contains(x)
 
 
+def same_place(a: Column, b: Column) -> Column:
+    """Two structs of name, city and country are one place: simplified names, exact cities and countries."""
+    return (simplify(a["name"]) == simplify(b["name"])) & (a["city"] == b["city"]) & (a["country"] == b["country"])
+
+
 def same_day(a_ms: Column, b_ms: Column, zone: str) -> Column:
     day = lambda c: F.to_date(F.from_utc_timestamp(F.timestamp_millis(c), zone))
     return day(a_ms) == day(b_ms)

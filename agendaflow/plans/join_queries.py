@@ -230,3 +230,18 @@ def venue_lookup(spark, sf_dir):
 
     venues = table(spark, sf_dir, "customer").select("c_custkey", F.col("c_name").alias("id"))
     return filters.find_venue(venues, "CUSTOMER 000000007").select("c_custkey")
+
+
+@query(
+    f"""
+WITH c AS (SELECT c_custkey, 'Place ' || (c_custkey % 9) AS name, c_nationkey AS city FROM customer), s AS (SELECT s_suppkey, 'PLACE-' || (s_suppkey % 9) AS name, s_nationkey AS city FROM supplier)
+SELECT c_custkey, s_suppkey, {sql_simplify('c.name')} = {sql_simplify('s.name')} AS same FROM c JOIN s ON c.city = s.city
+"""
+)
+def same_places(spark, sf_dir):
+    from ..operators import filters
+
+    place = lambda name, city: F.struct(name.alias("name"), F.col(city).cast("string").alias("city"), F.lit("x").alias("country"))
+    c = table(spark, sf_dir, "customer").select("c_custkey", "c_nationkey", place(F.concat(F.lit("Place "), F.col("c_custkey") % 9), "c_nationkey").alias("a"))
+    s = table(spark, sf_dir, "supplier").select("s_suppkey", "s_nationkey", place(F.concat(F.lit("PLACE-"), F.col("s_suppkey") % 9), "s_nationkey").alias("b"))
+    return c.join(s, F.col("c_nationkey") == F.col("s_nationkey")).select("c_custkey", "s_suppkey", filters.same_place(F.col("a"), F.col("b")).alias("same"))

@@ -144,6 +144,10 @@ def test_registries(spark, tmp_path):
     assert registries.read_dictionary(spark, str(tmp_path / "d.json"), "ENGLISH").count() == 1
     own = registries.date_words(d)
     assert set(own) == {"french"} and own["french"]["weekdays"] == [["lundi", "lundis", "lun"]] and own["french"]["months"] == [["mai"], ["juin"]] and own["french"]["to"] == ["au", "jusqu'au"]
+    form = F.array(F.struct(F.array(F.lit("day"), F.lit("month")).alias("order"), F.lit("long").alias("month"), F.lit(None).cast("string").alias("year")))
+    shown = spark.createDataFrame([("5 juin", ""), ("5 juillet", "")], "eventDate string, errorLog string")
+    read = extract.dated_by(shown, form, F.lit("2026-01-01").cast("date"), F.lit("UTC"), F.lit("french"), dictionaries=own)
+    assert {r.eventDate: r.unixDate > 0 for r in read.collect()} == {"5 juin": True, "5 juillet": False}
     (tmp_path / "c.json").write_text('{"France": {"languages": ["french"], "cities": ["Lyon", "Paris"]}}')
     assert [tuple(r) for r in registries.read_countries(spark, str(tmp_path / "c.json")).collect()] == [("France", ["french"], ["Lyon", "Paris"])]
     hints = spark.createDataFrame([("a", "1"), ("b", "2")], "key string, value string")
