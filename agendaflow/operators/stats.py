@@ -56,7 +56,8 @@ def best_style(df: DataFrame, group: str, style: str, seq: str, reference: Seque
 
 def confirmed_dates(df: DataFrame, group: str, date: str, source: str) -> DataFrame:
     """A group's only date; of several those that a source lists which lists another as well."""
-    pairs = df.groupBy(group, date, source).agg(F.lit(1).alias("__one"))
+    # pairs are combined first; one shuffle on the group then serves both windows and the last aggregation
+    pairs = df.select(group, date, source).distinct().repartition(group)
     own, whole = Window.partitionBy(group, source), Window.partitionBy(group)
     told = pairs.withColumn("__k", F.count("*").over(own))
     told = told.withColumns({"__low": F.min(date).over(whole), "__high": F.max(date).over(whole)})
