@@ -25,7 +25,7 @@ LEAST_ESTIMATE = 0.65
 #: Rows of a bucket or cluster that one task compares at once, and their shingles; more are dealt into blocks.
 BLOCK, BLOCK_SHINGLES = 128, 1 << 21
 #: Rows, or bytes, that a worker gathers before it handles the groups it has whole.
-FLUSH_ROWS, FLUSH_BYTES = 2000, 32 << 20
+FLUSH_ROWS, FLUSH_BYTES = 2000, 8 << 20
 #: Ids of dropped documents that are broadcast at most (16 MB), and classes (2 MB).
 MOST_BROADCAST, MOST_CLASSES = 1_000_000, 50_000
 
@@ -322,8 +322,7 @@ def exact_edges(docs: DataFrame, reps: DataFrame, clusters: DataFrame, scratch:
     named = scratch.cut(clusters.select(F.col("node").alias("rep"), F.col("component").alias("group")).join(reps.groupBy("rep").agg(F.sum("n_shingles").alias("n_shingles")), "rep"), "clustered")
     sizes = named.groupBy("group").agg(_blocks(F.count("*"), F.sum("n_shingles")).alias("blocks"))
     members = scratch.cut(named.join(sizes, "group"), "clusters")
-    with bounded_batches(docs.sparkSession):
-        sets = scratch.cut(_shingles(docs, members), "shingles")
+    sets = scratch.cut(_shingles(docs, members), "shingles")
     return _linked_in_groups(sets, members, ["shingles"], _forest_exact, _rest_exact, scratch)
 
 
@@ -340,14 +339,14 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     """
     spark = docs.sparkSession
     scratch = Scratch(spark)
-    with bounded_batches(spark):
+    with bounded_batches(spark):  # all jobs that hand rows to Python run in here
         table = cut(sketch(docs), "sketches")
-    named = table.where("n_shingles > 0 AND doc_id IS NOT NULL")
-    classes = named.groupBy(*_CLASS).agg(F.min("doc_id").cast("long").alias("rep"), F.first("registers").alias("registers"), F.count("*").alias("n"))
-    classes = scratch.cut(classes, "classes")
-    clusters = scratch.cut(components(candidate_edges(classes, scratch)), "candidates")
-    found = components(exact_edges(docs, classes, clusters, scratch)).select(F.col("node").alias("rep"), F.col("component"))
-    known = cut(classes.join(found, "rep", "left").select(*_CLASS, F.coalesce("component", "rep").alias("component"), "n"), "known")
+        named = table.where("n_shingles > 0 AND doc_id IS NOT NULL")
+        classes = named.groupBy(*_CLASS).agg(F.min("doc_id").cast("long").alias("rep"), F.first("registers").alias("registers"), F.count("*").alias("n"))
+        classes = scratch.cut(classes, "classes")
+        clusters = scratch.cut(components(candidate_edges(classes, scratch)), "candidates")
+        found = components(exact_edges(docs, classes, clusters, scratch)).select(F.col("node").alias("rep"), F.col("component"))
+        known = cut(classes.join(found, "rep", "left").select(*_CLASS, F.coalesce("component", "rep").alias("component"), "n"), "known")
     full = table.where("n_shingles > 0").select("doc_id", *_CLASS)
     out = join_by_key(full, known.drop("n"), _CLASS, known.select(*_CLASS, "n"), known.count() <= MOST_CLASSES).select("doc_id", "n_shingles", "component")
     # empty sets are linked with nothing, so they don't meet in the join
