@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import bytesops as B
+from .shared import released
 
 BUCKETS = 1 << 15
 #: About so many documents of each language train the model; a documented bound, not a cap on what is predicted.
@@ -99,7 +100,7 @@ def train(docs: DataFrame, train_docs: int = TRAIN_DOCS) -> tuple[list[str], np.
         yield pa.RecordBatch.from_arrays([pa.array(lang.astype(np.int32)), pa.array(bucket.astype(np.int32)), pa.array(sums[lang, bucket])], ["lang", "bucket", "n"])
 
     sums = np.zeros((BUCKETS, len(langs)))
-    found = drawn.mapInArrow(count, "lang int, bucket int, n long").groupBy("lang", "bucket").agg(F.sum("n").alias("n")).toArrow()
+    found = drawn.mapInArrow(released(count), "lang int, bucket int, n long").groupBy("lang", "bucket").agg(F.sum("n").alias("n")).toArrow()
     sums[np.asarray(found["bucket"]), np.asarray(found["lang"])] = np.asarray(found["n"])
     prob = (sums + SMOOTHING) / (sums + SMOOTHING).sum(axis=0)
     return langs, np.log(prob).astype(np.float32)
@@ -176,7 +177,7 @@ def predict(docs: DataFrame, langs: list[str], log_prob: np.ndarray, keep: list[
     names = [f.name for f in fields]
     schema = ", ".join([f"`{f.name}` {f.dataType.simpleString()}" for f in fields] + ["__lang_pred string", "__score double", "__lang_set array<string>"] + ["__fit double", "__sd double", "__trigrams long"] * fit)
     text = "text" if "text" in names else "__text"
-    block = max(1 << 16, (1 << 22) // max(len(langs), 1))  # bytes whose likelihoods in all languages are held at once
+    block = max(1 << 16, (1 << 20) // max(len(langs), 1))  # bytes whose likelihoods in all languages are held at once
 
     def label(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         table = model.value
@@ -211,7 +212,7 @@ def predict(docs: DataFrame, langs: list[str], log_prob: np.ndarray, keep: list[
             yield pa.RecordBatch.from_arrays(arrays, [*names, "__lang_pred", "__score", "__lang_set", *["__fit", "__sd", "__trigrams"] * fit])
 
     columns = [F.col(f"`{n}`") for n in names]
-    return docs.select(*columns, *([] if text == "text" else [F.col("text").alias("__text")])).mapInArrow(label, schema)
+    return docs.select(*columns, *([] if text == "text" else [F.col("text").alias("__text")])).mapInArrow(released(label), schema)
 
 
 def is_held_out():

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from . import bytesops as B
 from .components import components
-from .shared import Scratch, bounded_batches, cut, free_names, join_by_key
+from .shared import Scratch, bounded_batches, cut, free_names, join_by_key, released
 
 #: Registers hold truncated, exponentially spaced minima: floor(1 - log_BASE(minimum)), minima at RATE.
 REGISTERS, BASE, RATE, TOP = 120, 1.001, 20.0, (1 << 16) - 1
@@ -98,7 +98,7 @@ def sketch(docs: DataFrame) -> DataFrame:
                     ["doc_id", "n_shingles", "d1", "d2", "registers"],
                 )
 
-    return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {kind}, n_shingles long, d1 long, d2 long, registers binary")
+    return docs.select("doc_id", "text").mapInArrow(released(run), f"doc_id {kind}, n_shingles long, d1 long, d2 long, registers binary")
 
 
 def _band_keys(reps: DataFrame) -> DataFrame:
@@ -110,7 +110,7 @@ def _band_keys(reps: DataFrame) -> DataFrame:
                 ids = np.repeat(np.asarray(batch["rep"]), BANDS)
                 yield pa.RecordBatch.from_arrays([pa.array(keys.ravel()), pa.array(ids)], ["key", "rep"])
 
-    return reps.select("rep", "registers").mapInArrow(run, "key long, rep long")
+    return reps.select("rep", "registers").mapInArrow(released(run), "key long, rep long")
 
 
 def _grouped(df: DataFrame, key: str, handle, schema: str) -> DataFrame:
@@ -144,7 +144,7 @@ def _grouped(df: DataFrame, key: str, handle, schema: str) -> DataFrame:
             yield flush(pa.Table.from_batches(held), True)[0]
 
     spread = df.repartition(F.col(key)).sortWithinPartitions(key)
-    return spread.mapInArrow(run, schema)
+    return spread.mapInArrow(released(run), schema)
 
 
 def _registers_of(group: dict) -> np.ndarray:
@@ -259,7 +259,7 @@ def _shingles(docs: DataFrame, members: DataFrame) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([batch["rep"].slice(a, b - a), *(batch[c].slice(a, b - a) for c in names), pa.array([s.tobytes() for s in sets], pa.binary())], ["rep", *names, "shingles"])
 
     texts = docs.select(F.col("doc_id").cast("long").alias("rep"), "text").where("rep IS NOT NULL")
-    return texts.join(members, "rep").select("rep", *names, "text").mapInArrow(run, f"rep long, {kinds}, shingles binary").where("octet_length(shingles) > 0")
+    return texts.join(members, "rep").select("rep", *names, "text").mapInArrow(released(run), f"rep long, {kinds}, shingles binary").where("octet_length(shingles) > 0")
 
 
 _EDGES = "u long, v long"

@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from . import bytesops as B
-from .shared import bounded_batches, cut
+from .shared import bounded_batches, cut, released
 from .tokens import default_tokenizer_path, encoder
 
 CAPACITY = 1024
@@ -58,7 +58,7 @@ def encode_pieces(docs: DataFrame, capacity: int = CAPACITY, end_id: int = END_I
                     ["doc_id", "piece", "start", "length", "ids_crc32", "part", "rank"],
                 )
 
-    return docs.select("doc_id", "text").mapInArrow(encode, f"doc_id {kind}, piece int, start long, length long, ids_crc32 long, part int, rank long")
+    return docs.select("doc_id", "text").mapInArrow(released(encode), f"doc_id {kind}, piece int, start long, length long, ids_crc32 long, part int, rank long")
 
 
 def _fullest(values: np.ndarray, sizes: np.ndarray, capacity: int) -> tuple[float, np.ndarray]:
@@ -222,4 +222,4 @@ def pack(docs: DataFrame, capacity: int = CAPACITY, end_id: int = END_ID, tokeni
             yield pa.RecordBatch.from_arrays([*(batch[c] for c in ("doc_id", "piece", "start", "length", "ids_crc32")), pa.array(sequence), pa.array(offset)], ["doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset"])
 
     seated = ranked.select("doc_id", "piece", "start", "length", "ids_crc32", (F.col("before") + F.col("rank")).alias("rank"))
-    return seated.mapInArrow(seat, f"doc_id {kind}, piece int, start long, length long, ids_crc32 long, sequence_id long, offset long")
+    return seated.mapInArrow(released(seat), f"doc_id {kind}, piece int, start long, length long, ids_crc32 long, sequence_id long, offset long")

@@ -4,9 +4,10 @@ from __future__ import annotations
 
 import tempfile
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from contextlib import contextmanager
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -76,6 +77,19 @@ def bounded_batches(spark: SparkSession) -> Iterator[None]:
         spark.conf.set(key, old)
 
 
+def released(run: Callable[[Iterator], Iterator]) -> Callable[[Iterator], Iterator]:
+    """``run`` for a partition's batches; the memory that they took goes back when it ends, not when the
+    reused worker needs it again."""
+
+    def whole(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        try:
+            yield from run(batches)
+        finally:
+            pa.default_memory_pool().release_unused()
+
+    return whole
+
+
 def free_names(columns: list[str], *names: str) -> list[str]:
     """The names, each with as many underscores before it as keep it apart from all ``columns``."""
     taken, out = {c.lower() for c in columns}, []

@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import bytesops as B
-from .shared import bounded_batches
+from .shared import bounded_batches, released
 from .tokens import default_tokenizer_path, encoder
 
 END_ID = 0
@@ -63,7 +63,7 @@ def write_token_files(docs: DataFrame, path: str, tokenizer: str | None = None,
                 before += int(at[-1])
 
     kind = docs.schema["doc_id"].dataType.simpleString()
-    files = ordered.mapInArrow(encode, f"doc_id {kind}, part int, start_in_part long, n_tokens long, ids array<int>")
+    files = ordered.mapInArrow(released(encode), f"doc_id {kind}, part int, start_in_part long, n_tokens long, ids array<int>")
     with bounded_batches(docs.sparkSession):
         files.write.options(**ORC_OPTIONS).orc(path)
 
@@ -101,4 +101,4 @@ def with_crc32(table: DataFrame, ids: str = "ids", out: str = "ids_crc32") -> Da
             sums = [zlib.crc32(raw[4 * a : 4 * b]) for a, b in zip(at[:-1], at[1:])]
             yield pa.RecordBatch.from_arrays([*(batch[f.name] for f in rest), pa.array(sums, pa.int64())], [*(f.name for f in rest), out])
 
-    return table.mapInArrow(crc, schema)
+    return table.mapInArrow(released(crc), schema)
