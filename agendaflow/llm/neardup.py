@@ -329,8 +329,9 @@ def exact_edges(docs: DataFrame, reps: DataFrame, clusters: DataFrame, scratch:
 _CLASS = ["d1", "d2", "n_shingles"]
 
 
-def near_duplicates(docs: DataFrame) -> DataFrame:
-    """doc_id, n_shingles, component_id, kept of every document.
+def near_duplicates(docs: DataFrame, lasting: Scratch | None = None) -> DataFrame:
+    """doc_id, n_shingles, component_id, kept of every document. ``lasting`` gets the tables that the result
+    reads.
 
     Texts of equal sets form a class, stood for by its smallest doc_id; classes are sketched, banded,
     estimated and checked on full sets. A document without words has an empty set and is linked with
@@ -338,15 +339,15 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     class, or null where the class has no other id, and is always kept. Empty in, empty out.
     """
     spark = docs.sparkSession
-    scratch = Scratch(spark)
+    scratch, lasting = Scratch(spark), lasting or Scratch(spark)
     with bounded_batches(spark):  # all jobs that hand rows to Python run in here
-        table = cut(sketch(docs), "sketches")
+        table = lasting.cut(sketch(docs), "sketches")
         named = table.where("n_shingles > 0 AND doc_id IS NOT NULL")
         classes = named.groupBy(*_CLASS).agg(F.min("doc_id").cast("long").alias("rep"), F.first("registers").alias("registers"), F.count("*").alias("n"))
         classes = scratch.cut(classes, "classes")
         clusters = scratch.cut(components(candidate_edges(classes, scratch)), "candidates")
         found = components(exact_edges(docs, classes, clusters, scratch)).select(F.col("node").alias("rep"), F.col("component"))
-        known = cut(classes.join(found, "rep", "left").select(*_CLASS, F.coalesce("component", "rep").alias("component"), "n"), "known")
+        known = lasting.cut(classes.join(found, "rep", "left").select(*_CLASS, F.coalesce("component", "rep").alias("component"), "n"), "known")
     full = table.where("n_shingles > 0").select("doc_id", *_CLASS)
     out = join_by_key(full, known.drop("n"), _CLASS, known.select(*_CLASS, "n"), known.count() <= MOST_CLASSES).select("doc_id", "n_shingles", "component")
     # empty sets are linked with nothing, so they don't meet in the join
@@ -360,7 +361,9 @@ def drop_near_duplicates(docs: DataFrame) -> DataFrame:
     """The documents that stay: the smallest doc_id of each component, and those without a doc_id;
     columns as they were. Rows of one doc_id stay or go together, but of those that repeat their words
     one stays, the same in every run."""
-    found = cut(near_duplicates(docs), "near-duplicates").where("doc_id IS NOT NULL")
+    lasting = Scratch(docs.sparkSession)
+    found = cut(near_duplicates(docs, lasting), "near-duplicates").where("doc_id IS NOT NULL")
+    lasting.clear()
     gone = found.where("NOT kept").select("doc_id").distinct()
     if gone.count() <= MOST_BROADCAST:
         gone = F.broadcast(gone)  # else Spark joins by a shuffle
