@@ -140,12 +140,17 @@ def _matches(node: Node, segment: str) -> bool:
     return m[1].lower() in ("", "*", node.tag) and own.issuperset(m[2].split(".")[1:]) and not (":not([class])" in m[3] and own)
 
 
-def select(root: Node, path: str) -> list[Node]:
+def _anywhere(path: str) -> bool:
+    """Whether a path's segments may be any number of levels apart."""
+    return all(s.strip().endswith(")") for s in path.split(">"))
+
+
+def select(root: Node, path: str, anywhere: bool | None = None) -> list[Node]:
     """The elements that a path reaches, in document order."""
     if not path:
         return [root]
     segments = path.split(">")
-    anywhere = all(s.strip().endswith(")") for s in segments)
+    anywhere = _anywhere(path) if anywhere is None else anywhere
     found = [root]
     for s in segments:
         step: list[Node] = []
@@ -451,23 +456,29 @@ def revise(html: str, delimiter: str, recipe: dict[str, list[str]], marked: dict
     return main, other
 
 
-NODE_SCHEMA = "node_id int, parent_id int, depth int, tag string, classes array<string>, href string, sib_index int, text string"
+NODE_SCHEMA = "node_id int, parent_id int, last_id int, depth int, tag string, classes array<string>, href string, sib_index int, text string"
 
 
 @udtf(returnType=NODE_SCHEMA)
 class HtmlNodes:
-    """A row for each element of a page."""
+    """A row for each element of a page; those inside it have the numbers after its own up to last_id."""
 
     def eval(self, html: str):
         root = parse(html)
-        number, earlier = {id(root): -1}, {}
-        for k, n in enumerate(root.walk()):
-            number[id(n)] = k
+        nodes = list(root.walk())
+        number = {id(n): k for k, n in enumerate(nodes)} | {id(root): -1}
+        last = list(range(len(nodes)))
+        for k in range(len(nodes) - 1, -1, -1):
+            up = number[id(nodes[k].parent)]
+            if up >= 0:
+                last[up] = max(last[up], last[k])
+        earlier: dict[int, Counter] = {}
+        for k, n in enumerate(nodes):
             like = earlier.setdefault(id(n.parent), Counter())
             own = frozenset(n.classes)
             index = sum(c for (tag, classes), c in like.items() if tag == n.tag and classes >= own)
             like[n.tag, own] += 1
-            yield k, number[id(n.parent)], n.depth - 1, n.tag, n.classes, n.attrs.get("href"), index, n.text()
+            yield k, number[id(n.parent)], last[k], n.depth - 1, n.tag, n.classes, n.attrs.get("href"), index, n.text()
 
 
 def register(spark: SparkSession) -> None:
@@ -481,7 +492,7 @@ def _descend(root: Node, path: str) -> list[Node]:
     tops = [n for n in root.walk() if _matches(n, first)]
     if at := re.search(r":eq\((\d+)\)", first):
         tops = tops[int(at[1]) : int(at[1]) + 1]
-    return list(dict.fromkeys(x for n in tops for x in select(n, rest))) if rest else tops
+    return list(dict.fromkeys(x for n in tops for x in select(n, rest, _anywhere(path)))) if rest else tops
 
 
 def _map(x) -> dict:

@@ -295,3 +295,28 @@ def links_of_blocks(spark, sf_dir):
     turns = table(spark, sf_dir, "conversations").select("conv_id", F.col("turn").alias("block_no"))
     links = turns.where("block_no % 2 = 1").withColumn("link", F.concat(F.lit("http://x/"), "conv_id", F.lit("/"), "block_no"))
     return pages.with_block_links(turns, links.unionByName(links), "conv_id").select("conv_id", F.col("block_no").alias("turn"), "link")
+
+
+_MENU = """
+WITH p AS (SELECT page_id, coalesce(regexp_extract(html, '<nav><ul>([\\s\\S]*?)</ul></nav>', 1), '') AS nav FROM pages),
+a AS (SELECT page_id, regexp_extract_all(nav, '<a href="([^"]*)"', 1) AS h, regexp_extract_all(nav, '<li><a href="[^"]*">([^<]*)</a></li>', 1) AS t FROM p)
+"""
+
+
+@query(_MENU + "SELECT page_id, h[i] AS href FROM (SELECT page_id, h, unnest(generate_series(1, len(h))) AS i FROM a)")
+def nodes_by_path(spark, sf_dir):
+    """The menu's links of each page by joins over its elements."""
+    from ..operators import nodes
+
+    found = nodes.select_path(nodes.page_nodes(table(spark, sf_dir, "pages").select("page_id", "html")), "nav>ul>li>a", "page_id")
+    return found.select("page_id", "href")
+
+
+@query(_MENU + "SELECT page_id, i - 1 AS block_no, t[i] AS \"eventName\" FROM (SELECT page_id, t, unnest(generate_series(1, len(t))) AS i FROM a)")
+def fields_by_joins(spark, sf_dir):
+    """Each menu entry as a block, its name by joins inside it."""
+    from ..operators import nodes
+
+    table_ = nodes.page_nodes(table(spark, sf_dir, "pages").select("page_id", "html"))
+    found = nodes.blocks_and_fields(table_, "nav>ul>li", {"eventName": "a"}, "page_id")
+    return found.select("page_id", F.col("block_no").cast("long").alias("block_no"), "eventName")

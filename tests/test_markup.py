@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from agendaflow.functions import dates, html, maps, text
-from agendaflow.operators import extract, pages, recipes
+from agendaflow.operators import extract, nodes, pages, recipes
 from agendaflow.sources import pages as page_files
 from agendaflow.sources import registries
 
@@ -200,3 +200,26 @@ def test_small_functions(spark):
 def test_addresses(spark, query, want):
     today = F.unix_millis(F.lit("2025-03-09 00:00:00").cast("timestamp"))
     assert spark.range(1).select(dates.address_offset(F.lit("http://map/" + query), today).alias("d")).first().d == want
+
+
+def test_node_joins_equal_the_tree(spark):
+    import random
+
+    rng = random.Random(9)
+
+    def markup(depth):
+        inner = "".join(markup(depth + 1) for _ in range(rng.randint(0, 3))) if depth < 4 else "x"
+        tag, own = rng.choice(["div", "ul", "li", "p", "b"]), rng.choice(["", ' class="a"', ' class="a b"'])
+        return f"<{tag}{own}>{rng.randint(0, 9)}{inner}" + (f"</{tag}>" if rng.random() < 0.7 else "")
+
+    sites = {k: "".join(markup(0) for _ in range(4)) for k in range(12)}
+    table = nodes.page_nodes(spark.createDataFrame(list(sites.items()), "page int, html string")).cache()
+    for path in ("div", "div>p", "div.a>li>b", "p.a.b", "li:eq(1)", "div>b:eq(0)", "div:eq(0)>p:not([class])", "*:not([class])", "div:eq(1)>li:eq(0)>p:eq(0)"):
+        want = set()
+        for k, source in sites.items():
+            root = html.parse(source)
+            place = {id(n): i for i, n in enumerate(root.walk())}
+            want |= {(k, place[id(n)]) for n in html._descend(root, path)}
+        assert {(r.page, r.node_id) for r in nodes.select_path(table, path, "page").select("page", "node_id").collect()} == want, path
+    shown = nodes.blocks_and_fields(nodes.page_nodes(spark.createDataFrame([(1, SITE)], "page int, html string")), "div.item", {"eventName": "a>h3", "eventDate": "p.d", "eventPlace": "p.p"}, "page")
+    assert sorted(map(tuple, shown.collect())) == [(1, 0, "Alpha", "5 mai", "Bar"), (1, 1, "Beta", "6 mai", "Club"), (1, 2, "Gamma", "7 mai", None)]
