@@ -308,7 +308,8 @@ def nodes_by_path(spark, sf_dir):
     """The menu's links of each page by joins over its elements."""
     from ..operators import nodes
 
-    found = nodes.select_path(nodes.page_nodes(table(spark, sf_dir, "pages").select("page_id", "html")), "nav>ul>li>a", "page_id")
+    table_ = nodes.page_nodes(table(spark, sf_dir, "pages").select("page_id", "html")).persist()
+    found = nodes.select_path(table_, "nav>ul>li>a", "page_id")
     return found.select("page_id", "href")
 
 
@@ -317,6 +318,7 @@ def fields_by_joins(spark, sf_dir):
     """Each menu entry as a block, its name by joins inside it."""
     from ..operators import nodes
 
-    table_ = nodes.page_nodes(table(spark, sf_dir, "pages").select("page_id", "html"))
+    # read five times below: pages are parsed once, lost blocks again
+    table_ = nodes.page_nodes(table(spark, sf_dir, "pages").select("page_id", "html")).persist()
     found = nodes.blocks_and_fields(table_, "nav>ul>li", {"eventName": "a"}, "page_id")
     return found.select("page_id", F.col("block_no").cast("long").alias("block_no"), "eventName")
