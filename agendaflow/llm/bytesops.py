@@ -15,7 +15,7 @@ U = np.uint64
 BASE = 0x9E3779B97F4A7C15 | 1
 BASE_INV = pow(BASE, -1, 1 << 64)
 #: Bytes that are handled at once; a longer single document makes a longer block.
-BLOCK_BYTES = 1 << 20
+BLOCK_BYTES = 1 << 18
 
 _powers: list[np.ndarray] = [np.ones(1, U), np.ones(1, U)]
 
