@@ -5,7 +5,7 @@ from __future__ import annotations
 import hashlib
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -115,31 +115,31 @@ def plan(docs: DataFrame, weights: tuple[float, ...] = WEIGHTS, most: int = MOST
     table = [(r["source"], r["size"], float(t), int(w)) for r, t, w in zip(rows, wanted, whole)]
     sources = spark.createDataFrame(table, "source string, source_size long, target double, whole int")
 
-    def drawn(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("block").reset_index(drop=True)
-        order = np.random.default_rng(_seed(seed, "draw", pdf["source"][0])).permutation(len(pdf))
-        need = float(pdf["target"][0] - pdf["whole"][0] * pdf["source_size"][0])
-        extra = draw_blocks(pdf["size"].to_numpy(), need, order) if pdf["whole"][0] < most else np.zeros(len(pdf), bool)
-        return pd.DataFrame({"source": pdf["source"], "block": pdf["block"], "source_size": pdf["source_size"], "target": pdf["target"], "copies": pdf["whole"].to_numpy() + extra})
+    def drawn(group: pa.Table) -> pa.Table:
+        group = group.sort_by("block")
+        source, target, most_of_it, size = (group[c][0].as_py() for c in ("source", "target", "whole", "source_size"))
+        order = np.random.default_rng(_seed(seed, "draw", source)).permutation(len(group))
+        extra = draw_blocks(np.asarray(group["size"]), float(target - most_of_it * size), order) if most_of_it < most else np.zeros(len(group), bool)
+        return group.select(["source", "block", "source_size", "target"]).append_column("copies", pa.array(most_of_it + extra.astype(np.int32), pa.int32()))
 
     joined = sums.join(sources, sums["source"].eqNullSafe(sources["source"])).drop(sources["source"])
-    copies = scratch.cut(joined.groupBy("source").applyInPandas(drawn, "source string, block int, source_size long, target double, copies int"), "mix-copies")
+    copies = scratch.cut(joined.groupBy("source").applyInArrow(drawn, "source string, block int, source_size long, target double, copies int"), "mix-copies")
     quota = {r["source"]: r["n"] for r in copies.groupBy("source").agg(F.sum("copies").alias("n")).collect()}
     split = split_quotas(np.array([quota.get(r["source"], 0) for r in rows], np.int64), shards, np.random.default_rng(seed))
     parts = spark.createDataFrame([(r["source"], split[:, k].tolist()) for k, r in enumerate(rows)], "source string, quotas array<long>")
 
-    def deal(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("block").reset_index(drop=True)
-        copies = np.repeat(np.arange(len(pdf)), pdf["copies"].to_numpy())
-        copies = np.random.default_rng(_seed(seed, "deal", pdf["source"][0])).permutation(copies)
-        shard = np.searchsorted(np.cumsum(pdf["quotas"][0]), np.arange(len(copies)), "right")
-        got: list[list[int]] = [[] for _ in range(len(pdf))]
+    def deal(group: pa.Table) -> pa.Table:
+        group = group.sort_by("block")
+        copies = np.repeat(np.arange(len(group)), np.asarray(group["copies"]))
+        copies = np.random.default_rng(_seed(seed, "deal", group["source"][0].as_py())).permutation(copies)
+        shard = np.searchsorted(np.cumsum(group["quotas"][0].as_py()), np.arange(len(copies)), "right")
+        got: list[list[int]] = [[] for _ in range(len(group))]
         for k, s in zip(copies.tolist(), shard.tolist()):
             got[k].append(s)
-        return pd.DataFrame({"source": pdf["source"], "block": pdf["block"], "source_size": pdf["source_size"], "target": pdf["target"], "shards": got})
+        return group.select(["source", "block", "source_size", "target"]).append_column("shards", pa.array(got, pa.list_(pa.int32())))
 
     dealt = copies.join(parts, copies["source"].eqNullSafe(parts["source"])).drop(parts["source"])
-    out = cut(dealt.groupBy("source").applyInPandas(deal, "source string, block int, source_size long, target double, shards array<int>"), "mix-blocks")
+    out = cut(dealt.groupBy("source").applyInArrow(deal, "source string, block int, source_size long, target double, shards array<int>"), "mix-blocks")
     scratch.clear()
     return out
 
