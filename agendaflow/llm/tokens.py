@@ -17,8 +17,8 @@ import numpy as np
 from . import bytesops as B
 
 SPACE, LETTER, NUMBER, OTHER, ODD = range(5)
-_SLOTS = 1 << 21
-_MOST_PIECES = 1_500_000
+_SLOTS = 1 << 19
+_MOST_PIECES = 600_000
 
 
 def default_tokenizer_path() -> str:
@@ -167,7 +167,7 @@ class Encoder:
 
     def _entries(self, data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
         h = B.range_hashes(data, starts, ends)
-        slot = (h >> np.uint64(43)).astype(np.int64)
+        slot = (h >> np.uint64(65 - _SLOTS.bit_length())).astype(np.int64)
         found = self.entry[slot]
         missed = np.flatnonzero((self.key[slot] != h) | (self.width[found] != ends - starts))
         if len(missed):
