@@ -183,8 +183,8 @@ def predict(docs: DataFrame, langs: list[str], log_prob: np.ndarray, keep: list[
         table = model.value
         for batch in batches:
             data, off = B.column_bytes(batch[text])
-            pred, score, sets, fits = [], [], [], []
             for a, b in B.blocks(off, block):
+                pred, score, sets, fits = [], [], [], []
                 own, at = data[off[a] : off[b]], off[a : b + 1] - off[a]
                 grams, g = _trigrams(own, at)
                 logs = table[grams]
@@ -206,10 +206,10 @@ def predict(docs: DataFrame, langs: list[str], log_prob: np.ndarray, keep: list[
                     if fit:
                         most = rows[:, chosen].max(axis=1)
                         fits.append((float(most.mean(dtype=np.float64)), float(most.std(dtype=np.float64)), len(most)))
-            arrays = [batch[n] for n in names] + [pa.array(pred, pa.string()), pa.array(score, pa.float64()), pa.array(sets, pa.list_(pa.string()))]
-            if fit:
-                arrays += [pa.array([x[j] for x in fits], kind) for j, kind in enumerate((pa.float64(), pa.float64(), pa.int64()))]
-            yield pa.RecordBatch.from_arrays(arrays, [*names, "__lang_pred", "__score", "__lang_set", *["__fit", "__sd", "__trigrams"] * fit])
+                arrays = [batch[n].slice(a, b - a) for n in names] + [pa.array(pred, pa.string()), pa.array(score, pa.float64()), pa.array(sets, pa.list_(pa.string()))]
+                if fit:
+                    arrays += [pa.array([x[j] for x in fits], kind) for j, kind in enumerate((pa.float64(), pa.float64(), pa.int64()))]
+                yield pa.RecordBatch.from_arrays(arrays, [*names, "__lang_pred", "__score", "__lang_set", *["__fit", "__sd", "__trigrams"] * fit])
 
     columns = [F.col(f"`{n}`") for n in names]
     return docs.select(*columns, *([] if text == "text" else [F.col("text").alias("__text")])).mapInArrow(released(label), schema)
