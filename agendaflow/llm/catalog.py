@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import fingerprints, language, licences, lines, mixing, neardup, neighbours, packing, sharding, token_files
+from . import centroids, fingerprints, language, lexical, licences, lines, mixing, neardup, neighbours, packing, secret_scan, sharding, token_files
 from .shared import new_path
 
 
@@ -58,10 +58,22 @@ def op10_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
     return neighbours.search(_read(spark, sf_dir, "embeddings"), F.col("vec_id") % 20 == 0)
 
 
+def op11_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secret_scan.find_secrets(_read(spark, sf_dir, "documents"))
+
+
+def op12_lexical_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lexical.search(_read(spark, sf_dir, "documents"), _read(spark, sf_dir, "benchmark"))
+
+
+def op13_centroids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return centroids.cluster(_read(spark, sf_dir, "embeddings"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    named = [op1_line_dedup, op2_language_id, op3_near_duplicates, op4_licence_scan, op5_token_files, op6_mixing, op7_packing, op8_sharding, op9_fingerprints, op10_neighbours]
+    named = [op1_line_dedup, op2_language_id, op3_near_duplicates, op4_licence_scan, op5_token_files, op6_mixing, op7_packing, op8_sharding, op9_fingerprints, op10_neighbours, op11_secrets, op12_lexical_search, op13_centroids]
     return {f.__name__: f for f in named}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_line_dedup": lines.op1_oracle(), "op8_sharding": sharding.op8_oracle()}
+    return {"op1_line_dedup": lines.op1_oracle(), "op8_sharding": sharding.op8_oracle(), "op12_lexical_search": lexical.op12_oracle(), "op13_centroids": centroids.op13_oracle()}

@@ -40,9 +40,9 @@ class Scratch:
     def __init__(self, spark: SparkSession):
         self.spark, self.paths = spark, []
 
-    def cut(self, df: DataFrame, name: str) -> DataFrame:
+    def cut(self, df: DataFrame, name: str, **options) -> DataFrame:
         self.paths.append(new_path(self.spark, name))
-        df.write.parquet(self.paths[-1])
+        df.write.options(**options).parquet(self.paths[-1])
         return self.spark.read.schema(df.schema).parquet(self.paths[-1])
 
     def clear(self, keep: int = 0) -> None:
@@ -64,13 +64,13 @@ BATCH_ROWS = 1000
 
 
 @contextmanager
-def bounded_batches(spark: SparkSession) -> Iterator[None]:
+def bounded_batches(spark: SparkSession, rows: int = BATCH_ROWS) -> Iterator[None]:
     """A smaller Arrow batch for the jobs that run inside, so a worker holds few texts at once; the
     session's own setting comes back afterwards."""
     key = "spark.sql.execution.arrow.maxRecordsPerBatch"
     old = spark.conf.get(key, "10000")
-    if not 0 < int(old) <= BATCH_ROWS:
-        spark.conf.set(key, str(BATCH_ROWS))
+    if not 0 < int(old) <= rows:
+        spark.conf.set(key, str(rows))
     try:
         yield
     finally:
