@@ -2,6 +2,7 @@
 
 import datetime as dt
 import random
+import time
 import json
 
 
@@ -13,6 +14,7 @@ from pyspark.sql import functions as F
 from agendaflow.functions import html, maps, text
 from agendaflow.functions.date_text import FRENCH
 from agendaflow.operators import extract, filters, merge, pages, registry
+from agendaflow.operators.graph import linked_sets
 from agendaflow.sources import csv, geojson
 from agendaflow.sources import pages as page_files
 
@@ -300,3 +302,46 @@ def test_streams(spark, tmp_path):
     for _ in range(2):
         assert stream.replace_pages(stream.page_stream(spark, str(src)), str(tmp_path / "out"), str(tmp_path / "ck")).awaitTermination(90)
     assert spark.read.parquet(str(tmp_path / "out")).count() == 6
+
+
+EVENT = "seq long, eventName string, place string, city string, country string, source string, style string, detailedStyle string, eventURL string, unixDate long"
+
+
+def one_day(names):
+    return [(k, n, "Bar", "Lyon", "France", "S", None, None, f"u{k}", 1_764_547_200_000) for k, n in enumerate(names)]
+
+
+@pytest.mark.parametrize("seed", [1, 2, 3])
+def test_groups_of_one_day_equal_the_naive_ones(spark, seed):
+    rng = random.Random(seed)
+    word = lambda: "".join(rng.choice("abcd") for _ in range(rng.randint(3, 8)))
+    pool = [" ".join(word() for _ in range(rng.randint(1, 4))) for _ in range(120)]
+    pool += [p[k : k + rng.randint(1, 12)] for p in pool for k in (0, 3, 7)] + (["", "a", None] if seed == 3 else [])
+    names = [rng.choice(pool) for _ in range(700)]
+    got = {}
+    for r in merge.grouped(spark.createDataFrame(one_day(names), EVENT)).collect():
+        got.setdefault(r.group, []).append((r.ord, r.seq))
+    plain = [merge.simple(n) for n in names]
+    assert sorted([k for _, k in sorted(v)] for v in got.values()) == sorted(merge.cluster(plain))
+    assert len(got) > 1 or seed == 3
+
+
+def test_a_hundred_thousand_names_of_one_day(spark):
+    """Names in chains: each third name lies in the next one, the others stand alone."""
+    names = []
+    for k in range(33_000):
+        names += [f"soiree {k:06d} quartet", f"la soiree {k:06d} quartet live", f"bal {k * 7:07d} des pompiers"]
+    began = time.perf_counter()
+    out = merge.grouped(spark.createDataFrame(one_day(names), EVENT).repartition(4))
+    groups = {}
+    for r in out.select("group", "seq").collect():
+        groups.setdefault(r.group, []).append(r.seq)
+    assert time.perf_counter() - began < 120
+    assert sorted(map(sorted, groups.values())) == sorted([[3 * k, 3 * k + 1] for k in range(33_000)] + [[3 * k + 2] for k in range(33_000)])
+
+
+def test_linked_sets(spark):
+    links = [(k, k + 1) for k in range(300)] + [(1000, 1000 + k) for k in range(200)] + [(5, 5), (2000, 2001)]
+    got = {r.node: r.root for r in linked_sets(spark.createDataFrame(links, "a long, b long")).collect()}
+    assert got == {k: 0 for k in range(301)} | {k: 1000 for k in range(1000, 1200)} | {2000: 2000, 2001: 2000}
+    assert linked_sets(spark.createDataFrame([], "a long, b long")).count() == 0
