@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from ..functions import text
 from ..operators import pages, stats
+from ..storage import written
 from .registry import query, table
 
 
@@ -308,7 +309,7 @@ def nodes_by_path(spark, sf_dir):
     """The menu's links of each page by joins over its elements."""
     from ..operators import nodes
 
-    table_ = nodes.page_nodes(table(spark, sf_dir, "pages").select("page_id", "html")).persist()
+    table_ = written(nodes.page_nodes(table(spark, sf_dir, "pages").select("page_id", "html")), "page-nodes")
     found = nodes.select_path(table_, "nav>ul>li>a", "page_id")
     return found.select("page_id", "href")
 
@@ -318,7 +319,17 @@ def fields_by_joins(spark, sf_dir):
     """Each menu entry as a block, its name by joins inside it."""
     from ..operators import nodes
 
-    # read five times below: pages are parsed once, lost blocks again
-    table_ = nodes.page_nodes(table(spark, sf_dir, "pages").select("page_id", "html")).persist()
+    # read five times below: pages are parsed once
+    table_ = written(nodes.page_nodes(table(spark, sf_dir, "pages").select("page_id", "html")), "page-nodes")
     found = nodes.blocks_and_fields(table_, "nav>ul>li", {"eventName": "a"}, "page_id")
     return found.select("page_id", F.col("block_no").cast("long").alias("block_no"), "eventName")
+
+
+@query(_MENU + "SELECT page_id, i - 1 AS block_no, t[i] AS \"eventName\", h[i] AS \"eventURL\" FROM (SELECT page_id, t, h, unnest(generate_series(1, len(t))) AS i FROM a)")
+def blocks_with_links(spark, sf_dir):
+    """Each menu entry's link as a block: its own text, and the address that it has itself."""
+    from ..operators import nodes
+
+    table_ = written(nodes.page_nodes(table(spark, sf_dir, "pages").select("page_id", "html")), "page-nodes")
+    found = nodes.blocks_and_fields(table_, "nav>ul>li", {"eventName": ["a:eq(0)", "table"], "eventURL": "a:eq(0)"}, "page_id")
+    return found.select("page_id", F.col("block_no").cast("long").alias("block_no"), "eventName", "eventURL")

@@ -1,6 +1,8 @@
 """Markup with implied ends, recipes from samples, sub-events, registries and what a run writes."""
 
 import json
+import random
+import time
 
 import pytest
 from pyspark.sql import functions as F
@@ -203,8 +205,6 @@ def test_addresses(spark, query, want):
 
 
 def test_node_joins_equal_the_tree(spark):
-    import random
-
     rng = random.Random(9)
 
     def markup(depth):
@@ -223,3 +223,38 @@ def test_node_joins_equal_the_tree(spark):
         assert {(r.page, r.node_id) for r in nodes.select_path(table, path, "page").select("page", "node_id").collect()} == want, path
     shown = nodes.blocks_and_fields(nodes.page_nodes(spark.createDataFrame([(1, SITE)], "page int, html string")), "div.item", {"eventName": "a>h3", "eventDate": "p.d", "eventPlace": "p.p"}, "page")
     assert sorted(map(tuple, shown.collect())) == [(1, 0, "Alpha", "5 mai", "Bar"), (1, 1, "Beta", "6 mai", "Club"), (1, 2, "Gamma", "7 mai", None)]
+
+
+def linked_markup(rng, depth=0):
+    inner = "".join(linked_markup(rng, depth + 1) for _ in range(rng.randint(0, 3))) if depth < 5 else "x"
+    tag, own = rng.choice(["div", "ul", "li", "p", "a"]), rng.choice(["", ' class="a"', ' class="a b"'])
+    own += f' href="/{rng.randint(0, 99)}"' if tag == "a" or rng.random() < 0.1 else ""
+    return f"<{tag}{own}>{rng.randint(0, 9)}{inner}</{tag}>"
+
+
+def test_fields_by_joins_equal_the_tree(spark):
+    """Blocks inside blocks, numbers, several paths a key, paths at any depth, the block itself, and addresses
+    on the element, above it (outside of the block too) and inside it."""
+    rng = random.Random(4)
+    sites = {k: "".join(linked_markup(rng) for _ in range(3)) for k in range(10)} | {90: "", 91: "plain"}
+    recipe = {"eventName": ["li:eq(0)", "p>a"], "eventStyle": "p", "eventDate": ["li:eq(1)>p:eq(0)", "div.a"], "eventPlace": [":not([class])>p:eq(0)"], "eventText": "", "eventURL": ["li"], "otherURL": ["p:eq(0)"], "ownURL": "", "noURL": "table"}
+    table = nodes.page_nodes(spark.createDataFrame(list(sites.items()), "page int, html string")).cache()
+    for delimiter in ("div", "ul>li"):
+        want = set()
+        for k, source in sites.items():
+            root = html.parse(source)
+            place = {id(n): i for i, n in enumerate(root.walk())}
+            for n, block in enumerate(sorted(html._descend(root, delimiter), key=lambda x: place[id(x)])):
+                want.add((k, n, *(html.extract_field(block, key, [p] if isinstance(p, str) else p) or None for key, p in recipe.items())))
+        got = nodes.blocks_and_fields(table, delimiter, recipe, "page").select("page", "block_no", *recipe)
+        assert {tuple(r) for r in got.collect()} == want, delimiter
+
+
+def test_a_page_of_a_hundred_thousand_elements(spark):
+    """Blocks and what they hold in time that follows the page's elements, not elements times blocks."""
+    page = "<ul>" + "".join(f'<li class="e"><a href="/{k}"><b>n{k}</b></a><p>d{k}</p>' for k in range(25_000)) + "</ul>"
+    table = nodes.page_nodes(spark.createDataFrame([(1, page)], "page int, html string")).cache()
+    assert table.count() == 100_001
+    began = time.perf_counter()
+    got = nodes.blocks_and_fields(table, "ul>li.e", {"eventName": "a>b", "eventDate": "p", "eventURL": "a>b"}, "page").agg(F.count("*").alias("n"), F.sum(F.when((F.col("eventName") == F.concat(F.lit("n"), "block_no")) & (F.col("eventURL") == F.concat(F.lit("/"), "block_no")) & (F.col("eventDate") == F.concat(F.lit("d"), "block_no")), 1)).alias("right")).first()
+    assert (got.n, got.right) == (25_000, 25_000) and time.perf_counter() - began < 90
