@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import bytesops as B
-from .shared import released
+from .shared import free_names, released
 
 BUCKETS = 1 << 15
 #: About so many documents of each language train the model; a documented bound, not a cap on what is predicted.
@@ -254,20 +254,29 @@ def usual_fit(docs: DataFrame, langs: list[str], log_prob: np.ndarray, each: int
     return {x: f for x, f in found.items() if f}
 
 
+#: Names that predictions have; columns of these names are renamed while documents are judged.
+OWN_NAMES = ("__lang_pred", "__score", "__lang_set", "__fit", "__sd", "__trigrams", "__text")
+
+
 def keep_identified(docs: DataFrame, margin: float = MARGIN) -> DataFrame:
     """Documents with an identified language; those without letters go, and so do those whose trigrams are
     less likely in their language, by ``margin`` deviations, than those of its held-out documents.
 
     The deviation grows as the text gets shorter, and the rule does not depend on how many languages
     there are. Texts of a few words are therefore kept unless they are far off. Null and empty texts go,
-    repeated rows stay or go together, other columns don't matter, an empty table stays empty; where nothing
+    repeated rows stay or go together, other columns may have any names, an empty table stays empty; where nothing
     can be learned no language is known and all documents go.
     """
-    langs, table = train(docs.where(~is_held_out()))
-    usual = usual_fit(docs.where(is_held_out()), langs, table)
+    columns = list(docs.columns)
+    clash = [c for c in columns if c.lower() in OWN_NAMES]
+    free = dict(zip(clash, free_names([*columns, *OWN_NAMES], *clash)))
+    docs = docs.withColumnsRenamed(free)
+    learned = docs.select("doc_id", "text", "lang")
+    langs, table = train(learned.where(~is_held_out()))
+    usual = usual_fit(learned.where(is_held_out()), langs, table)
     out = predict(docs, langs, table, docs.columns, fit=True).where(F.col("__lang_pred") != "und")
     if usual:
         known = F.create_map(*[x for k, f in usual.items() for x in (F.lit(k), F.array(*map(F.lit, f)))])[F.col("__lang_pred")]
         deviation = F.sqrt(known[1] ** 2 + known[2] ** 2 * OVERLAP / F.col("__trigrams"))
         out = out.where(F.coalesce(F.col("__fit") >= known[0] - margin * deviation, F.lit(True)))
-    return out.select(*[F.col(f"`{c}`") for c in docs.columns])
+    return out.select(*[F.col(f"`{free.get(c, c)}`").alias(c) for c in columns])

@@ -8,7 +8,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from agendaflow.llm import fingerprints, lines, mixing, neardup, neighbours, packing, sharding, shared, token_files
+from agendaflow.llm import fingerprints, language, lines, mixing, neardup, neighbours, packing, sharding, shared, token_files
 from agendaflow.llm.components import components
 from agendaflow.llm.shared import bounded_batches, free_names, join_by_key, new_path
 
@@ -200,6 +200,29 @@ def test_names_that_operators_use(spark, monkeypatch):
     assert free_names(["a", "_a", "B"], "a", "b", "c") == ["__a", "_b", "c"]
 
 
+def test_language_takes_any_names(spark):
+    docs = documents(spark)
+    for c in (*language.OWN_NAMES, "___score", "__SCORE_2", "fit", "lang_pred"):
+        docs = docs.withColumn(c, F.lit(f"own {c}"))
+    kept = language.keep_identified(docs)
+    assert kept.columns == docs.columns
+    rows = kept.collect()
+    assert {r.doc_id for r in rows} == {r.doc_id for r in language.keep_identified(documents(spark)).select("doc_id").collect()}
+    assert rows and all(r[c] == f"own {c}" for r in rows for c in docs.columns[5:])
+
+
+@pytest.mark.parametrize("stage", range(5))
+def test_stages_take_clashing_names(spark, stage):
+    import corpus_pipeline
+
+    docs = documents(spark)
+    names = ["__score", "__lang_pred", "__fit", "__sd", "__text", *CLASH]
+    for c in names:
+        docs = docs.withColumn(c, F.lit(f"own {c}"))
+    out = corpus_pipeline.STAGES[stage][1](spark, docs, None)
+    assert out.count() > 0 and (stage == 4 or out.columns == docs.columns)
+
+
 def test_sites_of_any_size(spark, monkeypatch):
     rows = [(1, "http://one/", "<p>all</p><p>of it</p>"), (2, "http://two/a", "<p>menu</p><p>x</p>"), (3, "http://two/b", "<p>menu</p><p>y</p>")]
     rows += [(10 + k, f"http://big/{k}", f"<p>top</p><p>{k}</p>") for k in range(40)]
