@@ -11,7 +11,7 @@ import datetime as dt
 import re
 import unicodedata
 from collections.abc import Iterator
-from dataclasses import dataclass, field
+from dataclasses import dataclass, field, replace
 
 import pandas as pd
 from pyspark.sql import Column
@@ -62,11 +62,15 @@ def clock(text: str) -> str | None:
     return f"{hour:02d}:{minute:02d}" if hour < 25 and minute < 60 else None
 
 
+#: How far ahead events are listed: a later year of four digits is no year, a longer range none of dates.
+MOST_YEARS = 10
+
+
 def readings(number: str, months: str, years: str | None, window: range) -> list[Token]:
     """What a number may be: a day, a numeric month, a short year or a long one."""
     n, out = int(number), []
     if len(number) == 4:
-        return [Token("year", n)]
+        return [Token("year", n)] if 1 <= n < window.start + MOST_YEARS else []
     if 1 <= n <= 31:
         out.append(Token("day", n))
     if months == "numeric" and 1 <= n <= 12:
@@ -233,6 +237,12 @@ def dates_of(found: list[dict[str, Token]], exceptions: list[tuple[set, list]],
 
     out: list[tuple] = []
 
+    def days(a: dt.date, b: dt.date) -> range:
+        """The days from a on, up to b."""
+        if (b - a).days > 366 * MOST_YEARS:
+            raise ValueError("no range of dates")
+        return range((b - a).days + 1)
+
     def add(d: dt.date, time: tuple | None, end: tuple | None = None) -> None:
         start, stop = time or (None, None)
         out.append((d, start, *(end or (d if stop else None, stop))))
@@ -252,7 +262,7 @@ def dates_of(found: list[dict[str, Token]], exceptions: list[tuple[set, list]],
                 if keep(p, d):
                     add(d, time)
             elif p["day"].mark == "until":
-                for n in range((d - today).days + 1):
+                for n in days(today, d):
                     if keep(p, now := today + dt.timedelta(days=n)):
                         add(now, time)
             elif p["day"].mark == "start":
@@ -264,14 +274,14 @@ def dates_of(found: list[dict[str, Token]], exceptions: list[tuple[set, list]],
                 other = [e for e in mates if "time" in e and "time" in p and e["time"] is not p["time"]]
                 if same:
                     last = day_of(same[0])
-                    for n in range((last - d).days + 1):
+                    for n in days(d, last):
                         if keep(p, now := d + dt.timedelta(days=n)):
                             add(now, time)
                 elif other and not any(e.get("time") is q.get("time") for e in mates for q in found if q["day"] is p["day"]):
                     add(d, (time[0], None), (day_of(other[0]), other[0]["time"].value[0]))
                 elif all("time" not in e for e in mates):
                     add(d, time)
-                    for n in range(1, (day_of(mates[0]) - d).days + 1):
+                    for n in days(d, day_of(mates[0]))[1:]:
                         add(d + dt.timedelta(days=n), None)
     except ValueError:
         return None
@@ -282,22 +292,107 @@ def dates_of(found: list[dict[str, Token]], exceptions: list[tuple[set, list]],
     return list(dict.fromkeys(sorted(out, key=lambda e: (e[0], e[1] or ""))))
 
 
-def combinations(choices: list[list[list[Token]]], order: list[str]) -> Iterator[list[Token]]:
+@dataclass(frozen=True)
+class Chronology:
+    """The dates that a run of tokens has settled, as far as days, months and years tell before the text ends.
+
+    Where months follow days, days wait for their month. Where years come last, dates wait for their year, and
+    those that wait together ascend. A text that names no year takes each date's year from today's.
+    """
+
+    days: tuple = ()
+    month: int | None = None
+    year: int | None = None
+    waiting: tuple | None = None  # the first and the last (month, day) of the next year
+    last: tuple | None = None
+
+    def after(self, t: Token, place: dict[str, int], no_year: bool, today: dt.date) -> Chronology | None:
+        """With one token more; None where no text that goes on so can be in order."""
+        days_first = place["day"] < place["month"]
+        year_last = place["year"] > max(place["day"], place["month"]) and not no_year
+        if t.kind == "year":
+            if not year_last or self.waiting is None:
+                return replace(self, year=t.value)
+            first, end = self.waiting
+            late = self.last is None or (t.value, *first) >= self.last
+            return replace(self, waiting=None, last=(t.value, *end)) if late else None
+        if t.kind == "day" and days_first:
+            return self._wait(t.value, no_year, today)
+        if t.kind == "month":
+            now, settled = replace(self, month=t.value, days=()), self.days if days_first else ()
+        else:
+            now, settled = self, (t.value,) if self.month is not None else ()
+        waiting, last = now.waiting, now.last
+        for d in settled:
+            if d > _LONGEST[now.month]:
+                return None
+            if year_last:
+                if waiting is not None and (now.month, d) < waiting[1]:
+                    return None
+                waiting = waiting[0] if waiting else (now.month, d), (now.month, d)
+            elif no_year or now.year is not None:
+                whole = today.year + ((now.month, d) < (today.month, today.day)) if no_year else now.year, now.month, d
+                if last is not None and whole < last:
+                    return None
+                last = whole
+        return replace(now, waiting=waiting, last=last)
+
+
+    def _wait(self, d: int, no_year: bool, today: dt.date) -> Chronology | None:
+        """With one day more of the same month: no earlier than the one before, or once, without a year, where
+        today lies between the two, and then before today."""
+        if self.days and d == self.days[-1]:
+            return self
+        passed = any(a > b for a, b in zip(self.days, self.days[1:]))
+        if self.days and d < self.days[-1] and (passed or not no_year or not d < today.day <= self.days[-1]):
+            return None
+        if passed and d >= today.day:
+            return None
+        return replace(self, days=(*self.days, d))
+
+
+_LONGEST = [0, 31, 29, 31, 30, 31, 30, 31, 31, 30, 31, 30, 31]
+
+
+def _joined(held: list[Token], t: Token, place: dict[str, int]) -> list[Token]:
+    """``held`` with one token more, without what says the same again: the day just named, or a month whose
+    days stand beside those of the same month. Texts with separators or exceptions are left as they are."""
+    if any(x.kind in ("to", "until", "except") for x in held):
+        return [*held, t]
+    if t.kind == "day" and held and held[-1].kind == "day" and held[-1].value == t.value:
+        return held
+    later = place["day"] < place["month"]
+    if t.kind == ("month" if later else "day"):
+        own = t if later else held[-1] if held and held[-1].kind == "month" else None
+        k = len(held) - 1 if later else len(held) - 2
+        while own is not None and k >= 0 and held[k].kind == "day":
+            k -= 1
+        if own is not None and 0 <= k < (len(held) - 1 if later else len(held) - 2) and held[k].kind == "month" and held[k].value == own.value and (not later or k and held[k - 1].kind == "day"):
+            return [*held[:k], *held[k + 1 :], t] if later else [*held[:-1], t]
+    return [*held, t]
+
+
+def combinations(choices: list[list[list[Token]]], order: list[str], today: dt.date | None = None, prune: bool = True) -> Iterator[list[Token]]:
     """The combinations of one choice at each place that may be dates, in the order of a product. One is
     left at the first token after which ``paths`` can't succeed: days, months and years that first
     appear against ``order``, two months or years together, a jump over a level, or a kind that no
-    later place can bring."""
+    later place can bring. With ``prune``, so is one whose dates can't ascend, and of those that so far say
+    the same, and so end alike, the first goes on alone. Time follows the readings that differ then, where a
+    plain product nearly doubles with each number."""
     place = {k: i for i, k in enumerate(order)}
     later: list[set] = [set()]  # the kinds that places from k on may bring
     for runs in reversed(choices):
         later.append(later[-1] | {t.kind for run in runs for t in run})
     later.reverse()
+    no_year = "year" not in later[0] or "year" not in place
+    prune = prune and {"day", "month"} <= set(place)
+    place.setdefault("year", -1)
 
     def step(seen: tuple[str, ...], last: str | None, t: Token) -> tuple[tuple[str, ...], str | None] | None:
         """The kinds of dates so far and the one just before, None after a weekday or time."""
         if t.kind in ("weekday", "time", "except"):
             return seen, None
-        if t.kind not in place:
+        if t.kind not in place or t.kind not in order:
             return seen, last
         if t.kind not in seen:
             if seen and place[t.kind] < place[seen[-1]]:
@@ -307,22 +402,35 @@ def combinations(choices: list[list[list[Token]]], order: list[str]) -> Iterator
             return None
         return seen, t.kind
 
-    stack = [(0, (), None, [])]
+    stack = [(0, (), None, [], Chronology())]
+    known = set()
     while stack:
-        k, seen, last, held = stack.pop()
+        k, seen, last, held, dates = stack.pop()
         if not {"day", "month"} <= later[k] | set(seen):
             continue
+        if prune:
+            key = k, seen, last, tuple((t.kind, t.value) for t in held)
+            if key in known:
+                continue
+            known.add(key)
         if k == len(choices):
             yield held
             continue
         for run in reversed(choices[k]):
-            state = (seen, last)
+            state, own, now = (seen, last), held, dates
             for t in run:
-                if state := step(*state, t):
-                    continue
-                break
-            if state:
-                stack.append((k + 1, *state, held + run))
+                if not (state := step(*state, t)):
+                    break
+                if prune and t.kind in ("day", "month", "year") and t.kind in order:
+                    now = now.after(t, place, no_year, today or dt.date.min)
+                    if now is None:
+                        state = None
+                        break
+                    own = _joined(own, t, place)
+                else:
+                    own = [*own, t]
+            if state and not (prune and now.days and "month" not in later[k + 1]):
+                stack.append((k + 1, *state, own, now))
 
 
 def extract_dates(text: str | None, order: list[str], months: str, years: str | None, today: dt.date, words: dict = FRENCH, window: range | None = None) -> list[list[tuple]]:
@@ -333,7 +441,7 @@ def extract_dates(text: str | None, order: list[str], months: str, years: str |
     window = window or range(today.year, today.year + 3)
     choices = tokenize(text, words, order, months, years, today, window)
     out: list[list[tuple]] = []
-    for combination in combinations(choices, order):
+    for combination in combinations(choices, order, today):
         marked = mark(combination)
         if marked is None:
             continue

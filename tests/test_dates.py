@@ -2,6 +2,8 @@
 
 import datetime as dt
 import itertools
+import random
+import time
 
 import pytest
 
@@ -167,3 +169,55 @@ def test_query_reads_every_order(spark):
     orders = {r[0]: r[1] for r in spark.read.parquet(f"{sf}/orders.parquet").selectExpr("o_orderkey", "to_date(o_orderdate)").collect()}
     got = {(r.o_orderkey, r.start_date) for r in date_queries.extracted_dates(spark, sf).where("possibility = 0").collect()}
     assert got == {(k, (d + dt.timedelta(days=n)).isoformat()) for k, d in orders.items() for n in range(3)}
+
+
+def every_reading(text, order, months, years, today, window):
+    """The readings of the plain walk over all combinations."""
+    out = []
+    for c in date_text.combinations(date_text.tokenize(text, FRENCH, order, months, years, today, window), order, today, prune=False):
+        marked = date_text.mark(c)
+        found = date_text.paths(marked[0], order) if marked else None
+        if found is None or years and "year" not in found[0]:
+            continue
+        got = date_text.dates_of(found, marked[1], today)
+        if got and got not in out:
+            out.append(got)
+    return out
+
+
+FORMATS = [(["day", "month"], None), (["month", "day"], None), (["day", "month", "year"], "short"), (["month", "day", "year"], "short"), (["year", "month", "day"], "short"), (["month", "year", "day"], "short"), (["day", "month", "year"], None)]
+
+
+@pytest.mark.parametrize("seed", range(12))
+def test_pruned_readings_are_all_readings(seed):
+    """In the order of the walk, on lists of numbers with words, times, ranges and exceptions among them."""
+    rng = random.Random(seed)
+    parts = ["à 18h", "de 18h à 20h", "lundi", "au", "-", "sauf mardi", "mars", "mai", "2026", "du", "demain", ","]
+    for k in range(60):
+        order, years = FORMATS[k % len(FORMATS)]
+        pool = rng.sample(range(1, 28), rng.randint(1, 6)) + [25, 26]
+        words = [str(rng.choice(pool)) if rng.random() < rng.choice([0.75, 1.0]) else rng.choice(parts) for _ in range(rng.randint(2, 9 if years else 12))]
+        words = sorted(words, key=lambda w: int(w) if w.isdigit() else 0) if rng.random() < 0.3 else words
+        today = dt.date(2025, rng.randint(1, 12), rng.randint(1, 28))
+        text, window = " ".join(words), range(2025, 2028)
+        assert extract_dates(text, order, "numeric", years, today, FRENCH, window) == every_reading(text, order, "numeric", years, today, window), (text, order, years, today)
+
+
+def test_long_lists_take_little_time():
+    began = time.perf_counter()
+    for order in (["day", "month"], ["month", "day"]):
+        assert len(extract_dates(" ".join(["10"] * 60), order, "numeric", None, TODAY)) == 1
+        assert extract_dates(" ".join(str(1 + k * 7 % 12) for k in range(60)), order, "numeric", None, TODAY) == []
+        extract_dates(" ".join(["11 12"] * 30), order, "numeric", None, TODAY)
+    extract_dates(" ".join(["10 11 25"] * 20), ["day", "month", "year"], "numeric", "short", TODAY)
+    extract_dates(" ".join(str(k) for k in range(1, 32)), ["month", "day"], "numeric", None, TODAY)
+    assert extract_dates(" ".join(str(k) for k in [*range(1, 32), *range(1, 31)]), ["day", "month"], "numeric", None, TODAY) == []
+    extract_dates("le " + ", ".join(str(k) for k in range(1, 31)) + " mai, " + ", ".join(str(k) for k in range(1, 31)) + " juin à 20h", ["day", "month"], "numeric", None, TODAY)
+    assert time.perf_counter() - began < 5
+
+
+def test_far_years_are_no_dates():
+    long = (["day", "month", "year"], "long", "long", TODAY)
+    for text in ("jusqu'au 31 décembre 9999", "du 1 mai 1000 au 2 mai 2026", "le 5 mai 3025", "le 5 mai 0000"):
+        assert extract_dates(text, *long) == []
+    assert len(extract_dates("du 1 mai 2020 au 2 mai 2026", *long)[0]) == 2193
