@@ -141,9 +141,21 @@ class WaveletTree:
 
 def corpus_counts(docs: DataFrame) -> tuple[int, int]:
     """N, the documents with at least one term, and L, all their terms with repeats."""
-    n = F.regexp_count(F.col("text"), F.lit(TERM))
-    r = docs.select(n.alias("n")).agg(F.count_if(F.col("n") > 0).alias("docs"), F.sum("n").alias("terms")).first()
-    return r["docs"], r["terms"] or 0
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = words = 0
+        for batch in batches:
+            data, off = B.column_bytes(batch["text"])
+            for a, b in B.blocks(off):
+                own, at = data[off[a] : off[b]], off[a : b + 1] - off[a]
+                starts, _ = B.runs(IS_TERM[own], at)
+                n = np.diff(np.searchsorted(starts, at))
+                held, words = held + int((n > 0).sum()), words + int(n.sum())
+        yield pa.RecordBatch.from_arrays([pa.array([held], pa.int64()), pa.array([words], pa.int64())], ["docs", "terms"])
+
+    with bounded_batches(docs.sparkSession):
+        r = docs.select("text").mapInArrow(released(count), "docs long, terms long").agg(F.sum("docs").alias("docs"), F.sum("terms").alias("terms")).first()
+    return r["docs"] or 0, r["terms"] or 0
 
 
 def _shard(ids: list[pa.Array], row: np.ndarray, term: np.ndarray, tf: np.ndarray, lengths: np.ndarray, docs: int, words: int) -> pa.RecordBatch:
