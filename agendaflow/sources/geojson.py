@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+import json
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.maps import event_id, place_feature
+from .json_files import write_document
 
 
 def place_features(places: DataFrame) -> DataFrame:
@@ -13,9 +16,28 @@ def place_features(places: DataFrame) -> DataFrame:
     return places.select("country", "city", feature.alias("feature"))
 
 
+#: A FeatureCollection around its features.
+COLLECTION = {"head": '{"type":"FeatureCollection","features":[', "separator": ",", "tail": "]}"}
+
+
+def write_collections(features: DataFrame, path: str, *by: str, head: str | None = None) -> None:
+    """The features, by id, as one FeatureCollection in ``<path>/document.json``, or one below
+    ``<path>/<column>=<value>/`` for each value of the columns ``by``; of any size."""
+    rows = features.select(*by, F.col("feature.id").alias("id"), F.to_json("feature").alias("value"))
+    write_document(rows, path, "id", by=by, **(COLLECTION | ({"head": head} if head else {})))
+
+
+def merge_template(template: str) -> str:
+    """The head of a collection that goes on after the features of a template (JSON text)."""
+    held = json.loads(template)
+    rest = {k: v for k, v in held.items() if k != "features"}
+    own = ",".join(json.dumps(f, ensure_ascii=False, separators=(",", ":")) for f in held.get("features") or [])
+    return json.dumps(rest, ensure_ascii=False, separators=(",", ":"))[:-1] + ("," if rest else "") + '"features":[' + own
+
+
 def collections(features: DataFrame, *by: str) -> DataFrame:
-    """One FeatureCollection as JSON text for each group, features by id. A collection is one file of
-    one city; for one of the world write lines of features instead."""
+    """One FeatureCollection as JSON text for each group, features by id: for groups that fit a row, such as
+    the collection of one small city. ``write_collections`` writes groups of any size."""
     listed = F.array_sort(F.collect_list(F.struct(F.col("feature.id").alias("id"), F.to_json("feature").alias("j"))))
     text = F.concat(F.lit('{"type":"FeatureCollection","features":['), F.array_join(F.transform(listed, lambda x: x["j"]), ","), F.lit("]}"))
     return features.groupBy(*by).agg(text.alias("value"), F.count("*").alias("n"))
@@ -23,7 +45,7 @@ def collections(features: DataFrame, *by: str) -> DataFrame:
 
 def write_place_files(places: DataFrame, path: str) -> None:
     """``<path>/country=.../city=...`` with one collection each."""
-    collections(place_features(places), "country", "city").select("country", "city", "value").write.partitionBy("country", "city").text(path)
+    write_collections(place_features(places), path, "country", "city")
 
 
 def event_features(events: DataFrame, *by: str) -> DataFrame:
@@ -51,11 +73,10 @@ def write_logs(events: DataFrame, log: str, path: str) -> None:
 
 
 def write_world_file(places: DataFrame, path: str) -> None:
-    """All places, one feature a line, in as many files as they take."""
-    place_features(places).select(F.to_json("feature").alias("value")).write.text(path)
+    """All places as one collection."""
+    write_collections(place_features(places), path)
 
 
 def write_event_files(events: DataFrame, path: str) -> None:
     """``<path>/city=...`` with one collection of the events of each city."""
-    features = event_features(events.where("city IS NOT NULL"), "city")
-    collections(features, "city").select("city", "value").write.partitionBy("city").text(path)
+    write_collections(event_features(events.where("city IS NOT NULL"), "city"), path, "city")

@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.text import extract_body, minimalize_basic, remove_blanks
+from .json_files import write_document
 from .pages import fetch_pages, read_map
 
 COUNTRY = "struct<languages:array<string>,cities:array<string>>"
@@ -85,11 +86,13 @@ def pretty_json(columns: list[str]) -> Column:
     return F.to_json(F.struct(*columns), {"pretty": "true"})
 
 
-def write_events(events: DataFrame, path: str, error: str = "errorLog") -> None:
-    """All events below ``<path>/all``, and those with an error below ``<path>/errors``, as indented JSON."""
-    shown = events.select(error, pretty_json(events.columns).alias("value"))
-    shown.select("value").write.text(f"{path}/all")
-    shown.where(F.col(error).isNotNull()).select("value").write.text(f"{path}/errors")
+def write_events(events: DataFrame, path: str, error: str = "errorLog", *order: str) -> None:
+    """All events in ``<path>/all/document.json``, and those with an error below ``<path>/errors``: each one
+    JSON array of indented objects, in the order of the columns ``order``, else of ``events``' own first ones."""
+    order = order or tuple(c for c, kind in events.dtypes if not kind.startswith("map"))
+    shown = events.select(*events.columns, pretty_json(events.columns).alias("value"))
+    write_document(shown, f"{path}/all", *order)
+    write_document(shown.where(F.col(error).isNotNull()), f"{path}/errors", *order)
 
 
 def read_error_log(spark: SparkSession, path: str, schema: str) -> DataFrame:
