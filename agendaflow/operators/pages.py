@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..functions.text import is_valid_url
+from .stats import prefix_sums
 
 
 def page_links(pages: DataFrame, html: str = "html") -> DataFrame:
@@ -47,13 +48,14 @@ def with_block_links(blocks: DataFrame, links: DataFrame, *page: str) -> DataFra
 def events_map(events: DataFrame, venue: str, url: str, empty: Column) -> DataFrame:
     """The numbers of a venue's events: event_no counts blocks that are not empty, sub_no the sub-events of
     one, ``key`` is ``event_no`` or ``event_no.sub_no``, and linked_no counts rows with an address, all
-    from 0 in the order of page_no, block_no and sub_no. ``events`` has a row for each sub-event."""
+    from 0 in the order of page_no, block_no and sub_no. ``events`` has a row for each sub-event; a venue of
+    any number of events takes many tasks."""
     order = ["page_no", "block_no", "sub_no"]
     rows = events.where(~empty).withColumn("__subs", F.count("*").over(Window.partitionBy(venue, "page_no", "block_no")))
     first = F.row_number().over(Window.partitionBy(venue, "page_no", "block_no").orderBy("sub_no"))
     rows = rows.withColumn("__sub", first - 1)
-    own = Window.partitionBy(venue).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
-    rows = rows.withColumns({"event_no": F.sum((F.col("__sub") == 0).cast("long")).over(own) - 1, "linked_no": F.when(F.col(url).isNotNull(), F.count(url).over(own) - 1)})
+    rows = prefix_sums(rows, [venue], order, {"event_no": F.col("__sub") == 0, "linked_no": F.col(url).isNotNull()})
+    rows = rows.withColumns({"event_no": F.col("event_no") - 1, "linked_no": F.when(F.col(url).isNotNull(), F.col("linked_no") - 1)})
     key = F.when(F.col("__subs") > 1, F.concat_ws(".", "event_no", "__sub")).otherwise(F.col("event_no").cast("string"))
     return rows.select(venue, *order, "event_no", F.when(F.col("__subs") > 1, F.col("__sub")).alias("sub_index"), key.alias("key"), url, "linked_no")
 

@@ -3,6 +3,9 @@ resolved on the small side before the join, so a join never multiplies events.""
 
 from __future__ import annotations
 
+import uuid
+
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -71,6 +74,67 @@ def style_by_dictionary(text: Column, words: list[tuple[str, str]]) -> Column:
     return F.coalesce(F.try_element_at(found, F.lit(-1))["style"], text)
 
 
+#: Characters of dictionary words in one automaton, which each Python worker holds; larger dictionaries are
+#: searched in parts.
+AUTOMATON_CHARS = 8_000_000
+_automata: dict[str, object] = {}
+
+
+def _automaton(name: str, words: list[tuple[str, int]]):
+    """The automaton of (word, number), the largest number of a word; kept by the worker."""
+    if name not in _automata:
+        import ahocorasick
+
+        found = ahocorasick.Automaton()
+        for word, n in words:
+            if found.get(word, -1) < n:
+                found.add_word(word, n)
+        found.make_automaton()
+        _automata.clear()
+        _automata[name] = found
+    return _automata[name]
+
+
+def _searcher(words, name: str):
+    @F.pandas_udf("long")
+    def search(texts: pd.Series) -> pd.Series:
+        own = _automaton(name, words.value)
+        hit = lambda x: max((n for _, n in own.iter(x)), default=None) if x and len(own) else None
+        known = {x: hit(x) for x in texts.dropna().unique()}
+        return texts.map(known.get).astype("Int64")
+
+    return search
+
+
+def last_words(text: Column, words: DataFrame, most_chars: int = AUTOMATON_CHARS) -> Column:
+    """The largest ``n`` of the words (word, n) that a text contains, null where it contains none.
+
+    An automaton finds all words in one pass over the text, however many there are. The dictionary's size is
+    counted first; it is broadcast in parts of at most ``most_chars``, so one of any size is searched exactly, in
+    as many passes as it has parts.
+    """
+    spark = words.sparkSession
+    words = words.where("word IS NOT NULL").groupBy("word").agg(F.max("n").cast("long").alias("n"))
+    chars = words.agg(F.sum(F.length("word") + 1).alias("n")).first()["n"] or 0
+    parts, found = max(1, -(-chars // most_chars)), []
+    for p in range(parts):
+        rows = words.where(F.pmod(F.xxhash64("word"), F.lit(parts)) == p).collect()
+        blank = next((r["n"] for r in rows if r["word"] == ""), None)  # every text contains it
+        shared, name = spark.sparkContext.broadcast([(r["word"], r["n"]) for r in rows if r["word"]]), uuid.uuid4().hex
+        found += [_searcher(shared, name)(text), *([F.when(text.isNotNull(), F.lit(blank))] if blank is not None else [])]
+    return F.greatest(*found) if len(found) > 1 else found[0]
+
+
+def styles_by_dictionary(rows: DataFrame, text: str, dictionary: DataFrame, most_chars: int = AUTOMATON_CHARS) -> DataFrame:
+    """``rows`` with ``found_style``: the style of the last word of a dictionary (style, word, ord), of any
+    size, that the simplified text contains, words being simplified too; the text where there is none, null
+    for null. Of words that are the same once simplified the last counts."""
+    plain = dictionary.select("style", "ord", simplify(F.col("word")).alias("word"))
+    marked = rows.withColumn("__n", last_words(simplify(F.col(text)), plain.select("word", F.col("ord").alias("n")), most_chars))
+    styles = plain.groupBy(F.col("ord").alias("__n")).agg(F.max("style").alias("__style"))
+    return marked.join(styles, "__n", "left").select(*rows.columns, F.coalesce("__style", text).alias("found_style"))
+
+
 def country_styles(countries: DataFrame, dictionary: DataFrame) -> DataFrame:
     """The distinct styles of each country's languages, in order; ``countries`` is (country, languages),
     ``dictionary`` (language, style, ord)."""

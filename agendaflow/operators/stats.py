@@ -8,6 +8,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from ..storage import written
+
 #: Accented letters that a good name keeps (fixed values).
 ACCENTED = "éèêëàâäïîöôûüøæå"
 
@@ -77,10 +79,37 @@ def tag_class_counts(html: DataFrame, column: str, most: int = 10) -> DataFrame:
     return found.groupBy(tag.alias("tag"), classes.alias("classes")).agg(F.count("*").alias("n")).orderBy(F.desc("n"), "tag", "classes").limit(most)
 
 
+def prefix_sums(df: DataFrame, group: Sequence[str], order: Sequence[Column | str], sums: dict[str, Column]) -> DataFrame:
+    """``df`` with running sums inside each group, in the order given: each of ``sums`` up to and with the row.
+
+    Rows are dealt by ranges of group and order, so a group of any size lies in many tasks. Each task sums its
+    own stretch; the stretches' totals, a row for each group and task, are summed again and added. Rows are
+    written once between, which fixes where the ranges end. Equal rows share no task with others only by
+    chance: ``order`` has to tell rows apart, and ascends (negate a number to count down).
+    """
+    keys = [F.col(c) for c in group]
+    own = {f"__sum{k}": c for k, c in enumerate(sums.values())}
+    sort = {f"__order{k}": F.col(c) if isinstance(c, str) else c for k, c in enumerate(order)}
+    rows = df.withColumns({"__group": F.struct(*keys) if keys else F.lit(0), **sort, **{k: F.coalesce(c.cast("long"), F.lit(0)) for k, c in own.items()}})
+    tasks = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    spread = rows.repartitionByRange(tasks, "__group", *sort).withColumn("__part", F.spark_partition_id())
+    stretch = Window.partitionBy("__part", "__group").orderBy(*sort).rowsBetween(Window.unboundedPreceding, 0)
+    local = written(spread.withColumns({f"__local{k}": F.sum(c).over(stretch) for k, c in enumerate(own)}), "prefix-sums")
+    totals = local.groupBy("__group", "__part").agg(*(F.sum(c).alias(c) for c in own))
+    before = Window.partitionBy("__group").orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = totals.select("__group", "__part", *(F.coalesce(F.sum(c).over(before), F.lit(0)).alias(f"__before{k}") for k, c in enumerate(own)))
+    out = local.join(offsets, ["__group", "__part"])
+    return out.select(*df.columns, *((F.col(f"__local{k}") + F.col(f"__before{k}")).alias(name) for k, name in enumerate(sums)))
+
+
 def running_number(df: DataFrame, group: Sequence[str], order: Sequence[str], counts: Column, name: str) -> DataFrame:
     """A running count of the rows for which ``counts`` is true, inside each group."""
-    window = Window.partitionBy(*group).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
-    return df.withColumn(name, F.sum(counts.cast("long")).over(window))
+    return prefix_sums(df, group, order, {name: counts})
+
+
+def placed(df: DataFrame, order: Sequence[Column | str], name: str = "place") -> DataFrame:
+    """``df`` with each row's place in an order of all rows, from 1."""
+    return prefix_sums(df, [], order, {name: F.lit(1)})
 
 
 def in_order(df: DataFrame, group: str, order: Sequence[str], value: str) -> DataFrame:

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import date_queries, event_queries, join_queries, page_queries, text_queries  # noqa: F401
+from . import date_queries, event_queries, file_queries, join_queries, page_queries, text_queries  # noqa: F401
 from .registry import QUERIES, SQL
 
 

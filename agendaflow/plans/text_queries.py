@@ -188,10 +188,10 @@ def merged_recipes(spark, sf_dir):
 
 @query("SELECT n_nationkey, row_number() OVER (ORDER BY lower(n_name), n_nationkey) AS place FROM nation")
 def sorted_names(spark, sf_dir):
-    from pyspark.sql.window import Window
+    from ..operators.stats import placed
 
-    nation = table(spark, sf_dir, "nation")
-    return nation.select("n_nationkey", F.row_number().over(Window.orderBy(F.collate("n_name", "UNICODE_CI_AI"), "n_nationkey")).cast("long").alias("place"))
+    nation = table(spark, sf_dir, "nation").select("n_nationkey", "n_name")
+    return placed(nation, [F.collate("n_name", "UNICODE_CI_AI"), "n_nationkey"]).select("n_nationkey", "place")
 
 
 @query("SELECT s_suppkey, -s_suppkey % 7 AS plain, ((-s_suppkey % 7) + 7) % 7 AS modulo FROM supplier")

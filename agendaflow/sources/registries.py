@@ -10,6 +10,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions.charsets import decoded_or_null
 from ..functions.text import extract_body, minimalize_basic, remove_blanks
 from .json_files import write_document
 from .pages import fetch_pages, read_map
@@ -118,14 +119,9 @@ def write_minimal_copies(pages: DataFrame, path: str, shorter: Callable[[Column]
 
 
 def decoded(body: Column, content_type: Column) -> Column:
-    """The text of downloaded bytes by the charset that their content type names, UTF-8 where it names none
-    or one that Spark can't decode."""
-    charset = F.upper(F.regexp_extract(F.coalesce(content_type, F.lit("")), "(?i)charset\\s*=\\s*[\"']?([\\w-]+)", 1))
-    out = F.decode(body, "UTF-8")
-    for name in ("US-ASCII", "ISO-8859-1", "UTF-16", "UTF-16BE", "UTF-16LE"):
-        out = F.when(charset == name, F.decode(body, name)).otherwise(out)
-    # what browsers read Latin-1's and the Windows charset's names as, but for a few signs, is Latin-1
-    return F.when(charset.isin("LATIN1", "WINDOWS-1252", "ISO8859-1"), F.decode(body, "ISO-8859-1")).otherwise(out)
+    """The text of downloaded bytes by the charset that their content type names, UTF-8 where it names none;
+    null where it names one that is not known (``charsets.charset_error`` says which)."""
+    return decoded_or_null(body, content_type)
 
 
 def fetch_linked_pages(urls: DataFrame, fetch: Callable[[str], str]) -> DataFrame:

@@ -7,7 +7,7 @@ import pytest
 
 from agendaflow.plans import catalog
 
-TABLES = "region nation customer supplier part orders lineitem events documents pages conversations".split()
+TABLES = "region nation customer supplier part orders lineitem events documents pages conversations benchmark".split()
 SF = "/root/testdata/sf0.001"
 
 
