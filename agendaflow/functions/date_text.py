@@ -433,13 +433,9 @@ def combinations(choices: list[list[list[Token]]], order: list[str], today: dt.d
                 stack.append((k + 1, *state, own, now))
 
 
-def extract_dates(text: str | None, order: list[str], months: str, years: str | None, today: dt.date, words: dict = FRENCH, window: range | None = None) -> list[list[tuple]]:
-    """The possible readings of a text, each a list of (start date, time, end date, time); none where it
-    has no date."""
-    if not text:
-        return []
-    window = window or range(today.year, today.year + 3)
-    choices = tokenize(text, words, order, months, years, today, window)
+def read_choices(choices: list[list[list[Token]]], order: list[str], years: str | None, today: dt.date) -> list[list[tuple]]:
+    """The possible readings of a text whose tokens may be the runs of ``choices``, each a list of
+    (start date, time, end date, time); a format with years needs one."""
     out: list[list[tuple]] = []
     for combination in combinations(choices, order, today):
         marked = mark(combination)
@@ -454,6 +450,15 @@ def extract_dates(text: str | None, order: list[str], months: str, years: str |
     return out
 
 
+def extract_dates(text: str | None, order: list[str], months: str, years: str | None, today: dt.date, words: dict = FRENCH, window: range | None = None) -> list[list[tuple]]:
+    """The possible readings of one text by plain Python; none where it has no date. Tables of texts are read by
+    ``operators.date_tokens``, which the tests compare with this."""
+    if not text:
+        return []
+    window = window or range(today.year, today.year + 3)
+    return read_choices(tokenize(text, words, order, months, years, today, window), order, years, today)
+
+
 _DATE = StructType([StructField(n, t) for n, t in (("possibility", IntegerType()), ("start_date", StringType()), ("start_time", StringType()), ("end_date", StringType()), ("end_time", StringType()))])
 
 

@@ -7,10 +7,10 @@ import datetime as dt
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.date_text import read_dates
 from ..functions.dates import end_after_start, to_instant
 from ..functions.html import event_blocks, extract_fields, recipe_links
 from ..functions.text import base_url, make_url
+from .date_tokens import first_readings
 from .filters import is_cancelled, is_empty_event
 
 _RECIPE = "map<string,array<string>>"
@@ -74,12 +74,14 @@ def dated_by(events: DataFrame, formats: Column, as_of: Column, zone: Column, la
     to one that reads the text in one way; of the last that reads it, the first reading is taken. If none
     does, ``alternates`` are tried on altEventDate. A date that can't be read keeps its row with 0 and an
     error, a blank one with -1; a language without a dictionary reads nothing, a null zone is an error.
+    Each distinct text is read once for each format, by tables of its tokens.
     """
     names = events.columns
-    found = events.withColumn("__a", read_dates(F.col("eventDate"), formats, as_of, language, dictionaries))
+    found = first_readings(events, "eventDate", formats, as_of, language, dictionaries, "__a")
     if alternates is not None and "altEventDate" in names:
-        other = read_dates(F.when(F.col("__a.n") == 0, F.col("altEventDate")), alternates, as_of, language, dictionaries)
-        found = found.withColumn("__b", other).withColumn("__a", F.when(F.col("__b.n") > 0, F.col("__b")).otherwise(F.col("__a"))).drop("__b")
+        found = found.withColumn("__other", F.when(F.col("__a.n") == 0, F.col("altEventDate")))
+        found = first_readings(found, "__other", alternates, as_of, language, dictionaries, "__b")
+        found = found.withColumn("__a", F.when(F.col("__b.n") > 0, F.col("__b")).otherwise(F.col("__a"))).drop("__b", "__other")
     found = found.withColumn("__zone", zone).withColumn("n_possibilities", F.coalesce(F.col("__a.n"), F.lit(0)))
     rows = found.select(*names, "n_possibilities", "__zone", F.posexplode_outer(F.filter("__a.dates", lambda d: d["start_date"].isNotNull())).alias("date_no", "d"))
 

@@ -99,14 +99,15 @@ def _written(day):
 
 @query(f"SELECT o_orderkey, CAST(0 AS INTEGER) AS possibility, strftime(d, '%Y-%m-%d') AS start_date, '20:00' AS start_time FROM (SELECT o_orderkey, unnest(generate_series({_D}, {_D} + 2, INTERVAL 1 DAY)) AS d FROM orders)")
 def extracted_dates(spark, sf_dir):
-    import datetime as dt
-
-    from ..functions.date_text import parse_dates
+    from ..operators.date_tokens import readings
 
     day = F.to_date("o_orderdate")
     shown = F.concat(F.lit("du "), _written(day), F.lit(" au "), _written(F.date_add(day, 2)), F.lit(" à 20h"))
     rows = table(spark, sf_dir, "orders").select("o_orderkey", shown.alias("shown"))
-    return rows.select("o_orderkey", F.explode(parse_dates(F.col("shown"), ["day", "month", "year"], "long", "long", dt.date(2025, 12, 1))).alias("d")).select("o_orderkey", "d.possibility", "d.start_date", "d.start_time")
+    texts = rows.select(F.col("shown").alias("text")).distinct()
+    texts = texts.select("text", F.array(*map(F.lit, ("day", "month", "year"))).alias("order"), F.lit("long").alias("month"), F.lit("long").alias("year"), F.lit("2025-12-01").cast("date").alias("day"), F.lit("french").alias("language"))
+    found = readings(texts).select(F.col("text").alias("shown"), F.posexplode("readings").alias("possibility", "r")).select("shown", "possibility", F.explode("r").alias("d"))
+    return rows.join(found, "shown").select("o_orderkey", "possibility", "d.start_date", "d.start_time")
 
 
 @query(
