@@ -285,14 +285,16 @@ def _nearest(k: int):
         q, qid, r, rid = x[asks], ids[asks], x[~asks], ids[~asks]
         order = np.argsort(rid, kind="stable")
         r, rid = r[order], rid[order]
+        # the product is rounded otherwise than the score, by far less than this
+        slack = 1e-9 * np.sqrt((q * q).sum(axis=1)) * (np.sqrt((r * r).sum(axis=1)).max() if len(r) else 0.0)
         query, found, score = [], [], []
         for a in range(0, len(q) if len(r) else 0, 256):
             near = q[a : a + 256] @ r.T
             near[qid[a : a + 256, None] == rid[None, :]] = -np.inf
             m = min(k, len(rid))
             least = -np.partition(-near, m - 1, axis=1)[:, m - 1 : m]
-            # all that may be among the k first: the product is rounded otherwise than the score
-            for i, row in enumerate(near >= np.maximum(least - 1e-9, -1e300)):
+            # all that may be among the k first
+            for i, row in enumerate(near >= np.maximum(least - slack[a : a + 256, None], -1e300)):
                 hit = np.flatnonzero(row)
                 exact = (r[hit] * q[a + i]).sum(axis=1)
                 best = np.lexsort((rid[hit], -exact))[:k]
@@ -305,6 +307,29 @@ def _nearest(k: int):
     return run
 
 
+def _asked(rows: DataFrame, index: Index, is_query) -> DataFrame:
+    """The queries, one an id, each with the partitions that it visits (written)."""
+    shared = rows.sparkSession.sparkContext.broadcast(index)
+
+    def probe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if len(batch):
+                lists = _by_length(shared.value, batch["embedding"], shared.value.probe, lambda d: [-d])
+                yield pa.RecordBatch.from_arrays([batch["vec_id"], batch["embedding"], pa.array(lists, pa.list_(pa.int32()))], ["vec_id", "embedding", "parts"])
+
+    asks = rows.where(is_query).groupBy("vec_id").agg(F.min("embedding").alias("embedding"))
+    return cut(asks.mapInArrow(probe, "vec_id long, embedding array<double>, parts array<int>"), "ann-queries")
+
+
+def compared_share(table: DataFrame, is_query) -> float:
+    """The part of all pairs of a query and a row that ``search`` compares."""
+    rows, index = build_index(vectors(table))
+    asked = _asked(rows, index, is_query)
+    sizes = rows.groupBy("part").agg(F.count("*").alias("n"))
+    pairs = asked.select(F.explode("parts").alias("part")).join(F.broadcast(sizes), "part").agg(F.sum("n").alias("n")).first()["n"]
+    return (pairs or 0) / max(1, rows.count() * asked.count())
+
+
 def search(table: DataFrame, is_query, k: int = K) -> DataFrame:
     """query_id, rank, vec_id, score: the k rows of largest inner product found for each row that
     ``is_query`` selects, its own row excluded, ties to the smaller vec_id.
@@ -315,17 +340,7 @@ def search(table: DataFrame, is_query, k: int = K) -> DataFrame:
     no inner product. Fewer candidates give fewer rows; no query or no candidate gives none.
     """
     rows, index = build_index(vectors(table))
-    shared = rows.sparkSession.sparkContext.broadcast(index)
-
-    def probe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            if len(batch):
-                lists = _by_length(shared.value, batch["embedding"], shared.value.probe, lambda d: [-d])
-                yield pa.RecordBatch.from_arrays([batch["vec_id"], batch["embedding"], pa.array(lists, pa.list_(pa.int32()))], ["vec_id", "embedding", "parts"])
-
-    asks = rows.where(is_query).groupBy("vec_id").agg(F.min("embedding").alias("embedding"))
-    queries = asks.mapInArrow(probe, "vec_id long, embedding array<double>, parts array<int>")
-    queries = cut(queries, "ann-queries").select("vec_id", "embedding", F.explode("parts").alias("part"))
+    queries = _asked(rows, index, is_query).select("vec_id", "embedding", F.explode("parts").alias("part"))
     sizes = rows.groupBy("part").agg(F.ceil(F.count("*") / BLOCK_ROWS).alias("row_blocks"))
     asked = queries.groupBy("part").agg(F.ceil(F.count("*") / BLOCK_QUERIES).alias("query_blocks"))
     blocks = F.broadcast(sizes.join(asked, "part"))  # a row for each of at most FAN * FAN partitions and other lengths

@@ -6,7 +6,7 @@ import re
 import numpy as np
 from pyspark.sql import functions as F
 
-from agendaflow.llm import language, licences
+from agendaflow.llm import language, licences, mixing
 
 from .test_operators import documents, edge, edge_rows
 
@@ -142,3 +142,58 @@ def test_calibration_templates_are_unseen():
     for family, texts in licences.TEMPLATES.items():
         held = [k for k in range(len(texts)) if k % licences.HELD == licences.HELD - 1]
         assert len(held) < len(texts) and (len(texts) < licences.HELD or held), family
+
+
+def plain_targets(sizes, weights):
+    """Shares by weight; whoever is over three times its size is set to that, one after another, and the rest is
+    shared anew, until nobody is."""
+    total, fixed = float(sum(sizes)), {}
+    while True:
+        left = total - sum(fixed.values())
+        free = [k for k in range(len(sizes)) if k not in fixed]
+        share = {k: left * weights[k] / sum(weights[j] for j in free) for k in free}
+        over = [k for k in free if share[k] > 3 * sizes[k]]
+        if not over:
+            return [fixed.get(k, share.get(k)) for k in range(len(sizes))]
+        fixed |= {k: 3.0 * sizes[k] for k in over}
+
+
+def test_mixing_equals_the_plain_rules(spark):
+    """Sizes, sources and targets by their definitions; takings near them by the blocks at hand; no document above
+    three; the splitting tree deals each draw to one shard; and reruns agree."""
+    docs = documents(spark, "sf0.01").unionByName(edge(spark, False).withColumn("doc_id", F.col("doc_id") + 1_000_000).select(*documents(spark).columns))
+    rows = docs.collect()
+    size = [len(re.findall(r"[^\x20\x09-\x0D]+", r.text or "")) for r in rows]
+    names = sorted({r.source for r in rows}, key=lambda s: (s is None, s or ""))
+    total = {s: sum(n for r, n in zip(rows, size) if r.source == s) for s in names}
+    goal = dict(zip(names, plain_targets([total[s] for s in names], [(5.0, 2.0, 1.0)[k % 3] for k in range(len(names))])))
+    got = mixing.takings(docs).collect()
+    key = lambda r, n: (r.doc_id is None, r.doc_id or 0, n)
+    source_of = {r.doc_id: r.source for r in rows}
+    assert sorted(key(r, r.size) for r in got) == sorted(key(r, n) for r, n in zip(rows, size))
+    taken = dict.fromkeys(names, 0)
+    for r in got:
+        s = source_of[r.doc_id] if r.doc_id is not None else next(x for x in names if total[x] == r.source_size)
+        assert r.source_size == total[s] and math.isclose(r.target, goal[s], rel_tol=1e-9, abs_tol=1e-6)
+        assert r.taken == r["size"] * len(r.shards) and len(r.shards) <= 3 and all(0 <= x < mixing.SHARDS for x in r.shards)
+        taken[s] += r.taken
+    for s in names:
+        largest = max([n for r, n in zip(rows, size) if r.source == s], default=0)
+        assert abs(taken[s] - goal[s]) <= largest, s
+    again = mixing.takings(docs.repartition(5)).collect()
+    assert sorted(map(repr, got)) == sorted(map(repr, again))
+
+
+def test_the_splitting_tree_deals_as_a_shuffled_pack():
+    """Block quotas of the tree against dealing one shuffled pack of all blocks: equal means and spreads."""
+    quotas, shards, draws = np.array([40, 25, 7, 0, 1]), 6, 3000
+    tree = np.stack([mixing.split_quotas(quotas, shards, np.random.default_rng(k)) for k in range(draws)])
+    pack, rng = np.repeat(np.arange(5), quotas), np.random.default_rng(99)
+    ends = np.cumsum(tree[0].sum(axis=1))
+    plain = np.zeros_like(tree)
+    for k in range(draws):
+        for j, hand in enumerate(np.split(rng.permutation(pack), ends[:-1])):
+            plain[k, j] = np.bincount(hand, minlength=5)
+    assert (tree.sum(axis=1) == quotas).all() and (tree.sum(axis=2) == tree[0].sum(axis=1)).all()
+    assert np.abs(tree.mean(axis=0) - plain.mean(axis=0)).max() < 0.2
+    assert np.abs(tree.std(axis=0) - plain.std(axis=0)).max() < 0.15

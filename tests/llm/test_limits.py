@@ -255,6 +255,18 @@ def test_session_and_folder(spark):
     assert scratch.paths == [] and not os.path.exists(path)
 
 
+def test_routing_pays_where_vectors_cluster(spark):
+    """Clusters of any scale: recall holds while at most a quarter of the pairs are compared."""
+    rng = np.random.default_rng(12)
+    near = rng.standard_normal((120, 32)) * 5
+    rows = [(k, [float(x) for x in (near[k % 120] + rng.standard_normal(32)) * 1e3]) for k in range(24_000)]
+    table, query = spark.createDataFrame(rows, "vec_id long, embedding array<double>"), F.col("vec_id") % 20 == 0
+    found = neighbours.search(table, query)
+    assert neighbours.recall(found, table, query) >= 0.9
+    assert neighbours.compared_share(table, query) <= 0.3
+    assert found.groupBy("query_id").count().where("count = 20").count() == 1200
+
+
 def test_number_of_partitions_at_every_size():
     got = [neighbours.number_of_parts(n) for n in (0, 1, 199, 200, 500, 2000, 20_000, 10**6, 10**9)]
     assert got == [1, 1, 1, 4, 4, 4, 8, 512, 1 << 19]
