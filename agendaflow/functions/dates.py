@@ -116,3 +116,13 @@ def before_midnight(day: Column, time: Column) -> Column:
     """(day, time) with 00:00 as 23:59 of the day before."""
     zero = F.coalesce(time == "00:00", F.lit(False))
     return F.struct(F.when(zero, F.date_sub(day, 1)).otherwise(day).alias("day"), F.when(zero, F.lit("23:59")).otherwise(time).alias("time"))
+
+
+def slider_label(ts: Column) -> Column:
+    """``Weekday d/m/yyyy``, as under the slider of days."""
+    return F.date_format(ts, "EEEE d/M/yyyy")
+
+
+def chart_label(ts: Column) -> Column:
+    """``d/m``, as below a bar of the chart of days."""
+    return F.date_format(ts, "d/M")

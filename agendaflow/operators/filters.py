@@ -90,6 +90,15 @@ def same_place(a: Column, b: Column) -> Column:
     return (simplify(a["name"]) == simplify(b["name"])) & (a["city"] == b["city"]) & (a["country"] == b["country"])
 
 
+def same_places(a: DataFrame, b: DataFrame, key: str, other: str) -> DataFrame:
+    """For each place of ``a`` (its ``key``, name, city, country) the first of the places of ``b`` that are the same,
+    and how many are: ``key``, ``other`` and n, 0 where there is none. Places meet by their simplified name,
+    city and country, after ``b`` is one row for each, so no two lists are ever paired."""
+    same = ["__name", "city", "country"]
+    known = b.withColumn("__name", simplify(F.col("name"))).groupBy(*same).agg(F.min(other).alias(other), F.count("*").alias("__count"))
+    return a.withColumn("__name", simplify(F.col("name"))).join(known, same, "left").select(key, other, F.coalesce("__count", F.lit(0)).alias("n"))
+
+
 def same_day(a_ms: Column, b_ms: Column, zone: str) -> Column:
     day = lambda c: F.to_date(F.from_utc_timestamp(F.timestamp_millis(c), zone))
     return day(a_ms) == day(b_ms)
@@ -100,8 +109,6 @@ def drop_style(events: DataFrame, style: Column, name: str = "Theatre") -> DataF
     return events.where(~style.eqNullSafe(F.lit(name)))
 
 
-
-
 def is_local(place: Column, source: Column) -> Column:
     """The site lists an event at its own place."""
     return F.coalesce(place == source, F.lit(False))

@@ -92,3 +92,16 @@ def sub_events(events: DataFrame, subs: Column, replace: tuple[str, ...], append
     for c in append:
         out = out.withColumn(c, F.trim(F.concat_ws(" ", F.col(c), F.col("__sub")[c])))
     return out.drop("__sub")
+
+
+def detected(selected: DataFrame, found: DataFrame, *keys: str) -> DataFrame:
+    """``selected`` elements (iframes by id, name and source, say) with ``detected``: whether the page still has them;
+    keys compare as values, nulls as equal."""
+    key = F.struct(*keys)
+    have = found.select(key.alias("__key")).distinct().withColumn("__found", F.lit(True))
+    return selected.withColumn("__key", key).join(have, "__key", "left").select(*selected.columns, F.coalesce("__found", F.lit(False)).alias("detected"))
+
+
+def repairs_by_source(errors: DataFrame, venues: DataFrame, venue: str, source: str) -> DataFrame:
+    """For each source how many of its venues with linked pages have an event in error, and so are scraped again."""
+    return venues.join(errors.select(venue).distinct(), venue, "left_semi").groupBy(source).agg(F.count("*").alias("n"))

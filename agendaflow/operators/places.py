@@ -169,3 +169,17 @@ def unique_names(venues: DataFrame, id_: str, city: str, names: str) -> DataFram
 def event_place(place: Column, source: Column) -> Column:
     """The place of an event as a struct: its name, and the city and country of its source."""
     return F.struct(place.alias("name"), source["city"].alias("city"), source["country"].alias("country"))
+
+
+def same_city_others(venues: DataFrame, city: str, name: str) -> DataFrame:
+    """``venues`` with ``n_others``: how many venues of the same city have another name, once simplified. Counted by
+    city and by name, so venues are not paired."""
+    key = venues.withColumn("__key", F.coalesce(simplify(F.col(name)), F.lit("")))
+    by_name = key.groupBy(city, "__key").agg(F.count("*").alias("__own"))
+    by_city = by_name.groupBy(city).agg(F.sum("__own").alias("__all"))
+    return key.join(by_name, [city, "__key"], "left").join(by_city, city, "left").select(*venues.columns, (F.col("__all") - F.col("__own")).alias("n_others"))
+
+
+def languages_without_dictionary(languages: DataFrame, known: DataFrame, language: str) -> DataFrame:
+    """The languages, each once, that no dictionary knows."""
+    return languages.select(language).where(F.col(language).isNotNull()).distinct().join(known.select(language), language, "left_anti")

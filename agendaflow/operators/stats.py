@@ -126,3 +126,14 @@ def sorted_counts(counts: DataFrame, n: str, seq: str) -> DataFrame:
 def sorted_names(df: DataFrame, name: str, seq: str) -> DataFrame:
     """Names as a reader would sort them: letter case and accents aside, equal ones in the order of ``seq``."""
     return df.orderBy(F.collate(name, "UNICODE_CI_AI"), seq)
+
+
+def first_and_count(df: DataFrame, group: str, value: str, most: int = 3) -> DataFrame:
+    """``group`` and ``shown``: the ``most`` smallest values, joined by commas, followed by ``...(n elements)`` if there
+    are more. Only so many values of a group are kept, from the map side on, and counted apart."""
+    place = F.row_number().over(Window.partitionBy(group).orderBy(value))
+    first = df.select(group, value).withColumn("__n", place).where(F.col("__n") <= most).groupBy(group).agg(F.array_sort(F.collect_list(F.struct("__n", F.col(value).cast("string").alias("v")))).alias("l"))
+    counts = df.groupBy(group).agg(F.count(value).alias("__count"))
+    shown = F.array_join(F.transform("l", lambda x: x["v"]), ", ")
+    more = F.concat(shown, F.lit("...("), F.col("__count"), F.lit(" elements)"))
+    return first.join(counts, group).select(group, F.when(F.col("__count") > most, more).otherwise(shown).alias("shown"))

@@ -247,7 +247,9 @@ def day_offset(spark, sf_dir):
 
 @query("SELECT event_id, dayname(ts) || ' ' || day(ts) || '/' || month(ts) || '/' || year(ts) AS label FROM events")
 def slider_label(spark, sf_dir):
-    return table(spark, sf_dir, "events").select("event_id", F.date_format("ts", "EEEE d/M/yyyy").alias("label"))
+    from ..functions import dates
+
+    return table(spark, sf_dir, "events").select("event_id", dates.slider_label(F.col("ts")).alias("label"))
 
 
 @query(
@@ -296,12 +298,12 @@ def merge_duplicate_events(spark, sf_dir):
     return merge_events(rows).withColumn("altURLs", F.array_join("altURLs", " "))
 
 
-@query(f"SELECT event_id, event_type, local FROM (SELECT event_id, event_type, user_id % 97 = user_id % 13 AS local, ts FROM events) WHERE local OR ts < {_T}")
+@query("SELECT event_id, event_type, user_id % 97 = user_id % 13 AS local FROM events")
 def local_sources(spark, sf_dir):
-    """Events that a place lists itself, and all those before a day."""
-    rows = table(spark, sf_dir, "events").select("event_id", "event_type", "ts", F.concat(F.lit("place "), F.col("user_id") % 97).alias("place"), F.concat(F.lit("place "), F.col("user_id") % 13).alias("source"))
+    """Which events a place lists itself."""
+    rows = table(spark, sf_dir, "events").select("event_id", "event_type", F.concat(F.lit("place "), F.col("user_id") % 97).alias("place"), F.concat(F.lit("place "), F.col("user_id") % 13).alias("source"))
     local = filters.is_local(F.col("place"), F.col("source"))
-    return rows.where(local | (F.col("ts") < _start())).select("event_id", "event_type", local.alias("local"))
+    return rows.select("event_id", "event_type", local.alias("local"))
 
 
 @query("SELECT event_id, (CASE WHEN event_type = 'error' THEN '' ELSE event_type END = '' AND event_id % 3 = 0 AND event_id % 4 = 0) AS empty FROM events")

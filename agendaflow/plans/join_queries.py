@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..operators import places
+from ..operators import pages, places
 from .registry import query, sql_simplify, table
 
 _P = "SELECT n_name AS title, arg_max(CAST(n_regionkey AS DOUBLE), n_nationkey) AS longitude, arg_max(CAST(n_nationkey AS DOUBLE), n_nationkey) AS latitude FROM nation WHERE n_nationkey % 3 <> 0 GROUP BY 1"
@@ -121,22 +121,21 @@ _KEY = "l_orderkey, l_partkey, l_suppkey"
 def iframe_composite_semi_anti(spark, sf_dir):
     keys = ["l_orderkey", "l_partkey", "l_suppkey"]
     items = table(spark, sf_dir, "lineitem")
-    chosen = items.select(*keys, "l_linenumber")
-    found = items.where("l_returnflag = 'R'").select(*keys)
-    columns = lambda df, flag: df.select("l_orderkey", "l_linenumber", F.lit(flag).alias("detected"))
-    return columns(chosen.join(found, keys, "left_semi"), True).unionByName(columns(chosen.join(found, keys, "left_anti"), False))
+    return pages.detected(items.select(*keys, "l_linenumber"), items.where("l_returnflag = 'R'"), *keys).select("l_orderkey", "l_linenumber", "detected")
 
 
-@query("SELECT n_nationkey FROM nation WHERE n_nationkey NOT IN (SELECT c_nationkey FROM customer WHERE c_mktsegment = 'BUILDING' AND c_acctbal > 9000)")
+@query("SELECT DISTINCT c_nationkey AS language FROM customer WHERE c_nationkey NOT IN (SELECT n_nationkey FROM nation JOIN region ON n_regionkey = r_regionkey WHERE r_name IN ('EUROPE', 'AMERICA'))")
 def languages_without_dictionary(spark, sf_dir):
-    used = table(spark, sf_dir, "customer").where("c_mktsegment = 'BUILDING' AND c_acctbal > 9000").select(F.col("c_nationkey").alias("n_nationkey"))
-    return table(spark, sf_dir, "nation").select("n_nationkey").join(used, "n_nationkey", "left_anti")
+    """Customers' nations, of which those of two regions have a dictionary."""
+    nation, region = table(spark, sf_dir, "nation"), table(spark, sf_dir, "region")
+    known = nation.join(region, nation["n_regionkey"] == region["r_regionkey"]).where(F.col("r_name").isin("EUROPE", "AMERICA")).select(F.col("n_nationkey").alias("language"))
+    return places.languages_without_dictionary(table(spark, sf_dir, "customer").select(F.col("c_nationkey").alias("language")), known, "language")
 
 
 @query("SELECT c_nationkey, count(*) AS n FROM customer WHERE c_custkey IN (SELECT o_custkey FROM orders WHERE o_orderstatus = 'F') GROUP BY 1")
 def repair_by_source(spark, sf_dir):
     errors = table(spark, sf_dir, "orders").where("o_orderstatus = 'F'").select(F.col("o_custkey").alias("c_custkey"))
-    return table(spark, sf_dir, "customer").join(errors, "c_custkey", "left_semi").groupBy("c_nationkey").agg(F.count("*").alias("n"))
+    return pages.repairs_by_source(errors, table(spark, sf_dir, "customer"), "c_custkey", "c_nationkey")
 
 
 @query("SELECT o_orderkey FROM orders WHERE o_orderkey NOT IN (SELECT l_orderkey FROM lineitem WHERE l_returnflag = 'R') AND o_custkey NOT IN (SELECT c_custkey FROM customer WHERE c_acctbal < 0)")
@@ -196,14 +195,10 @@ def default_style_of_place(spark, sf_dir):
     return places.with_default_style(rows, venues).select("c_custkey", "style")
 
 
-@query(f"SELECT a.s_suppkey AS a, b.s_suppkey AS b FROM supplier a JOIN supplier b ON a.s_nationkey = b.s_nationkey AND a.s_suppkey < b.s_suppkey AND {sql_simplify('a.s_name')} <> {sql_simplify('b.s_name')}")
+@query(f"WITH s AS (SELECT s_suppkey, s_nationkey, {sql_simplify('s_name')} AS key FROM supplier) SELECT s_suppkey, count(*) OVER (PARTITION BY s_nationkey) - count(*) OVER (PARTITION BY s_nationkey, key) AS n_others FROM s")
 def same_city_venues(spark, sf_dir):
-    from ..functions.text import simplify
-
-    s = table(spark, sf_dir, "supplier").select("s_suppkey", "s_nationkey", simplify(F.col("s_name")).alias("key"))
-    a, b = s.alias("a"), s.alias("b")
-    near = (F.col("a.s_nationkey") == F.col("b.s_nationkey")) & (F.col("a.s_suppkey") < F.col("b.s_suppkey")) & (F.col("a.key") != F.col("b.key"))
-    return a.join(b, near).select(F.col("a.s_suppkey").alias("a"), F.col("b.s_suppkey").alias("b"))
+    """How many other venues each venue's city has."""
+    return places.same_city_others(table(spark, sf_dir, "supplier").select("s_suppkey", "s_nationkey", "s_name"), "s_nationkey", "s_name").select("s_suppkey", "n_others")
 
 
 @query(
@@ -234,14 +229,14 @@ def venue_lookup(spark, sf_dir):
 
 @query(
     f"""
-WITH c AS (SELECT c_custkey, 'Place ' || (c_custkey % 9) AS name, c_nationkey AS city FROM customer), s AS (SELECT s_suppkey, 'PLACE-' || (s_suppkey % 9) AS name, s_nationkey AS city FROM supplier)
-SELECT c_custkey, s_suppkey, {sql_simplify('c.name')} = {sql_simplify('s.name')} AS same FROM c JOIN s ON c.city = s.city
+WITH c AS (SELECT c_custkey, 'Place ' || (c_custkey % 9) AS name, c_nationkey AS city FROM customer), s AS (SELECT s_suppkey, 'PLACE-' || (s_suppkey % 9) AS name, s_nationkey AS city FROM supplier),
+p AS (SELECT {sql_simplify('name')} AS key, city, min(s_suppkey) AS s_suppkey, count(*) AS n FROM s GROUP BY ALL)
+SELECT c_custkey, s_suppkey, coalesce(n, 0) AS n FROM c LEFT JOIN p ON p.city = c.city AND p.key = {sql_simplify('c.name')}
 """
 )
 def same_places(spark, sf_dir):
+    """For each customer's place the first of the suppliers' places that are the same, and their number."""
     from ..operators import filters
 
-    place = lambda name, city: F.struct(name.alias("name"), F.col(city).cast("string").alias("city"), F.lit("x").alias("country"))
-    c = table(spark, sf_dir, "customer").select("c_custkey", "c_nationkey", place(F.concat(F.lit("Place "), F.col("c_custkey") % 9), "c_nationkey").alias("a"))
-    s = table(spark, sf_dir, "supplier").select("s_suppkey", "s_nationkey", place(F.concat(F.lit("PLACE-"), F.col("s_suppkey") % 9), "s_nationkey").alias("b"))
-    return c.join(s, F.col("c_nationkey") == F.col("s_nationkey")).select("c_custkey", "s_suppkey", filters.same_place(F.col("a"), F.col("b")).alias("same"))
+    place = lambda df, key, name, city: table(spark, sf_dir, df).select(key, F.concat(F.lit(name), F.col(key) % 9).alias("name"), F.col(city).alias("city"), F.lit("x").alias("country"))
+    return filters.same_places(place("customer", "c_custkey", "Place ", "c_nationkey"), place("supplier", "s_suppkey", "PLACE-", "s_nationkey"), "c_custkey", "s_suppkey")

@@ -126,11 +126,11 @@ def missing_links_anti(spark, sf_dir):
     return pages.missing_links(links, stored, "href")
 
 
-@query(f"SELECT page_id FROM pages WHERE regexp_replace(url, '^.*?([0-9]+)[^0-9]*$', '/\\1') IN ({_HREFS}) OR '/the' IN ({_HREFS}) AND page_id < 100")
+@query(f"SELECT page_id FROM pages WHERE regexp_replace(url, '^.*?([0-9]+)[^0-9]*$', '/\\1') IN ({_HREFS}) OR '/the' IN ({_HREFS}) AND contains(url, '/fr/')")
 def existing_links_semi(spark, sf_dir):
     links = pages.page_links(table(spark, sf_dir, "pages"))
     number = F.regexp_replace("url", "^.*?([0-9]+)[^0-9]*$", "/$1")
-    stored = table(spark, sf_dir, "pages").select("page_id", F.explode(F.array(number, F.when(F.col("page_id") < 100, F.lit("/the")))).alias("href"))
+    stored = table(spark, sf_dir, "pages").select("page_id", F.explode(F.array(number, F.when(F.col("url").contains("/fr/"), F.lit("/the")))).alias("href"))
     return pages.existing_links(links, stored.where("href IS NOT NULL"), "href").select("page_id").distinct()
 
 
@@ -184,10 +184,7 @@ def subevent_common_prefix(spark, sf_dir):
 
 @query("SELECT c_custkey, CASE WHEN len(l) > 3 THEN array_to_string(l[1:3], ', ') || '...(' || len(l) || ' elements)' ELSE array_to_string(l, ', ') END AS shown FROM (SELECT o_custkey AS c_custkey, list(CAST(o_orderkey AS VARCHAR) ORDER BY o_orderkey) AS l FROM orders GROUP BY 1)")
 def first_three_and_count(spark, sf_dir):
-    rows = table(spark, sf_dir, "orders").groupBy(F.col("o_custkey").alias("c_custkey")).agg(F.array_sort(F.collect_list("o_orderkey")).alias("l"))
-    texts = F.transform("l", lambda x: x.cast("string"))
-    marker = F.concat(F.array_join(F.slice(texts, 1, 3), ", "), F.lit("...("), F.size("l"), F.lit(" elements)"))
-    return rows.select("c_custkey", F.when(F.size("l") > 3, marker).otherwise(F.array_join(texts, ", ")).alias("shown"))
+    return stats.first_and_count(table(spark, sf_dir, "orders").select(F.col("o_custkey").alias("c_custkey"), "o_orderkey"), "c_custkey", "o_orderkey")
 
 
 @query()

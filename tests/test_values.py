@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from agendaflow.functions import charsets, json_values
 from agendaflow.functions.text import simplify
-from agendaflow.operators import places, stats
+from agendaflow.operators import filters, pages, places, stats
 
 
 @pytest.mark.parametrize("label, codec", [("windows-1252", "cp1252"), ("ISO-8859-15", "iso8859_15"), ("koi8-r", "koi8_r"), ("Windows-1251", "cp1251"), ("iso-8859-2", "iso8859_2"), ("macintosh", "mac_roman"), ("ibm866", "cp866")])
@@ -72,3 +72,18 @@ def test_dictionaries_in_parts(spark, most):
     assert {r.k: r.found_style for r in got.collect()} == want
     none = places.styles_by_dictionary(spark.createDataFrame(texts, "k int, x string"), "x", spark.createDataFrame([], "style string, word string, ord int"), most)
     assert {r.k: r.found_style for r in none.collect()} == dict(texts)
+
+
+def test_small_operators(spark):
+    place = "k int, name string, city string, country string"
+    a = spark.createDataFrame([(1, "Le Bar", "Lyon", "F"), (2, "club", "Lyon", "F"), (3, None, "Lyon", "F"), (4, "LE-BAR!", "Paris", "F")], place)
+    b = spark.createDataFrame([(7, "le bar", "Lyon", "F"), (5, "Le, Bar", "Lyon", "F"), (6, None, "Lyon", "F")], place.replace("k int", "o int"))
+    assert sorted(map(tuple, filters.same_places(a, b, "k", "o").collect())) == [(1, 5, 2), (2, None, 0), (3, None, 0), (4, None, 0)]
+    others = places.same_city_others(b.unionByName(a.withColumnRenamed("k", "o")), "city", "name").collect()
+    assert {(r.o, r.n_others) for r in others} == {(7, 3), (5, 3), (1, 3), (2, 5), (3, 4), (6, 4), (4, 0)}
+    values = spark.createDataFrame([("g", k) for k in range(9)] + [("h", 3), ("h", 1), ("i", 5), ("i", 6), ("i", 4)], "g string, v int")
+    assert sorted(map(tuple, stats.first_and_count(values, "g", "v").collect())) == [("g", "0, 1, 2...(9 elements)"), ("h", "1, 3"), ("i", "4, 5, 6")]
+    frames = spark.createDataFrame([("1", None, "s"), ("2", "n", "s"), ("3", "n", "t")], "id string, name string, src string")
+    assert sorted((r.id, r.detected) for r in pages.detected(frames, frames.where("id < '3'").unionByName(frames.limit(1)), "id", "name", "src").collect()) == [("1", True), ("2", True), ("3", False)]
+    venues = spark.createDataFrame([("a", "s"), ("b", "s"), ("c", "t")], "venue string, source string")
+    assert sorted(map(tuple, pages.repairs_by_source(spark.createDataFrame([("a",), ("a",), ("b",), ("z",)], "venue string"), venues, "venue", "source").collect())) == [("s", 2)]
