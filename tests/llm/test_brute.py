@@ -197,3 +197,76 @@ def test_the_splitting_tree_deals_as_a_shuffled_pack():
     assert (tree.sum(axis=1) == quotas).all() and (tree.sum(axis=2) == tree[0].sum(axis=1)).all()
     assert np.abs(tree.mean(axis=0) - plain.mean(axis=0)).max() < 0.2
     assert np.abs(tree.std(axis=0) - plain.std(axis=0)).max() < 0.15
+
+
+#: Headers and sentences that no training text quotes, and what they name.
+HEADERS = {
+    "This file is part of Foo. Foo is free software under the GPL version 2.": ["GPL"],
+    "Code licensed Apache 2.0, docs CC BY 4.0": ["Apache", "CC-BY"],
+    "@license MIT": ["MIT"],
+    "// SPDX-License-Identifier: GPL-2.0-only": ["GPL"],
+    "# SPDX-License-Identifier: LGPL-2.1-or-later": ["LGPL"],
+    "/* SPDX-License-Identifier: BSD-3-Clause */": ["BSD"],
+    "SPDX-License-Identifier: EUPL-1.2": ["unknown"],
+    "SPDX-License-Identifier: WTFPL": ["unknown"],
+    "Published under a Creative Commons Attribution-ShareAlike 3.0 licence": ["CC-BY-SA"],
+    "Photos: Creative Commons Attribution-NonCommercial 2.0": ["CC-BY-NC"],
+    "This dataset is dedicated to the public domain under CC0.": ["CC0"],
+    "Distributed under the ISC license.": ["ISC"],
+    "Mozilla Public License 2.0 applies": ["MPL"],
+    "The library is covered by the GNU Lesser General Public License.": ["LGPL"],
+    "the server part is AGPLv3": ["AGPL"],
+    "Affero GPL: GNU AGPL-3.0-or-later": ["AGPL"],
+    "BSD licensed, see LICENSE.txt": ["BSD"],
+    "Veröffentlicht unter der MIT-Lizenz": ["MIT"],
+    "You may use this under the terms of the Apache License 2.0": ["Apache"],
+    "Licensed to the public under the Unlicense": ["Public-Domain"],
+    "(c) 2015 by the editors. All rights reserved worldwide.": ["Reserved"],
+    "Copyright (c) 2011-2014, Some Company Inc.": [],
+    "Copyright 1999 Anna Schmidt": [],
+    "(C) 2003 The Tree Project Contributors": [],
+    "Written by Paul and Mary in 2009": [],
+    "The pilot lost his licence after the accident.": [],
+    "A fishing license costs ten euros a day.": [],
+    "The Apache people lived in the southwest.": [],
+    "MIT researchers published the study in May.": [],
+    "The BSD team won the cup again.": [],
+    "Mozilla hosted a party in the old town.": [],
+    "The public domain is discussed in chapter four.": [],
+    "The Creative Commons offices moved to a new street.": [],
+    "Attribution of the painting to Rembrandt is disputed.": [],
+    "Software engineers met at the conference hall.": [],
+    "The terms of the peace treaty were harsh.": [],
+    "Poetic licence allows the author such freedoms.": [],
+    "He was granted permission to leave the country.": [],
+    "The warranty on the machine has expired.": [],
+    "They distribute food without charge to the poor.": [],
+    "Notice of the meeting appeared in all copies of the newspaper.": [],
+    "The gnu and the zebra drink at the river.": [],
+    "Released under the Sleepycat License": ["unknown"],
+    "This package is under the Ruby license.": ["unknown"],
+    "License: Vim": ["unknown"],
+    "Licensed under the Open Software License 3.0": ["unknown"],
+    "Covered by the Zope Public License (ZPL) Version 2.1": ["unknown"],
+    "The Artistic License applies": ["unknown"],
+    "Licencia MIT": ["MIT"],
+    "Dual license: MPL 1.1 or GPL 2.0": ["GPL", "MPL"],
+}
+
+
+def test_unseen_headers(spark):
+    """Precision and recall of families on lines that training has not seen; each line alone is a document."""
+    model = licences.train(licences.ordinary_paragraphs(documents(spark, "sf0.01")))
+    trained = " ".join([*(t for v in licences.TEMPLATES.values() for t in v), *licences.OTHER_LICENCES, *licences.ORDINARY]).lower()
+    assert not any(h.lower() in trained for h in HEADERS)
+    rows = spark.createDataFrame(list(enumerate(HEADERS)), "doc_id long, text string")
+    got = {list(HEADERS)[r.doc_id]: set(r.families) for r in licences.scan(rows, model).collect()}
+    hit = sum(len(got[h] & set(v)) for h, v in HEADERS.items())
+    assert hit >= 0.85 * sum(len(v) for v in got.values()) and hit >= 0.85 * sum(map(len, HEADERS.values()))
+
+
+def test_copyright_lines_are_no_licence(spark):
+    model = licences.train(licences.ordinary_paragraphs(documents(spark, "sf0.01")))
+    text = "MIT License\nCopyright (c) 2024 Jane\n\n" + licences.TEMPLATES["MIT"][6]
+    (r,) = licences.scan(spark.createDataFrame([(1, text)], "doc_id long, text string"), model).collect()
+    assert r.families == ["MIT"] and r.n_licence == 2
