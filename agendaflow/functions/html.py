@@ -7,6 +7,7 @@ be any number of levels apart, else each is a child of the one before.
 
 from __future__ import annotations
 
+import bisect
 import re
 from collections import Counter
 from collections.abc import Callable, Iterator
@@ -46,7 +47,7 @@ class Node:
     """An element. ``texts`` has its strings and elements in order; all text of a page is one list of
     ``pieces``, of which an element has those from ``begin`` to ``end``."""
 
-    __slots__ = ("tag", "attrs", "parent", "depth", "children", "texts", "pieces", "begin", "end")
+    __slots__ = ("tag", "attrs", "parent", "depth", "children", "texts", "pieces", "begin", "end", "numbers")
 
     def __init__(self, tag: str, attrs: dict[str, str], parent: "Node | None"):
         self.tag, self.attrs, self.parent = tag, attrs, parent
@@ -55,6 +56,7 @@ class Node:
         self.texts: list[str | Node] = []
         self.pieces: list[str] = [] if parent is None else parent.pieces
         self.begin = self.end = len(self.pieces)
+        self.numbers: dict[int, tuple[int, int]] | None = None
 
     @property
     def classes(self) -> list[str]:
@@ -257,13 +259,27 @@ def _own(node: Node) -> str:
     return node.tag + "".join("." + c for c in node.classes)
 
 
+def _numbers(parent: Node) -> dict[int, tuple[int, int]]:
+    """For each child its number among the children that its own segment matches, and how many those are:
+    of its tag, with all its classes. Counted once for a parent, by the kinds of its children."""
+    if parent.numbers is None:
+        kinds: dict[tuple[str, frozenset], list[int]] = {}
+        for k, c in enumerate(parent.children):
+            kinds.setdefault((c.tag, frozenset(c.classes)), []).append(k)
+        like = {kind: [own for (tag, classes), own in kinds.items() if tag == kind[0] and classes >= kind[1]] for kind in kinds}
+        parent.numbers = {}
+        for k, c in enumerate(parent.children):
+            places = like[c.tag, frozenset(c.classes)]
+            parent.numbers[id(c)] = sum(bisect.bisect_left(own, k) for own in places), sum(map(len, places))
+    return parent.numbers
+
+
 def absolute_path(node: Node, top: Node | None = None) -> str:
     """The path of an element from the root, or from ``top``, with its number among like siblings."""
     parts = []
     while node.parent is not None and node is not top:
-        own = _own(node)
-        alike = [c for c in node.parent.children if _matches(c, own)]
-        parts.append(own + (f":eq({next(k for k, c in enumerate(alike) if c is node)})" if len(alike) > 1 else ""))
+        number, alike = _numbers(node.parent)[id(node)]
+        parts.append(_own(node) + (f":eq({number})" if alike > 1 else ""))
         node = node.parent
     return ">".join(reversed(parts))
 

@@ -258,3 +258,17 @@ def test_a_page_of_a_hundred_thousand_elements(spark):
     began = time.perf_counter()
     got = nodes.blocks_and_fields(table, "ul>li.e", {"eventName": "a>b", "eventDate": "p", "eventURL": "a>b"}, "page").agg(F.count("*").alias("n"), F.sum(F.when((F.col("eventName") == F.concat(F.lit("n"), "block_no")) & (F.col("eventURL") == F.concat(F.lit("/"), "block_no")) & (F.col("eventDate") == F.concat(F.lit("d"), "block_no")), 1)).alias("right")).first()
     assert (got.n, got.right) == (25_000, 25_000) and time.perf_counter() - began < 90
+
+
+def test_paths_number_like_siblings():
+    """Against comparing every sibling, and on a list of 20,000 entries in little time."""
+    rng = random.Random(6)
+    root = html.parse("".join(linked_markup(rng) for _ in range(6)) + "<p></p><p class='a b'></p><p class='a'></p><p class='b a'></p>")
+    for n in root.walk():
+        alike = [c for c in n.parent.children if html._matches(c, html._own(n))]
+        last = html._own(n) + (f":eq({[c is n for c in alike].index(True)})" if len(alike) > 1 else "")
+        assert html.absolute_path(n).split(">")[-1] == last
+        assert html.select(root, html.absolute_path(n), anywhere=False) == [n]
+    began = time.perf_counter()
+    found = html.leaf_texts(html.parse("<ul>" + "".join(f"<li class='c{k % 7}'>n{k}" for k in range(20_000)) + "</ul>"))
+    assert len({html.absolute_path(n) for n in found}) == 20_000 and time.perf_counter() - began < 10
