@@ -215,35 +215,47 @@ def html_nodes_links(spark, sf_dir):
     return links.select("page_id", "pos", "href", "text")
 
 
-@query()
+@query(
+    """
+WITH a AS (SELECT page_id, page_id % 28 + 1 AS d, page_id % 12 + 1 AS m, regexp_extract(url, '^https?://[^/:]+') || '/page/' || page_id * 2 AS link FROM pages WHERE contains(html, '<article>'))
+SELECT CAST(page_id AS VARCHAR) AS venue_id, 0 AS block_no, d || '.' || m || '.2026 à 20h' AS "eventDate", link AS "eventURL", epoch_ms(timezone('UTC', timezone('Europe/Paris', make_timestamp(2026, m, d, 20, 0, 0)))) AS "unixDate",
+  true AS "hasStartTime", CAST(1 AS INTEGER) AS n_possibilities, CASE WHEN page_id % 3 = 0 THEN 'no linked page: ' || link END AS "errorLog" FROM a
+"""
+)
 def extracted_events(spark, sf_dir):
-    """Each page's articles; the linked page of an article is the page of its first link's number, if there
-    is one, and every page's dates are read."""
+    """Each page's articles, which begin with a date; the linked page of an article is the page of its first
+    link's number, if there is one, and every date is read."""
     from ..operators import extract
 
     paths = lambda *p: F.array(*map(F.lit, p))
     recipe = F.create_map(F.lit("eventName"), paths("h1"), F.lit("eventDate"), paths("p:eq(0)"), F.lit("eventURL"), paths(""))
     linked = F.create_map(F.lit("eventStyle"), paths("html>body>div.ad"), F.lit("eventPlace"), paths("html>head>title"))
     pages_ = table(spark, sf_dir, "pages")
+    date = F.concat(F.lit("<article><p>"), F.col("page_id") % 28 + 1, F.lit("."), F.col("page_id") % 12 + 1, F.lit(".2026 à 20h</p>"))
     venues = pages_.select(F.col("page_id").cast("string").alias("id"), "url", F.lit("article").alias("delimiter"), recipe.alias("mainPage"), linked.alias("linkedPage"))
-    stored = pages_.select(F.col("page_id").cast("string").alias("venue_id"), F.lit(0).alias("page_no"), F.concat(F.lit("<a href=\"/page/"), F.col("page_id") * 2, F.lit("\">"), "html", F.lit("</a>")).alias("html"))
+    stored = pages_.select(F.col("page_id").cast("string").alias("venue_id"), F.lit(0).alias("page_no"), F.concat(F.lit("<a href=\"/page/"), F.col("page_id") * 2, F.lit("\">"), F.replace("html", F.lit("<article>"), date), F.lit("</a>")).alias("html"))
     own = text.make_url(F.concat(F.lit("/page/"), F.col("page_id") * 2), text.base_url(F.col("url")))
     others = pages_.where("page_id % 3 > 0").select(own.alias("url"), "html").dropDuplicates(["url"])
     events = extract.events_of(extract.blocks_of(stored, venues), others, ["annulé"])
-    form = F.array(F.struct(paths("day", "month", "year").alias("order"), F.lit("long").alias("month"), F.lit("long").alias("year")))
-    return extract.dated_by(events, form, F.lit("2025-12-01").cast("date"), F.lit("Europe/Paris"), F.lit("french"))
+    form = F.array(F.struct(paths("day", "month", "year").alias("order"), F.lit("numeric").alias("month"), F.lit("long").alias("year")))
+    dated = extract.dated_by(events, form, F.lit("2025-12-01").cast("date"), F.lit("Europe/Paris"), F.lit("french"))
+    return dated.select("venue_id", "block_no", "eventDate", "eventURL", "unixDate", "hasStartTime", "n_possibilities", "errorLog")
 
 
-@query("SELECT page_id, 'http://site/event/' || (page_id * 3 + i) AS link FROM pages, (SELECT unnest([0, 1, 2]) AS i)")
+_MENU = """
+WITH p AS (SELECT page_id, coalesce(regexp_extract(html, '<nav><ul>([\\s\\S]*?)</ul></nav>', 1), '') AS nav FROM pages),
+a AS (SELECT page_id, regexp_extract_all(nav, '<a href="([^"]*)"', 1) AS h, regexp_extract_all(nav, '<li><a href="[^"]*">([^<]*)</a></li>', 1) AS t FROM p)
+"""
+
+
+@query(_MENU + "SELECT DISTINCT page_id, 'http://site' || h[i] AS link FROM (SELECT page_id, h, unnest(generate_series(1, len(h))) AS i FROM a)")
 def recipe_links_of_pages(spark, sf_dir):
-    """The addresses that the blocks of a page lead to by its recipe."""
+    """The addresses that the menu entries of each page lead to by its recipe."""
     from ..operators import extract
 
-    k = F.col("page_id") * 3
-    block = lambda i: F.concat(F.lit('<li class="e"><h3><a href="/event/'), k + i, F.lit('">x</a></h3><a href="/no">y</a>'))
-    stored = table(spark, sf_dir, "pages").select(F.col("page_id").cast("string").alias("venue_id"), F.lit(0).alias("page_no"), F.concat(F.lit("<ul>"), block(0), block(1), block(2), F.lit("</ul>")).alias("html"))
-    recipe = F.create_map(F.lit("eventURL"), F.array(F.lit("h3>a")))
-    venues = table(spark, sf_dir, "pages").select(F.col("page_id").cast("string").alias("id"), F.lit("http://site/list").alias("url"), F.lit("ul>li.e").alias("delimiter"), recipe.alias("mainPage"))
+    stored = table(spark, sf_dir, "pages").select(F.col("page_id").cast("string").alias("venue_id"), F.lit(0).alias("page_no"), "html")
+    recipe = F.create_map(F.lit("eventURL"), F.array(F.lit("a")))
+    venues = table(spark, sf_dir, "pages").select(F.col("page_id").cast("string").alias("id"), F.lit("http://site/list").alias("url"), F.lit("nav>ul>li").alias("delimiter"), recipe.alias("mainPage"))
     return extract.links_to_download(stored, venues).select(F.col("venue_id").cast("long").alias("page_id"), "link")
 
 
@@ -295,12 +307,6 @@ def links_of_blocks(spark, sf_dir):
     return pages.with_block_links(turns, links.unionByName(links), "conv_id").select("conv_id", F.col("block_no").alias("turn"), "link")
 
 
-_MENU = """
-WITH p AS (SELECT page_id, coalesce(regexp_extract(html, '<nav><ul>([\\s\\S]*?)</ul></nav>', 1), '') AS nav FROM pages),
-a AS (SELECT page_id, regexp_extract_all(nav, '<a href="([^"]*)"', 1) AS h, regexp_extract_all(nav, '<li><a href="[^"]*">([^<]*)</a></li>', 1) AS t FROM p)
-"""
-
-
 @query(_MENU + "SELECT page_id, h[i] AS href FROM (SELECT page_id, h, unnest(generate_series(1, len(h))) AS i FROM a)")
 def nodes_by_path(spark, sf_dir):
     """The menu's links of each page by joins over its elements."""
