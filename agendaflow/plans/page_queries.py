@@ -336,3 +336,61 @@ def blocks_with_links(spark, sf_dir):
     table_ = written(nodes.page_nodes(table(spark, sf_dir, "pages").select("page_id", "html")), "page-nodes")
     found = nodes.blocks_and_fields(table_, "nav>ul>li", {"eventName": ["a:eq(0)", "table"], "eventURL": "a:eq(0)"}, "page_id")
     return found.select("page_id", F.col("block_no").cast("long").alias("block_no"), "eventName", "eventURL")
+
+
+def _written_nodes(spark, sf_dir, html=None):
+    from ..operators import nodes
+
+    pages_ = table(spark, sf_dir, "pages")
+    return written(nodes.page_nodes(pages_.select("page_id", (F.col("html") if html is None else html).alias("html"))), "page-nodes")
+
+
+@query(_MENU + "SELECT page_id, CASE WHEN len(h) > 1 THEN 'html>body>nav>ul>li:eq(' || (i - 1) || ')>a' ELSE 'html>body>nav>ul>li>a' END AS path, h[i] AS href FROM (SELECT page_id, h, unnest(generate_series(1, len(h))) AS i FROM a)")
+def paths_of_links(spark, sf_dir):
+    """The whole path of each menu link."""
+    from ..operators import induction, nodes
+
+    table_ = _written_nodes(spark, sf_dir)
+    hits = nodes.select_path(table_, "nav>ul>li>a", "page_id").select("page_id", "node_id", "href")
+    found = induction.paths_of(table_, hits.withColumn("top_id", F.lit(-1)), "page_id")
+    return hits.join(found, ["page_id", "node_id"]).select("page_id", "path", "href")
+
+
+@query(_MENU + "SELECT page_id, t[i] AS text FROM (SELECT page_id, t, unnest(generate_series(1, len(t))) AS i FROM a)")
+def leaves_of_lists(spark, sf_dir):
+    """The lowest elements with text, of those the list items."""
+    from ..operators import induction
+
+    found = induction.leaf_elements(_written_nodes(spark, sf_dir), "page_id")
+    return found.where("tag = 'li'").select("page_id", "text")
+
+
+@query(_MENU + "SELECT page_id, CASE WHEN len(h) > 1 THEN 'ul' ELSE 'a' END AS tag FROM a WHERE len(h) > 0")
+def common_element_of_links(spark, sf_dir):
+    """The deepest element around all links of each page's menu."""
+    from ..operators import induction, nodes
+
+    table_ = _written_nodes(spark, sf_dir)
+    tops = induction.common_ancestors(table_, nodes.select_path(table_, "nav>ul>li>a", "page_id"), [], "page_id")
+    return tops.join(table_.select("page_id", F.col("node_id").alias("top_id"), "tag"), ["page_id", "top_id"]).select("page_id", "tag")
+
+
+_ENTRY = '<li class="item"><a href="$1">№$2¶</a><p class="d">'
+
+
+@query(_MENU + "SELECT page_id, 'li.item' AS delimiter, 'a' AS name, 'p.d' AS date, CAST(len(list_distinct(t)) AS BIGINT) AS events, CAST(len(h) AS INTEGER) AS n_dates FROM a WHERE len(h) > 0")
+def recipes_from_pages(spark, sf_dir):
+    """A recipe for each page from its first menu entry, whose entries have got a date and a class."""
+    from ..operators import induction
+
+    date = F.concat(F.col("page_id") % 28 + 1, F.lit(" mai"))
+    menu = F.regexp_extract("html", r"<nav><ul>([\s\S]*?)</ul></nav>", 1)
+    entry = F.concat(F.lit(_ENTRY), date, F.lit("</p></li>"))
+    html = F.replace("html", menu, F.regexp_replace(menu, F.lit('<li><a href="([^"]*)">([^<]*)</a></li>'), entry))
+    first = F.nullif(F.regexp_extract(menu, '<li><a href="[^"]*">([^<]*)</a></li>', 1), F.lit(""))
+    shown = F.replace(F.concat(F.lit("№"), first, F.lit("¶")), F.lit("&amp;"), F.lit("&"))
+    keyed = F.explode(F.create_map(F.lit("eventName"), F.array(shown), F.lit("eventDate"), F.array(date))).alias("key", "strings")
+    samples = table(spark, sf_dir, "pages").where(first.isNotNull()).select("page_id", keyed)
+    found = induction.induce(_written_nodes(spark, sf_dir, html), samples, "page_id")
+    one = lambda key: F.array_join(F.col("main_page")[key], " ")
+    return found.select("page_id", "delimiter", one("eventName").alias("name"), one("eventDate").alias("date"), "events", F.size("dates").alias("n_dates"))
