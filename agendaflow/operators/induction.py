@@ -22,8 +22,11 @@ _NUMBER = r":eq\(\d+\)"
 
 def with_ancestors(nodes: DataFrame, hits: DataFrame, *page: str) -> DataFrame:
     """Each element of ``hits`` with ``at``: its own number, and in further rows those of all elements around it."""
-    own = hits.select(*page, "node_id").distinct()
+    own = written(hits.select(*page, "node_id").distinct(), "elements")
+    # what ends before a page's first hit or begins after its last one is around none
+    ends = own.groupBy(*page).agg(F.min("node_id").alias("__first"), F.max("node_id").alias("__last"))
     around = nodes.select(*page, F.col("node_id").alias("__from"), F.col("last_id").alias("__to"))
+    around = around.join(ends, list(page)).where("__from < __last AND __to >= __first AND __from < __to").drop("__first", "__last")
     up = contained(own, around, *page).select(*page, "node_id", F.col("__from").alias("at"))
     return up.unionByName(own.withColumn("at", F.col("node_id")))
 
@@ -51,9 +54,13 @@ def segments(nodes: DataFrame, *page: str) -> DataFrame:
 def paths_of(nodes: DataFrame, hits: DataFrame, *page: str) -> DataFrame:
     """``node_id``, ``top_id`` and ``path`` of the elements of ``hits``: from the page (``top_id`` -1) or from the element
     ``top_id`` around them, which is not part of it. An element's path from itself is empty."""
-    own = hits.select(*page, "node_id", "top_id").distinct()
-    steps = with_ancestors(nodes, own, *page).join(own, [*page, "node_id"]).where("at > top_id")
-    steps = steps.join(segments(nodes, *page).withColumnRenamed("node_id", "at"), [*page, "at"])
+    own = written(hits.select(*page, "node_id", "top_id").distinct(), "elements")
+    steps = written(with_ancestors(nodes, own, *page).join(own, [*page, "node_id"]).where("at > top_id"), "ancestors")
+    asked = steps.select(*page, F.col("at").alias("node_id")).distinct()
+    parents = nodes.select(*page, "node_id", "parent_id").join(asked, [*page, "node_id"], "left_semi").select(*page, "parent_id").distinct()
+    siblings = nodes.select(*page, "node_id", "parent_id", "depth", "tag", "classes", "sib_index").join(parents, [*page, "parent_id"], "left_semi")
+    named = segments(siblings, *page).join(asked, [*page, "node_id"], "left_semi")
+    steps = steps.join(named.withColumnRenamed("node_id", "at"), [*page, "at"])
     parts = F.array_sort(F.collect_list(F.struct("depth", "segment")))
     found = steps.groupBy(*page, "node_id", "top_id").agg(F.array_join(F.transform(parts, lambda p: p["segment"]), ">").alias("path"))
     return own.join(found, [*page, "node_id", "top_id"], "left").withColumn("path", F.coalesce("path", F.lit("")))
@@ -78,12 +85,25 @@ def _fits(want: Column) -> Column:
     return tag & (F.size(F.array_except(want["classes"], F.col("classes"))) == 0) & ~(want["bare"] & (F.size("classes") > 0))
 
 
+def _candidates(nodes: DataFrame, paths: DataFrame, part: Column, *page: str) -> DataFrame:
+    """The elements that fit one of the segments (``part``: of each row of ``paths``) that are asked for in their page; all
+    of a page in which a path is empty. Joins that follow move those alone."""
+    anything = F.expr("array(named_struct('tag', '', 'classes', cast(array() AS array<string>), 'bare', false, 'number', cast(null AS int)))")
+    asked = paths.select(*page, F.explode(F.when(F.size(part) > 0, part).otherwise(anything)).alias("w"))
+    asked = asked.select(*page, F.struct("w.tag", "w.classes", "w.bare").alias("w")).groupBy(*page).agg(F.collect_set("w").alias("__wants"))
+    return nodes.join(asked, list(page)).where(F.exists("__wants", _fits)).drop("__wants")
+
+
 def _nth(hits: DataFrame, want: Column, keep: Column, *keys: str) -> DataFrame:
     """Of the hits of each key the one that the segment's number asks for, all where it has none."""
     place = F.row_number().over(Window.partitionBy(*keys).orderBy("node_id")) - 1
     return hits.withColumn("__n", place).where(keep | want["number"].isNull() | (F.col("__n") == want["number"])).drop("__n")
 
 
+def _slim(nodes: DataFrame, *page: str) -> DataFrame:
+    return nodes.select(*page, "node_id", "parent_id", "last_id", "tag", "classes")
+
+
 def _walk(nodes: DataFrame, todo: DataFrame, *page: str) -> DataFrame:
     """What the paths of ``todo`` (page, start_id, path_id, node_id, last_id, ``__segs``, ``__any``) reach from its elements:
     start_id, path_id, node_id. Rows at the end of their path meet themselves, so one chain of joins, as long as the
@@ -92,7 +112,7 @@ def _walk(nodes: DataFrame, todo: DataFrame, *page: str) -> DataFrame:
     own = [*page, "start_id", "path_id"]
     longest = todo.groupBy("__any").agg(F.max(F.size("__segs")).alias("n"), F.collect_set(F.size("__segs")).alias("sizes")).collect()
     longest = {r["__any"]: r for r in longest}
-    slim = nodes.select(*page, "node_id", "parent_id", "last_id", "tag", "classes")
+    slim = _slim(nodes, *page)
     out = [todo.where("NOT __any")]
     if False in longest:
         key = lambda kind, c: F.struct(kind.alias("kind"), F.col(c).alias("id"))
@@ -121,9 +141,11 @@ def reach(nodes: DataFrame, starts: DataFrame, paths: DataFrame, *page: str) ->
     """The elements that each path (``path_id``, ``path``) of a page reaches from each of its ``starts`` (``start_id``,
     ``last_id``): start_id, path_id, node_id. The first segment is a child of the start, or, where all segments end with
     ``)``, anywhere inside it; a number counts among the hits of one element. The empty path is the start itself."""
+    paths = written(paths.select(*page, "path_id", "path"), "paths")
     todo = starts.join(paths, list(page)).withColumn("node_id", F.col("start_id"))
     whole = F.col("path") == ""
-    return _walk(nodes, todo.select(*page, "start_id", "path_id", "node_id", "last_id", _wanted(F.col("path")).alias("__segs"), (~whole & _anywhere(F.col("path"))).alias("__any")), *page)
+    found = written(_candidates(_slim(nodes, *page), paths, _wanted(F.col("path")), *page), "candidates")
+    return _walk(found, todo.select(*page, "start_id", "path_id", "node_id", "last_id", _wanted(F.col("path")).alias("__segs"), (~whole & _anywhere(F.col("path"))).alias("__any")), *page)
 
 
 def descend(nodes: DataFrame, paths: DataFrame, *page: str) -> DataFrame:
@@ -131,12 +153,12 @@ def descend(nodes: DataFrame, paths: DataFrame, *page: str) -> DataFrame:
     first number counts in the page."""
     segs = _wanted(F.col("path"))
     want = F.get("__segs", F.lit(0))
-    slim = nodes.select(*page, "node_id", "last_id", "tag", "classes")
-    asked = paths.select(*page, "path_id", segs.alias("__segs"), _anywhere(F.col("path")).alias("__any")).where(F.size("__segs") > 0)
-    first = _nth(slim.join(asked, list(page)).where(_fits(want)), want, F.lit(False), *page, "path_id")
+    asked = written(paths.where("path != ''").select(*page, "path_id", segs.alias("__segs"), _anywhere(F.col("path")).alias("__any")), "paths")
+    slim = written(_candidates(_slim(nodes, *page), asked, F.col("__segs"), *page), "candidates")
+    first = _nth(slim.drop("parent_id").join(asked, list(page)).where(_fits(want)), want, F.lit(False), *page, "path_id")
     rest = F.slice("__segs", 2, F.greatest(F.size("__segs") - 1, F.lit(0)))
     todo = first.select(*page, F.col("node_id").alias("start_id"), "path_id", "node_id", "last_id", rest.alias("__segs"), (F.col("__any") & (F.size("__segs") > 1)).alias("__any"))
-    return _walk(nodes, todo, *page).select(*page, "path_id", "node_id").distinct()
+    return _walk(slim, todo, *page).select(*page, "path_id", "node_id").distinct()
 
 
 def smallest_holding(nodes: DataFrame, samples: DataFrame, *page: str) -> DataFrame:
@@ -162,8 +184,9 @@ def chain_ends(nodes: DataFrame, samples: DataFrame, *page: str) -> DataFrame:
 
 def with_link(nodes: DataFrame, hits: DataFrame, *page: str) -> DataFrame:
     """``hits`` with ``linked_id``: the element, or its nearest ancestor with an address; itself where none has one."""
-    linked = nodes.where(F.coalesce("href", F.lit("")) != "").select(*page, F.col("node_id").alias("at"))
-    up = with_ancestors(nodes, hits, *page).join(linked, [*page, "at"]).groupBy(*page, "node_id").agg(F.max("at").alias("linked_id"))
+    linked = nodes.where(F.coalesce("href", F.lit("")) != "")
+    around = with_ancestors(linked, hits, *page).join(linked.select(*page, F.col("node_id").alias("at")), [*page, "at"])
+    up = around.groupBy(*page, "node_id").agg(F.max("at").alias("linked_id"))
     return hits.join(up, [*page, "node_id"], "left").withColumn("linked_id", F.coalesce("linked_id", "node_id"))
 
 
@@ -216,8 +239,9 @@ def regrouped(paths: DataFrame, *keys: str) -> DataFrame:
 def fields(nodes: DataFrame, blocks: DataFrame, recipe: DataFrame, *page: str) -> DataFrame:
     """The texts that a page's recipe (``key``, ``path_no``, ``path``) reads in each of its ``blocks`` (``start_id``, ``last_id``): start_id,
     key, text; path after path, names joined by commas, others by blanks. Keys that find no text have no row."""
-    asked = recipe.select(*page, F.struct("key", "path_no").alias("path_id"), "path")
-    hits = reach(nodes, blocks, asked, *page).join(nodes.select(*page, "node_id", "text"), [*page, "node_id"]).where("text != ''")
+    asked = written(recipe.select(*page, F.struct("key", "path_no").alias("path_id"), "path"), "paths")
+    shown = _candidates(nodes.select(*page, "node_id", "tag", "classes", "text"), asked, F.slice(_wanted(F.col("path")), -1, 1), *page)
+    hits = reach(nodes, blocks, asked, *page).join(shown.select(*page, "node_id", "text"), [*page, "node_id"]).where("text != ''")
     texts = F.array_sort(F.collect_list(F.struct("path_id.path_no", "node_id", "text")))
     found = hits.groupBy(*page, "start_id", F.col("path_id.key").alias("key")).agg(F.transform(texts, lambda t: t["text"]).alias("__t"))
     return found.select(*page, "start_id", "key", F.when(F.contains("key", F.lit("Name")), F.array_join("__t", ", ")).otherwise(F.array_join("__t", " ")).alias("text"))
@@ -270,7 +294,9 @@ def shortened(nodes: DataFrame, delimiters: DataFrame, *page: str) -> DataFrame:
     ends = ends.where(F.size(F.array_except(classes(end), classes(top))) > 0).select(*page, F.col("k").alias("path_id"), F.array_join(end, ">").alias("path"))
     root = delimiters.select(*page, F.lit(-1).alias("start_id"), F.lit(2**31 - 1).alias("last_id"))
     own = reach(nodes, root, delimiters.select(*page, F.lit(0).alias("path_id"), F.col("delimiter").alias("path")), *page).select(*page, "path_id", "node_id")
-    hits = own.unionByName(descend(nodes, ends, *page)).join(nodes.select(*page, "node_id", "text"), [*page, "node_id"])
+    last = delimiters.where("delimiter != ''").select(*page, F.slice(_wanted(F.col("delimiter")), -1, 1).alias("__last"))
+    shown = _candidates(nodes.select(*page, "node_id", "tag", "classes", "text"), last, F.col("__last"), *page).select(*page, "node_id", "text")
+    hits = own.unionByName(descend(nodes, ends, *page)).join(shown, [*page, "node_id"])
     texts = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("node_id", "text"))), lambda t: t["text"]), " ")
     read = written(hits.groupBy(*page, "path_id").agg(texts.alias("text")), "reached-texts")
     same = read.where("path_id > 0").join(read.where("path_id = 0").select(*page, F.col("text").alias("__own")), list(page)).where("text = __own")
@@ -287,7 +313,7 @@ def induce(nodes: DataFrame, samples: DataFrame, *page: str, links: bool = True)
     delimiter, shortened where that finds as many. A string's element is the end of its chain, else the smallest that holds it,
     else the block. Null and empty strings are passed over; a page without a block has no row. Paths of ``Multi`` keys have
     no numbers; ``dates`` are those of blocks, not of sub-events. ``nodes`` is read often: pass a written table."""
-    given = samples.select(*page, "key", F.filter("strings", lambda s: F.coalesce(s != "", F.lit(False))).alias("strings"))
+    given = written(samples.select(*page, "key", F.filter("strings", lambda s: F.coalesce(s != "", F.lit(False))).alias("strings")), "samples")
     every = given.groupBy(*page).agg(F.flatten(F.collect_list("strings")).alias("strings")).where("size(strings) > 0")
     block = smallest_holding(nodes, every.select("*", F.lit(-1).alias("from_id"), F.lit(2**31 - 1).alias("to_id")), *page).select(*page, "node_id")
     block = written(block.join(nodes.select(*page, "node_id", "last_id"), [*page, "node_id"]), "sample-blocks")
