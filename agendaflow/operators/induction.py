@@ -247,19 +247,24 @@ def fields(nodes: DataFrame, blocks: DataFrame, recipe: DataFrame, *page: str) -
     return found.select(*page, "start_id", "key", F.when(F.contains("key", F.lit("Name")), F.array_join("__t", ", ")).otherwise(F.array_join("__t", " ")).alias("text"))
 
 
-def count_events(nodes: DataFrame, delimiters: DataFrame, recipe: DataFrame, *page: str) -> DataFrame:
-    """For each delimiter (``path_id``, ``path``) of a page ``events``: how many different valid events its blocks hold, that
-    is pairs of a name and a date, as far as the recipe has them."""
+def read_events(nodes: DataFrame, delimiters: DataFrame, recipe: DataFrame, *page: str) -> DataFrame:
+    """For each block (``node_id``) of each delimiter (``path_id``, ``path``) of a page ``event``: the key and text of its name and
+    its date, as far as there are any, and ``valid``, whether it has as many of them as the recipe."""
     recipe = recipe.where(F.col("key").isin("eventName", "eventDate"))
     blocks = written(descend(nodes, delimiters, *page), "blocks")
     starts = blocks.select(*page, F.col("node_id").alias("start_id")).distinct()
     starts = starts.join(nodes.select(*page, F.col("node_id").alias("start_id"), "last_id"), [*page, "start_id"])
-    read = fields(nodes, starts, recipe, *page).groupBy(*page, F.col("start_id").alias("node_id")).agg(F.array_sort(F.collect_list(F.struct("key", "text"))).alias("__event"))
+    read = fields(nodes, starts, recipe, *page).groupBy(*page, F.col("start_id").alias("node_id")).agg(F.array_sort(F.collect_list(F.struct("key", "text"))).alias("event"))
     needed = recipe.groupBy(*page).agg(F.countDistinct("key").alias("__keys"))
     found = blocks.join(read, [*page, "node_id"], "left").join(needed, list(page), "left")
-    event = F.coalesce("__event", F.array().cast(read.schema["__event"].dataType))
-    valid = F.size(event) == F.coalesce("__keys", F.lit(0))
-    counted = found.groupBy(*page, "path_id").agg(F.countDistinct(F.when(valid, event)).alias("events"))
+    event = F.coalesce("event", F.array().cast(read.schema["event"].dataType))
+    return found.select(*page, "path_id", "node_id", event.alias("event"), (F.size(event) == F.coalesce("__keys", F.lit(0))).alias("valid"))
+
+
+def count_events(nodes: DataFrame, delimiters: DataFrame, recipe: DataFrame, *page: str) -> DataFrame:
+    """For each delimiter (``path_id``, ``path``) of a page ``events``: how many different valid events its blocks hold, that
+    is pairs of a name and a date, as far as the recipe has them."""
+    counted = read_events(nodes, delimiters, recipe, *page).groupBy(*page, "path_id").agg(F.countDistinct(F.when(F.col("valid"), F.col("event"))).alias("events"))
     return delimiters.select(*page, "path_id").join(counted, [*page, "path_id"], "left").withColumn("events", F.coalesce("events", F.lit(0)))
 
 
@@ -276,6 +281,8 @@ def loosened(nodes: DataFrame, delimiters: DataFrame, recipe: DataFrame, *page:
         fewer = F.array_join(F.filter("parts", lambda _, i: i != F.col("j")), ".")
         path = F.array_join(F.transform(F.split("delimiter", ">"), lambda s, i: F.when(i == F.col("k"), fewer).otherwise(s)), ">")
         tries = written(each.select(*page, F.struct("k", "j").alias("path_id"), path.alias("path"), F.col("events").alias("before")), "tries")
+        if tries.isEmpty():
+            break
         found = tries.join(count_events(nodes, tries, recipe, *page), [*page, "path_id"]).where("events > before")
         best = found.groupBy(*page).agg(F.min(F.struct(F.col("path_id.k").alias("k"), (-F.col("events")).alias("less"), F.col("path_id.j").alias("j"), "path")).alias("b"))
         better = written(best.select(*page, F.col("b.path").alias("delimiter"), (-F.col("b.less")).alias("events")), "delimiters")
@@ -337,14 +344,16 @@ def induce(nodes: DataFrame, samples: DataFrame, *page: str, links: bool = True)
     top = paths_of(nodes, block.select(*page, "node_id", F.lit(-1).alias("top_id")), *page)
     loose = written(loosened(nodes, top.select(*page, F.regexp_replace("path", _NUMBER, "").alias("delimiter")), recipe, *page), "delimiters")
     short = written(shortened(nodes, loose.select(*page, "delimiter"), *page), "short-delimiters")
-    counted = count_events(nodes, short.select(*page, F.lit(0).alias("path_id"), F.col("short").alias("path")), recipe, *page).select(*page, F.col("events").alias("__short"))
-    chosen = loose.join(short, [*page, "delimiter"]).join(counted, list(page))
-    chosen = written(chosen.select(*page, F.when(F.col("__short") == F.col("events"), F.col("short")).otherwise(F.col("delimiter")).alias("delimiter"), "events"), "delimiters")
-    blocks = descend(nodes, chosen.select(*page, F.lit(0).alias("path_id"), F.col("delimiter").alias("path")), *page).select(*page, F.col("node_id").alias("start_id"))
-    blocks = blocks.join(nodes.select(*page, F.col("node_id").alias("start_id"), "last_id"), [*page, "start_id"])
-    dated = fields(nodes, blocks, recipe.where("key = 'eventDate'"), *page)
-    dates = dated.groupBy(*page).agg(F.transform(F.array_sort(F.collect_list(F.struct("start_id", "text"))), lambda d: d["text"]).alias("dates"))
+    both = written(short.select(*page, F.posexplode(F.array("delimiter", "short")).alias("path_id", "path")), "delimiters")
+    text = F.filter("event", lambda e: e["key"] == "eventDate")
+    dates = F.array_sort(F.collect_list(F.when(F.size(text) > 0, F.struct("node_id", text[0]["text"].alias("text")))))
+    read = read_events(nodes, both, recipe, *page).groupBy(*page, "path_id")
+    read = read.agg(F.count_distinct(F.when(F.col("valid"), F.col("event"))).alias("__found"), F.transform(dates, lambda d: d["text"]).alias("dates"))
+    # the short path where it finds as many, else the long one
+    either = both.join(read, [*page, "path_id"], "left").join(loose.select(*page, "events"), list(page))
+    either = either.where((F.col("path_id") == 0) | (F.coalesce("__found", F.lit(0)) == F.col("events")))
+    chosen = either.groupBy(*page, "events").agg(F.max_by(F.struct("path", "dates"), "path_id").alias("c")).select(*page, F.col("c.path").alias("delimiter"), "events", "c.dates")
     keyed = recipe.groupBy(*page, "key").agg(F.transform(F.array_sort(F.collect_list(F.struct("path_no", "path"))), lambda p: p["path"]).alias("paths"))
     main = keyed.groupBy(*page).agg(F.map_from_entries(F.collect_list(F.struct("key", "paths"))).alias("main_page"))
-    out = chosen.join(main, list(page), "left").join(dates, list(page), "left")
+    out = chosen.join(main, list(page), "left")
     return out.withColumn("dates", F.coalesce("dates", F.array().cast("array<string>")))
