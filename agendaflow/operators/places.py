@@ -180,6 +180,22 @@ def same_city_others(venues: DataFrame, city: str, name: str) -> DataFrame:
     return key.join(by_name, [city, "__key"], "left").join(by_city, city, "left").select(*venues.columns, (F.col("__all") - F.col("__own")).alias("n_others"))
 
 
+#: Parts into which a city's venues are dealt while they are paired.
+PARTS = 32
+
+
+def same_city_pairs(venues: DataFrame, id_: str, city: str, name: str, parts: int = PARTS) -> DataFrame:
+    """(a, b) with a < b: the ids of all pairs of venues of the same city whose names differ once simplified; venues
+    without id, city or name are in none.
+
+    There are as many rows as pairs. Each venue meets every part of its city, so the pairs of a large city are made
+    in many tasks, whatever the number of cities."""
+    keys = venues.select(F.col(id_).alias("a"), F.col(city).alias("__city"), simplify(F.col(name)).alias("__key"))
+    others = keys.select(F.col("a").alias("b"), "__city", F.col("__key").alias("__other"), F.pmod(F.xxhash64("a"), F.lit(parts)).alias("__part"))
+    spread = keys.withColumn("__part", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(parts - 1).cast("long"))))
+    return spread.join(others.hint("merge"), ["__city", "__part"]).where("a < b AND __key <> __other").select("a", "b")
+
+
 def languages_without_dictionary(languages: DataFrame, known: DataFrame, language: str) -> DataFrame:
     """The languages, each once, that no dictionary knows."""
     return languages.select(language).where(F.col(language).isNotNull()).distinct().join(known.select(language), language, "left_anti")

@@ -195,10 +195,10 @@ def default_style_of_place(spark, sf_dir):
     return places.with_default_style(rows, venues).select("c_custkey", "style")
 
 
-@query(f"WITH s AS (SELECT s_suppkey, s_nationkey, {sql_simplify('s_name')} AS key FROM supplier) SELECT s_suppkey, count(*) OVER (PARTITION BY s_nationkey) - count(*) OVER (PARTITION BY s_nationkey, key) AS n_others FROM s")
+@query(f"SELECT a.s_suppkey AS a, b.s_suppkey AS b FROM supplier a JOIN supplier b ON a.s_nationkey = b.s_nationkey AND a.s_suppkey < b.s_suppkey AND {sql_simplify('a.s_name')} <> {sql_simplify('b.s_name')}")
 def same_city_venues(spark, sf_dir):
-    """How many other venues each venue's city has."""
-    return places.same_city_others(table(spark, sf_dir, "supplier").select("s_suppkey", "s_nationkey", "s_name"), "s_nationkey", "s_name").select("s_suppkey", "n_others")
+    """All pairs of venues of one city that have different names."""
+    return places.same_city_pairs(table(spark, sf_dir, "supplier"), "s_suppkey", "s_nationkey", "s_name")
 
 
 @query(

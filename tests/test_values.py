@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from agendaflow.functions import charsets, json_values
 from agendaflow.functions.text import simplify
 from agendaflow.operators import filters, pages, places, stats
+from agendaflow.plans import catalog
 
 
 @pytest.mark.parametrize("label, codec", [("windows-1252", "cp1252"), ("ISO-8859-15", "iso8859_15"), ("koi8-r", "koi8_r"), ("Windows-1251", "cp1251"), ("iso-8859-2", "iso8859_2"), ("macintosh", "mac_roman"), ("ibm866", "cp866")])
@@ -87,3 +88,19 @@ def test_small_operators(spark):
     assert sorted((r.id, r.detected) for r in pages.detected(frames, frames.where("id < '3'").unionByName(frames.limit(1)), "id", "name", "src").collect()) == [("1", True), ("2", True), ("3", False)]
     venues = spark.createDataFrame([("a", "s"), ("b", "s"), ("c", "t")], "venue string, source string")
     assert sorted(map(tuple, pages.repairs_by_source(spark.createDataFrame([("a",), ("a",), ("b",), ("z",)], "venue string"), venues, "venue", "source").collect())) == [("s", 2)]
+
+
+@pytest.mark.parametrize("parts", [1, 3, places.PARTS])
+def test_same_city_venues_are_paired(spark, parts):
+    rng = random.Random(parts)
+    rows = [(k, rng.choice(["Lyon", "Lyon", "Paris", None]), rng.choice(["Le Bar", "LE-BAR!", "club", None, "Café"])) for k in range(60)] + [(None, "Lyon", "x")]
+    plain = {"Le Bar": "le bar", "LE-BAR!": "le bar"}
+    want = [(i, j) for i, c, x in rows for j, d, y in rows if None not in (i, j, c, x, y) and c == d and i < j and plain.get(x, x) != plain.get(y, y)]
+    got = places.same_city_pairs(spark.createDataFrame(rows, "k int, city string, name string"), "k", "city", "name", parts).collect()
+    assert sorted(map(tuple, got)) == sorted(want)
+
+
+def test_same_city_venues_query_gives_every_pair(spark):
+    suppliers = [tuple(r) for r in catalog.queries()["same_city_venues"](spark, "/root/testdata/sf0.01").select("a", "b").collect()]
+    city = {r.s_suppkey: r.s_nationkey for r in spark.read.parquet("/root/testdata/sf0.01/supplier.parquet").collect()}
+    assert sorted(suppliers) == sorted((a, b) for a in city for b in city if a < b and city[a] == city[b])
