@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import functools
 import math
 import re
 from collections.abc import Iterator
@@ -31,11 +32,15 @@ SIZES = [len(alphabets[0]) for alphabets in ENCODINGS.values()]
 LENGTHS = (20, 24, 32, 48, 64, 128)
 #: Classes of the combined probability: eighths of an octave below 1.
 BINS = 64
+CODES = len(ENCODINGS) * len(LENGTHS) * BINS
+#: Stretches whose symbols are counted at once.
+AT_ONCE = 4096
 #: The part of the added tokens that may be ordinary text.
 FALSE_DISCOVERIES = 0.01
 
 SPAN = "struct<start:int,kind:int,end:int>"
 FOUND = "struct<start:int,kind:int,end:int,cell:int,bin:int>"
+PLAIN = "struct<code:int,n:bigint>"
 
 
 def _symbols(alphabets: tuple[str, ...], fold: bool = False) -> np.ndarray:
@@ -64,33 +69,96 @@ def _tail(z: np.ndarray) -> np.ndarray:
     return np.fromiter((0.5 * math.erfc(x / math.sqrt(2)) for x in z.tolist()), np.float64, len(z))
 
 
-def randomness(x: np.ndarray, size: int) -> np.ndarray:
-    """For each row of symbol values below ``size``: the probability that independent, uniform symbols
-    look less random than it, by Fisher's combination of three tests.
-
-    They are chi-squared for uniform use of the alphabet (Wilson and Hilferty's normal form), the number of
-    runs above and below the alphabet's middle, and the correlation of neighbours.
-    """
-    rows, n = x.shape
-    count = np.bincount((np.arange(rows)[:, None] * size + x).ravel(), minlength=rows * size).reshape(rows, size)
-    chi = size / n * (count.astype(np.float64) ** 2).sum(axis=1) - n
+def _chi_tail(squares: np.ndarray, size: int, n: int) -> np.ndarray:
+    """Of chi-squared for uniform use of the alphabet, in Wilson and Hilferty's normal form; ``squares`` adds up the
+    squares of the symbols' counts."""
+    chi = size / n * squares.astype(np.float64) - n
     v = 2 / (9 * (size - 1))
-    p = [_tail((np.cbrt(chi / (size - 1)) - (1 - v)) / math.sqrt(v))]
-    high = x >= size / 2
-    above = high.sum(axis=1).astype(np.float64)
+    return _tail((np.cbrt(chi / (size - 1)) - (1 - v)) / math.sqrt(v))
+
+
+def _runs_tail(above: np.ndarray, changes: np.ndarray, n: int) -> np.ndarray:
+    """Of the number of runs above and below the alphabet's middle; ``changes`` is one less than it."""
+    above = above.astype(np.float64)
     both = 2 * above * (n - above)
-    runs = 1 + (high[:, 1:] != high[:, :-1]).sum(axis=1)
     spread = np.sqrt(np.maximum(both * (both - n), 0) / (n * n * (n - 1)))
-    z = np.where(spread > 0, (runs - 1 - both / n) / np.where(spread > 0, spread, 1), math.sqrt(n))
-    p.append(2 * _tail(np.abs(z)))
-    d = x - x.mean(axis=1, keepdims=True)
-    total = (d * d).sum(axis=1)
-    r = np.where(total > 0, (d[:, 1:] * d[:, :-1]).sum(axis=1) / np.where(total > 0, total, 1), 1.0)
-    p.append(2 * _tail(np.abs(r + 1 / n) * math.sqrt(n)))
-    half = -sum(np.log(np.maximum(q, 1e-300)) for q in p)
+    return 2 * _tail(np.abs(np.where(spread > 0, (changes - both / n) / np.where(spread > 0, spread, 1), math.sqrt(n))))
+
+
+def _serial_tail(total: np.ndarray, squares: np.ndarray, products: np.ndarray, ends: np.ndarray, n: int) -> np.ndarray:
+    """Of the correlation of neighbours, by the sums of the values, of their squares, of the neighbours' products and
+    of the first and last value."""
+    total, squares, products, ends = (x.astype(np.float64) for x in (total, squares, products, ends))
+    spread = n * (n * squares - total * total)
+    r = np.where(spread > 0, (n * n * products - n * total * (2 * total - ends) + (n - 1) * total * total) / np.where(spread > 0, spread, 1), 1.0)
+    return 2 * _tail(np.abs(r + 1 / n) * math.sqrt(n))
+
+
+def _fisher(*tails: np.ndarray) -> np.ndarray:
+    half = -sum(np.log(np.maximum(q, 1e-300)) for q in tails)
     return np.exp(-half) * (1 + half + half * half / 2)
 
 
+def _squares(x: np.ndarray, size: int) -> np.ndarray:
+    """For each row the sum of the squares of its symbols' counts."""
+    count = np.bincount((np.arange(len(x))[:, None] * size + x).ravel(), minlength=len(x) * size).reshape(len(x), size)
+    return np.einsum("ij,ij->i", count, count)
+
+
+def randomness(x: np.ndarray, size: int) -> np.ndarray:
+    """For each row of symbol values below ``size``: the probability that independent, uniform symbols
+    look less random than it, by Fisher's combination of three tests: use of the alphabet, runs and the correlation
+    of neighbours.
+    """
+    x, n = x.astype(np.int64), x.shape[1]
+    high = x >= size / 2
+    return _fisher(
+        _chi_tail(_squares(x, size), size, n),
+        _runs_tail(high.sum(axis=1), (high[:, 1:] != high[:, :-1]).sum(axis=1), n),
+        _serial_tail(x.sum(axis=1), (x * x).sum(axis=1), (x[:, 1:] * x[:, :-1]).sum(axis=1), x[:, 0] + x[:, -1], n),
+    )
+
+
+@functools.cache
+def _tables(size: int, n: int) -> tuple[np.ndarray, np.ndarray]:
+    """The first two tests' probabilities by the sum of squares, and by above * n + changes; for the few lengths of
+    stretches."""
+    above, changes = np.divmod(np.arange((n + 1) * n), n)
+    return _chi_tail(np.arange(n * n + 1), size, n), _runs_tail(above, changes, n)
+
+
+def stretches(at: np.ndarray, n: int) -> np.ndarray:
+    """Starts of stretches of ``n`` that together cover the rows whose offsets are ``at``: one after the other, and one
+    at the row's end if a rest is left. Rows of fewer have none."""
+    have = np.diff(at)
+    long = have >= n
+    first, have = at[:-1][long], have[long]
+    number = -(-have // n)
+    k = np.arange(number.sum()) - np.repeat(np.cumsum(number) - number, number)
+    return np.repeat(first, number) + np.minimum(k * n, np.repeat(have - n, number))
+
+
+class Sums:
+    """Symbol values below ``size`` with running sums, from which stretches of any length are tested."""
+
+    def __init__(self, x: np.ndarray, size: int):
+        # in 32 bits: a difference is right even if the sums wrap
+        run = lambda v: np.append(np.int32(0), np.cumsum(v, dtype=np.int32))
+        self.x, self.size = x, size
+        high = (x >= size / 2).astype(np.int8)
+        pad = lambda v: np.append(np.zeros(min(1, len(x)), v.dtype), v)  # noqa: E731  nothing is before the first symbol
+        self.above, self.changes, self.total, self.squares, self.products = run(high), run(pad(high[1:] != high[:-1])), run(x), run(x * x), run(pad(x[1:] * x[:-1]))
+
+    def randomness(self, starts: np.ndarray, n: int) -> np.ndarray:
+        """``randomness`` of the stretches of ``n`` symbols from ``starts``."""
+        inside = lambda v, skip=0: v[starts + n] - v[starts + skip]
+        chi, runs = _tables(self.size, n)
+        symbols = np.arange(n)
+        squares = np.concatenate([_squares(self.x[starts[k : k + AT_ONCE, None] + symbols], self.size) for k in range(0, len(starts), AT_ONCE)])
+        serial = _serial_tail(inside(self.total), inside(self.squares), inside(self.products, 1), self.x[starts] + self.x[starts + n - 1], n)
+        return _fisher(chi[squares], runs[inside(self.above) * n + inside(self.changes, 1)], serial)
+
+
 def bins(p: np.ndarray) -> np.ndarray:
     return np.clip(np.floor(BINS + 8 * np.log2(np.maximum(p, 1e-300))), 0, BINS - 1).astype(np.int64)
 
@@ -125,22 +193,20 @@ def _candidates(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> list[
     return out
 
 
-def _ordinary(data: np.ndarray, off: np.ndarray, ordinary: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Row and code (cell * BINS + bin) of one stretch of each row's ordinary text for each cell: the
-    text without its long tokens, read in the encoding, at a place that follows from its length."""
-    rows, codes = [], []
+def _ordinary(data: np.ndarray, off: np.ndarray, ordinary: np.ndarray) -> np.ndarray:
+    """How many stretches of the rows' ordinary text have each code (cell * BINS + bin): the whole text without its
+    long tokens, read in each encoding and cut into stretches of each length."""
+    count = np.zeros(CODES, np.int64)
     for encoding, table in enumerate(STREAMS):
         x = table[data]
         where = np.flatnonzero(ordinary & (x >= 0))
-        x, at = x[where], np.searchsorted(where, off)
-        have = np.diff(at)
+        sums, at = Sums(x[where], SIZES[encoding]), np.searchsorted(where, off)
         for k, n in enumerate(LENGTHS):
-            r = np.flatnonzero(have >= n)
-            if len(r):
-                start = at[r] + (have[r] * 2654435761 + k * 40503) % (have[r] - n + 1)
-                rows.append(r)
-                codes.append((encoding * len(LENGTHS) + k) * BINS + bins(randomness(x[start[:, None] + np.arange(n)], SIZES[encoding])))
-    return (np.concatenate(rows), np.concatenate(codes)) if rows else (np.zeros(0, np.int64), np.zeros(0, np.int64))
+            starts = stretches(at, n)
+            if len(starts):
+                first = (encoding * len(LENGTHS) + k) * BINS
+                count[first : first + BINS] += np.bincount(bins(sums.randomness(starts, n)), minlength=BINS)
+    return count
 
 
 def base_spans(data: np.ndarray, off: np.ndarray) -> np.ndarray:
@@ -177,7 +243,8 @@ def _structs(names: list[str], columns: list[np.ndarray]) -> pa.Array:
 
 
 def _scan_block(data: np.ndarray, off: np.ndarray) -> list[pa.Array]:
-    """Base spans, tokens with their cells and bins, and codes of ordinary text, a list each row."""
+    """Base spans and tokens with their cells and bins, a list each row, and in the first row's list how many stretches
+    of the block's ordinary text have each code."""
     n = len(off) - 1
     points = np.zeros(len(data) + 1, np.int64)  # code points before each byte
     np.cumsum((data & 0xC0) != 0x80, out=points[1:])
@@ -206,18 +273,19 @@ def _scan_block(data: np.ndarray, off: np.ndarray) -> list[pa.Array]:
         np.add.at(marks, base[:, 3], -1)
         covered = np.append(0, np.cumsum(np.cumsum(marks)[:-1] > 0))
         touch = covered[to] > covered[at]
-    plain, codes = _ordinary(data, off, ordinary)
-    order = np.argsort(plain, kind="stable")
+    plain = _ordinary(data, off, ordinary)
+    codes = np.flatnonzero(plain)
     shift = points[off[:-1]]
     return [
         _lists(base[:, 0], n, _structs(["start", "kind", "end"], [points[base[:, 1]] - shift[base[:, 0]], base[:, 2], points[base[:, 3]] - shift[base[:, 0]]])),
         _lists(own, n, _structs(["start", "kind", "end", "cell", "bin"], [points[at] - shift[own], np.where(touch, -1, 3), points[to] - shift[own], tested[:, 1], tested[:, 2]])),
-        _lists(plain[order], n, pa.array(codes[order], pa.int32())),
+        _lists(np.zeros(len(codes), np.int64), n, pa.StructArray.from_arrays([pa.array(codes.astype(np.int32)), pa.array(plain[codes])], ["code", "n"])),
     ]
 
 
 def scan(docs: DataFrame) -> DataFrame:
-    """doc_id, base, tested and ordinary of every row, written: one pass over the whole texts."""
+    """doc_id, base, tested and ordinary of every row, written: one pass over the whole texts. ``ordinary`` are counts of
+    a block of rows, which stand in one of them."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -227,7 +295,7 @@ def scan(docs: DataFrame) -> DataFrame:
 
     kind = docs.schema["doc_id"].dataType.simpleString()
     with bounded_batches(docs.sparkSession):
-        return cut(docs.select("doc_id", "text").mapInArrow(released(run), f"doc_id {kind}, base array<{SPAN}>, tested array<{FOUND}>, ordinary array<int>"), "secrets")
+        return cut(docs.select("doc_id", "text").mapInArrow(released(run), f"doc_id {kind}, base array<{SPAN}>, tested array<{FOUND}>, ordinary array<{PLAIN}>"), "secrets")
 
 
 def thresholds(tested: dict[tuple[int, int], int], ordinary: dict[tuple[int, int], int], rate: float = FALSE_DISCOVERIES) -> list[int]:
@@ -247,7 +315,7 @@ def thresholds(tested: dict[tuple[int, int], int], ordinary: dict[tuple[int, int
 
 
 def _counts(column: DataFrame) -> dict[tuple[int, int], int]:
-    return {(r["cell"], r["bin"]): r["n"] for r in column.groupBy("cell", "bin").agg(F.count("*").alias("n")).collect()}
+    return {(r["cell"], r["bin"]): r["n"] for r in column.groupBy("cell", "bin").agg(F.sum("n").alias("n")).collect()}
 
 
 def _shown(spans: Column) -> Column:
@@ -261,15 +329,15 @@ def find_secrets(docs: DataFrame, rate: float = FALSE_DISCOVERIES) -> DataFrame:
     Spans are kind:start:end in code points, end exclusive, by start and kind. The base kinds are matched
     leftmost and without overlap each; ``random`` are runs of 20 and more letters, digits and ``+/_=-`` (``=``
     at the end left out) that touch none of these and that the tests tell from the corpus's own text. What
-    ordinary text looks like is counted over all rows: each gives a stretch for every encoding and length.
+    ordinary text looks like is counted on the whole text of all rows, in stretches for every encoding and length.
 
     Null text is empty; empty texts have no spans and the hash of the empty string; repeated rows are scanned
     each; a number is never ``random``; an empty table gives an empty result. Cells (24) and bins (64) are all
     that passes the driver.
     """
     table = scan(docs)
-    tested = _counts(table.select(F.explode("tested").alias("x")).select("x.cell", "x.bin"))
-    ordinary = _counts(table.select(F.explode("ordinary").alias("x")).select(F.expr(f"x div {BINS}").alias("cell"), F.expr(f"x % {BINS}").alias("bin")))
+    tested = _counts(table.select(F.explode("tested").alias("x")).select("x.cell", "x.bin", F.lit(1).alias("n")))
+    ordinary = _counts(table.select(F.explode("ordinary").alias("x")).select(F.expr(f"x.code div {BINS}").alias("cell"), F.expr(f"x.code % {BINS}").alias("bin"), "x.n"))
     least = F.array(*map(F.lit, thresholds(tested, ordinary, rate)))
     added = F.filter("tested", lambda x: (x["kind"] == 3) & (x["bin"] >= F.get(least, x["cell"])))
     added = F.transform(added, lambda x: F.struct(x["start"].alias("start"), x["kind"].alias("kind"), x["end"].alias("end")))

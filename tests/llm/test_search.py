@@ -120,6 +120,39 @@ def test_thresholds_control_false_discoveries():
     assert sorted(b for b in seen if b >= got[3]) == sorted(b for _, b in p[:most]) and all(b == secret_scan.BINS for c, b in enumerate(got) if c != 3)
 
 
+def test_ordinary_text_is_counted_whole(spark):
+    rng = random.Random(5)
+    texts = [" ".join(rng.choice(WORDS) for _ in range(rng.randint(0, 400))) for _ in range(30)] + ["", None, "é" * 50, "ab" * 30, "x" * 19 + " " + "Y" * 21]
+    docs = spark.createDataFrame([(k, t, "en", "s", 0) for k, t in enumerate(texts)], SCHEMA)
+    want = collections.Counter()
+    for text in texts:
+        plain = re.sub(rb"[A-Za-z0-9+/_=-]{20,}", b" ", (text or "").encode())
+        for encoding, (stream, size) in enumerate(zip(secret_scan.STREAMS, secret_scan.SIZES)):
+            x = [v for v in (int(stream[b]) for b in plain) if v >= 0]
+            for k, n in enumerate(secret_scan.LENGTHS):
+                starts = [*range(0, len(x) - n + 1, n), *([len(x) - n] if len(x) % n else [])] if len(x) >= n else []
+                for a in starts:
+                    p = plain_randomness(x[a : a + n], size)
+                    want[(encoding * len(secret_scan.LENGTHS) + k) * secret_scan.BINS + int(secret_scan.bins(np.array([p]))[0])] += 1
+    for parts in (1, 5):
+        got = collections.Counter()
+        for r in secret_scan.scan(docs.repartition(parts)).collect():
+            for c in r.ordinary:
+                got[c.code] += c.n
+        assert got == want
+
+
+def test_secrets_among_few_long_texts(spark):
+    rng = random.Random(9)
+    alphabet = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/"
+    words = [[rng.choice(WORDS) for _ in range(8000)] for _ in range(3)]
+    key = "".join(rng.choice(alphabet) for _ in range(60))
+    words[1][4000] = key
+    got = secret_scan.find_secrets(spark.createDataFrame([(k, " ".join(w), "en", "s", 0) for k, w in enumerate(words)], SCHEMA)).collect()
+    at = len(" ".join(words[1][:4000])) + 1
+    assert {r.doc_id: r.spans for r in got} == {0: "", 1: f"random:{at}:{at + 60}", 2: ""}
+
+
 def test_secrets_edges(spark):
     docs = edge(spark, True)
     assert "lang_pred" in docs.columns
