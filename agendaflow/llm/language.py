@@ -10,19 +10,15 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import bytesops as B
-from .shared import free_names, released
+from .shared import Scratch, bounded_batches, free_names, released
 
 BUCKETS = 1 << 15
-#: About so many documents of each language train the model; a documented bound, not a cap on what is predicted.
-TRAIN_DOCS = 2000
 MOST_LANGUAGES = 256
 #: Trigrams overlap, so a document of n of them counts as n / OVERLAP independent ones.
 OVERLAP = 3.0
 #: Penalty of one more language, in nats times log of the independent count.
 PENALTY = 1.0
 SMOOTHING = 0.02
-#: About so many held-out documents of each language tell how its texts fit.
-HELD_DOCS = 500
 #: Held-out documents of a language that are enough to tell how well its texts fit; with fewer, those of all languages do,
 #: and with fewer of all no text is taken for foreign.
 LEAST_HELD = 20
@@ -30,7 +26,8 @@ LEAST_HELD = 20
 #: between documents in nats a trigram.
 MARGIN = 10.0
 LEAST_SPREAD = 0.1
-_SCALE = 1 << 20
+#: Slots in which a pass counts values while it looks for a median.
+SLOTS = 256
 
 
 def _trigrams(data: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -63,27 +60,16 @@ def _trigrams(data: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray
     return ((code * np.uint32(2654435761)) >> np.uint32(17)).astype(np.int64), np.concatenate([[0], np.cumsum(size)])
 
 
-def _draw(docs: DataFrame, each: int) -> tuple[list[str], DataFrame]:
-    """The languages of rows with text and non-null ``lang``, and about ``each`` documents of each one,
-    drawn by a hash of doc_id."""
-    docs = docs.where("lang IS NOT NULL AND text IS NOT NULL").select("doc_id", "text", "lang")
-    totals = {r["lang"]: r["n"] for r in docs.groupBy("lang").agg(F.count("*").alias("n")).limit(MOST_LANGUAGES + 1).collect()}
-    if len(totals) > MOST_LANGUAGES:
-        raise ValueError(f"more than {MOST_LANGUAGES} languages")
-    if not totals:
-        return [], docs
-    share = {k: min(_SCALE, int(np.ceil(_SCALE * each / n))) for k, n in totals.items()}
-    limit = F.create_map(*[F.lit(x) for kv in share.items() for x in kv])[F.col("lang")]
-    return sorted(totals), docs.where(F.pmod(F.xxhash64("doc_id", F.lit("train")), F.lit(_SCALE)) < limit)
-
+def train(docs: DataFrame) -> tuple[list[str], np.ndarray]:
+    """The languages and their log probabilities of each bucket, from the whole text of all rows with non-null
+    ``lang``.
 
-def train(docs: DataFrame, train_docs: int = TRAIN_DOCS) -> tuple[list[str], np.ndarray]:
-    """The languages and their log probabilities of each bucket, from text and non-null ``lang``.
-
-    About ``train_docs`` documents of each language are drawn by a hash of doc_id; counting is
-    distributed and the driver gets at most MOST_LANGUAGES * BUCKETS sums.
+    Counting is distributed and the driver gets at most MOST_LANGUAGES * BUCKETS sums.
     """
-    langs, drawn = _draw(docs, train_docs)
+    docs = docs.where("lang IS NOT NULL AND text IS NOT NULL").select("text", "lang")
+    langs = sorted(r["lang"] for r in docs.select("lang").distinct().limit(MOST_LANGUAGES + 1).collect())
+    if len(langs) > MOST_LANGUAGES:
+        raise ValueError(f"more than {MOST_LANGUAGES} languages")
     if not langs:
         return [], np.zeros((BUCKETS, 0), np.float32)
 
@@ -100,7 +86,8 @@ def train(docs: DataFrame, train_docs: int = TRAIN_DOCS) -> tuple[list[str], np.
         yield pa.RecordBatch.from_arrays([pa.array(lang.astype(np.int32)), pa.array(bucket.astype(np.int32)), pa.array(sums[lang, bucket])], ["lang", "bucket", "n"])
 
     sums = np.zeros((BUCKETS, len(langs)))
-    found = drawn.mapInArrow(released(count), "lang int, bucket int, n long").groupBy("lang", "bucket").agg(F.sum("n").alias("n")).toArrow()
+    with bounded_batches(docs.sparkSession):
+        found = docs.mapInArrow(released(count), "lang int, bucket int, n long").groupBy("lang", "bucket").agg(F.sum("n").alias("n")).toArrow()
     sums[np.asarray(found["bucket"]), np.asarray(found["lang"])] = np.asarray(found["n"])
     prob = (sums + SMOOTHING) / (sums + SMOOTHING).sum(axis=0)
     return langs, np.log(prob).astype(np.float32)
@@ -232,26 +219,68 @@ def identify(docs: DataFrame) -> DataFrame:
     return out.select("doc_id", is_held_out().alias("held_out"), F.col("__lang_pred").alias("lang_pred"), F.col("__score").alias("score"), F.col("__lang_set").alias("lang_set"))
 
 
-def usual_fit(docs: DataFrame, langs: list[str], log_prob: np.ndarray, each: int = HELD_DOCS) -> dict[str, tuple[float, float, float]]:
+def medians(rows: DataFrame, key: str, value: str, slots: int = SLOTS) -> dict[str, float]:
+    """The exact median of each key's values, all counted, for as many keys as there are languages.
+
+    A pass counts the values between bounds that hold the median in equal slots, and the slot with the median has
+    the next bounds, until its values are equal. The driver gets at most ``slots`` rows a key.
+    """
+    out, bounds = {}, {}
+    for k, low, high, n in rows.groupBy(key).agg(F.min(value), F.max(value), F.count(value)).collect():
+        bounds[k] = low, high, (n - 1) // 2, n // 2  # of an even number of values the middle two count
+    while True:
+        out |= {k: low for k, (low, high, *_) in bounds.items() if low == high}
+        bounds = {k: b for k, b in bounds.items() if b[0] < b[1]}
+        if not bounds:
+            return out
+        own = F.create_map(*[x for k, b in bounds.items() for x in (F.lit(k), F.array(F.lit(b[0]), F.lit(b[1])))])[F.col(key)]
+        inside = rows.select(key, F.col(value).alias("__x"), own[0].alias("__low"), own[1].alias("__high")).where("__x BETWEEN __low AND __high")
+        slot = F.least(F.floor((F.col("__x") - F.col("__low")) / (F.col("__high") - F.col("__low")) * slots), F.lit(slots - 1))
+        found: dict[str, list] = {}
+        for k, s, n, low, high in inside.groupBy(key, slot.alias("__slot")).agg(F.count("*"), F.min("__x"), F.max("__x")).collect():
+            found.setdefault(k, []).append((s, n, low, high))
+        for k, (_, _, first, second) in list(bounds.items()):
+            before, lower = 0, None
+            for _, n, low, high in sorted(found[k]):
+                if lower is not None:  # the middle two are one slot's last value and the next one's first
+                    out[k] = (lower + low) / 2
+                    del bounds[k]
+                    break
+                if first < before + n:
+                    if second < before + n:
+                        bounds[k] = low, high, first - before, second - before
+                        break
+                    lower = high
+                before += n
+
+
+def usual_fit(docs: DataFrame, langs: list[str], log_prob: np.ndarray) -> dict[str, tuple[float, float, float]]:
     """For each language how documents fit that the model was not trained on: the median, its deviation
-    between documents and that between trigrams. About ``each`` documents of a language are drawn, so
-    the driver gets at most some MOST_LANGUAGES * ``each`` rows of two numbers."""
-    held, drawn = _draw(docs, each)
-    if not held:
+    between documents and that between trigrams. All rows with text and non-null ``lang`` count whose language the
+    model finds; their fits are written, and the driver gets counts."""
+    if not langs:
         return {}
-    seen = predict(drawn, langs, log_prob, ["lang"], fit=True).where(F.col("__lang_pred") == F.col("lang"))
-    rows = seen.select("lang", "__fit", "__sd").collect()
-
-    def spread(own: list) -> tuple[float, float, float] | None:
-        if len(own) < LEAST_HELD:
-            return None
-        fits = np.array([r["__fit"] for r in own])
-        middle = float(np.median(fits))
-        return middle, max(LEAST_SPREAD, 1.4826 * float(np.median(np.abs(fits - middle)))), float(np.median([r["__sd"] for r in own]))
-
-    every = spread(rows)
-    found = {x: spread([r for r in rows if r["lang"] == x]) or every for x in langs}
-    return {x: f for x, f in found.items() if f}
+    scratch = Scratch(docs.sparkSession)
+    held = docs.where("lang IS NOT NULL AND text IS NOT NULL")
+    seen = predict(held, langs, log_prob, ["lang"], fit=True).where(F.col("__lang_pred") == F.col("lang"))
+    with bounded_batches(docs.sparkSession):
+        seen = scratch.cut(seen.select("lang", "__fit", "__sd"), "fits")
+
+    def spread(rows: DataFrame) -> dict[str, tuple[float, float, float]]:
+        middle, within = medians(rows, "lang", "__fit"), medians(rows, "lang", "__sd")
+        if not middle:
+            return {}
+        known = F.create_map(*[F.lit(x) for kv in middle.items() for x in kv])[F.col("lang")]
+        away = medians(rows.select("lang", F.abs(F.col("__fit") - known).alias("__away")), "lang", "__away")
+        return {x: (middle[x], max(LEAST_SPREAD, 1.4826 * away[x]), within[x]) for x in middle}
+
+    counts = {r["lang"]: r["n"] for r in seen.groupBy("lang").agg(F.count("*").alias("n")).collect()}
+    enough = [x for x in langs if counts.get(x, 0) >= LEAST_HELD]
+    found = spread(seen.where(F.col("lang").isin(enough))) if enough else {}
+    if len(enough) < len(langs) and sum(counts.values()) >= LEAST_HELD:
+        found = dict.fromkeys(langs, spread(seen.withColumn("lang", F.lit("")))[""]) | found
+    scratch.clear()
+    return found
 
 
 #: Names that predictions have; columns of these names are renamed while documents are judged.

@@ -3,8 +3,10 @@
 import collections
 import random
 import re
+import statistics
 
 import corpus_pipeline
+import numpy as np
 from agendaflow.llm import language, lines, mixing
 from agendaflow.llm.shared import cut
 from pyspark.sql import functions as F
@@ -104,6 +106,39 @@ def test_unlearned_language_goes(spark):
         assert len(kept) >= 0.99 * docs.count()
 
 
+def test_medians_are_exact(spark):
+    rng = random.Random(4)
+    groups = {"odd": [rng.gauss(0, 1) for _ in range(1001)], "even": [rng.gauss(-9, 3) for _ in range(2000)], "pair": [1.5, -2.25], "one": [7.0], "same": [3.5] * 40}
+    groups |= {"ties": [float(rng.randint(0, 3)) for _ in range(500)], "far": [10.0 ** rng.randint(-12, 12) for _ in range(300)], "halves": [0.1] * 50 + [0.2] * 50}
+    rows = spark.createDataFrame([(k, x) for k, v in groups.items() for x in v], "lang string, x double").repartition(3)
+    for slots in (2, 7, language.SLOTS):
+        assert language.medians(rows, "lang", "x", slots) == {k: statistics.median(v) for k, v in groups.items()}
+
+
+def test_language_counts_every_document(spark):
+    rng = random.Random(7)
+    words = {"aa": ["sea", "wind", "hill", "rain", "moon"], "bb": ["zug", "kopf", "wurst", "quark", "jetzt"], "cc": ["oui", "chez", "noeud", "vieux"]}
+    rows = [(k, " ".join(rng.choice(words[x]) for _ in range(rng.randint(3, 30))), x) for k, x in enumerate(["aa"] * 2600 + ["bb"] * 900 + ["cc"] * 12)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string").repartition(3)
+    langs, table = language.train(docs)
+    sums = np.zeros((language.BUCKETS, 3))
+    for _, text, lang in rows:
+        data = np.frombuffer(text.encode(), np.uint8)
+        np.add.at(sums[:, langs.index(lang)], language._trigrams(data, np.array([0, len(data)]))[0], 1)
+    assert langs == ["aa", "bb", "cc"] and np.allclose(table, np.log((sums + language.SMOOTHING) / (sums + language.SMOOTHING).sum(axis=0)), atol=1e-5)
+
+    seen = [r for r in language.predict(docs, langs, table, ["lang"], fit=True).collect() if r["__lang_pred"] == r.lang]
+
+    def usual(own):
+        fits = [r["__fit"] for r in own]
+        middle = statistics.median(fits)
+        return middle, max(language.LEAST_SPREAD, 1.4826 * statistics.median(abs(x - middle) for x in fits)), statistics.median(r["__sd"] for r in own)
+
+    want = {x: usual([r for r in seen if r.lang == x]) for x in ("aa", "bb")} | {"cc": usual(seen)}
+    got = language.usual_fit(docs, langs, table)
+    assert got.keys() == want.keys() and all(np.allclose(got[x], want[x], rtol=1e-12) for x in want)
+
+
 def test_empty(spark):
     docs = spark.createDataFrame([], SCHEMA)
     for _, stage in corpus_pipeline.STAGES:
