@@ -13,16 +13,18 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..functions.html import INLINE, VOID
-from ..storage import written
+from ..storage import dealt, temporary, written
 from .nodes import contained
 
 _SEGMENT = r"^\s*[\w*-]*(?:\.[^.:>\s]+)*(?::(?:eq\(\d+\)|not\(\[class\]\)))*\s*$"
 _NUMBER = r":eq\(\d+\)"
+#: Joins by page and element use that both sides are dealt by page; no side is sent to all.
+_WHERE_THEY_LIE = {"spark__sql__requireAllClusterKeysForCoPartition": "false", "spark__sql__autoBroadcastJoinThreshold": "-1", "spark__sql__adaptive__autoBroadcastJoinThreshold": "-1"}
 
 
 def with_ancestors(nodes: DataFrame, hits: DataFrame, *page: str) -> DataFrame:
     """Each element of ``hits`` with ``at``: its own number, and in further rows those of all elements around it."""
-    own = written(hits.select(*page, "node_id").distinct(), "elements")
+    own = dealt(hits.select(*page, "node_id").distinct(), "elements", *page)
     # what ends before a page's first hit or begins after its last one is around none
     ends = own.groupBy(*page).agg(F.min("node_id").alias("__first"), F.max("node_id").alias("__last"))
     around = nodes.select(*page, F.col("node_id").alias("__from"), F.col("last_id").alias("__to"))
@@ -38,7 +40,7 @@ def segments(nodes: DataFrame, *page: str) -> DataFrame:
     classes which the fewest have, so a list whose entries all have a class of their own takes linear time."""
     kind = F.array_sort(F.array_distinct("classes"))
     parent = [*page, "parent_id", "tag"]
-    kinds = nodes.groupBy(*parent, kind.alias("kind")).agg(F.count("*").alias("n"))
+    kinds = dealt(nodes.groupBy(*parent, kind.alias("kind")).agg(F.count("*").alias("n")), "kinds", *page)
     classes = kinds.withColumn("class", F.explode("kind"))
     rare = classes.groupBy(*parent, "class").agg(F.count("*").alias("of"))
     first = classes.join(rare, [*parent, "class"]).groupBy(*parent, "kind").agg(F.min_by("class", F.struct("of", "class")).alias("class"))
@@ -54,11 +56,12 @@ def segments(nodes: DataFrame, *page: str) -> DataFrame:
 def paths_of(nodes: DataFrame, hits: DataFrame, *page: str) -> DataFrame:
     """``node_id``, ``top_id`` and ``path`` of the elements of ``hits``: from the page (``top_id`` -1) or from the element
     ``top_id`` around them, which is not part of it. An element's path from itself is empty."""
-    own = written(hits.select(*page, "node_id", "top_id").distinct(), "elements")
-    steps = written(with_ancestors(nodes, own, *page).join(own, [*page, "node_id"]).where("at > top_id"), "ancestors")
+    own = dealt(hits.select(*page, "node_id", "top_id").distinct(), "elements", *page)
+    steps = dealt(with_ancestors(nodes, own, *page).join(own, [*page, "node_id"]).where("at > top_id"), "ancestors", *page)
     asked = steps.select(*page, F.col("at").alias("node_id")).distinct()
     parents = nodes.select(*page, "node_id", "parent_id").join(asked, [*page, "node_id"], "left_semi").select(*page, "parent_id").distinct()
     siblings = nodes.select(*page, "node_id", "parent_id", "depth", "tag", "classes", "sib_index").join(parents, [*page, "parent_id"], "left_semi")
+    siblings = dealt(siblings, "siblings", *page)
     named = segments(siblings, *page).join(asked, [*page, "node_id"], "left_semi")
     steps = steps.join(named.withColumnRenamed("node_id", "at"), [*page, "at"])
     parts = F.array_sort(F.collect_list(F.struct("depth", "segment")))
@@ -108,7 +111,7 @@ def _walk(nodes: DataFrame, todo: DataFrame, *page: str) -> DataFrame:
     """What the paths of ``todo`` (page, start_id, path_id, node_id, last_id, ``__segs``, ``__any``) reach from its elements:
     start_id, path_id, node_id. Rows at the end of their path meet themselves, so one chain of joins, as long as the
     longest path, serves paths of any length."""
-    todo = written(todo, "paths-to-walk")
+    todo = dealt(todo, "paths-to-walk", *page)
     own = [*page, "start_id", "path_id"]
     longest = todo.groupBy("__any").agg(F.max(F.size("__segs")).alias("n"), F.collect_set(F.size("__segs")).alias("sizes")).collect()
     longest = {r["__any"]: r for r in longest}
@@ -141,10 +144,10 @@ def reach(nodes: DataFrame, starts: DataFrame, paths: DataFrame, *page: str) ->
     """The elements that each path (``path_id``, ``path``) of a page reaches from each of its ``starts`` (``start_id``,
     ``last_id``): start_id, path_id, node_id. The first segment is a child of the start, or, where all segments end with
     ``)``, anywhere inside it; a number counts among the hits of one element. The empty path is the start itself."""
-    paths = written(paths.select(*page, "path_id", "path"), "paths")
+    paths = dealt(paths.select(*page, "path_id", "path"), "paths", *page)
     todo = starts.join(paths, list(page)).withColumn("node_id", F.col("start_id"))
     whole = F.col("path") == ""
-    found = written(_candidates(_slim(nodes, *page), paths, _wanted(F.col("path")), *page), "candidates")
+    found = dealt(_candidates(_slim(nodes, *page), paths, _wanted(F.col("path")), *page), "candidates", *page)
     return _walk(found, todo.select(*page, "start_id", "path_id", "node_id", "last_id", _wanted(F.col("path")).alias("__segs"), (~whole & _anywhere(F.col("path"))).alias("__any")), *page)
 
 
@@ -153,8 +156,8 @@ def descend(nodes: DataFrame, paths: DataFrame, *page: str) -> DataFrame:
     first number counts in the page."""
     segs = _wanted(F.col("path"))
     want = F.get("__segs", F.lit(0))
-    asked = written(paths.where("path != ''").select(*page, "path_id", segs.alias("__segs"), _anywhere(F.col("path")).alias("__any")), "paths")
-    slim = written(_candidates(_slim(nodes, *page), asked, F.col("__segs"), *page), "candidates")
+    asked = dealt(paths.where("path != ''").select(*page, "path_id", segs.alias("__segs"), _anywhere(F.col("path")).alias("__any")), "paths", *page)
+    slim = dealt(_candidates(_slim(nodes, *page), asked, F.col("__segs"), *page), "candidates", *page)
     first = _nth(slim.drop("parent_id").join(asked, list(page)).where(_fits(want)), want, F.lit(False), *page, "path_id")
     rest = F.slice("__segs", 2, F.greatest(F.size("__segs") - 1, F.lit(0)))
     todo = first.select(*page, F.col("node_id").alias("start_id"), "path_id", "node_id", "last_id", rest.alias("__segs"), (F.col("__any") & (F.size("__segs") > 1)).alias("__any"))
@@ -165,9 +168,9 @@ def smallest_holding(nodes: DataFrame, samples: DataFrame, *page: str) -> DataFr
     """For each row of ``samples`` (page, keys, ``strings``, ``from_id``, ``to_id``) ``node_id``: the last deepest of the elements
     after from_id up to to_id whose text holds all strings, capitals or not. Rows without one are left out."""
     keys = [c for c in samples.columns if c not in (*page, "strings")]
-    low = F.lower("text")
-    holds = F.forall("strings", lambda s: F.contains(low, F.lower(s)))
-    found = samples.join(nodes.select(*page, "node_id", "depth", "text"), list(page)).where("node_id > from_id AND node_id <= to_id").where(holds)
+    low = nodes.select(*page, "node_id", "depth", F.lower("text").alias("__low"))
+    holds = F.forall("strings", lambda s: F.contains(F.col("__low"), F.lower(s)))
+    found = samples.join(low, list(page)).where("node_id > from_id AND node_id <= to_id").where(holds)
     return found.groupBy(*page, *keys).agg(F.max_by("node_id", F.struct("depth", "node_id")).alias("node_id"))
 
 
@@ -239,7 +242,7 @@ def regrouped(paths: DataFrame, *keys: str) -> DataFrame:
 def fields(nodes: DataFrame, blocks: DataFrame, recipe: DataFrame, *page: str) -> DataFrame:
     """The texts that a page's recipe (``key``, ``path_no``, ``path``) reads in each of its ``blocks`` (``start_id``, ``last_id``): start_id,
     key, text; path after path, names joined by commas, others by blanks. Keys that find no text have no row."""
-    asked = written(recipe.select(*page, F.struct("key", "path_no").alias("path_id"), "path"), "paths")
+    asked = dealt(recipe.select(*page, F.struct("key", "path_no").alias("path_id"), "path"), "paths", *page)
     shown = _candidates(nodes.select(*page, "node_id", "tag", "classes", "text"), asked, F.slice(_wanted(F.col("path")), -1, 1), *page)
     hits = reach(nodes, blocks, asked, *page).join(shown.select(*page, "node_id", "text"), [*page, "node_id"]).where("text != ''")
     texts = F.array_sort(F.collect_list(F.struct("path_id.path_no", "node_id", "text")))
@@ -251,7 +254,7 @@ def read_events(nodes: DataFrame, delimiters: DataFrame, recipe: DataFrame, *pag
     """For each block (``node_id``) of each delimiter (``path_id``, ``path``) of a page ``event``: the key and text of its name and
     its date, as far as there are any, and ``valid``, whether it has as many of them as the recipe."""
     recipe = recipe.where(F.col("key").isin("eventName", "eventDate"))
-    blocks = written(descend(nodes, delimiters, *page), "blocks")
+    blocks = dealt(descend(nodes, delimiters, *page), "blocks", *page)
     starts = blocks.select(*page, F.col("node_id").alias("start_id")).distinct()
     starts = starts.join(nodes.select(*page, F.col("node_id").alias("start_id"), "last_id"), [*page, "start_id"])
     read = fields(nodes, starts, recipe, *page).groupBy(*page, F.col("start_id").alias("node_id")).agg(F.array_sort(F.collect_list(F.struct("key", "text"))).alias("event"))
@@ -274,18 +277,18 @@ def loosened(nodes: DataFrame, delimiters: DataFrame, recipe: DataFrame, *page:
     when no page finds more, and only pages that did take part in the next one."""
     asked = delimiters.select(*page, F.lit("0").alias("path_id"), F.col("delimiter").alias("path"))
     state = asked.join(count_events(nodes, asked, recipe, *page), [*page, "path_id"]).select(*page, F.col("path").alias("delimiter"), "events")
-    open_, done = written(state, "delimiters"), []
+    open_, done = dealt(state, "delimiters", *page), []
     while not open_.isEmpty():
         each = open_.select("*", F.posexplode(F.split("delimiter", ">")).alias("k", "segment")).withColumn("parts", F.split("segment", r"\."))
         each = each.where("size(parts) > 2").withColumn("j", F.explode(F.sequence(F.lit(1), F.size("parts") - 1)))
         fewer = F.array_join(F.filter("parts", lambda _, i: i != F.col("j")), ".")
         path = F.array_join(F.transform(F.split("delimiter", ">"), lambda s, i: F.when(i == F.col("k"), fewer).otherwise(s)), ">")
-        tries = written(each.select(*page, F.struct("k", "j").alias("path_id"), path.alias("path"), F.col("events").alias("before")), "tries")
+        tries = dealt(each.select(*page, F.struct("k", "j").alias("path_id"), path.alias("path"), F.col("events").alias("before")), "tries", *page)
         if tries.isEmpty():
             break
         found = tries.join(count_events(nodes, tries, recipe, *page), [*page, "path_id"]).where("events > before")
         best = found.groupBy(*page).agg(F.min(F.struct(F.col("path_id.k").alias("k"), (-F.col("events")).alias("less"), F.col("path_id.j").alias("j"), "path")).alias("b"))
-        better = written(best.select(*page, F.col("b.path").alias("delimiter"), (-F.col("b.less")).alias("events")), "delimiters")
+        better = dealt(best.select(*page, F.col("b.path").alias("delimiter"), (-F.col("b.less")).alias("events")), "delimiters", *page)
         done.append(open_.join(better.select(*page), list(page), "left_anti"))
         open_ = better
     return functools.reduce(DataFrame.unionByName, [*done, open_])
@@ -305,7 +308,7 @@ def shortened(nodes: DataFrame, delimiters: DataFrame, *page: str) -> DataFrame:
     shown = _candidates(nodes.select(*page, "node_id", "tag", "classes", "text"), last, F.col("__last"), *page).select(*page, "node_id", "text")
     hits = own.unionByName(descend(nodes, ends, *page)).join(shown, [*page, "node_id"])
     texts = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("node_id", "text"))), lambda t: t["text"]), " ")
-    read = written(hits.groupBy(*page, "path_id").agg(texts.alias("text")), "reached-texts")
+    read = dealt(hits.groupBy(*page, "path_id").agg(texts.alias("text")), "reached-texts", *page)
     same = read.where("path_id > 0").join(read.where("path_id = 0").select(*page, F.col("text").alias("__own")), list(page)).where("text = __own")
     same = same.join(ends, [*page, "path_id"]).groupBy(*page).agg(F.max_by("path", "path_id").alias("short"))
     return delimiters.join(same, list(page), "left").withColumn("short", F.coalesce("short", "delimiter"))
@@ -319,32 +322,41 @@ def induce(nodes: DataFrame, samples: DataFrame, *page: str, links: bool = True)
     ancestor that has one (``links`` False: never). Without numbers, and without classes that hide events, its path is the
     delimiter, shortened where that finds as many. A string's element is the end of its chain, else the smallest that holds it,
     else the block. Null and empty strings are passed over; a page without a block has no row. Paths of ``Multi`` keys have
-    no numbers; ``dates`` are those of blocks, not of sub-events. ``nodes`` is read often: pass a written table."""
-    given = written(samples.select(*page, "key", F.filter("strings", lambda s: F.coalesce(s != "", F.lit(False))).alias("strings")), "samples")
+    no numbers; ``dates`` are those of blocks, not of sub-events. ``nodes`` is read often: pass a table that is ``dealt`` by page.
+
+    All tables between are dealt by page, so joins move no rows, and none is broadcast: small as files, tables of paths
+    that are alike in many pages are large in memory. Only the result stays."""
+    with temporary(nodes.sparkSession, **_WHERE_THEY_LIE):
+        return written(_induced(nodes, samples, *page, links=links), "induced-recipes", keep=True)
+
+
+def _induced(nodes: DataFrame, samples: DataFrame, *page: str, links: bool) -> DataFrame:
+    given = dealt(samples.select(*page, "key", F.filter("strings", lambda s: F.coalesce(s != "", F.lit(False))).alias("strings")), "samples", *page)
     every = given.groupBy(*page).agg(F.flatten(F.collect_list("strings")).alias("strings")).where("size(strings) > 0")
     block = smallest_holding(nodes, every.select("*", F.lit(-1).alias("from_id"), F.lit(2**31 - 1).alias("to_id")), *page).select(*page, "node_id")
-    block = written(block.join(nodes.select(*page, "node_id", "last_id"), [*page, "node_id"]), "sample-blocks")
+    block = dealt(block.join(nodes.select(*page, "node_id", "last_id"), [*page, "node_id"]), "sample-blocks", *page)
     if links:
         inside = nodes.where(F.coalesce("href", F.lit("")) != "").select(*page, F.col("node_id").alias("__href"))
         has = block.join(inside, list(page)).where("__href >= node_id AND __href <= last_id").select(*page).distinct().withColumn("__has", F.lit(True))
         up = with_link(nodes, block.select(*page, "node_id"), *page).join(has, list(page), "left")
         up = up.select(*page, F.when(F.col("__has"), F.col("node_id")).otherwise(F.col("linked_id")).alias("node_id"))
-        block = written(up.join(nodes.select(*page, "node_id", "last_id"), [*page, "node_id"]), "sample-blocks")
+        block = dealt(up.join(nodes.select(*page, "node_id", "last_id"), [*page, "node_id"]), "sample-blocks", *page)
     around = block.select(*page, F.col("node_id").alias("from_id"), F.col("last_id").alias("to_id"))
-    one = written(given.select(*page, "key", F.posexplode("strings").alias("path_no", "string")).join(around, list(page)), "sample-strings")
+    one = dealt(given.select(*page, "key", F.posexplode("strings").alias("path_no", "string")).join(around, list(page)), "sample-strings", *page)
     ids = [*page, "key", "path_no"]
     ends = chain_ends(nodes, one, *page).select(*ids, F.col("node_id").alias("__end"))
     small = smallest_holding(nodes, one.select(*ids, F.array("string").alias("strings"), "from_id", "to_id"), *page).select(*ids, F.col("node_id").alias("__small"))
     hits = one.join(ends, ids, "left").join(small, ids, "left")
-    hits = written(hits.select(*ids, F.coalesce("__end", "__small", "from_id").alias("node_id"), F.col("from_id").alias("top_id")), "sample-elements")
+    hits = dealt(hits.select(*ids, F.coalesce("__end", "__small", "from_id").alias("node_id"), F.col("from_id").alias("top_id")), "sample-elements", *page)
     paths = hits.join(paths_of(nodes, hits, *page), [*page, "node_id", "top_id"])
-    found = regrouped(paths.select(*ids, "path"), *page, "key")
+    found = regrouped(dealt(paths.select(*ids, "path"), "sample-paths", *page), *page, "key")
     plain = F.when(F.contains("key", F.lit("Multi")), F.regexp_replace("path", _NUMBER, "")).otherwise(F.col("path"))
-    recipe = written(found.withColumn("path", plain).groupBy(*page, "key", "path").agg(F.min("path_no").alias("path_no")), "recipes")
+    recipe = dealt(found.withColumn("path", plain).groupBy(*page, "key", "path").agg(F.min("path_no").alias("path_no")), "recipes", *page)
     top = paths_of(nodes, block.select(*page, "node_id", F.lit(-1).alias("top_id")), *page)
-    loose = written(loosened(nodes, top.select(*page, F.regexp_replace("path", _NUMBER, "").alias("delimiter")), recipe, *page), "delimiters")
-    short = written(shortened(nodes, loose.select(*page, "delimiter"), *page), "short-delimiters")
-    both = written(short.select(*page, F.posexplode(F.array("delimiter", "short")).alias("path_id", "path")), "delimiters")
+    top = dealt(top.select(*page, F.regexp_replace("path", _NUMBER, "").alias("delimiter")), "block-paths", *page)
+    loose = dealt(loosened(nodes, top, recipe, *page), "delimiters", *page)
+    short = dealt(shortened(nodes, loose.select(*page, "delimiter"), *page), "short-delimiters", *page)
+    both = dealt(short.select(*page, F.posexplode(F.array("delimiter", "short")).alias("path_id", "path")), "delimiters", *page)
     text = F.filter("event", lambda e: e["key"] == "eventDate")
     dates = F.array_sort(F.collect_list(F.when(F.size(text) > 0, F.struct("node_id", text[0]["text"].alias("text")))))
     read = read_events(nodes, both, recipe, *page).groupBy(*page, "path_id")

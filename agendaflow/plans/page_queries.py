@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from ..functions import text
 from ..operators import pages, stats
-from ..storage import written
+from ..storage import dealt, parts, temporary, written
 from .registry import query, table
 
 
@@ -381,7 +381,7 @@ _ENTRY = '<li class="item"><a href="$1">№$2¶</a><p class="d">'
 @query(_MENU + "SELECT page_id, 'li.item' AS delimiter, 'a' AS name, 'p.d' AS date, CAST(len(list_distinct(t)) AS BIGINT) AS events, CAST(len(h) AS INTEGER) AS n_dates FROM a WHERE len(h) > 0")
 def recipes_from_pages(spark, sf_dir):
     """A recipe for each page from its first menu entry, whose entries have got a date and a class."""
-    from ..operators import induction
+    from ..operators import induction, nodes
 
     date = F.concat(F.col("page_id") % 28 + 1, F.lit(" mai"))
     menu = F.regexp_extract("html", r"<nav><ul>([\s\S]*?)</ul></nav>", 1)
@@ -391,6 +391,9 @@ def recipes_from_pages(spark, sf_dir):
     shown = F.replace(F.concat(F.lit("№"), first, F.lit("¶")), F.lit("&amp;"), F.lit("&"))
     keyed = F.explode(F.create_map(F.lit("eventName"), F.array(shown), F.lit("eventDate"), F.array(date))).alias("key", "strings")
     samples = table(spark, sf_dir, "pages").where(first.isNotNull()).select("page_id", keyed)
-    found = induction.induce(_written_nodes(spark, sf_dir, html), samples, "page_id")
+    with temporary(spark):
+        # markup is moved, once, before it is parsed: its elements hold each text once for every level
+        moved = table(spark, sf_dir, "pages").select("page_id", html.alias("html")).repartition(parts(spark), "page_id")
+        found = induction.induce(dealt(nodes.page_nodes(moved), "page-nodes", "page_id", there=True), samples, "page_id")
     one = lambda key: F.array_join(F.col("main_page")[key], " ")
     return found.select("page_id", "delimiter", one("eventName").alias("name"), one("eventDate").alias("date"), "events", F.size("dates").alias("n_dates"))

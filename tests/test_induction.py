@@ -1,10 +1,12 @@
 """Induction by joins over elements against the same on trees."""
 
 import random
+from pathlib import Path
 
 import pytest
 from pyspark.sql import functions as F
 
+from agendaflow import storage
 from agendaflow.functions import html
 from agendaflow.operators import induction, nodes
 
@@ -149,3 +151,27 @@ def test_counted_events(spark):
     got = {(r.page, r.path_id): r.events for r in induction.count_events(table, tries, recipe, "page").collect()}
     assert got == {(1, "p"): 2, (1, "p.x"): 1, (1, "div"): 0, (2, "p"): 1, (2, "p.x"): 0, (2, "div"): 0}
     assert html.count_events(html.parse(pages[0][1]), "p", {"eventName": ["b"], "eventDate": ["i"]}) == 2
+
+
+def test_recipes_where_pages_lie(spark):
+    """On elements dealt by page no join sends a table to all or moves rows, and no table between is left."""
+    rng = random.Random(5)
+    pages = {k: listing(rng, k) for k in range(30)}
+    samples = {k: {"eventName": [f"Name {k}.0"], "eventDate": ["1 mai"]} for k in pages}
+    rows = spark.createDataFrame([(k, key, v) for k, s in samples.items() for key, v in s.items()], "page int, key string, strings array<string>")
+    table = storage.dealt(nodes.page_nodes(spark.createDataFrame(list(pages.items()), "page int, html string")), "elements", "page")
+    rows = storage.dealt(rows, "strings", "page")
+    store, folder = spark._jsparkSession.sharedState().statusStore(), Path(storage.shared_folder(spark).removeprefix("file://"))
+    before, there, keys = store.executionsCount(), set(folder.iterdir()), [k.replace("__", ".") for k in induction._WHERE_THEY_LIE]
+    keys = {k: spark.conf.get(k, None) for k in keys}
+    found = induction.induce(table, rows, "page")
+    spark.sparkContext._jsc.sc().listenerBus().waitUntilEmpty()
+    ran = store.executionsList(before, 10000)
+    plans = [ran.apply(i).physicalPlanDescription().split("== Initial Plan ==")[0] for i in range(ran.size())]
+    assert len(plans) > 20 and not any("BroadcastExchange" in p for p in plans)
+    assert sum("hashpartitioning(page" in p and "SortMergeJoin" in p for p in plans) == 0
+    assert {p.name.rpartition("-")[0] for p in set(folder.iterdir()) - there} == {"induced-recipes"}
+    assert {k: spark.conf.get(k, None) for k in keys} == keys and not [t for t in spark.catalog.listTables() if t.name.startswith("agendaflow_") and t.tableType != "TEMPORARY"]
+    want = {k: html.analyse(pages[k], samples[k]) for k in pages}
+    got = {r.page: (r.delimiter, r.main_page, r.events, r.dates) for r in found.collect()}
+    assert got == {k: (w["delimiter"], w["mainPage"], w["events"], w["dates"]) for k, w in want.items() if w["delimiter"]}
