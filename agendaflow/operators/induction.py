@@ -97,6 +97,16 @@ def _candidates(nodes: DataFrame, paths: DataFrame, part: Column, *page: str) ->
     return nodes.join(asked, list(page)).where(F.exists("__wants", _fits)).drop("__wants")
 
 
+def _perhaps_asked(nodes: DataFrame, paths: DataFrame, *page: str) -> DataFrame:
+    """The elements that may fit a segment of one of a page's paths (``path``), whichever of its classes are taken away
+    as long as one is left: of the segment's tag, and with one of its classes where it has any."""
+    parts = lambda s: F.transform(F.split(F.regexp_replace(s, r":eq\(\d+\)|:not\(\[class\]\)", ""), r"\."), lambda x: F.trim(x))
+    one = lambda s: F.struct(F.lower(parts(s)[0]).alias("tag"), F.slice(parts(s), 2, 10000).alias("classes"))
+    asked = paths.select(*page, F.explode(F.split("path", ">")).alias("s")).groupBy(*page).agg(F.collect_set(one(F.col("s"))).alias("__wants"))
+    fits = lambda w: ((w["tag"] == "") | (w["tag"] == "*") | (w["tag"] == F.col("tag"))) & ((F.size(w["classes"]) == 0) | F.arrays_overlap(w["classes"], F.col("classes")))
+    return nodes.join(asked, list(page)).where(F.exists("__wants", fits)).drop("__wants")
+
+
 def _nth(hits: DataFrame, want: Column, keep: Column, *keys: str) -> DataFrame:
     """Of the hits of each key the one that the segment's number asks for, all where it has none."""
     place = F.row_number().over(Window.partitionBy(*keys).orderBy("node_id")) - 1
@@ -344,22 +354,29 @@ def _induced(nodes: DataFrame, samples: DataFrame, *page: str, links: bool) -> D
     around = block.select(*page, F.col("node_id").alias("from_id"), F.col("last_id").alias("to_id"))
     one = dealt(given.select(*page, "key", F.posexplode("strings").alias("path_no", "string")).join(around, list(page)), "sample-strings", *page)
     ids = [*page, "key", "path_no"]
-    ends = chain_ends(nodes, one, *page).select(*ids, F.col("node_id").alias("__end"))
-    small = smallest_holding(nodes, one.select(*ids, F.array("string").alias("strings"), "from_id", "to_id"), *page).select(*ids, F.col("node_id").alias("__small"))
+    inside = nodes.select(*page, "node_id", "parent_id", "depth", "text").join(around, list(page)).where("node_id > from_id AND node_id <= to_id")
+    inside = dealt(inside.drop("from_id", "to_id"), "elements-in-blocks", *page)
+    ends = chain_ends(inside, one, *page).select(*ids, F.col("node_id").alias("__end"))
+    small = smallest_holding(inside, one.select(*ids, F.array("string").alias("strings"), "from_id", "to_id"), *page).select(*ids, F.col("node_id").alias("__small"))
     hits = one.join(ends, ids, "left").join(small, ids, "left")
     hits = dealt(hits.select(*ids, F.coalesce("__end", "__small", "from_id").alias("node_id"), F.col("from_id").alias("top_id")), "sample-elements", *page)
-    paths = hits.join(paths_of(nodes, hits, *page), [*page, "node_id", "top_id"])
-    found = regrouped(dealt(paths.select(*ids, "path"), "sample-paths", *page), *page, "key")
+    # the block's own path is from the page
+    whole = block.select(*page, "node_id", F.lit(-1).alias("top_id"))
+    found = dealt(paths_of(nodes, hits.select(*page, "node_id", "top_id").unionByName(whole), *page), "paths-of-samples", *page)
+    paths = hits.join(found, [*page, "node_id", "top_id"])
+    grouped = regrouped(dealt(paths.select(*ids, "path"), "sample-paths", *page), *page, "key")
     plain = F.when(F.contains("key", F.lit("Multi")), F.regexp_replace("path", _NUMBER, "")).otherwise(F.col("path"))
-    recipe = dealt(found.withColumn("path", plain).groupBy(*page, "key", "path").agg(F.min("path_no").alias("path_no")), "recipes", *page)
-    top = paths_of(nodes, block.select(*page, "node_id", F.lit(-1).alias("top_id")), *page)
-    top = dealt(top.select(*page, F.regexp_replace("path", _NUMBER, "").alias("delimiter")), "block-paths", *page)
-    loose = dealt(loosened(nodes, top, recipe, *page), "delimiters", *page)
-    short = dealt(shortened(nodes, loose.select(*page, "delimiter"), *page), "short-delimiters", *page)
+    recipe = dealt(grouped.withColumn("path", plain).groupBy(*page, "key", "path").agg(F.min("path_no").alias("path_no")), "recipes", *page)
+    top = dealt(found.where("top_id = -1").select(*page, F.regexp_replace("path", _NUMBER, "").alias("delimiter")), "block-paths", *page)
+    # from here on paths are followed: classes of the delimiter's may go, tags stay
+    asked = top.select(*page, F.col("delimiter").alias("path")).unionByName(recipe.select(*page, "path"))
+    few = dealt(_perhaps_asked(nodes.select(*page, "node_id", "parent_id", "last_id", "tag", "classes", "text"), asked, *page), "elements-asked", *page)
+    loose = dealt(loosened(few, top, recipe, *page), "delimiters", *page)
+    short = dealt(shortened(few, loose.select(*page, "delimiter"), *page), "short-delimiters", *page)
     both = dealt(short.select(*page, F.posexplode(F.array("delimiter", "short")).alias("path_id", "path")), "delimiters", *page)
     text = F.filter("event", lambda e: e["key"] == "eventDate")
     dates = F.array_sort(F.collect_list(F.when(F.size(text) > 0, F.struct("node_id", text[0]["text"].alias("text")))))
-    read = read_events(nodes, both, recipe, *page).groupBy(*page, "path_id")
+    read = read_events(few, both, recipe, *page).groupBy(*page, "path_id")
     read = read.agg(F.count_distinct(F.when(F.col("valid"), F.col("event"))).alias("__found"), F.transform(dates, lambda d: d["text"]).alias("dates"))
     # the short path where it finds as many, else the long one
     either = both.join(read, [*page, "path_id"], "left").join(loose.select(*page, "events"), list(page))
